@@ -1,0 +1,68 @@
+"""Registered queries: one per operator of the blueprint, each over the driver
+tables (through the fixture derivations) at full size, plus the equivalent
+DuckDB SQL used as an independent oracle.
+
+Outputs are flattened for comparison: decimals are cast to DOUBLE at the very
+end (on both sides), timestamps stay timestamps, every computed column has
+the same alias on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import market
+from ..sources import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if oracle is not None:
+            ORACLE[name] = oracle
+        return fn
+    return deco
+
+
+def comparable(df: DataFrame) -> DataFrame:
+    """Cast decimals to double (last step, identical on the oracle side)."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        cols.append(c.cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else c)
+    return df.select(*cols)
+
+
+# As-of instants used by the time-dependent queries.
+SALES_AS_OF = "2001-11-05 00:00:00"
+EVENTS_AS_OF = "2024-01-31 00:00:00"
+
+
+# -- E1 / E2 ----------------------------------------------------------------
+
+@register("market_floor", fx.with_fixtures("""
+SELECT symbol, price_symbol, grouping_key, CAST(MIN(price) AS DOUBLE) AS floor_price, COUNT(*) AS open_orders
+FROM fx_orders GROUP BY symbol, price_symbol, grouping_key""", "fx_orders"))
+def q_market_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = fx.fx_orders(spark, sf_dir).withColumnRenamed("grouping_key", "grouping")
+    return comparable(market.market_floor(orders))
+
+
+# -- E3 ----------------------------------------------------------------------
+
+@register("market_last_sales", fx.with_fixtures(f"""
+SELECT symbol, price_symbol,
+       CAST(arg_max(price, (ts, he_block, nft_id, price)) AS DOUBLE) AS last_price,
+       MAX(ts) AS last_ts,
+       COUNT(*) FILTER (WHERE ts > TIMESTAMP '{SALES_AS_OF}' - INTERVAL 30 DAY) AS sales_30d,
+       CAST(SUM(price) FILTER (WHERE ts > TIMESTAMP '{SALES_AS_OF}' - INTERVAL 30 DAY) AS DOUBLE) AS volume_30d
+FROM fx_sales WHERE ts <= TIMESTAMP '{SALES_AS_OF}' GROUP BY symbol, price_symbol""", "fx_sales"))
+def q_market_last_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(market.market_last_sales(fx.fx_sales(spark, sf_dir), SALES_AS_OF))
