@@ -247,3 +247,104 @@ def with_fixtures(sql: str, *names: str) -> str:
     """Prefix an oracle query with the fixture views it uses as CTEs."""
     ctes = ",\n".join(f"{n} AS ({FX_SQL[n]}\n)" for n in names)
     return f"WITH {ctes}\n{sql}"
+
+
+# -- fx_blocks: block documents built from fx_events ---------------------------
+# Fixed encoding (one transaction per activity row, in event order):
+#   transfer    -> nft/transfer        {from, to, symbol, id:number}
+#   issue       -> nft/issue           {account, symbol, id:text}; in even blocks the
+#                  tx belongs to "packmanager" and logs its own openPack event first
+#   market_list -> nftmarket/sellOrder {account, symbol, nftId:text, price, priceSymbol}
+#   market_buy  -> nftmarket buy tx, hitSellOrder {symbol, account, priceSymbol,
+#                  sellers:[{account, nftSales:[{id, price, fee, symbol?}]}]}
+#   burn        -> nft/burn            {account, symbol, id:number}
+# Every block starts with an admin setProperties tx (payload only; in blocks
+# divisible by 7 it also logs an unrecognized "updateRoyalty" event), odd blocks
+# end with a foreign "tokens" transfer. Logs are an object in even blocks and a
+# JSON string in odd ones; the block timestamp is the earliest event time, with
+# a trailing Z in blocks divisible by 3 and missing in blocks ending in 49 of 50.
+BLOCK_INGEST_TS = "2024-02-01 00:00:00"
+
+
+def _jstr(c) -> F.Column:
+    """A column as a JSON string literal (quoted, escaped), or null."""
+    a = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substring(a, F.lit(2), F.length(a) - 2))
+
+
+def _obj(*pairs) -> F.Column:
+    """JSON object text from (key, json_text_column_or_None) pairs; a NULL
+    value drops the key."""
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in pairs]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def fx_block_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx_events(spark, sf_dir).withColumn("event_id", F.col("he_block") * 10 + F.col("tx_seq"))
+    b, op = F.col("he_block"), F.col("op")
+    s = lambda c: _jstr(F.col(c) if isinstance(c, str) else c)
+    id_txt = F.col("nft_id").cast("string")
+    price_txt = F.col("price").cast("decimal(18,2)").cast("string")
+    c = F.col
+    data = (F.when(op == "transfer", F.to_json(F.struct(c("account").alias("from"), c("counterparty").alias("to"),
+                                                        "symbol", c("nft_id").alias("id"))))
+            .when(op == "issue", F.to_json(F.struct("account", "symbol", id_txt.alias("id"))))
+            .when(op == "market_list", F.to_json(F.struct("account", "symbol", id_txt.alias("nftId"),
+                                                          price_txt.alias("price"),
+                                                          c("price_symbol").alias("priceSymbol"))))
+            .when(op == "market_buy", F.to_json(F.struct(
+                "symbol", "account", c("price_symbol").alias("priceSymbol"),
+                F.array(F.struct(c("counterparty").alias("account"), F.array(F.struct(
+                    id_txt.alias("id"), price_txt.alias("price"), F.lit(0).alias("fee"),
+                    F.when(c("event_id") % 2 == 0, c("price_symbol")).alias("symbol"))).alias("nftSales"))).alias("sellers"))))
+            .otherwise(F.to_json(F.struct("account", "symbol", c("nft_id").alias("id")))))
+    event_name = (F.when(op == "transfer", "transfer").when(op == "issue", "issue")
+                  .when(op == "market_list", "sellOrder").when(op == "market_buy", "hitSellOrder")
+                  .otherwise("burn"))
+    contract = F.when(op.startswith("market_"), "nftmarket").otherwise("nft")
+    packed = (op == "issue") & (b % 2 == 0)
+    nft_event = _obj(("contract", _jstr(contract)), ("event", _jstr(event_name)), ("data", data))
+    pack_event = _obj(("contract", _jstr(F.lit("packmanager"))), ("event", _jstr(F.lit("openPack"))),
+                      ("data", _obj(("account", s("account")), ("symbol", _jstr(F.lit("PACK"))),
+                                    ("id", F.col("tx_seq").cast("string")))))
+    events = F.concat(F.lit("["), F.when(packed, F.concat(pack_event, F.lit(","))).otherwise(F.lit("")),
+                      nft_event, F.lit("]"))
+    tx_contract = F.when(packed, "packmanager").otherwise(contract)
+    action = (F.when(packed, "open").when(op == "market_buy", "buy").when(op == "market_list", "sell")
+              .otherwise(op))
+    txs = e.select("he_block", "event_id", "ts", _tx_json(b, tx_contract, action, F.col("account"), F.col("tx_id"),
+                                                          F.lit("{}"), _obj(("events", events))).alias("tx"))
+    per_block = (txs.groupBy("he_block")
+                 .agg(F.min("ts").alias("ts"),
+                      F.array_sort(F.collect_list(F.struct("event_id", "tx"))).alias("txs")))
+    admin_payload = _obj(("symbol", _jstr(F.concat(F.lit("SYM"), (b % 25).cast("string")))),
+                         ("nfts", F.concat(F.lit("["), _obj(("id", _jstr(b.cast("string"))), ("properties", _obj(
+                             ("k", (b % 5).cast("string"))))), F.lit("]"))))
+    issuer = F.concat(F.lit("issuer"), (b % 13).cast("string"))
+    admin_logs = F.when(b % 7 == 0, _obj(("events", F.concat(F.lit("["), _obj(
+        ("contract", _jstr(F.lit("nft"))), ("event", _jstr(F.lit("updateRoyalty"))),
+        ("data", _obj(("symbol", _jstr(F.concat(F.lit("SYM"), (b % 25).cast("string")))), ("issuer", _jstr(issuer))))),
+        F.lit("]"))))).otherwise(F.lit("{}"))
+    admin = _tx_json(b, F.lit("nft"), F.lit("setProperties"), issuer,
+                     F.concat(F.lit("adm"), b.cast("string")), admin_payload, admin_logs)
+    foreign = _tx_json(b, F.lit("tokens"), F.lit("transfer"), F.concat(F.lit("w"), b.cast("string")),
+                       F.concat(F.lit("tok"), b.cast("string")), F.lit("{}"),
+                       _obj(("events", F.concat(F.lit("["), _obj(
+                           ("contract", _jstr(F.lit("tokens"))), ("event", _jstr(F.lit("transfer"))),
+                           ("data", _obj(("from", _jstr(F.concat(F.lit("w"), b.cast("string")))),
+                                         ("to", _jstr(F.lit("bank"))), ("symbol", _jstr(F.lit("BEE")))))),
+                           F.lit("]")))))
+    all_txs = F.concat(F.array(admin), F.transform("txs", lambda x: x["tx"]),
+                       F.when(b % 2 == 1, F.array(foreign)).otherwise(F.array().cast("array<string>")))
+    ts_txt = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    ts_txt = F.when(b % 50 == 49, F.lit(None)).when(b % 3 == 0, F.concat(ts_txt, F.lit("Z"))).otherwise(ts_txt)
+    doc = _obj(("blockNumber", b.cast("string")), ("timestamp", _jstr(ts_txt)),
+               ("transactions", F.concat(F.lit("["), F.array_join(all_txs, ","), F.lit("]"))))
+    return per_block.select("he_block", doc.alias("value"))
+
+
+def _tx_json(b, contract, action, sender, tx_id, payload_obj, logs_obj) -> F.Column:
+    """One transaction; logs is an object in even blocks, a JSON string in odd ones."""
+    logs = F.when(b % 2 == 0, logs_obj).otherwise(_jstr(logs_obj))
+    return _obj(("contract", _jstr(contract)), ("action", _jstr(action)), ("sender", _jstr(sender)),
+                ("transactionId", _jstr(tx_id)), ("payload", payload_obj), ("logs", logs))
