@@ -1,0 +1,29 @@
+"""Join helpers: broadcast only behind a size check.
+
+``bounded_broadcast`` counts at most ``max_rows + 1`` rows of the candidate
+side (a cheap, early-terminating job on small dimension tables) and hints a
+broadcast only when the bound holds; otherwise the join is left to the
+planner, where AQE still converts it to a broadcast at runtime if the
+materialized shuffle side turns out small. Nothing unbounded is ever shipped
+to every executor.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed limit: rule and catalog tables stay far below this (the catalog has
+# about 150 rows, the rule table one row per symbol and version).
+DEFAULT_MAX_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
+               max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Join a large frame with a (checked) small dimension frame."""
+    return big.join(bounded_broadcast(small, max_rows), on, how)
