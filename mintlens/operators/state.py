@@ -211,6 +211,13 @@ def due_accounts(pending: DataFrame, as_of, n: int) -> DataFrame:
             .orderBy("first_queued", "account").limit(int(n)))
 
 
+def due_scopes(pending: DataFrame, as_of) -> DataFrame:
+    """Due scopes collapsed per account (C9 without the batch limit)."""
+    t = as_ts(as_of)
+    return (pending.where(F.col("not_before") <= t).groupBy("account")
+            .agg(F.array_sort(F.collect_set("symbol")).alias("syms"), F.min("queued_at").alias("first_queued")))
+
+
 def held_symbols(holdings: DataFrame) -> DataFrame:
     """(account, symbol) an account owns or has delegated in."""
     own = holdings.select("account", "symbol")
@@ -253,6 +260,11 @@ def backfill_target(head: int, days: int = ACTIVITY_WINDOW_DAYS, per_day: int =
     return max(1, int(head) - int(days) * int(per_day))
 
 
+def backfill_target_col(head: Column, days: int = ACTIVITY_WINDOW_DAYS, per_day: int = BLOCKS_PER_DAY) -> Column:
+    """C12 as a column expression over a head block column."""
+    return F.greatest(F.lit(1).cast("bigint"), head - int(days) * int(per_day))
+
+
 def block_gaps(spark, blocks: DataFrame, lo: int, hi: int, col: str = "he_block") -> DataFrame:
     """Block numbers in [lo, hi] that were never captured -- a
     distributed range anti-joined with the captured numbers."""

@@ -146,6 +146,15 @@ def fx_scope_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _ts(F.col("ts")).alias("fetched_at"))
 
 
+def fx_book_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-book fetches per symbol: a 'click' event is a successful book
+    snapshot of its symbol, an 'error' event a failed one."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type").where(
+        F.col("event_type").isin("click", "error"))
+    return e.select(_sym(F.col("event_id") % 25).alias("symbol"), (F.col("event_type") == "click").alias("ok"),
+                    _ts(F.col("ts")).alias("fetched_at"))
+
+
 # The four hand-written rule rows (two versions for SYM0, a
 # missing template key for SYM2).
 FX_MAPPING_ROWS = [
@@ -175,6 +184,7 @@ FIXTURES = {
     "fx_collections": fx_collections, "fx_holdings": fx_holdings, "fx_orders": fx_orders,
     "fx_sales": fx_sales, "fx_events": fx_events, "fx_accounts": fx_accounts,
     "fx_scope_outcomes": fx_scope_outcomes, "fx_mappings": fx_mappings,
+    "fx_book_outcomes": fx_book_outcomes,
 }
 
 
@@ -228,6 +238,9 @@ FROM orders GROUP BY o_custkey""",
 SELECT 'u' || CAST(user_id AS VARCHAR) AS account, 'SYM' || CAST(event_id % 25 AS VARCHAR) AS symbol,
        event_type <> 'error' AS ok, ts AS fetched_at
 FROM events""",
+    "fx_book_outcomes": """
+SELECT 'SYM' || CAST(event_id % 25 AS VARCHAR) AS symbol, event_type = 'click' AS ok, ts AS fetched_at
+FROM events WHERE event_type IN ('click', 'error')""",
     "fx_mappings": """
 SELECT * FROM (VALUES
   ('SYM0', 1, '{"name":{"template":"{symbol} #{nft_id}"}}'),
