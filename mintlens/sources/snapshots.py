@@ -64,6 +64,8 @@ def normalize_holdings(raw: DataFrame) -> DataFrame:
     """``_id`` -> nft_id; ownedBy default 'u'; delegatedTo as an object
     ({account, ownedBy}) or a plain string; soulbound under either spelling;
     properties parsed (default ``{}``)."""
+    # the two spellings differ only in letter case: rename by position first
+    raw = raw.toDF(*["soulBound_camel" if c == "soulBound" else c for c in raw.columns])
     d = F.col("delegatedTo")
     deleg = F.from_json(d, "map<string,string>")
     is_obj = deleg.isNotNull()
@@ -72,7 +74,7 @@ def normalize_holdings(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("ownedBy"), F.lit("u")).alias("owned_by"),
         F.when(is_obj, deleg["account"]).otherwise(d).alias("delegated_to"),
         F.when(is_obj, deleg["ownedBy"]).otherwise(F.col("delegatedToType")).alias("delegated_to_type"),
-        (truthy("soulbound") | truthy("soulBound")).alias("soul_bound"),
+        (truthy("soulbound") | truthy("soulBound_camel")).alias("soul_bound"),
         _json_text("properties", "{}").alias("properties"))
 
 
