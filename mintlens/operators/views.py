@@ -8,7 +8,7 @@ joins (orders x holdings) are equi-joins left to AQE.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,165 @@ def retry_stats(pending: DataFrame) -> DataFrame:
     return (pending.where(F.col("attempts") > 0)
             .agg(F.count(F.lit(1)).alias("pending"), F.max("attempts").alias("max_attempts"),
                  F.min("not_before").alias("next_retry_at")))
+
+
+from pyspark.sql import Window  # noqa: E402
+
+from ..functions import burned  # noqa: E402
+from ..plans.joins import bounded_broadcast  # noqa: E402
+from .pages import keyset_page, packed_cursor, page_params  # noqa: E402
+
+# Fixed value: nested wallet pages hold the items of one id range of this width.
+WALLET_ID_RANGE = 1000
+
+
+def _coll_names(collections: DataFrame) -> DataFrame:
+    return bounded_broadcast(collections.select("symbol", F.col("name").alias("collection_name")))
+
+
+def wallet_sections(holdings: DataFrame, orders: DataFrame, collections: DataFrame,
+                    viewers: DataFrame | None = None, symbol: str | None = None) -> DataFrame:
+    """D1-D3 for every viewer account at once (or for the ``viewers`` frame):
+
+    * owned -- rows the viewer holds;
+    * delegated_in -- rows delegated to the viewer;
+    * listed -- the viewer's open sell orders joined to the escrowed instance
+      (inner join on (symbol, nft_id)), with price and token.
+
+    One flat row per (viewer, section, item). The optional symbol filter
+    applies to all three sections (L9).
+    """
+    cols = ["symbol", "nft_id", "account", "owned_by", "delegated_to", "properties"]
+    h = holdings.select(*cols)
+    none_dec = F.lit(None).cast("decimal(38,18)")
+    owned = h.select(F.col("account").alias("viewer"), F.lit("owned").alias("section"), *cols,
+                     none_dec.alias("price"), F.lit(None).cast("string").alias("price_symbol"))
+    deleg = h.where(F.col("delegated_to").isNotNull()).select(
+        F.col("delegated_to").alias("viewer"), F.lit("delegated_in").alias("section"), *cols,
+        none_dec.alias("price"), F.lit(None).cast("string").alias("price_symbol"))
+    o = orders.select("symbol", "nft_id", F.col("account").alias("viewer"), "price", "price_symbol")
+    listed = o.join(h.drop("account"), ["symbol", "nft_id"], "inner").select(
+        "viewer", F.lit("listed").alias("section"), "symbol", "nft_id", F.col("viewer").alias("account"),
+        "owned_by", "delegated_to", "properties", F.col("price").cast("decimal(38,18)").alias("price"), "price_symbol")
+    out = owned.unionByName(deleg).unionByName(listed)
+    if viewers is not None:
+        out = out.join(viewers.select(F.col("account").alias("viewer")).distinct(), "viewer", "left_semi")
+    if symbol:
+        out = out.where(F.col("symbol") == symbol)
+    return out.join(_coll_names(collections), "symbol", "left")
+
+
+def wallet_pages(items: DataFrame, id_range: int = WALLET_ID_RANGE) -> DataFrame:
+    """E9 nested form: items grouped by (viewer, section, symbol) in nft_id
+    order, split into fixed nft_id ranges so no group (e.g. the escrow
+    account's) is collected whole into one task."""
+    item = F.struct(*[F.col(c) for c in items.columns if c not in ("viewer", "section", "symbol")])
+    return (items.withColumn("id_range", F.floor(F.col("nft_id") / int(id_range)).cast("bigint"))
+            .groupBy("viewer", "section", "symbol", "id_range")
+            .agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["nft_id"] < b["nft_id"], -1)
+                              .when(a["nft_id"] > b["nft_id"], 1).otherwise(0)).alias("items")))
+
+
+def nft_detail(holdings: DataFrame, collections: DataFrame, orders: DataFrame,
+               keys: DataFrame | None = None) -> DataFrame:
+    """Instance rows with collection name and the open order (if any) as a
+    struct; all instances, or the requested (symbol, nft_id) keys."""
+    h = holdings if keys is None else holdings.join(keys.select("symbol", "nft_id"), ["symbol", "nft_id"], "left_semi")
+    o = orders.select("symbol", "nft_id", F.struct("price", "price_symbol", "account", "ts").alias("open_order"))
+    return h.join(_coll_names(collections), "symbol", "left").join(o, ["symbol", "nft_id"], "left")
+
+
+def collection_rows(collections: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Collections with burned (B19) and the mapping flag."""
+    m = bounded_broadcast(mappings.select("symbol").distinct().withColumn("_m", F.lit(True)))
+    return (collections.withColumn("burned", burned())
+            .join(m, "symbol", "left")
+            .withColumn("has_display_mapping", F.coalesce(F.col("_m"), F.lit(False))).drop("_m"))
+
+
+def collections_page(collections: DataFrame, mappings: DataFrame, cursor: str = "", limit: int = 100) -> DataFrame:
+    """symbol > cursor ascending, one page (the next cursor is the last
+    symbol of a full page, see ``pages.next_cursor``)."""
+    return keyset_page(collection_rows(collections, mappings), "symbol", cursor, limit)
+
+
+def collection_detail(collections: DataFrame, mappings: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Requested symbols (a frame) -> their collection rows."""
+    c = collections.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    return collection_rows(c, mappings)
+
+
+def orders_first_pages(orders: DataFrame, limit: int = 100) -> DataFrame:
+    """F3 in bulk: the first page of every symbol's book (nft_id ascending).
+    ``row_number <= n`` lets Spark insert a partial per-partition group limit
+    before the shuffle, so a symbol with a huge book ships at most n rows per
+    map task."""
+    _, n = page_params(0, limit)
+    w = Window.partitionBy("symbol").orderBy("nft_id")
+    return orders.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+ACTIVITY_COLS = ["he_block", "tx_seq", "symbol", "nft_id", "op", "account", "counterparty", "price",
+                 "price_symbol", "tx_id", "ts"]
+
+
+def account_activity(events: DataFrame, account: str, cursor: int | None = None, limit: int = 100,
+                     symbol: str | None = None, op: str | None = None) -> DataFrame:
+    """one account's feed (as actor or counterparty), newest first,
+    strictly below the packed cursor."""
+    _, n = page_params(0, limit)
+    e = events.where((F.col("account") == account) | (F.col("counterparty") == account))
+    if symbol:
+        e = e.where(F.col("symbol") == symbol)
+    if op:
+        e = e.where(F.col("op") == op)
+    if cursor:
+        e = e.where(packed_cursor("he_block", "tx_seq") < F.lit(int(cursor)))
+    return e.orderBy(F.col("he_block").desc(), F.col("tx_seq").desc()).limit(n)
+
+
+def activity_feeds(events: DataFrame, limit: int = 100) -> DataFrame:
+    """F4 in bulk: the newest ``limit`` events of every account. The OR
+    predicate becomes a union of two equi paths (actor rows, counterparty
+    rows) de-duplicated on (viewer, he_block, tx_seq); the per-account top-n
+    is a ``row_number <= n`` filter, which Spark evaluates as a partial group
+    limit before the shuffle and a final one after it -- a hot account
+    costs n rows per map task, not its whole history."""
+    _, n = page_params(0, limit)
+    e = events.select(*ACTIVITY_COLS)
+    actor = e.withColumn("viewer", F.col("account"))
+    cpty = e.where(F.col("counterparty").isNotNull() & (F.col("counterparty") != F.col("account"))) \
+            .withColumn("viewer", F.col("counterparty"))
+    w = Window.partitionBy("viewer").orderBy(F.col("he_block").desc(), F.col("tx_seq").desc())
+    return (actor.unionByName(cpty).withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= n))
+
+
+def activity_coverage(events: DataFrame, backfill_cursor: Column | None = None,
+                      backfill_target: Column | None = None, window_days: int = 30) -> DataFrame:
+    """Oldest captured event, the advisory window, the backfill cursor and
+    target (blocks), and whether the backfill reached its target."""
+    agg = events.agg(F.min("ts").alias("oldest_event_ts"), F.min("he_block").alias("_lo"),
+                     F.max("he_block").alias("_hi"))
+    cur = backfill_cursor if backfill_cursor is not None else F.col("_lo")
+    from .state import backfill_target_col
+    tgt = backfill_target if backfill_target is not None else backfill_target_col(F.col("_hi"), window_days)
+    return agg.select(F.lit(int(window_days)).alias("window_days"), "oldest_event_ts",
+                      cur.alias("backfill_cursor_block"), tgt.alias("backfill_target_block"),
+                      F.coalesce(cur <= tgt, F.lit(False)).alias("backfill_complete"))
+
+
+def distinct_held_symbols(holdings: DataFrame) -> DataFrame:
+    """The symbols with cached instances (market sweep scope)."""
+    return holdings.select("symbol").distinct()
+
+
+def pipeline_status(metrics: dict[str, DataFrame]) -> DataFrame:
+    """One (metric, value) row per one-row aggregate -- a union of
+    single-row frames, so no product of frames is ever formed."""
+    parts = [df.select(F.lit(name).alias("metric"), F.col(f"`{df.columns[0]}`").cast("string").alias("value"))
+             for name, df in metrics.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
