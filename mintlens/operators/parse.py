@@ -76,6 +76,8 @@ def typed_blocks(blocks: DataFrame) -> DataFrame:
     (and a hitSellOrder's sellers list once), so later steps only look up
     fields. One row per block."""
     ingest = F.col("ingest_ts") if "ingest_ts" in blocks.columns else F.lit(None).cast("timestamp")
+    if "ingestTs" in blocks.columns:
+        ingest = F.coalesce(F.col("ingestTs").try_cast("timestamp"), ingest)
 
     def event(e):
         d = json_map(e["data"])

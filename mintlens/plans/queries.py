@@ -815,3 +815,97 @@ def q_pipeline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last_block": ev.agg(F.max("he_block")),
     })
     return out.select("metric", F.col("value").cast("double").alias("value"))
+
+
+# -- sinks and streaming (A1, A6-A8, I1-I7, C13) ----------------------------------
+
+def _fresh_dir(spark: SparkSession, name: str) -> str:
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("stream_capture", _ev_sql("""
+SELECT he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price,
+       price_symbol, tx_id, bts AS ts FROM ev WHERE he_block < (SELECT MAX(he_block) FROM ev)"""))
+def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land the block documents as two JSON-lines files, drain them with the
+    streaming capture (one file per micro-batch, settle margin 1), read the
+    activity sink back. The newest block stays held back by the margin."""
+    from ..streaming import capture
+    root = _fresh_dir(spark, "stream-capture")
+    landing = f"{root}/landing"
+    docs = fx.fx_block_docs(spark, sf_dir)
+    docs.repartitionByRange(2, "he_block").select("value").write.text(landing)
+    q = capture.start_capture(spark, landing, f"{root}/sinks", checkpoint=f"{root}/checkpoint",
+                              max_files_per_trigger=1)
+    q.awaitTermination()
+    ev = spark.read.parquet(f"{root}/sinks/nft_events").drop("dt")
+    return comparable(ev)
+
+
+@register("append_sales", fx.with_fixtures("""
+SELECT symbol, nft_id, CAST(price AS DOUBLE) AS price, price_symbol, seller, buyer, he_block, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, nft_id, he_block ORDER BY ts, price, seller, buyer) AS rn
+  FROM fx_sales) t WHERE rn = 1""", "fx_sales"))
+def q_append_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append the even blocks, then replay everything: each key once."""
+    from ..sources.sinks import append_idempotent
+    path = _fresh_dir(spark, "append-sales")
+    s = fx.fx_sales(spark, sf_dir)
+    key, order = ["symbol", "nft_id", "he_block"], ["ts", "price", "seller", "buyer"]
+    append_idempotent(spark, s.where(F.col("he_block") % 2 == 0), path, key, order, range_col="he_block")
+    append_idempotent(spark, s, path, key, order, range_col="he_block")
+    return comparable(spark.read.parquet(path))
+
+
+@register("write_view", ORACLE["apply_book"])
+def q_write_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old book written per symbol, then only the replaced symbols
+    overwritten (dynamic partition overwrite); read back."""
+    from ..sources.sinks import write_view
+    path = _fresh_dir(spark, "orders-view")
+    cur = fx.fx_orders(spark, sf_dir)
+    write_view(cur, path, ["symbol"])
+    orders, outcomes = _book_fixture(spark, sf_dir)
+    new_book = state.apply_book(cur, orders, outcomes)
+    replaced = state._confirmed(outcomes, ["symbol"]).select("symbol")
+    write_view(new_book.join(replaced, "symbol", "left_semi").select(*cur.columns), path, ["symbol"])
+    return comparable(spark.read.parquet(path).select(*cur.columns))
+
+
+@register("to_json_view", fx.with_fixtures("""
+SELECT symbol, price_symbol, grouping_key,
+       regexp_replace(regexp_replace(CAST(MIN(price) AS VARCHAR), '0+$', ''), '\\.$', '') AS floor_price_text,
+       CAST(COUNT(*) AS VARCHAR) AS open_orders_text
+FROM fx_orders GROUP BY symbol, price_symbol, grouping_key""", "fx_orders"))
+def q_to_json_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import to_json_view
+    orders = fx.fx_orders(spark, sf_dir).withColumnRenamed("grouping_key", "grouping")
+    j = to_json_view(market.market_floor(orders)).select("json")
+    g = lambda k: F.get_json_object("json", f"$.{k}")
+    return j.select(g("symbol").alias("symbol"), g("price_symbol").alias("price_symbol"),
+                    g("grouping_key").alias("grouping_key"), g("floor_price").alias("floor_price_text"),
+                    g("open_orders").alias("open_orders_text"))
+
+
+@register("capture_only", _ev_sql("""
+SELECT 'nft_events' AS sink, COUNT(*) AS n FROM ev
+UNION ALL SELECT 'market_sales', COUNT(*) FROM ev WHERE op = 'market_buy'
+UNION ALL SELECT 'touch_scopes', 0
+UNION ALL SELECT 'market_flags', 0"""))
+def q_capture_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backfill run records activity and sales but queues nothing."""
+    from ..sources.sinks import read_if_exists
+    from ..streaming import capture
+    root = _fresh_dir(spark, "backfill")
+    capture.backfill(spark, fx_blocks(spark, sf_dir), root)
+    parts = []
+    for name in ("nft_events", "market_sales", "touch_scopes", "market_flags"):
+        df = read_if_exists(spark, f"{root}/{name}")
+        cnt = df.agg(F.count(F.lit(1)).alias("n")) if df is not None else spark.range(1).select(F.lit(0).cast("bigint").alias("n"))
+        parts.append(cnt.select(F.lit(name).alias("sink"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

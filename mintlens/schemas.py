@@ -6,7 +6,9 @@ from __future__ import annotations
 # an object or as a JSON string; a STRING field receives both as JSON text.
 TX_DDL = ("struct<contract:string,action:string,sender:string,transactionId:string,"
           "payload:string,logs:string>")
-BLOCK_DDL = f"blockNumber bigint, timestamp string, transactions array<{TX_DDL}>"
+# ``ingestTs`` is stamped by the landing job (optional); it is the fallback
+# block time and, unlike a file's modification time, survives re-copies.
+BLOCK_DDL = f"blockNumber bigint, timestamp string, transactions array<{TX_DDL}>, ingestTs string"
 
 # A transaction's logs: the emitted events, each event's data kept as JSON text.
 EVENT_DDL = "struct<contract:string,event:string,data:string>"

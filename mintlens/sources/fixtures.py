@@ -352,7 +352,8 @@ def fx_block_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts_txt = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     ts_txt = F.when(b % 50 == 49, F.lit(None)).when(b % 3 == 0, F.concat(ts_txt, F.lit("Z"))).otherwise(ts_txt)
     doc = _obj(("blockNumber", b.cast("string")), ("timestamp", _jstr(ts_txt)),
-               ("transactions", F.concat(F.lit("["), F.array_join(all_txs, ","), F.lit("]"))))
+               ("transactions", F.concat(F.lit("["), F.array_join(all_txs, ","), F.lit("]"))),
+               ("ingestTs", _jstr(F.lit(BLOCK_INGEST_TS))))
     return per_block.select("he_block", doc.alias("value"))
 
 
