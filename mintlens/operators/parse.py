@@ -107,7 +107,7 @@ def _tx_type() -> str:
 def explode_tx(blocks: DataFrame) -> DataFrame:
     """One row per transaction, with its position in the block."""
     t = typed_blocks(blocks)
-    return (t.select("he_block", "ts", F.explode("txs").alias("tx"))
+    return (t.select("he_block", "ts", F.explode_outer("txs").alias("tx")).where(F.col("tx").isNotNull())
             .select("he_block", "ts", "tx.*"))
 
 
@@ -227,7 +227,9 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     touched scopes -- plus the unknown nft event names. Feeds
     :func:`nft_events`, :func:`market_sales`, :func:`touch_scopes` and
     :func:`unknown_events`; cache it when several outputs are taken."""
-    t = typed_blocks(blocks).select("he_block", "ts", F.filter("txs", _has_nft_activity).alias("txs"))
+    # a block without a number cannot be keyed: it yields no rows (arrays empty)
+    t = typed_blocks(blocks).select("he_block", "ts", F.filter(
+        F.when(F.col("he_block").isNotNull(), F.col("txs")), _has_nft_activity).alias("txs"))
     with_rows = F.transform("txs", lambda tx: F.struct(tx.alias("tx"), _tx_rows(tx).alias("rows")))
     return (t.select("he_block", "ts", with_rows.alias("w"))
             .select(
@@ -258,15 +260,15 @@ def _tx_sales(tx: Column) -> Column:
 def nft_events(parsed: DataFrame) -> DataFrame:
     """B8 + B11: the activity feed, tx_seq = 0-based position in the block
     among the kept rows."""
-    return (parsed.where(F.col("he_block").isNotNull())
-            .select("he_block", "ts", F.posexplode("events").alias("tx_seq", "e"))
+    return (parsed.select("he_block", "ts", F.posexplode_outer("events").alias("tx_seq", "e"))
+            .where(F.col("e").isNotNull())
             .select("he_block", F.col("tx_seq").cast("int").alias("tx_seq"), "e.symbol", "e.nft_id", "e.op",
                     "e.account", "e.counterparty", price(F.col("e.price_raw")).alias("price"),
                     "e.price_symbol", "e.tx_id", "ts"))
 
 
 def _sales_exploded(parsed: DataFrame) -> DataFrame:
-    s = parsed.select("he_block", "ts", F.explode("sales").alias("s"))
+    s = parsed.select("he_block", "ts", F.explode_outer("sales").alias("s")).where(F.col("s").isNotNull())
     return s.select("s.symbol", strict_id(F.col("s.id_raw")).alias("nft_id"), price(F.col("s.price_raw")).alias("price"),
                     "s.price_symbol", "s.seller", "s.buyer", "he_block", "ts", "s.id_raw", "s.price_raw", "s.tx_id")
 
@@ -297,8 +299,8 @@ def market_buys(parsed: DataFrame) -> DataFrame:
 def touch_scopes(parsed: DataFrame) -> DataFrame:
     """Distinct (account, symbol) scopes touched per block ('' = whole
     account), with the block time as the touch time."""
-    return (parsed.where(F.col("he_block").isNotNull())
-            .select("he_block", "ts", F.explode("scopes").alias("p"))
+    return (parsed.select("he_block", "ts", F.explode_outer("scopes").alias("p"))
+            .where(F.col("p").isNotNull())
             .select("he_block", "p.account", "p.symbol", F.col("ts").alias("touched_at")))
 
 
@@ -307,13 +309,15 @@ def touched_accounts(blocks: DataFrame) -> DataFrame:
     tx = explode_tx(blocks)
     tx = tx.where(_is_nft(F.col("contract")) | F.exists("events", lambda e: _is_nft(e["contract"])))
     st = F.struct(*[F.col(c) for c in ("tx_pos", "contract", "action", "sender", "tx_id", "payload", "events")])
-    return (tx.select("he_block", "tx_pos", "tx_id", F.explode(_tx_touched(st)).alias("account")))
+    return (tx.select("he_block", "tx_pos", "tx_id", F.explode_outer(_tx_touched(st)).alias("account"))
+            .where(F.col("account").isNotNull()))
 
 
 def unknown_events(parsed: DataFrame) -> DataFrame:
     """Nft-contract event names outside both known lists, with how often
     and in which block range they were seen (the parser-review alarm)."""
-    return (parsed.select("he_block", F.explode("unknown").alias("event"))
+    return (parsed.select("he_block", F.explode_outer("unknown").alias("event"))
+            .where(F.col("event").isNotNull())
             .groupBy("event")
             .agg(F.count(F.lit(1)).alias("n"), F.min("he_block").alias("first_block"),
                  F.max("he_block").alias("last_block")))

@@ -829,14 +829,16 @@ def _fresh_dir(spark: SparkSession, name: str) -> str:
 SELECT he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price,
        price_symbol, tx_id, bts AS ts FROM ev WHERE he_block < (SELECT MAX(he_block) FROM ev)"""))
 def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Land the block documents as two JSON-lines files, drain them with the
-    streaming capture (one file per micro-batch, settle margin 1), read the
-    activity sink back. The newest block stays held back by the margin."""
+    """Land the block documents as two JSON-lines files (even and odd blocks,
+    so the second batch also brings blocks older than the first one's head),
+    drain them with the streaming capture (one file per micro-batch, settle
+    margin 1), read the activity sink back. The newest block stays held back
+    by the margin."""
     from ..streaming import capture
     root = _fresh_dir(spark, "stream-capture")
     landing = f"{root}/landing"
     docs = fx.fx_block_docs(spark, sf_dir)
-    docs.repartitionByRange(2, "he_block").select("value").write.text(landing)
+    docs.repartition(2, F.col("he_block") % 2).select("value").write.text(landing)
     q = capture.start_capture(spark, landing, f"{root}/sinks", checkpoint=f"{root}/checkpoint",
                               max_files_per_trigger=1)
     q.awaitTermination()

@@ -39,15 +39,16 @@ def dedupe_keys(df: DataFrame, key: list[str], order: list[str] | None = None) -
 
 def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[str],
                       order: list[str] | None = None, range_col: str | None = None,
-                      partition_by: list[str] | None = None) -> None:
+                      partition_by: list[str] | None = None, bounds: tuple | None = None) -> None:
     """Insert rows whose key is not yet in the sink (ON CONFLICT DO
-    NOTHING), de-duplicated within the batch."""
+    NOTHING), de-duplicated within the batch. ``bounds`` = the (lo, hi) of
+    ``range_col`` in the batch when the caller already knows it."""
     rows = dedupe_keys(new, key, order)
     existing = read_if_exists(spark, path)
     if existing is not None:
         have = existing.select(*key)
         if range_col is not None:
-            lo, hi = rows.agg(F.min(range_col), F.max(range_col)).first()
+            lo, hi = bounds if bounds is not None else rows.agg(F.min(range_col), F.max(range_col)).first()
             if lo is None:
                 return
             have = have.where(F.col(range_col).between(lo, hi))

@@ -85,32 +85,34 @@ class BlockCapture:
             blocks = self._settle(spark, blocks, epoch_id)
         parsed = parse.parse_blocks(blocks).persist()
         try:
-            self.write_outputs(spark, parsed)
-            last = parsed.agg(F.max("he_block").alias("last_block"))
-            (last.select(F.lit(epoch_id).alias("epoch"), F.lit(self.mode).alias("mode"), "last_block",
-                         F.current_timestamp().alias("updated_at"))
+            lo, hi = parsed.agg(F.min("he_block"), F.max("he_block")).first()
+            if hi is not None:
+                self.write_outputs(spark, parsed, (lo, hi))
+            (spark.range(1).select(F.lit(epoch_id).alias("epoch"), F.lit(self.mode).alias("mode"),
+                                   F.lit(hi).cast("bigint").alias("last_block"),
+                                   F.current_timestamp().alias("updated_at"))
              .write.mode("append").parquet(self.path("pipeline_state")))
         finally:
             parsed.unpersist()
             batch.unpersist()
 
-    def write_outputs(self, spark: SparkSession, parsed: DataFrame) -> None:
+    def write_outputs(self, spark: SparkSession, parsed: DataFrame, bounds: tuple) -> None:
         ev = parse.nft_events(parsed).withColumn("dt", F.to_date("ts"))
         append_idempotent(spark, ev, self.path("nft_events"), ["he_block", "tx_seq"],
-                          range_col="he_block", partition_by=["dt"])
+                          range_col="he_block", partition_by=["dt"], bounds=bounds)
         sales = parse.market_sales(parsed)
         append_idempotent(spark, sales, self.path("market_sales"), ["symbol", "nft_id", "he_block"],
-                          order=["ts", "price", "seller", "buyer"], range_col="he_block")
+                          order=["ts", "price", "seller", "buyer"], range_col="he_block", bounds=bounds)
         q = parse.sales_quarantine(parsed)
         append_idempotent(spark, q, self.path("quarantine"), ["he_block", "tx_id", "seller", "id_raw"],
-                          range_col="he_block")
+                          range_col="he_block", bounds=bounds)
         if self.mode == "live":
             append_idempotent(spark, parse.touch_scopes(parsed), self.path("touch_scopes"),
-                              ["he_block", "account", "symbol"], range_col="he_block")
+                              ["he_block", "account", "symbol"], range_col="he_block", bounds=bounds)
             flags = (parse.nft_events(parsed).where(F.col("op").startswith("market_"))
                      .groupBy("he_block", "symbol").agg(F.max("ts").alias("flagged_at")))
             append_idempotent(spark, flags, self.path("market_flags"), ["he_block", "symbol"],
-                              range_col="he_block")
+                              range_col="he_block", bounds=bounds)
 
 
 def start_capture(spark: SparkSession, landing: str, sink_root: str, checkpoint: str | None = None,
