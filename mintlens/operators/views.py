@@ -48,17 +48,19 @@ def wallet_sections(holdings: DataFrame, orders: DataFrame, collections: DataFra
     """
     cols = ["symbol", "nft_id", "account", "owned_by", "delegated_to", "properties"]
     h = holdings.select(*cols)
-    none_dec = F.lit(None).cast("decimal(38,18)")
-    owned = h.select(F.col("account").alias("viewer"), F.lit("owned").alias("section"), *cols,
-                     none_dec.alias("price"), F.lit(None).cast("string").alias("price_symbol"))
-    deleg = h.where(F.col("delegated_to").isNotNull()).select(
-        F.col("delegated_to").alias("viewer"), F.lit("delegated_in").alias("section"), *cols,
-        none_dec.alias("price"), F.lit(None).cast("string").alias("price_symbol"))
+    # owned and delegated-in rows from a single pass over holdings
+    who = F.explode(F.filter(F.array(
+        F.struct(F.col("account").alias("viewer"), F.lit("owned").alias("section")),
+        F.struct(F.col("delegated_to").alias("viewer"), F.lit("delegated_in").alias("section"))),
+        lambda v: v["viewer"].isNotNull()))
+    mine = h.select(who.alias("w"), *cols).select(
+        "w.viewer", "w.section", *cols, F.lit(None).cast("decimal(38,18)").alias("price"),
+        F.lit(None).cast("string").alias("price_symbol"))
     o = orders.select("symbol", "nft_id", F.col("account").alias("viewer"), "price", "price_symbol")
     listed = o.join(h.drop("account"), ["symbol", "nft_id"], "inner").select(
         "viewer", F.lit("listed").alias("section"), "symbol", "nft_id", F.col("viewer").alias("account"),
         "owned_by", "delegated_to", "properties", F.col("price").cast("decimal(38,18)").alias("price"), "price_symbol")
-    out = owned.unionByName(deleg).unionByName(listed)
+    out = mine.unionByName(listed)
     if viewers is not None:
         out = out.join(viewers.select(F.col("account").alias("viewer")).distinct(), "viewer", "left_semi")
     if symbol:
