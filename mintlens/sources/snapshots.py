@@ -28,8 +28,11 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def read_holding_snapshots(spark: SparkSession, path: str, outcomes_path: str) -> tuple[DataFrame, DataFrame]:
     """A3: fetched holding records and the per-scope outcomes
-    (account, symbol, ok, complete, fetched_at)."""
-    return _read(spark, path, HOLDING_RAW_DDL), _read(spark, outcomes_path, OUTCOME_DDL)
+    (account, symbol, ok, complete, fetched_at). The record schema has two
+    keys that differ only in letter case (soulbound / soulBound), which a
+    file-source schema rejects, so the lines are parsed with ``from_json``."""
+    recs = spark.read.text(path).select(F.from_json("value", HOLDING_RAW_DDL).alias("r")).select("r.*")
+    return recs, _read(spark, outcomes_path, OUTCOME_DDL)
 
 
 def read_book_snapshots(spark: SparkSession, path: str, outcomes_path: str) -> tuple[DataFrame, DataFrame]:
@@ -88,3 +91,19 @@ def normalize_orders(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         price("price").alias("price"), F.col("priceSymbol").alias("price_symbol"),
         price("fee").alias("fee"), epoch_ms_ts("timestamp").alias("ts"),
         F.when(F.from_json(g, "map<string,string>").isNotNull(), g).otherwise(F.lit("{}")).alias("grouping"))
+
+
+MAPPING_DDL = "symbol string, version int, mapping string"
+
+
+def read_mappings(spark: SparkSession, path: str) -> DataFrame:
+    """A5: display-rule rows (symbol, version, mapping JSON text)."""
+    return _read(spark, path, MAPPING_DDL)
+
+
+def add_mapping_versions(cur: DataFrame, new: DataFrame) -> DataFrame:
+    """A5: rules are append-only versions -- new (symbol, version) rows are
+    added, an existing (symbol, version) is kept as it is."""
+    fresh = new.dropDuplicates(["symbol", "version"]).join(
+        cur.select("symbol", "version"), ["symbol", "version"], "left_anti")
+    return cur.unionByName(fresh.select(*cur.columns))
