@@ -4,9 +4,13 @@
 from __future__ import annotations
 
 import math
+import os
 
 import pandas as pd
 
+# set MINTLENS_EXACT=1 to compare floats bit for bit
+EXACT = os.environ.get("MINTLENS_EXACT") == "1"
+
 
 def norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
@@ -14,7 +18,7 @@ def norm(v):
     if v is pd.NaT:
         return None
     if isinstance(v, float):
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, pd.Timestamp):
         return v.tz_localize(None).isoformat() if v.tzinfo else v.isoformat()
     if hasattr(v, "isoformat"):

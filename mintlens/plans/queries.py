@@ -40,6 +40,12 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def nullable_counts_as_double(df: DataFrame, *cols: str) -> DataFrame:
+    """Nullable integer outputs as DOUBLE (the oracle does the same), so both
+    engines hand over the same type when a column holds NULLs."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 # As-of instants used by the time-dependent queries.
 SALES_AS_OF = "2001-11-05 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -210,23 +216,30 @@ def _with(sql_ctes: str, *fixtures_: str, body: str) -> str:
     return fx.with_fixtures("SELECT 1", *fixtures_).rsplit("\nSELECT 1", 1)[0] + ",\n" + sql_ctes + "\n" + body
 
 
+_SUPPLY = ("CAST(supply AS DOUBLE) AS supply, CAST(circulating_supply AS DOUBLE) AS circulating_supply, "
+           "CAST(max_supply AS DOUBLE) AS max_supply")
+
+
 @register("normalize_catalog", _with(_CATALOG_SNAP_SQL, "fx_collections",
-                                     body="SELECT symbol, name, org_name, supply, circulating_supply, max_supply, url FROM snap"))
+                                     body=f"SELECT symbol, name, org_name, {_SUPPLY}, url FROM snap"))
 def q_normalize_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.snapshots import normalize_catalog
-    return normalize_catalog(_catalog_snapshot_raw(spark, sf_dir)).select(
-        "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply", "url")
+    return nullable_counts_as_double(normalize_catalog(_catalog_snapshot_raw(spark, sf_dir)).select(
+        "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply", "url"),
+        "supply", "circulating_supply", "max_supply")
 
 
-@register("upsert_catalog", _with(_CATALOG_SNAP_SQL, "fx_collections", body="""
-SELECT symbol, name, org_name, supply, circulating_supply, max_supply FROM fx_collections
-WHERE symbol NOT IN (SELECT symbol FROM snap)
-UNION ALL SELECT symbol, name, org_name, supply, circulating_supply, max_supply FROM snap"""))
+@register("upsert_catalog", _with(_CATALOG_SNAP_SQL, "fx_collections", body=f"""
+SELECT symbol, name, org_name, {_SUPPLY} FROM (
+  SELECT symbol, name, org_name, supply, circulating_supply, max_supply FROM fx_collections
+  WHERE symbol NOT IN (SELECT symbol FROM snap)
+  UNION ALL SELECT symbol, name, org_name, supply, circulating_supply, max_supply FROM snap) t"""))
 def q_upsert_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.snapshots import normalize_catalog
     snap = normalize_catalog(_catalog_snapshot_raw(spark, sf_dir)).select(
         "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply")
-    return state.upsert_catalog(fx.fx_collections(spark, sf_dir), snap)
+    return nullable_counts_as_double(state.upsert_catalog(fx.fx_collections(spark, sf_dir), snap),
+                                     "supply", "circulating_supply", "max_supply")
 
 
 # -- snapshots: holdings (B3 + C2 + C3) -----------------------------------------
@@ -720,6 +733,9 @@ def q_nft_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COLL_COLS = "symbol, name, supply, circulating_supply, burned, has_display_mapping"
+_COLL_SQL_COLS = ("symbol, name, CAST(supply AS DOUBLE) AS supply, CAST(circulating_supply AS DOUBLE) AS circulating_supply, "
+                  "CAST(burned AS DOUBLE) AS burned, has_display_mapping")
+_COUNTS = ("supply", "circulating_supply", "burned")
 _COLL_ROWS_SQL = """cr AS (
   SELECT c.*, supply - circulating_supply AS burned,
          EXISTS (SELECT 1 FROM fx_mappings m WHERE m.symbol = c.symbol) AS has_display_mapping
@@ -728,18 +744,18 @@ COLLECTIONS_PAGE = 10
 
 
 @register("collections_page", _with(_COLL_ROWS_SQL, "fx_collections", "fx_mappings", body=f"""
-SELECT {_COLL_COLS} FROM cr WHERE symbol > '' ORDER BY symbol LIMIT {COLLECTIONS_PAGE}"""))
+SELECT {_COLL_SQL_COLS} FROM cr WHERE symbol > '' ORDER BY symbol LIMIT {COLLECTIONS_PAGE}"""))
 def q_collections_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.collections_page(fx.fx_collections(spark, sf_dir), fx.fx_mappings(spark, sf_dir), "", COLLECTIONS_PAGE)
-    return p.select(*[c.strip() for c in _COLL_COLS.split(",")])
+    return nullable_counts_as_double(p.select(*[c.strip() for c in _COLL_COLS.split(",")]), *_COUNTS)
 
 
 @register("collection_detail", _with(_COLL_ROWS_SQL, "fx_collections", "fx_mappings", "fx_sales", body=f"""
-SELECT {_COLL_COLS} FROM cr WHERE symbol IN (SELECT symbol FROM fx_sales WHERE price_symbol = 'TOKR')"""))
+SELECT {_COLL_SQL_COLS} FROM cr WHERE symbol IN (SELECT symbol FROM fx_sales WHERE price_symbol = 'TOKR')"""))
 def q_collection_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = fx.fx_sales(spark, sf_dir).where(F.col("price_symbol") == "TOKR").select("symbol")
     d = views.collection_detail(fx.fx_collections(spark, sf_dir), fx.fx_mappings(spark, sf_dir), req)
-    return d.select(*[c.strip() for c in _COLL_COLS.split(",")])
+    return nullable_counts_as_double(d.select(*[c.strip() for c in _COLL_COLS.split(",")]), *_COUNTS)
 
 
 BOOK_PAGE = 100
@@ -765,7 +781,8 @@ SELECT viewer, rank, he_block, tx_seq, symbol, nft_id, op, account, counterparty
     UNION SELECT counterparty AS viewer, * FROM fx_events WHERE counterparty IS NOT NULL) u) t
 WHERE rank <= {FEED_PAGE}""", "fx_events"))
 def q_activity_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(views.activity_feeds(fx.fx_events(spark, sf_dir), FEED_PAGE))
+    return comparable(views.activity_feeds(fx.fx_events(spark, sf_dir), FEED_PAGE)
+                      .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 @register("activity_coverage", fx.with_fixtures("""
@@ -960,8 +977,9 @@ def q_landed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _fresh_dir(spark, "catalog-snapshot")
     raw = _catalog_snapshot_raw(spark, sf_dir)
     raw.select(F.to_json(F.struct(*raw.columns)).alias("value")).write.text(root)
-    return normalize_catalog(read_catalog(spark, root)).select(
-        "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply", "url")
+    return nullable_counts_as_double(normalize_catalog(read_catalog(spark, root)).select(
+        "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply", "url"),
+        "supply", "circulating_supply", "max_supply")
 
 
 @register("landed_book", ORACLE["apply_book"])
