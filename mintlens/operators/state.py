@@ -154,6 +154,19 @@ def account_state(accounts: DataFrame, as_of, requested: DataFrame | None = None
 
 # -- C7 ------------------------------------------------------------------------
 
+def stale_read_touches(reads: DataFrame, accounts: DataFrame,
+                       stale_after_s: int = ACCOUNT_STALE_AFTER_SECONDS) -> DataFrame:
+    """C7 (read side): a populated account read more than ``stale_after_s``
+    after its last full pass asks for a whole-account re-check, scope
+    (account, ''). The entry is insert-if-absent, so the first such read
+    sets the queue time. Result rows have the shape of touches."""
+    a = accounts.where(F.col("populated_at").isNotNull()).select("account", "refreshed_at")
+    stale = (reads.join(a, "account", "inner")
+             .where(F.col("read_at") > F.col("refreshed_at") + F.make_interval(secs=F.lit(stale_after_s))))
+    return (stale.groupBy("account").agg(F.min("read_at").alias("touched_at"))
+            .select("account", F.lit("").alias("symbol"), "touched_at"))
+
+
 def pending_scopes(touches: DataFrame, outcomes: DataFrame, tracked: DataFrame, as_of,
                    base_s: int = RETRY_BASE_SECONDS, cap_s: int = RETRY_CAP_SECONDS) -> DataFrame:
     """Open work per (account, symbol) at ``as_of``.

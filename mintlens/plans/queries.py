@@ -1023,3 +1023,19 @@ def q_add_mapping_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     resent = cur.select("symbol", "version", F.lit('{"name":{"from":"symbol"}}').alias("mapping"))
     new.unionByName(resent).write.json(root)
     return add_mapping_versions(cur, read_mappings(spark, root))
+
+
+# -- C7 read side: stale reads ---------------------------------------------------
+# Buyers read their wallet when they buy: a read of a populated account more
+# than 6 hours after its last full pass queues a whole-account re-check.
+
+@register("stale_read_touches", fx.with_fixtures(f"""
+SELECT s.buyer AS account, '' AS symbol, MIN(s.ts) AS touched_at
+FROM fx_sales s JOIN fx_accounts a ON a.account = s.buyer
+WHERE a.populated_at IS NOT NULL AND s.ts <= TIMESTAMP '{SALES_AS_OF}'
+  AND s.ts > a.refreshed_at + INTERVAL 6 HOUR
+GROUP BY s.buyer""", "fx_sales", "fx_accounts"))
+def q_stale_read_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.fx_sales(spark, sf_dir).where(F.col("ts") <= F.lit(SALES_AS_OF).cast("timestamp"))
+    reads = s.select(F.col("buyer").alias("account"), F.col("ts").alias("read_at"))
+    return state.stale_read_touches(reads, fx.fx_accounts(spark, sf_dir))

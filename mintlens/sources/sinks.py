@@ -39,11 +39,13 @@ def dedupe_keys(df: DataFrame, key: list[str], order: list[str] | None = None) -
 
 def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[str],
                       order: list[str] | None = None, range_col: str | None = None,
-                      partition_by: list[str] | None = None, bounds: tuple | None = None) -> None:
+                      partition_by: list[str] | None = None, bounds: tuple | None = None,
+                      unique: bool = False) -> None:
     """Insert rows whose key is not yet in the sink (ON CONFLICT DO
     NOTHING), de-duplicated within the batch. ``bounds`` = the (lo, hi) of
-    ``range_col`` in the batch when the caller already knows it."""
-    rows = dedupe_keys(new, key, order)
+    ``range_col`` in the batch when the caller already knows it; ``unique``
+    = the key is unique within the batch by construction (no dedupe shuffle)."""
+    rows = new if unique else dedupe_keys(new, key, order)
     existing = read_if_exists(spark, path)
     if existing is not None:
         have = existing.select(*key)

@@ -83,6 +83,9 @@ class BlockCapture:
             blocks = blocks.where(F.col("blockNumber") >= int(self.starting_block))
         if self.margin > 0 and self.mode == "live":
             blocks = self._settle(spark, blocks, epoch_id)
+        # a block landed twice (or re-entering from the held folder) is parsed
+        # once, so keys derived per block are unique within the batch
+        blocks = blocks.dropDuplicates(["blockNumber"])
         parsed = parse.parse_blocks(blocks).persist()
         try:
             lo, hi = parsed.agg(F.min("he_block"), F.max("he_block")).first()
@@ -97,9 +100,11 @@ class BlockCapture:
             batch.unpersist()
 
     def write_outputs(self, spark: SparkSession, parsed: DataFrame, bounds: tuple) -> None:
+        # activity keys (he_block, tx_seq) and per-block scopes are unique by
+        # construction (one parse per block; scopes de-duplicated in the row)
         ev = parse.nft_events(parsed).withColumn("dt", F.to_date("ts"))
         append_idempotent(spark, ev, self.path("nft_events"), ["he_block", "tx_seq"],
-                          range_col="he_block", partition_by=["dt"], bounds=bounds)
+                          range_col="he_block", partition_by=["dt"], bounds=bounds, unique=True)
         sales = parse.market_sales(parsed)
         append_idempotent(spark, sales, self.path("market_sales"), ["symbol", "nft_id", "he_block"],
                           order=["ts", "price", "seller", "buyer"], range_col="he_block", bounds=bounds)
@@ -108,11 +113,11 @@ class BlockCapture:
                           range_col="he_block", bounds=bounds)
         if self.mode == "live":
             append_idempotent(spark, parse.touch_scopes(parsed), self.path("touch_scopes"),
-                              ["he_block", "account", "symbol"], range_col="he_block", bounds=bounds)
+                              ["he_block", "account", "symbol"], range_col="he_block", bounds=bounds, unique=True)
             flags = (parse.nft_events(parsed).where(F.col("op").startswith("market_"))
                      .groupBy("he_block", "symbol").agg(F.max("ts").alias("flagged_at")))
             append_idempotent(spark, flags, self.path("market_flags"), ["he_block", "symbol"],
-                              range_col="he_block", bounds=bounds)
+                              range_col="he_block", bounds=bounds, unique=True)
 
 
 def start_capture(spark: SparkSession, landing: str, sink_root: str, checkpoint: str | None = None,

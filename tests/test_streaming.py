@@ -41,6 +41,15 @@ def test_replay_adds_nothing_and_margin_holds_head(spark):
     assert scopes.count() == scopes.dropDuplicates(["he_block", "account", "symbol"]).count()
 
 
+def test_block_landed_twice_in_one_batch(spark):
+    root = tempfile.mkdtemp(prefix="cap-")
+    d = _doc(7, [("a", "b"), ("b", "c")])
+    _land(spark, root, "a", [d, d, _doc(8, [("x", "y")])])
+    _run(spark, root, f"{root}/sinks", f"{root}/cp", margin=0)
+    ev = spark.read.parquet(f"{root}/sinks/nft_events")
+    assert sorted((r.he_block, r.tx_seq) for r in ev.collect()) == [(7, 0), (7, 1), (8, 0)]
+
+
 def test_starting_block_and_backfill_mode(spark):
     root = tempfile.mkdtemp(prefix="cap-")
     _land(spark, root, "a", [_doc(10, [("a", "b")]), _doc(11, [("b", "c")]), _doc(12, [("c", "d")])])
