@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import NFT_CONTRACTS, block_ts, first_present, first_truthy, json_map, price, strict_id
-from ..schemas import BLOCK_DDL, EVENT_DDL, LOGS_DDL, SELLERS_DDL
+from ..schemas import BLOCK_DDL, EVENT_DDL, LOGS_DDL, SELLERS_DDL, TX_DDL
 
 # Emitted nft/nftmarket event name -> activity op label.
 EVENT_OPS = {
@@ -89,7 +89,7 @@ def typed_blocks(blocks: DataFrame) -> DataFrame:
         return F.struct(e["contract"].alias("contract"), e["event"].alias("event"), e["data"].alias("data"),
                         e["d"].alias("d"), sellers.alias("sellers"))
 
-    txs = F.transform(F.coalesce(F.col("transactions"), _empty(_tx_type())), lambda t, i: F.struct(
+    txs = F.transform(F.coalesce(F.col("transactions"), _empty(TX_DDL)), lambda t, i: F.struct(
         i.alias("tx_pos"), t["contract"].alias("contract"), t["action"].alias("action"),
         t["sender"].alias("sender"), t["transactionId"].alias("tx_id"), t["payload"].alias("payload"),
         F.transform(F.coalesce(F.from_json(t["logs"], LOGS_DDL)["events"], _empty(EVENT_DDL)), event).alias("events")))
@@ -99,11 +99,6 @@ def typed_blocks(blocks: DataFrame) -> DataFrame:
         "events", F.transform(t["events"], with_sellers))).alias("txs"))
 
 
-def _tx_type() -> str:
-    from ..schemas import TX_DDL
-    return TX_DDL
-
-
 def explode_tx(blocks: DataFrame) -> DataFrame:
     """One row per transaction, with its position in the block."""
     t = typed_blocks(blocks)

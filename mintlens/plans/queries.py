@@ -854,9 +854,11 @@ def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import capture
     root = _fresh_dir(spark, "stream-capture")
     landing = f"{root}/landing"
-    docs = fx.fx_block_docs(spark, sf_dir)
-    docs.repartition(2, F.col("he_block") % 2).select("value").write.text(landing)
-    q = capture.start_capture(spark, landing, f"{root}/sinks", checkpoint=f"{root}/checkpoint",
+    docs = fx.fx_block_docs(spark, sf_dir).persist()
+    for part, parity in (("even", 0), ("odd", 1)):
+        docs.where(F.col("he_block") % 2 == parity).select("value").coalesce(1).write.text(f"{landing}/{part}")
+    docs.unpersist()
+    q = capture.start_capture(spark, f"{landing}/*", f"{root}/sinks", checkpoint=f"{root}/checkpoint",
                               max_files_per_trigger=1)
     q.awaitTermination()
     ev = spark.read.parquet(f"{root}/sinks/nft_events").drop("dt")
