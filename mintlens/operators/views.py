@@ -173,12 +173,13 @@ def distinct_held_symbols(holdings: DataFrame) -> DataFrame:
     return holdings.select("symbol").distinct()
 
 
-def pipeline_status(metrics: dict[str, DataFrame]) -> DataFrame:
-    """One (metric, value) row per one-row aggregate -- a union of
-    single-row frames, so no product of frames is ever formed."""
-    parts = [df.select(F.lit(name).alias("metric"), F.col(f"`{df.columns[0]}`").cast("string").alias("value"))
-             for name, df in metrics.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def pipeline_status(parts: list[DataFrame]) -> DataFrame:
+    """(metric, value) rows. Each part is a one-row aggregate whose
+    columns are metrics; it is computed once and unpivoted, and the parts are
+    unioned -- no product of frames is formed."""
+    out = None
+    for df in parts:
+        cols = [F.col(f"`{c}`").cast("double").alias(c) for c in df.columns]
+        long = df.select(*cols).unpivot([], df.columns, "metric", "value")
+        out = long if out is None else out.unionByName(long)
     return out

@@ -815,23 +815,18 @@ UNION ALL SELECT 'last_block', CAST(MAX(he_block) AS DOUBLE) FROM fx_events"""))
 def q_pipeline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     acc = fx.fx_accounts(spark, sf_dir)
     pend = _pending(spark, sf_dir)
-    retry = views.retry_stats(pend)
     cov = display.mapping_coverage(fx.fx_holdings(spark, sf_dir), fx.fx_mappings(spark, sf_dir))
     ev = fx.fx_events(spark, sf_dir)
     epoch = lambda c: (F.unix_micros(c) / 1e6)
-    out = views.pipeline_status({
-        "tracked_accounts": acc.agg(F.count(F.lit(1))),
-        "populated_accounts": acc.agg(F.count("populated_at")),
-        "refresh_queue_depth": pend.agg(F.count(F.lit(1))),
-        "retry_pending": retry.select("pending"),
-        "retry_max_attempts": retry.select("max_attempts"),
-        "retry_next_at_epoch": retry.select(epoch(F.col("next_retry_at"))),
-        "mapped_symbols": cov.select("mapped"),
-        "held_symbols": cov.select("total"),
-        "oldest_event_epoch": ev.agg(epoch(F.min("ts"))),
-        "last_block": ev.agg(F.max("he_block")),
-    })
-    return out.select("metric", F.col("value").cast("double").alias("value"))
+    retrying = F.col("attempts") > 0
+    return views.pipeline_status([
+        acc.agg(F.count(F.lit(1)).alias("tracked_accounts"), F.count("populated_at").alias("populated_accounts")),
+        pend.agg(F.count(F.lit(1)).alias("refresh_queue_depth"), F.count_if(retrying).alias("retry_pending"),
+                 F.max(F.when(retrying, F.col("attempts"))).alias("retry_max_attempts"),
+                 epoch(F.min(F.when(retrying, F.col("not_before")))).alias("retry_next_at_epoch")),
+        cov.select(F.col("mapped").alias("mapped_symbols"), F.col("total").alias("held_symbols")),
+        ev.agg(epoch(F.min("ts")).alias("oldest_event_epoch"), F.max("he_block").alias("last_block")),
+    ])
 
 
 # -- sinks and streaming (A1, A6-A8, I1-I7, C13) ----------------------------------
