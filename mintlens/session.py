@@ -54,23 +54,61 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there and we only read it. A private
-    folder is created only when the setting is absent (local runs and tests).
+    folder is created only when the setting is absent *and* the master is
+    local (tests, local runs); on a cluster a missing setting is an error,
+    never a machine-local fallback.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+        path = path or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 -- no SparkContext (e.g. a remote session)
+        pass
     if not path:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (it names where lineage is cut "
+                               "and where scratch tables are written)")
         path = _LOCAL_FALLBACK.get("dir")
         if path is None:
             path = tempfile.mkdtemp(prefix="mintlens-ckpt-")
             _LOCAL_FALLBACK["dir"] = path
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
+# Sizing for large inputs: post-shuffle partitions of ~256 MB, scan splits of
+# 256 MB (JSON landing files are splittable line by line).
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def suggest_shuffle_partitions(input_bytes: int, target_bytes: int = TARGET_PARTITION_BYTES,
+                               minimum: int = 8) -> int:
+    """Initial shuffle partition count for an input of ``input_bytes``; AQE
+    then coalesces small partitions and splits skewed ones at runtime."""
+    return max(minimum, -(-int(input_bytes) // int(target_bytes)))
+
+
+def scale_conf(input_bytes: int) -> dict[str, str]:
+    """Settings for a large run (e.g. 100 TB on a big cluster): partitions
+    sized from the input, AQE advisory size, scan split size, skew-join
+    thresholds, and a broadcast threshold kept modest (dimension joins use
+    an explicit row-count check anyway)."""
+    return {
+        "spark.sql.shuffle.partitions": str(suggest_shuffle_partitions(input_bytes)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables that cut
     lineage (used instead of machine-local temporary folders)."""

@@ -48,3 +48,10 @@ def test_block_ts(spark):
 def test_burned_null_propagates(spark):
     df = spark.createDataFrame([(10, 4), (10, None)], "supply bigint, circulating_supply bigint")
     assert [r.b for r in df.select(fn.burned().alias("b")).collect()] == [6, None]
+
+
+def test_partition_sizing():
+    from mintlens.session import scale_conf, suggest_shuffle_partitions
+    assert suggest_shuffle_partitions(0) == 8
+    assert suggest_shuffle_partitions(100 * 1024 ** 4) == 409600  # 100 TB / 256 MB
+    assert scale_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "40"
