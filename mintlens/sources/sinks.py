@@ -40,15 +40,18 @@ def dedupe_keys(df: DataFrame, key: list[str], order: list[str] | None = None) -
 def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[str],
                       order: list[str] | None = None, range_col: str | None = None,
                       partition_by: list[str] | None = None, bounds: tuple | None = None,
-                      unique: bool = False) -> None:
+                      unique: bool = False, prune: F.Column | None = None) -> None:
     """Insert rows whose key is not yet in the sink (ON CONFLICT DO
     NOTHING), de-duplicated within the batch. ``bounds`` = the (lo, hi) of
     ``range_col`` in the batch when the caller already knows it; ``unique``
-    = the key is unique within the batch by construction (no dedupe shuffle)."""
+    = the key is unique within the batch by construction (no dedupe shuffle);
+    ``prune`` = an extra predicate on the sink (e.g. the batch's date
+    partitions), so only the partitions the batch can collide with are read."""
     rows = new if unique else dedupe_keys(new, key, order)
     existing = read_if_exists(spark, path)
     if existing is not None:
-        have = existing.select(*key)
+        have = existing if prune is None else existing.where(prune)
+        have = have.select(*key)
         if range_col is not None:
             lo, hi = bounds if bounds is not None else rows.agg(F.min(range_col), F.max(range_col)).first()
             if lo is None:

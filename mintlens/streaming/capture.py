@@ -88,36 +88,43 @@ class BlockCapture:
         blocks = blocks.dropDuplicates(["blockNumber"])
         parsed = parse.parse_blocks(blocks).persist()
         try:
-            lo, hi = parsed.agg(F.min("he_block"), F.max("he_block")).first()
-            if hi is not None:
-                self.write_outputs(spark, parsed, (lo, hi))
+            r = parsed.agg(F.min("he_block").alias("lo"), F.max("he_block").alias("hi"),
+                           F.min(F.to_date("ts")).alias("dlo"), F.max(F.to_date("ts")).alias("dhi")).first()
+            if r["hi"] is not None:
+                self.write_outputs(spark, parsed, (r["lo"], r["hi"]), (r["dlo"], r["dhi"]))
             (spark.range(1).select(F.lit(epoch_id).alias("epoch"), F.lit(self.mode).alias("mode"),
-                                   F.lit(hi).cast("bigint").alias("last_block"),
+                                   F.lit(r["hi"]).cast("bigint").alias("last_block"),
                                    F.current_timestamp().alias("updated_at"))
              .write.mode("append").parquet(self.path("pipeline_state")))
         finally:
             parsed.unpersist()
             batch.unpersist()
 
-    def write_outputs(self, spark: SparkSession, parsed: DataFrame, bounds: tuple) -> None:
-        # activity keys (he_block, tx_seq) and per-block scopes are unique by
-        # construction (one parse per block; scopes de-duplicated in the row)
-        ev = parse.nft_events(parsed).withColumn("dt", F.to_date("ts"))
-        append_idempotent(spark, ev, self.path("nft_events"), ["he_block", "tx_seq"],
-                          range_col="he_block", partition_by=["dt"], bounds=bounds, unique=True)
+    def write_outputs(self, spark: SparkSession, parsed: DataFrame, bounds: tuple, days: tuple) -> None:
+        """Append every output. Sinks are partitioned by block date ``dt``;
+        the idempotency check reads only the batch's date partitions and
+        block range. Activity keys (he_block, tx_seq), per-block scopes and
+        flags are unique by construction (blocks were de-duplicated)."""
+        prune = F.col("dt").between(F.lit(days[0]), F.lit(days[1]))
+
+        def put(df, name, key, unique, order=None):
+            append_idempotent(spark, df.withColumn("dt", F.to_date(df["_day_ts"])).drop("_day_ts"),
+                              self.path(name), key, order=order, range_col="he_block", partition_by=["dt"],
+                              bounds=bounds, unique=unique, prune=prune)
+
+        ev = parse.nft_events(parsed)
+        put(ev.withColumn("_day_ts", F.col("ts")), "nft_events", ["he_block", "tx_seq"], True)
         sales = parse.market_sales(parsed)
-        append_idempotent(spark, sales, self.path("market_sales"), ["symbol", "nft_id", "he_block"],
-                          order=["ts", "price", "seller", "buyer"], range_col="he_block", bounds=bounds)
+        put(sales.withColumn("_day_ts", F.col("ts")), "market_sales", ["symbol", "nft_id", "he_block"], False,
+            order=["ts", "price", "seller", "buyer"])
         q = parse.sales_quarantine(parsed)
-        append_idempotent(spark, q, self.path("quarantine"), ["he_block", "tx_id", "seller", "id_raw"],
-                          range_col="he_block", bounds=bounds)
+        put(q.withColumn("_day_ts", F.col("ts")), "quarantine", ["he_block", "tx_id", "seller", "id_raw"], False)
         if self.mode == "live":
-            append_idempotent(spark, parse.touch_scopes(parsed), self.path("touch_scopes"),
-                              ["he_block", "account", "symbol"], range_col="he_block", bounds=bounds, unique=True)
-            flags = (parse.nft_events(parsed).where(F.col("op").startswith("market_"))
+            sc = parse.touch_scopes(parsed)
+            put(sc.withColumn("_day_ts", F.col("touched_at")), "touch_scopes", ["he_block", "account", "symbol"], True)
+            flags = (ev.where(F.col("op").startswith("market_"))
                      .groupBy("he_block", "symbol").agg(F.max("ts").alias("flagged_at")))
-            append_idempotent(spark, flags, self.path("market_flags"), ["he_block", "symbol"],
-                              range_col="he_block", bounds=bounds, unique=True)
+            put(flags.withColumn("_day_ts", F.col("flagged_at")), "market_flags", ["he_block", "symbol"], True)
 
 
 def start_capture(spark: SparkSession, landing: str, sink_root: str, checkpoint: str | None = None,
