@@ -21,8 +21,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from mintlens.plans.queries import QUERIES  # noqa: E402
 from mintlens.session import build_session  # noqa: E402
 
-WRITES = {"stream_capture", "append_sales", "write_view", "capture_only", "landed_catalog", "landed_book",
-          "normalize_holdings", "add_mapping_versions"}
+WRITES = {"stream_capture", "append_idempotent", "write_view", "capture_only", "read_catalog", "read_book_snapshots",
+          "normalize_holdings", "read_mappings"}
 
 
 def summarize(plan: str) -> dict:
