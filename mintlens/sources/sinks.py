@@ -71,17 +71,40 @@ def write_view(df: DataFrame, path: str, partition_by: list[str]) -> None:
      .partitionBy(*partition_by).parquet(path))
 
 
+def render_for_json(c: F.Column, dtype: T.DataType) -> F.Column:
+    """A8 value rendering at any depth: decimals as trimmed text, timestamps
+    as ISO-8601 with offset; structs, arrays and maps are rebuilt with
+    ``struct`` / ``transform`` / ``transform_values`` (no UDF)."""
+    if isinstance(dtype, T.DecimalType):
+        return decimal_text(c)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return iso_ts(c)
+    if isinstance(dtype, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[render_for_json(c[f.name], f.dataType).alias(f.name)
+                                                for f in dtype.fields]))
+    if isinstance(dtype, T.ArrayType) and _needs_render(dtype.elementType):
+        return F.transform(c, lambda x: render_for_json(x, dtype.elementType))
+    if isinstance(dtype, T.MapType) and _needs_render(dtype.valueType):
+        return F.transform_values(c, lambda _k, v: render_for_json(v, dtype.valueType))
+    return c
+
+
+def _needs_render(dtype: T.DataType) -> bool:
+    if isinstance(dtype, (T.DecimalType, T.TimestampType, T.TimestampNTZType)):
+        return True
+    if isinstance(dtype, T.StructType):
+        return any(_needs_render(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _needs_render(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _needs_render(dtype.valueType)
+    return False
+
+
 def to_json_view(df: DataFrame, col_name: str = "json") -> DataFrame:
     """One JSON document per row, decimals as trimmed text ("7", "9.9"),
-    timestamps as ISO-8601 with offset."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DecimalType):
-            c = decimal_text(c)
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = iso_ts(c)
-        cols.append(c.alias(f.name))
+    timestamps as ISO-8601 with offset, at any nesting depth."""
+    cols = [render_for_json(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*cols)).alias(col_name))
 
 

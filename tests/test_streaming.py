@@ -92,3 +92,13 @@ def test_to_json_view_formats(spark):
         F.col("p").cast("decimal(38,18)").alias("price"), F.col("t").cast("timestamp").alias("ts"))
     doc = json.loads(sinks.to_json_view(df).first().json)
     assert doc == {"price": "7", "ts": "2026-07-10T00:00:00.000000Z"}
+
+
+def test_to_json_view_nested(spark):
+    df = spark.sql("""SELECT 'v' AS viewer,
+        array(named_struct('nft_id', 1L, 'price', CAST('7.50' AS DECIMAL(38,18)),
+                           'seen', CAST('2026-07-10 00:00:00' AS TIMESTAMP))) AS items,
+        map('a', CAST('2' AS DECIMAL(38,18))) AS m""")
+    doc = json.loads(sinks.to_json_view(df).first().json)
+    assert doc == {"viewer": "v", "items": [{"nft_id": 1, "price": "7.5", "seen": "2026-07-10T00:00:00.000000Z"}],
+                   "m": {"a": "2"}}
