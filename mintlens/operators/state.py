@@ -31,7 +31,7 @@ BLOCKS_PER_DAY = 28800
 SETTLE_BLOCKS = 1
 
 
-def _confirmed(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+def confirmed_scopes(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     """Scopes whose latest fetch succeeded *and* was complete (L1/L2: a failed
     or truncated fetch is not a confirmed empty result)."""
     ok = F.col("ok") & (F.coalesce(F.col("complete"), F.lit(True)) if "complete" in outcomes.columns else F.lit(True))
@@ -83,7 +83,7 @@ def apply_holdings(cur: DataFrame, fetched: DataFrame, outcomes: DataFrame) -> D
     rows in that symbol with the fetched ones; failed scopes are untouched.
     An instance fetched for a new owner replaces a stale row of its old
     owner when the fetch is newer (ties: the fetched row wins), L16."""
-    conf = _confirmed(outcomes, ["account", "symbol"])
+    conf = confirmed_scopes(outcomes, ["account", "symbol"])
     new = (fetched.join(conf.withColumnRenamed("fetched_at", "_f"), ["account", "symbol"], "inner")
            .withColumn("refreshed_at", F.coalesce(F.col("refreshed_at"), F.col("_f")) if "refreshed_at" in fetched.columns else F.col("_f"))
            .drop("_f"))
@@ -99,7 +99,7 @@ def apply_book(cur: DataFrame, orders: DataFrame, outcomes: DataFrame) -> DataFr
     """C4: replace a symbol's whole book when its snapshot is confirmed
     (complete); on a duplicate nft_id the first record (lowest ``pos``)
     wins. A failed or cut-short snapshot keeps the old book (L1)."""
-    conf = _confirmed(outcomes, ["symbol"])
+    conf = confirmed_scopes(outcomes, ["symbol"])
     new = orders if "pos" in orders.columns else orders.withColumn("pos", F.lit(0))
     c = cur.withColumn("_pos", F.lit(None).cast("bigint"))
     n = new.withColumn("_pos", F.col("pos").cast("bigint")).drop("pos").select(*c.columns)

@@ -883,7 +883,7 @@ def q_write_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_view(cur, path, ["symbol"])
     orders, outcomes = _book_fixture(spark, sf_dir)
     new_book = state.apply_book(cur, orders, outcomes)
-    replaced = state._confirmed(outcomes, ["symbol"]).select("symbol")
+    replaced = state.confirmed_scopes(outcomes, ["symbol"]).select("symbol")
     write_view(new_book.join(replaced, "symbol", "left_semi").select(*cur.columns), path, ["symbol"])
     return comparable(spark.read.parquet(path).select(*cur.columns))
 

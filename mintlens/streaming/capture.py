@@ -83,9 +83,11 @@ class BlockCapture:
             blocks = blocks.where(F.col("blockNumber") >= int(self.starting_block))
         if self.margin > 0 and self.mode == "live":
             blocks = self._settle(spark, blocks, epoch_id)
-        # a block landed twice (or re-entering from the held folder) is parsed
-        # once, so keys derived per block are unique within the batch
-        blocks = blocks.dropDuplicates(["blockNumber"])
+        # contiguous block ranges per task (so each task writes one or two date
+        # partitions), and a block landed twice (or re-entering from the held
+        # folder) is parsed once -- the dedupe reuses the range partitioning
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartitionByRange(n, "blockNumber").dropDuplicates(["blockNumber"])
         parsed = parse.parse_blocks(blocks).persist()
         try:
             r = parsed.agg(F.min("he_block").alias("lo"), F.max("he_block").alias("hi"),
