@@ -24,7 +24,7 @@ from pyspark.sql import Window  # noqa: E402
 
 from ..functions import burned  # noqa: E402
 from ..plans.joins import bounded_broadcast  # noqa: E402
-from .pages import keyset_page, packed_cursor, page_params  # noqa: E402
+from .pages import keyset_page, page_params  # noqa: E402
 
 # Fixed value: nested wallet pages hold the items of one id range of this width.
 WALLET_ID_RANGE = 1000
@@ -122,10 +122,12 @@ ACTIVITY_COLS = ["he_block", "tx_seq", "symbol", "nft_id", "op", "account", "cou
                  "price_symbol", "tx_id", "ts"]
 
 
-def account_activity(events: DataFrame, account: str, cursor: int | None = None, limit: int = 100,
+def account_activity(events: DataFrame, account: str, cursor: int | tuple[int, int] | None = None, limit: int = 100,
                      symbol: str | None = None, op: str | None = None) -> DataFrame:
     """one account's feed (as actor or counterparty), newest first,
-    strictly below the packed cursor."""
+    strictly below the cursor. The cursor is compared as the pair
+    (he_block, tx_seq) (L13); a packed integer he_block*10000+tx_seq is
+    accepted and decoded for compatibility."""
     _, n = page_params(0, limit)
     e = events.where((F.col("account") == account) | (F.col("counterparty") == account))
     if symbol:
@@ -133,7 +135,9 @@ def account_activity(events: DataFrame, account: str, cursor: int | None = None,
     if op:
         e = e.where(F.col("op") == op)
     if cursor:
-        e = e.where(packed_cursor("he_block", "tx_seq") < F.lit(int(cursor)))
+        b, q = cursor if isinstance(cursor, tuple) else divmod(int(cursor), 10000)
+        e = e.where((F.col("he_block") < F.lit(int(b)))
+                    | ((F.col("he_block") == F.lit(int(b))) & (F.col("tx_seq") < F.lit(int(q)))))
     return e.orderBy(F.col("he_block").desc(), F.col("tx_seq").desc()).limit(n)
 
 
