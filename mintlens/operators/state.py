@@ -152,6 +152,22 @@ def account_state(accounts: DataFrame, as_of, requested: DataFrame | None = None
     return a.select("account", state.alias("state"), (stale & (state == "populated")).alias("stale"))
 
 
+def apply_account_passes(accounts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """C6 clock: only a successful, complete *full* pass (scope symbol '')
+    moves an account's ``refreshed_at``, and the first one sets
+    ``populated_at``; targeted passes never do. Accounts first seen in a full
+    pass are added as tracked."""
+    ok = F.col("ok") & (F.coalesce(F.col("complete"), F.lit(True)) if "complete" in outcomes.columns else F.lit(True))
+    passes = (outcomes.where((F.col("symbol") == "") & ok).groupBy("account")
+              .agg(F.min("fetched_at").alias("_first"), F.max("fetched_at").alias("_last")))
+    j = accounts.join(passes, "account", "full")
+    return j.select(
+        "account",
+        F.coalesce(F.col("first_seen_at"), F.col("_first")).alias("first_seen_at"),
+        F.greatest(F.col("refreshed_at"), F.col("_last")).alias("refreshed_at"),
+        F.coalesce(F.col("populated_at"), F.col("_first")).alias("populated_at"))
+
+
 # -- C7 ------------------------------------------------------------------------
 
 def stale_read_touches(reads: DataFrame, accounts: DataFrame,

@@ -177,6 +177,13 @@ def distinct_held_symbols(holdings: DataFrame) -> DataFrame:
     return holdings.select("symbol").distinct()
 
 
+def capture_freshness(pipeline_state: DataFrame) -> DataFrame:
+    """E7 loop freshness from the capture's progress rows; backfill rows are
+    excluded (their cursor moves backwards and would look stale)."""
+    return (pipeline_state.where(F.col("mode") == "live")
+            .agg(F.max("last_block").alias("last_live_block"), F.max("updated_at").alias("updated_at")))
+
+
 def pipeline_status(parts: list[DataFrame]) -> DataFrame:
     """(metric, value) rows. Each part is a one-row aggregate whose
     columns are metrics; it is computed once and unpivoted, and the parts are

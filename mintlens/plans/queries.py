@@ -1175,3 +1175,33 @@ def q_wallet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                     g("$.id_range").cast("bigint").alias("id_range"),
                     F.json_array_length(g("$.items")).cast("bigint").alias("n_items"),
                     g("$.items[0].price").alias("first_price_text"), g("$.items[0].nft_id").alias("first_nft_id"))
+
+
+# -- C6 clock: full passes --------------------------------------------------------
+# Full passes (scope '') over the accounts: every customer whose orders include a
+# finished one gets a full pass one day after its last order; the pass fails
+# for customers whose key ends in 7.
+
+@register("apply_account_passes", fx.with_fixtures("""
+, passes AS (
+  SELECT 'acct' || CAST(o_custkey AS VARCHAR) AS account, MAX(o_orderdate) + INTERVAL 1 DAY AS fetched_at,
+         o_custkey % 10 <> 7 AS ok
+  FROM orders GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F')),
+okp AS (SELECT account, fetched_at FROM passes WHERE ok)
+SELECT COALESCE(a.account, p.account) AS account, COALESCE(a.first_seen_at, p.fetched_at) AS first_seen_at,
+       greatest(a.refreshed_at, p.fetched_at) AS refreshed_at, COALESCE(a.populated_at, p.fetched_at) AS populated_at
+FROM fx_accounts a FULL JOIN okp p ON a.account = p.account""", "fx_accounts"))
+def q_apply_account_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderstatus")
+    passes = (o.groupBy("o_custkey")
+              .agg(F.max("o_orderdate").alias("last"), F.max((F.col("o_orderstatus") == "F").cast("int")).alias("fin"))
+              .where(F.col("fin") == 1)
+              .select(F.concat(F.lit("acct"), F.col("o_custkey").cast("string")).alias("account"), F.lit("").alias("symbol"),
+                      (F.col("o_custkey") % 10 != 7).alias("ok"),
+                      (F.col("last").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("fetched_at")))
+    # targeted passes never move the clock: add one per account, newer than any full pass
+    targeted = passes.select("account", F.lit("SYM0").alias("symbol"), F.lit(True).alias("ok"),
+                             (F.col("fetched_at") + F.expr("INTERVAL 30 DAYS")).alias("fetched_at"))
+    return state.apply_account_passes(fx.fx_accounts(spark, sf_dir).select("account", "first_seen_at", "refreshed_at",
+                                                                           "populated_at"),
+                                      passes.unionByName(targeted))

@@ -39,6 +39,8 @@ def test_replay_adds_nothing_and_margin_holds_head(spark):
     assert spark.read.parquet(f"{root}/sinks/nft_events").count() == 4
     scopes = spark.read.parquet(f"{root}/sinks/touch_scopes")
     assert scopes.count() == scopes.dropDuplicates(["he_block", "account", "symbol"]).count()
+    from mintlens.operators.views import capture_freshness
+    assert capture_freshness(spark.read.parquet(f"{root}/sinks/pipeline_state")).first().last_live_block == 3
 
 
 def test_block_landed_twice_in_one_batch(spark):
