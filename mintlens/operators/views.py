@@ -184,6 +184,12 @@ def capture_freshness(pipeline_state: DataFrame) -> DataFrame:
             .agg(F.max("last_block").alias("last_live_block"), F.max("updated_at").alias("updated_at")))
 
 
+def backfill_cursor(pipeline_state: DataFrame) -> DataFrame:
+    """E6 cursor: the lowest block a backfill run has captured (backfill
+    walks backwards, so this is how far back the feed reaches)."""
+    return pipeline_state.where(F.col("mode") == "backfill").agg(F.min("first_block").alias("backfill_cursor_block"))
+
+
 def pipeline_status(parts: list[DataFrame]) -> DataFrame:
     """(metric, value) rows. Each part is a one-row aggregate whose
     columns are metrics; it is computed once and unpivoted, and the parts are

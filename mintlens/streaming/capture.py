@@ -95,6 +95,7 @@ class BlockCapture:
             if r["hi"] is not None:
                 self.write_outputs(spark, parsed, (r["lo"], r["hi"]), (r["dlo"], r["dhi"]))
             (spark.range(1).select(F.lit(epoch_id).alias("epoch"), F.lit(self.mode).alias("mode"),
+                                   F.lit(r["lo"]).cast("bigint").alias("first_block"),
                                    F.lit(r["hi"]).cast("bigint").alias("last_block"),
                                    F.current_timestamp().alias("updated_at"))
              .write.mode("append").parquet(self.path("pipeline_state")))

@@ -61,6 +61,8 @@ def test_starting_block_and_backfill_mode(spark):
     capture.backfill(spark, blocks, f"{root}/bf")
     assert spark.read.parquet(f"{root}/bf/nft_events").count() == 3
     assert sinks.read_if_exists(spark, f"{root}/bf/touch_scopes") is None
+    from mintlens.operators.views import backfill_cursor
+    assert backfill_cursor(spark.read.parquet(f"{root}/bf/pipeline_state")).first()[0] == 10
 
 
 def test_append_idempotent_keeps_smallest_duplicate(spark):
