@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed limit: rule and catalog tables stay far below this (the catalog has
-# about 150 rows, the rule table one row per symbol and version).
-DEFAULT_MAX_ROWS = 200_000
+# about 150 rows, the compiled rules one row per symbol). A compiled rule row
+# (token arrays, path) stays under ~1 KB, so the bound keeps a broadcast under
+# ~20 MB per executor; beyond it the join is a shuffle join (AQE may still
+# broadcast at runtime if the measured side is small).
+DEFAULT_MAX_ROWS = 20_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
