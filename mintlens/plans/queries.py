@@ -176,39 +176,36 @@ def q_block_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- snapshots: catalog upsert (B2 + C1) --------------------------------------
 
 def _catalog_snapshot_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed catalog records for a re-fetch: every 4th nation symbol comes back
-    renamed with a lower circulating supply, region-0 nations add new symbols;
-    metadata arrives as an object or as a JSON string, maxSupply 0 = none."""
-    n = fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    k = F.col("n_nationkey")
-    upd = n.where(k % 4 == 0).select(k.alias("key"), F.lower("n_name").alias("name"),
-                                     (1000 + k * 10).alias("supply"), (1000 + k * 10 - 1).alias("circ"))
-    add = n.where(F.col("n_regionkey") == 0).select((k + 25).alias("key"), F.concat("n_name", F.lit(" II")).alias("name"),
-                                                   F.lit(500).alias("supply"), F.lit(50).alias("circ"))
-    rows = upd.unionByName(add)
-    key = F.col("key")
-    meta = F.to_json(F.struct(F.concat(F.lit("https://x/"), key.cast("string")).alias("url")))
-    rec = F.to_json(F.struct(
-        F.concat(F.lit("SYM"), key.cast("string")).alias("symbol"), "name", F.lit("snap").alias("orgName"),
-        F.when(key % 2 == 0, meta).otherwise(meta).alias("metadata"),
-        F.col("supply").cast("string").alias("supply"), F.col("circ").alias("circulatingSupply"),
-        F.when(key % 3 == 0, F.lit(0)).otherwise(key * 1000).alias("maxSupply")))
-    docs = rows.select(rec.alias("value"))
+    """Landed catalog records from repeated catalog sweeps: one record per part
+    for symbol SYM(5 + partkey % 40), so most symbols arrive many times and the
+    latest record (highest ``pos``) wins; SYM0..4 are not in the sweep and
+    SYM25..44 are new. metadata arrives as an object (even keys) or as a JSON
+    string (odd keys); maxSupply 0 means none."""
+    p = fx.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    pk = F.col("p_partkey")
+    key = pk % 40 + 5
+    meta_obj = F.to_json(F.struct(F.concat(F.lit("https://x/"), pk.cast("string")).alias("url")))
+    meta = F.when(pk % 2 == 0, meta_obj).otherwise(F.to_json(F.array(meta_obj)).substr(F.lit(2), F.length(
+        F.to_json(F.array(meta_obj))) - 2))
+    rest = F.to_json(F.struct(
+        F.concat(F.lit("SYM"), key.cast("string")).alias("symbol"), F.col("p_name").alias("name"),
+        F.lit("snap").alias("orgName"), (1000 + key * 10).alias("supply"),
+        (1000 + key * 10 - F.col("p_size")).alias("circulatingSupply"),
+        F.when(pk % 3 == 0, F.lit(0)).otherwise(pk * 10).alias("maxSupply")))
+    rec = F.concat(F.lit('{"metadata":'), meta, F.lit(","), F.substring(rest, 2, 1 << 30))
     from ..schemas import CATALOG_RAW_DDL
-    return docs.select(F.from_json("value", CATALOG_RAW_DDL).alias("r")).select("r.*")
+    return p.select(F.from_json(rec, CATALOG_RAW_DDL).alias("r"), pk.alias("pos")).select("r.*", "pos")
 
 
-_CATALOG_SNAP_SQL = """snap AS (
-  SELECT 'SYM' || CAST(n_nationkey AS VARCHAR) AS symbol, lower(n_name) AS name, 'snap' AS org_name,
-         CAST(1000 + n_nationkey * 10 AS BIGINT) AS supply, CAST(999 + n_nationkey * 10 AS BIGINT) AS circulating_supply,
-         CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey * 1000 AS BIGINT) END AS max_supply,
-         'https://x/' || CAST(n_nationkey AS VARCHAR) AS url
-  FROM nation WHERE n_nationkey % 4 = 0
-  UNION ALL
-  SELECT 'SYM' || CAST(n_nationkey + 25 AS VARCHAR), n_name || ' II', 'snap', 500, 50,
-         CASE WHEN (n_nationkey + 25) % 3 = 0 THEN NULL ELSE CAST((n_nationkey + 25) * 1000 AS BIGINT) END,
-         'https://x/' || CAST(n_nationkey + 25 AS VARCHAR)
-  FROM nation WHERE n_regionkey = 0)"""
+_CATALOG_SNAP_SQL = """snap_all AS (
+  SELECT 'SYM' || CAST(p_partkey % 40 + 5 AS VARCHAR) AS symbol, p_name AS name, 'snap' AS org_name,
+         CAST(1000 + (p_partkey % 40 + 5) * 10 AS BIGINT) AS supply,
+         CAST(1000 + (p_partkey % 40 + 5) * 10 - p_size AS BIGINT) AS circulating_supply,
+         CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey * 10 AS BIGINT) END AS max_supply,
+         'https://x/' || CAST(p_partkey AS VARCHAR) AS url, p_partkey AS pos
+  FROM part),
+snap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) AS rn FROM snap_all) t
+         WHERE rn = 1)"""
 
 
 def _with(sql_ctes: str, *fixtures_: str, body: str) -> str:
@@ -221,7 +218,7 @@ _SUPPLY = ("CAST(supply AS DOUBLE) AS supply, CAST(circulating_supply AS DOUBLE)
 
 
 @register("normalize_catalog", _with(_CATALOG_SNAP_SQL, "fx_collections",
-                                     body=f"SELECT symbol, name, org_name, {_SUPPLY}, url FROM snap"))
+                                     body=f"SELECT symbol, name, org_name, {_SUPPLY}, url FROM snap_all"))
 def q_normalize_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.snapshots import normalize_catalog
     return nullable_counts_as_double(normalize_catalog(_catalog_snapshot_raw(spark, sf_dir)).select(
@@ -236,10 +233,14 @@ SELECT symbol, name, org_name, {_SUPPLY} FROM (
   UNION ALL SELECT symbol, name, org_name, supply, circulating_supply, max_supply FROM snap) t"""))
 def q_upsert_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.snapshots import normalize_catalog
-    snap = normalize_catalog(_catalog_snapshot_raw(spark, sf_dir)).select(
-        "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply")
-    return nullable_counts_as_double(state.upsert_catalog(fx.fx_collections(spark, sf_dir), snap),
-                                     "supply", "circulating_supply", "max_supply")
+    return nullable_counts_as_double(_upserted_catalog(spark, sf_dir), "supply", "circulating_supply", "max_supply")
+
+
+def _upserted_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.snapshots import normalize_catalog
+    snap = normalize_catalog(_catalog_snapshot_raw(spark, sf_dir), keep=("pos",)).select(
+        "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply", "pos")
+    return state.upsert_catalog(fx.fx_collections(spark, sf_dir), snap)
 
 
 # -- snapshots: holdings (B3 + C2 + C3) -----------------------------------------
@@ -970,7 +971,7 @@ def q_landed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + B2 from files: the catalog snapshot landed as JSON lines."""
     from ..sources.snapshots import normalize_catalog, read_catalog
     root = _fresh_dir(spark, "catalog-snapshot")
-    raw = _catalog_snapshot_raw(spark, sf_dir)
+    raw = _catalog_snapshot_raw(spark, sf_dir).drop("pos")
     raw.select(F.to_json(F.struct(*raw.columns)).alias("value")).write.text(root)
     return nullable_counts_as_double(normalize_catalog(read_catalog(spark, root)).select(
         "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply", "url"),
@@ -1096,13 +1097,16 @@ def q_assign_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.nft_events(fx_parsed(spark, sf_dir)).select("he_block", "tx_seq", "tx_id")
 
 
-@register("burned", fx.with_fixtures("""
+@register("burned", _with(_CATALOG_SNAP_SQL, "fx_collections", body="""
 SELECT symbol, CAST(supply AS DOUBLE) AS supply, CAST(circulating_supply AS DOUBLE) AS circulating_supply,
-       CAST(supply - circulating_supply AS DOUBLE) AS burned FROM fx_collections""", "fx_collections"))
+       CAST(supply - circulating_supply AS DOUBLE) AS burned FROM (
+  SELECT symbol, supply, circulating_supply FROM fx_collections WHERE symbol NOT IN (SELECT symbol FROM snap)
+  UNION ALL SELECT symbol, supply, circulating_supply FROM snap) t"""))
 def q_burned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supply - circulating, NULL unless both are known."""
+    """B19 over the catalog after the sweep: supply - circulating, NULL unless
+    both are known."""
     from ..functions import burned
-    c = fx.fx_collections(spark, sf_dir)
+    c = _upserted_catalog(spark, sf_dir)
     return nullable_counts_as_double(c.select("symbol", "supply", "circulating_supply", burned().alias("burned")),
                                      "supply", "circulating_supply", "burned")
 

@@ -47,12 +47,12 @@ def _json_text(c, default: str) -> F.Column:
     return F.when(F.from_json(F.col(c), ddl).isNotNull(), F.col(c)).otherwise(F.lit(default))
 
 
-def normalize_catalog(raw: DataFrame) -> DataFrame:
+def normalize_catalog(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """B2: camelCase -> columns; url from metadata; maxSupply 0 -> NULL; bool
     flags by truthiness. ``market_enabled`` is not taken from the catalog
-    (L6): it is derived from the book (C5)."""
+    (L6): it is derived from the book (C5). ``keep`` passes extra columns."""
     meta = json_map("metadata")
-    return raw.select(
+    return raw.select(*keep,
         "symbol", "name", F.col("orgName").alias("org_name"), F.col("productName").alias("product_name"),
         "issuer", meta["url"].alias("url"), _json_text("metadata", "{}").alias("metadata"),
         F.coalesce(F.from_json("groupBy", "array<string>"), F.array().cast("array<string>")).alias("group_by"),
