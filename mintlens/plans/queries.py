@@ -1209,3 +1209,41 @@ def q_apply_account_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.apply_account_passes(fx.fx_accounts(spark, sf_dir).select("account", "first_seen_at", "refreshed_at",
                                                                            "populated_at"),
                                       passes.unionByName(targeted))
+
+
+# -- I6 / I7 over landed block files ------------------------------------------------
+
+def _landed_blocks(spark: SparkSession, sf_dir: str, name: str) -> str:
+    root = _fresh_dir(spark, name)
+    fx.fx_block_docs(spark, sf_dir).select("value").write.text(f"{root}/landing")
+    return root
+
+
+@register("run_backfill", _ev_sql("""
+SELECT he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price,
+       price_symbol, tx_id, bts AS ts FROM ev"""))
+def q_run_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backward backfill over the landed blocks in four chunks, from the
+    newest block down to the oldest; the activity sink ends up complete."""
+    from ..streaming import capture
+    root = _landed_blocks(spark, sf_dir, "backfill-run")
+    lo, hi = capture.read_blocks(spark, f"{root}/landing").agg(F.min("blockNumber"), F.max("blockNumber")).first()
+    chunk = max(1, -(-(hi - lo + 1) // 4))
+    capture.run_backfill(spark, f"{root}/landing", f"{root}/sink", target=lo, chunk_blocks=chunk, start_below=hi + 1)
+    return comparable(spark.read.parquet(f"{root}/sink/nft_events").drop("dt"))
+
+
+RETAIN_SINK_AS_OF = "2024-02-15 00:00:00"
+
+
+@register("retain_sink", _ev_sql(f"""
+SELECT he_block, tx_seq, ts FROM (SELECT he_block, tx_seq, bts AS ts FROM ev) e
+WHERE CAST(ts AS DATE) >= CAST(TIMESTAMP '{RETAIN_SINK_AS_OF}' - INTERVAL 30 DAY AS DATE)"""))
+def q_retain_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captured activity sink after the daily retention job (whole
+    days older than the 30-day window are dropped)."""
+    from ..streaming import capture
+    root = _fresh_dir(spark, "retention")
+    capture.backfill(spark, fx_blocks(spark, sf_dir), root)
+    capture.retain_sink(spark, f"{root}/nft_events", RETAIN_SINK_AS_OF, days=30)
+    return spark.read.parquet(f"{root}/nft_events").select("he_block", "tx_seq", "ts")

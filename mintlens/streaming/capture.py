@@ -130,15 +130,23 @@ class BlockCapture:
             put(flags.withColumn("_day_ts", F.col("flagged_at")), "market_flags", ["he_block", "symbol"], True)
 
 
-def start_capture(spark: SparkSession, landing: str, sink_root: str, checkpoint: str | None = None,
+def start_capture(spark: SparkSession, landing, sink_root: str, checkpoint: str | None = None,
                   mode: str = "live", margin: int = SETTLE_MARGIN, starting_block: int | None = None,
                   available_now: bool = True, max_files_per_trigger: int | None = None):
     """Start the capture stream (``availableNow`` drains what has landed
-    and stops; otherwise a processing-time trigger keeps running)."""
+    and stops; otherwise a processing-time trigger keeps running).
+
+    ``landing`` is a folder of JSON-lines block documents, or any streaming
+    DataFrame with a string column ``value`` holding one document per row
+    (e.g. a message-bus source: ``readStream.format(...).load()
+    .selectExpr("CAST(value AS STRING) AS value")``)."""
     cp = checkpoint or scratch_path(spark, "capture-checkpoint")
     body = BlockCapture(sink_root, mode=mode, margin=margin, starting_block=starting_block)
-    w = stream_blocks(spark, landing, max_files_per_trigger).writeStream.foreachBatch(body).option(
-        "checkpointLocation", cp)
+    if isinstance(landing, DataFrame):
+        source = parse.blocks_from_json(landing, ingest_ts=F.current_timestamp())
+    else:
+        source = stream_blocks(spark, landing, max_files_per_trigger)
+    w = source.writeStream.foreachBatch(body).option("checkpointLocation", cp)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -146,3 +154,38 @@ def start_capture(spark: SparkSession, landing: str, sink_root: str, checkpoint:
 def backfill(spark: SparkSession, blocks: DataFrame, sink_root: str, epoch_id: int = 0) -> None:
     """Capture-only run over historical blocks (no scopes, no flags)."""
     BlockCapture(sink_root, mode="backfill", margin=0)(blocks, epoch_id)
+
+
+def run_backfill(spark: SparkSession, landing: str, sink_root: str, target: int, chunk_blocks: int,
+                 start_below: int | None = None) -> int:
+    """Walk landed blocks backwards from the current cursor (the lowest
+    block already backfilled, else ``start_below``) down to ``target`` in
+    chunks of ``chunk_blocks``; each chunk is one distributed capture-only job
+    whose block-number filter reaches the JSON scan. Restartable: the cursor
+    is read back from the progress rows. Returns the final cursor."""
+    state = read_if_exists(spark, os.path.join(sink_root, "pipeline_state"))
+    cursor = None
+    if state is not None:
+        cursor = state.where(F.col("mode") == "backfill").agg(F.min("first_block")).first()[0]
+    if cursor is None:
+        if start_below is None:
+            raise ValueError("no backfill progress yet: give start_below (e.g. the live start block)")
+        cursor = int(start_below)
+    epoch = 0 if state is None else int(state.agg(F.max("epoch")).first()[0] or 0) + 1
+    while cursor > target:
+        lo = max(int(target), cursor - int(chunk_blocks))
+        chunk = read_blocks(spark, landing).where(F.col("blockNumber").between(lo, cursor - 1))
+        backfill(spark, chunk, sink_root, epoch)
+        cursor, epoch = lo, epoch + 1
+    return cursor
+
+
+def retain_sink(spark: SparkSession, path: str, as_of, days: int = 30) -> list[str]:
+    """Daily retention of a date-partitioned sink -- whole days older
+    than the window are dropped; the boundary day is kept (readers apply the
+    exact window with ``state.retain``)."""
+    import datetime as dt
+    from ..sources.sinks import drop_partitions_before
+    t = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
+    cutoff = (t - dt.timedelta(days=int(days))).date().isoformat()
+    return drop_partitions_before(spark, path, "dt", cutoff)

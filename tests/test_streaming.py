@@ -106,3 +106,30 @@ def test_to_json_view_nested(spark):
     doc = json.loads(sinks.to_json_view(df).first().json)
     assert doc == {"viewer": "v", "items": [{"nft_id": 1, "price": "7.5", "seen": "2026-07-10T00:00:00.000000Z"}],
                    "m": {"a": "2"}}
+
+
+def test_run_backfill_walks_down_and_resumes(spark):
+    root = tempfile.mkdtemp(prefix="bf-")
+    _land(spark, root, "a", [_doc(n, [("a", "b")]) for n in range(1, 11)])
+    sink = f"{root}/sink"
+    assert capture.run_backfill(spark, f"{root}/landing/a", sink, target=6, chunk_blocks=2, start_below=11) == 6
+    assert sorted(r.he_block for r in spark.read.parquet(f"{sink}/nft_events").collect()) == [6, 7, 8, 9, 10]
+    # resume from the recorded cursor
+    assert capture.run_backfill(spark, f"{root}/landing/a", sink, target=1, chunk_blocks=3) == 1
+    assert sorted(r.he_block for r in spark.read.parquet(f"{sink}/nft_events").collect()) == list(range(1, 11))
+
+
+def test_capture_from_a_stream_of_documents(spark):
+    root = tempfile.mkdtemp(prefix="cap-")
+    _land(spark, root, "a", [_doc(1, [("a", "b")]), _doc(2, [("b", "c")])])
+    docs = spark.readStream.schema("value string").text(f"{root}/landing/a")
+    q = capture.start_capture(spark, docs, f"{root}/sinks", checkpoint=f"{root}/cp", margin=0)
+    q.awaitTermination()
+    assert spark.read.parquet(f"{root}/sinks/nft_events").count() == 2
+
+
+def test_retain_sink_drops_old_days(spark):
+    path = tempfile.mkdtemp(prefix="ret-") + "/e"
+    df = spark.createDataFrame([("2026-05-01", 1), ("2026-06-20", 2)], "d string, x int").withColumn("dt", F.to_date("d"))
+    df.write.partitionBy("dt").parquet(path)
+    assert capture.retain_sink(spark, path, "2026-07-10 00:00:00", days=30) == ["dt=2026-05-01"]
