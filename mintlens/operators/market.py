@@ -49,7 +49,9 @@ def market_last_sales(sales: DataFrame, as_of, days: int = 30) -> DataFrame:
             .agg(F.max_by("price", order_key).alias("last_price"),
                  F.max("ts").alias("last_ts"),
                  F.count_if(in_window).alias("sales_30d"),
-                 F.sum(F.when(in_window, F.col("price"))).alias("volume_30d")))
+                 # try_sum: an overflowing DECIMAL(38,18) volume is NULL for that
+                 # group instead of failing the whole job under ANSI mode
+                 F.try_sum(F.when(in_window, F.col("price"))).alias("volume_30d")))
 
 
 def orders_page(orders: DataFrame, symbol: str, cursor: int = 0, limit: int = 100,
