@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ...operators import display, views
 from ...sources import fixtures as fx
-from .common import comparable, nullable_counts_as_double, register, with_ctes
+from .common import SALES_AS_OF, comparable, nullable_counts_as_double, register, with_ctes
 from .open_work import PENDING_SQL, pending_frame
 from .display_rules import LATEST_RULES_SQL, rendered_sql
 
@@ -189,3 +189,21 @@ def q_wallet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                     g("$.id_range").cast("bigint").alias("id_range"),
                     F.json_array_length(g("$.items")).cast("bigint").alias("n_items"),
                     g("$.items[0].price").alias("first_price_text"), g("$.items[0].nft_id").alias("first_nft_id"))
+
+
+@register("wallet_requested", with_ctes(SECTIONS_SQL, "fx_mappings", "fx_holdings", "fx_orders", "fx_collections",
+                                        "fx_sales", body=f"""
+SELECT viewer, section, symbol, nft_id, account, owned_by, delegated_to, collection_name, price, price_symbol
+FROM d WHERE viewer IN (SELECT buyer FROM fx_sales
+                        WHERE ts > TIMESTAMP '{SALES_AS_OF}' - INTERVAL 30 DAY AND ts <= TIMESTAMP '{SALES_AS_OF}')"""))
+def q_wallet_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1-D3 for a requested set of accounts (the buyers of the last 30 days):
+    the viewer frame is semi-joined, so only their rows are built."""
+    t = F.lit(SALES_AS_OF).cast("timestamp")
+    s = fx.fx_sales(spark, sf_dir)
+    buyers = s.where((F.col("ts") > t - F.expr("INTERVAL 30 DAYS")) & (F.col("ts") <= t)).select(
+        F.col("buyer").alias("account"))
+    items = views.wallet_sections(fx.fx_holdings(spark, sf_dir), fx.fx_orders(spark, sf_dir),
+                                  fx.fx_collections(spark, sf_dir), viewers=buyers)
+    return comparable(items.select("viewer", "section", "symbol", "nft_id", "account", "owned_by", "delegated_to",
+                                   "collection_name", "price", "price_symbol"))
