@@ -62,41 +62,45 @@ class BlockCapture:
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
-    def _settle(self, spark: SparkSession, blocks: DataFrame, epoch_id: int) -> DataFrame:
-        """Split off blocks too close to the head; they are re-read by the
-        next batch from ``held/epoch=<n>``."""
+    def _with_held(self, spark: SparkSession, blocks: DataFrame, epoch_id: int) -> DataFrame:
+        """Blocks held back by the previous batch re-enter this one."""
         held_prev = read_if_exists(spark, self.path(f"held/epoch={epoch_id - 1}"))
-        if held_prev is not None:
-            blocks = blocks.unionByName(held_prev.select(*blocks.columns))
-        head = blocks.agg(F.max("blockNumber")).first()[0]
-        if head is None:
-            return blocks.limit(0)
-        cut = int(head) - self.margin
-        (blocks.where(F.col("blockNumber") > cut).write.mode("overwrite")
-         .parquet(self.path(f"held/epoch={epoch_id}")))
-        return blocks.where(F.col("blockNumber") <= cut)
+        return blocks if held_prev is None else blocks.unionByName(held_prev.select(*blocks.columns))
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         blocks = batch.persist()
         if self.starting_block is not None:
             blocks = blocks.where(F.col("blockNumber") >= int(self.starting_block))
-        if self.margin > 0 and self.mode == "live":
-            blocks = self._settle(spark, blocks, epoch_id)
+        settle = self.margin > 0 and self.mode == "live"
+        if settle:
+            blocks = self._with_held(spark, blocks, epoch_id)
         # contiguous block ranges per task (so each task writes one or two date
         # partitions), and a block landed twice (or re-entering from the held
         # folder) is parsed once -- the dedupe reuses the range partitioning
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        landed = blocks
         blocks = blocks.repartitionByRange(n, "blockNumber").dropDuplicates(["blockNumber"])
         parsed = parse.parse_blocks(blocks).persist()
         try:
+            # one pass over the parse gives the head (for the settle cut) and
+            # the block and date ranges (for pruning the idempotency checks)
             r = parsed.agg(F.min("he_block").alias("lo"), F.max("he_block").alias("hi"),
                            F.min(F.to_date("ts")).alias("dlo"), F.max(F.to_date("ts")).alias("dhi")).first()
-            if r["hi"] is not None:
-                self.write_outputs(spark, parsed, (r["lo"], r["hi"]), (r["dlo"], r["dhi"]))
+            hi = r["hi"]
+            if settle and hi is not None:
+                cut = int(hi) - self.margin
+                # held blocks come from the cached batch (no second shuffle)
+                (landed.where(F.col("blockNumber") > cut).dropDuplicates(["blockNumber"]).write.mode("overwrite")
+                 .parquet(self.path(f"held/epoch={epoch_id}")))
+                parsed_out, hi = parsed.where(F.col("he_block") <= cut), cut
+            else:
+                parsed_out = parsed
+            if hi is not None and r["lo"] is not None and r["lo"] <= hi:
+                self.write_outputs(spark, parsed_out, (r["lo"], hi), (r["dlo"], r["dhi"]))
             (spark.range(1).select(F.lit(epoch_id).alias("epoch"), F.lit(self.mode).alias("mode"),
                                    F.lit(r["lo"]).cast("bigint").alias("first_block"),
-                                   F.lit(r["hi"]).cast("bigint").alias("last_block"),
+                                   F.lit(hi).cast("bigint").alias("last_block"),
                                    F.current_timestamp().alias("updated_at"))
              .write.mode("append").parquet(self.path("pipeline_state")))
         finally:
