@@ -79,6 +79,17 @@ def wallet_pages(items: DataFrame, id_range: int = WALLET_ID_RANGE) -> DataFrame
                               .when(a["nft_id"] > b["nft_id"], 1).otherwise(0)).alias("items")))
 
 
+def wallet_view(holdings: DataFrame, orders: DataFrame, collections: DataFrame, mappings: DataFrame,
+                accounts: DataFrame | None = None, symbol: str | None = None, nested: bool = False) -> DataFrame:
+    """E9 composite (D1-D3 -> G1 -> E9): wallet rows with their display object
+    for all viewers or the ``accounts`` frame; ``nested=True`` groups them into
+    bounded id-range pages."""
+    from .display import compile_rules, display_object
+    items = wallet_sections(holdings, orders, collections, viewers=accounts, symbol=symbol)
+    shown = display_object(items, compile_rules(mappings))
+    return wallet_pages(shown) if nested else shown
+
+
 def nft_detail(holdings: DataFrame, collections: DataFrame, orders: DataFrame,
                keys: DataFrame | None = None) -> DataFrame:
     """Instance rows with collection name and the open order (if any) as a

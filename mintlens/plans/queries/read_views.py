@@ -16,10 +16,8 @@ from .display_rules import LATEST_RULES_SQL, rendered_sql
 # -- read views ------------------------------------------------------------------
 
 def _wallet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = views.wallet_sections(fx.fx_holdings(spark, sf_dir), fx.fx_orders(spark, sf_dir),
-                                  fx.fx_collections(spark, sf_dir))
-    rules = display.compile_rules(fx.fx_mappings(spark, sf_dir))
-    return display.display_object(items, rules)
+    return views.wallet_view(fx.fx_holdings(spark, sf_dir), fx.fx_orders(spark, sf_dir),
+                             fx.fx_collections(spark, sf_dir), fx.fx_mappings(spark, sf_dir))
 
 
 SECTIONS_SQL = f"""{LATEST_RULES_SQL},
