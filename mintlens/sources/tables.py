@@ -1,0 +1,28 @@
+"""Stored tables laid out for co-located joins.
+
+Holdings and open orders are joined on ``(symbol, nft_id)`` (wallet
+``listed``, item detail). Writing both as tables bucketed (and sorted) on that
+key with the same bucket count lets Spark join them bucket by bucket, without
+shuffling either side. The bucket count is sized from the table's bytes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import suggest_shuffle_partitions
+
+JOIN_KEY = ["symbol", "nft_id"]
+
+
+def save_bucketed(df: DataFrame, table: str, path: str, keys: list[str] = JOIN_KEY,
+                  buckets: int | None = None, input_bytes: int | None = None) -> None:
+    """Write ``df`` as an external table at ``path``, bucketed and sorted on
+    ``keys``. Tables that are joined together must use the same bucket count."""
+    n = buckets or suggest_shuffle_partitions(input_bytes or 0)
+    (df.write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(n, *keys).sortBy(*keys).saveAsTable(table))
+
+
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)
