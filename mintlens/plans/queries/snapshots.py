@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ...operators import market, parse, state
 from ...sources import fixtures as fx
-from .common import comparable, nullable_counts_as_double, register, with_ctes
+from .common import ORACLE, comparable, fresh_dir, nullable_counts_as_double, register, with_ctes
 from .parsing import ev_sql, fx_blocks
 
 
@@ -234,3 +234,29 @@ def q_account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = fx.fx_holdings(spark, sf_dir)
     req = h.select("account").union(h.where(F.col("delegated_to").isNotNull()).select(F.col("delegated_to").alias("account")))
     return state.account_state(fx.fx_accounts(spark, sf_dir), ACCOUNTS_AS_OF, requested=req, escrow="market")
+
+
+@register("apply_holdings_table", ORACLE["apply_holdings"])
+def q_apply_holdings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2/C3 as a table job: holdings stored partitioned by symbol; only the
+    partitions of the refreshed symbols are read and rewritten."""
+    from ..jobs import apply_holdings_table
+    path = fresh_dir(spark, "holdings-table")
+    fx.fx_holdings(spark, sf_dir).write.partitionBy("symbol").parquet(path)
+    fetched, outcomes = _holding_fixture(spark, sf_dir)
+    apply_holdings_table(spark, path, fetched, outcomes)
+    cols = ["symbol", "nft_id", "account", "owned_by", "delegated_to", "properties", "refreshed_at"]
+    return spark.read.parquet(path).select(*cols)
+
+
+@register("apply_book_table", ORACLE["apply_book"])
+def q_apply_book_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 as a table job: the book stored partitioned by symbol; only symbols
+    with a confirmed snapshot are rewritten."""
+    from ..jobs import apply_book_table
+    path = fresh_dir(spark, "book-table")
+    cur = fx.fx_orders(spark, sf_dir)
+    cur.write.partitionBy("symbol").parquet(path)
+    orders, outcomes = book_fixture(spark, sf_dir)
+    apply_book_table(spark, path, orders, outcomes)
+    return comparable(spark.read.parquet(path).select(*cur.columns))
