@@ -129,6 +129,7 @@ class BlockCapture:
         if self.mode == "live":
             sc = parse.touch_scopes(parsed)
             put(sc.withColumn("_day_ts", F.col("touched_at")), "touch_scopes", ["he_block", "account", "symbol"], True)
+            # live-only flags (C8): backfilled history must not mark books dirty
             flags = (ev.where(F.col("op").startswith("market_"))
                      .groupBy("he_block", "symbol").agg(F.max("ts").alias("flagged_at")))
             put(flags.withColumn("_day_ts", F.col("flagged_at")), "market_flags", ["he_block", "symbol"], True)
