@@ -219,9 +219,14 @@ def pending_scopes(touches: DataFrame, outcomes: DataFrame, tracked: DataFrame,
 def dirty_symbols(events: DataFrame, book_outcomes: DataFrame) -> DataFrame:
     """Symbols whose latest live market_* event is newer than their last
     confirmed book snapshot; an event arriving during a refresh (after the
-    snapshot started) keeps the symbol dirty."""
-    flagged = (events.where(F.col("op").startswith("market_") & F.col("symbol").isNotNull())
-               .groupBy("symbol").agg(F.max("ts").alias("flagged_at")))
+    snapshot started) keeps the symbol dirty. ``events`` is either activity
+    rows (op, ts) or the capture's live-only flag sink (flagged_at), which
+    leaves backfilled history out (C13)."""
+    if "flagged_at" in events.columns:
+        flagged = events.groupBy("symbol").agg(F.max("flagged_at").alias("flagged_at"))
+    else:
+        flagged = (events.where(F.col("op").startswith("market_") & F.col("symbol").isNotNull())
+                   .groupBy("symbol").agg(F.max("ts").alias("flagged_at")))
     snap = book_outcomes.where("ok").groupBy("symbol").agg(F.max("fetched_at").alias("last_snapshot"))
     j = flagged.join(snap, "symbol", "left")
     return j.where(F.col("last_snapshot").isNull() | (F.col("flagged_at") > F.col("last_snapshot")))

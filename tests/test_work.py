@@ -96,3 +96,10 @@ def test_known_symbols_exists_arm(spark):
                               "symbol string, circulating_supply bigint")
     h = spark.createDataFrame([("BURNT", 1, "a", "u", None, "{}", T0)], HOLD)
     assert sorted(r.symbol for r in state.known_symbols(c, h).collect()) == ["BURNT", "LIVE", "UNKNOWN"]
+
+
+def test_dirty_symbols_from_the_live_flag_sink(spark):
+    flags = spark.createDataFrame([(10, "CARD", T0 + dt.timedelta(minutes=2)), (11, "CARD", T0)],
+                                  "he_block bigint, symbol string, flagged_at timestamp")
+    snaps = spark.createDataFrame([("CARD", True, T0 + dt.timedelta(minutes=1))], "symbol string, ok boolean, fetched_at timestamp")
+    assert [r.flagged_at for r in state.dirty_symbols(flags, snaps).collect()] == [T0 + dt.timedelta(minutes=2)]
