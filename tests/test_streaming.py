@@ -133,3 +133,26 @@ def test_retain_sink_drops_old_days(spark):
     df = spark.createDataFrame([("2026-05-01", 1), ("2026-06-20", 2)], "d string, x int").withColumn("dt", F.to_date("d"))
     df.write.partitionBy("dt").parquet(path)
     assert capture.retain_sink(spark, path, "2026-07-10 00:00:00", days=30) == ["dt=2026-05-01"]
+
+
+def test_sinks_feed_the_downstream_operators(spark):
+    from mintlens.operators import state, views
+    root = tempfile.mkdtemp(prefix="e2e-")
+    sell = {"contract": "nftmarket", "action": "sell", "sender": "al", "transactionId": "s1", "payload": "{}",
+            "logs": json.dumps({"events": [{"contract": "nftmarket", "event": "sellOrder",
+                                            "data": {"account": "al", "symbol": "S", "nftId": "1", "price": "2"}}]})}
+    doc2 = json.loads(_doc(2, [("al", "bo")]))
+    doc2["transactions"].append(sell)
+    _land(spark, root, "a", [_doc(1, [("bo", "cy")]), json.dumps(doc2), _doc(3, [("cy", "al")])])
+    _run(spark, root, f"{root}/sinks", f"{root}/cp", margin=0)
+    sink = lambda n: spark.read.parquet(f"{root}/sinks/{n}")
+    tracked = spark.createDataFrame([("al",), ("bo",)], "account string")
+    no_fetch = spark.createDataFrame([], "account string, symbol string, ok boolean, fetched_at timestamp")
+    pending = state.pending_scopes(sink("touch_scopes"), no_fetch, tracked, "2030-01-01")
+    assert sorted((r.account, r.symbol) for r in pending.collect()) == [("al", "S"), ("bo", "S")]
+    books = spark.createDataFrame([], "symbol string, ok boolean, fetched_at timestamp")
+    assert [r.symbol for r in state.dirty_symbols(sink("market_flags"), books).collect()] == ["S"]
+    feed = views.account_activity(sink("nft_events"), "al", limit=10).collect()
+    assert [(r.he_block, r.op) for r in feed] == [(3, "transfer"), (2, "market_list"), (2, "transfer")]
+    cov = views.activity_coverage(sink("nft_events")).first()
+    assert cov.backfill_cursor_block == 1
