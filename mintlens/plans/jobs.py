@@ -5,7 +5,8 @@ can change. The job reads just those symbol partitions (partition pruning),
 applies the snapshot with the frame operators, cuts lineage with
 ``checkpoint()`` (written under ``spark.checkpoint.dir``), and replaces only
 those partitions (dynamic partition overwrite). The rest of the table is
-neither read nor rewritten.
+neither read nor rewritten. The symbol lists handled on the driver are
+bounded by the catalog size (one entry per collection).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import state
 from ..session import checkpoint_dir
-from ..sources.sinks import write_view
+from ..sources.sinks import drop_partitions, write_view
 
 
 def _touched_symbols(spark: SparkSession, new: DataFrame, outcomes: DataFrame) -> list[str]:
@@ -34,10 +35,20 @@ def apply_holdings_table(spark: SparkSession, path: str, fetched: DataFrame, out
     cur = spark.read.parquet(path).where(F.col("symbol").isin(syms))
     cols = [c for c in cur.columns if c != "symbol"] + ["symbol"]
     new = state.apply_holdings(cur.select(*cols), fetched.select(*cols), outcomes)
-    write_view(new.checkpoint(eager=True), path, ["symbol"])
+    _replace(spark, new.checkpoint(eager=True), path, syms)
     return syms
 
 
+def _replace(spark: SparkSession, new: DataFrame, path: str, symbols: list[str]) -> None:
+    """Overwrite the partitions present in ``new``; a refreshed symbol with no
+    rows left (sold out, book filled) has its partition removed, since a
+    dynamic overwrite only replaces partitions that receive rows."""
+    kept = {r.symbol for r in new.select("symbol").distinct().collect()}  # bounded by the catalog
+    if kept:
+        write_view(new, path, ["symbol"])
+    drop_partitions(spark, path, "symbol", [s for s in symbols if s not in kept])
+
+
 def apply_book_table(spark: SparkSession, path: str, orders: DataFrame, outcomes: DataFrame) -> list[str]:
     """C4 on an order-book table partitioned by ``symbol``: only the symbols
     with a confirmed snapshot are rewritten."""
@@ -48,5 +59,5 @@ def apply_book_table(spark: SparkSession, path: str, orders: DataFrame, outcomes
     cur = spark.read.parquet(path).where(F.col("symbol").isin(confirmed))
     cols = [c for c in cur.columns if c != "symbol"] + ["symbol"]
     new = state.apply_book(cur.select(*cols), orders, outcomes).select(*cols)
-    write_view(new.checkpoint(eager=True), path, ["symbol"])
+    _replace(spark, new.checkpoint(eager=True), path, confirmed)
     return confirmed

@@ -108,6 +108,24 @@ def to_json_view(df: DataFrame, col_name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*cols)).alias(col_name))
 
 
+def drop_partitions(spark: SparkSession, path: str, part_col: str, values: list[str]) -> list[str]:
+    """Delete the ``part_col=<value>`` folders for the given values (Spark
+    escapes special characters in folder names; they are unescaped here)."""
+    from urllib.parse import unquote
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wanted, removed = set(values), []
+    if not fs.exists(hpath):
+        return removed
+    for st in fs.listStatus(hpath):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(part_col + "=") and unquote(name.split("=", 1)[1]) in wanted:
+            fs.delete(st.getPath(), True)
+            removed.append(name)
+    return removed
+
+
 def drop_partitions_before(spark: SparkSession, path: str, part_col: str, cutoff: str) -> list[str]:
     """Retention helper (B17/I6): delete ``part_col=<value>`` folders whose
     value sorts before ``cutoff`` (ISO dates sort as text). Returns the

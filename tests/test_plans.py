@@ -102,3 +102,23 @@ def test_table_job_reads_only_refreshed_symbol_partitions(spark, tmp_path):
     assert got == [("A", 3), ("B", 2)]
     plan = plan_of(spark.read.parquet(path).where(F.col("symbol").isin(["A"])))
     assert re.search(r"PartitionFilters: \[[^\]]*symbol", plan), plan
+
+
+def test_table_job_removes_a_symbol_emptied_by_the_refresh(spark, tmp_path):
+    import datetime as dt
+    from mintlens.plans.jobs import apply_book_table, apply_holdings_table
+    hold = "symbol string, nft_id bigint, account string, owned_by string, delegated_to string, properties string, refreshed_at timestamp"
+    t0 = dt.datetime(2026, 7, 1)
+    path = str(tmp_path / "h")
+    spark.createDataFrame([("A", 1, "a", "u", None, "{}", t0), ("B", 2, "b", "u", None, "{}", t0)], hold) \
+        .write.partitionBy("symbol").parquet(path)
+    outcomes = spark.createDataFrame([("a", "A", True, t0 + dt.timedelta(days=1))],
+                                     "account string, symbol string, ok boolean, fetched_at timestamp")
+    apply_holdings_table(spark, path, spark.createDataFrame([], hold), outcomes)
+    assert [(r.symbol, r.nft_id) for r in spark.read.parquet(path).collect()] == [("B", 2)]
+    book = str(tmp_path / "o")
+    spark.createDataFrame([("A", 1, 5.0), ("B", 2, 6.0)], "symbol string, nft_id bigint, price double") \
+        .write.partitionBy("symbol").parquet(book)
+    outc = spark.createDataFrame([("B", True, True, t0)], "symbol string, ok boolean, complete boolean, fetched_at timestamp")
+    apply_book_table(spark, book, spark.createDataFrame([], "symbol string, nft_id bigint, price double, pos bigint"), outc)
+    assert [(r.symbol, r.nft_id) for r in spark.read.parquet(book).collect()] == [("A", 1)]
