@@ -89,7 +89,9 @@ def apply_holdings(cur: DataFrame, fetched: DataFrame, outcomes: DataFrame) -> D
            .drop("_f"))
     c = cur.withColumn("_src", F.lit(0))
     n = new.withColumn("_src", F.lit(1)).select(*c.columns)
-    order = F.struct(F.col("refreshed_at"), F.col("_src"))
+    # newest fetch wins; then fetched over cached; then the account name, so
+    # two same-time claims on one instance resolve the same way on every run
+    order = F.struct(F.col("refreshed_at"), F.col("_src"), F.col("account"))
     return replace_scopes(c, n, conf, ["account", "symbol"], ["symbol", "nft_id"], order).drop("_src")
 
 
