@@ -47,3 +47,45 @@ def test_apply_holdings_matches_model(spark):
         got_rows = sorted(tuple(r) for r in got.select("symbol", "nft_id", "account", "owned_by", "delegated_to",
                                                         "properties", "refreshed_at").collect())
         assert got_rows == model(cur, fetched, outcomes)
+
+
+def pending_model(touches, outcomes, tracked, as_of, base=60, cap=21600):
+    tr = set(tracked)
+    last_touch = {}
+    for a, s, t in touches:
+        if t <= as_of and a in tr:
+            last_touch[(a, s)] = max(last_touch.get((a, s), t), t)
+    last_ok, fails = {}, {}
+    for a, s, ok, t in outcomes:
+        if t <= as_of and ok:
+            last_ok[(a, s)] = max(last_ok.get((a, s), t), t)
+    for a, s, ok, t in outcomes:
+        if t <= as_of and not ok and ((a, s) not in last_ok or t > last_ok[(a, s)]):
+            n, last = fails.get((a, s), (0, t))
+            fails[(a, s)] = (n + 1, max(last, t))
+    out = []
+    for k in set(last_touch) | set(fails):
+        lt, (n, lf) = last_touch.get(k), fails.get(k, (0, None))
+        touched = lt is not None and (k not in last_ok or lt > last_ok[k])
+        if touched or n > 0:
+            queued = max(x for x in (lt, lf) if x is not None)
+            nb = lf + dt.timedelta(seconds=min(base * 2 ** (n - 1), cap)) if n > 0 else queued
+            out.append((k[0], k[1], queued, n, nb))
+    return sorted(out)
+
+
+def test_pending_scopes_matches_model(spark):
+    rng = random.Random(8)
+    accounts, symbols = ["a", "b", "c"], ["S", "T", ""]
+    t = lambda m: T0 + dt.timedelta(minutes=m)
+    for _ in range(4):
+        touches = [(rng.choice(accounts + ["zz"]), rng.choice(symbols), t(rng.randint(0, 20))) for _ in range(15)]
+        outcomes = [(rng.choice(accounts), rng.choice(symbols), rng.random() < 0.5, t(rng.randint(0, 20))) for _ in range(20)]
+        tracked = accounts
+        as_of = t(15)
+        got = state.pending_scopes(
+            spark.createDataFrame(touches, "account string, symbol string, touched_at timestamp"),
+            spark.createDataFrame(outcomes, "account string, symbol string, ok boolean, fetched_at timestamp"),
+            spark.createDataFrame([(a,) for a in tracked], "account string"), as_of)
+        rows = sorted((r.account, r.symbol, r.queued_at, r.attempts, r.not_before) for r in got.collect())
+        assert rows == pending_model(touches, outcomes, tracked, as_of)
