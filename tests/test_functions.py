@@ -55,3 +55,20 @@ def test_partition_sizing():
     assert suggest_shuffle_partitions(0) == 8
     assert suggest_shuffle_partitions(100 * 1024 ** 4) == 409600  # 100 TB / 256 MB
     assert scale_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "40"
+
+
+def test_scale_conf_applies_to_a_live_session(spark):
+    from mintlens.plans.queries import QUERIES
+    from mintlens.session import scale_conf
+    conf = scale_conf(3 * 1024 ** 3)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert QUERIES["market_floor"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
