@@ -24,7 +24,7 @@ from pyspark.sql import Window  # noqa: E402
 
 from ..functions import burned  # noqa: E402
 from ..plans.joins import bounded_broadcast  # noqa: E402
-from .pages import keyset_page, page_params  # noqa: E402
+from .pages import keyset_page, packed_cursor, page_params  # noqa: E402
 
 # Fixed value: nested wallet pages hold the items of one id range of this width.
 WALLET_ID_RANGE = 1000
@@ -126,7 +126,9 @@ def orders_first_pages(orders: DataFrame, limit: int = 100) -> DataFrame:
     map task."""
     _, n = page_params(0, limit)
     w = Window.partitionBy("symbol").orderBy("nft_id")
-    return orders.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    ranked = orders.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    # next cursor on the last row of a full page (no extra window needed)
+    return ranked.withColumn("next_cursor", F.when(F.col("_rn") == n, F.col("nft_id"))).drop("_rn")
 
 
 ACTIVITY_COLS = ["he_block", "tx_seq", "symbol", "nft_id", "op", "account", "counterparty", "price",
@@ -165,8 +167,9 @@ def activity_feeds(events: DataFrame, limit: int = 100) -> DataFrame:
     cpty = e.where(F.col("counterparty").isNotNull() & (F.col("counterparty") != F.col("account"))) \
             .withColumn("viewer", F.col("counterparty"))
     w = Window.partitionBy("viewer").orderBy(F.col("he_block").desc(), F.col("tx_seq").desc())
-    return (actor.unionByName(cpty).withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= n))
+    ranked = actor.unionByName(cpty).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    # the packed cursor of a full page's last row is that viewer's next cursor
+    return ranked.withColumn("next_cursor", F.when(F.col("rank") == n, packed_cursor("he_block", "tx_seq")))
 
 
 def activity_coverage(events: DataFrame, backfill_cursor: Column | None = None,

@@ -102,12 +102,14 @@ BOOK_PAGE = 100
 
 
 @register("orders_page", fx.with_fixtures(f"""
-SELECT symbol, nft_id, account, CAST(price AS DOUBLE) AS price, price_symbol FROM (
+SELECT symbol, nft_id, account, CAST(price AS DOUBLE) AS price, price_symbol,
+       CAST(CASE WHEN rn = {BOOK_PAGE} THEN nft_id END AS DOUBLE) AS next_cursor FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY nft_id) AS rn FROM fx_orders) t
 WHERE rn <= {BOOK_PAGE}""", "fx_orders"))
 def q_orders_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.orders_first_pages(fx.fx_orders(spark, sf_dir), BOOK_PAGE)
-    return comparable(p.select("symbol", "nft_id", "account", "price", "price_symbol"))
+    return nullable_counts_as_double(
+        comparable(p.select("symbol", "nft_id", "account", "price", "price_symbol", "next_cursor")), "next_cursor")
 
 
 FEED_PAGE = 20
@@ -115,14 +117,15 @@ FEED_PAGE = 20
 
 @register("account_activity", fx.with_fixtures(f"""
 SELECT viewer, rank, he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price,
-       price_symbol, tx_id, ts FROM (
+       price_symbol, tx_id, ts,
+       CAST(CASE WHEN rank = {FEED_PAGE} THEN he_block * 10000 + tx_seq END AS DOUBLE) AS next_cursor FROM (
   SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY he_block DESC, tx_seq DESC) AS rank FROM (
     SELECT account AS viewer, * FROM fx_events
     UNION SELECT counterparty AS viewer, * FROM fx_events WHERE counterparty IS NOT NULL) u) t
 WHERE rank <= {FEED_PAGE}""", "fx_events"))
 def q_activity_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(views.activity_feeds(fx.fx_events(spark, sf_dir), FEED_PAGE)
-                      .withColumn("rank", F.col("rank").cast("bigint")))
+    feeds = views.activity_feeds(fx.fx_events(spark, sf_dir), FEED_PAGE).withColumn("rank", F.col("rank").cast("bigint"))
+    return nullable_counts_as_double(comparable(feeds), "next_cursor")
 
 
 @register("activity_coverage", fx.with_fixtures("""
