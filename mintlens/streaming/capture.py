@@ -75,12 +75,14 @@ class BlockCapture:
         settle = self.margin > 0 and self.mode == "live"
         if settle:
             blocks = self._with_held(spark, blocks, epoch_id)
-        # contiguous block ranges per task (so each task writes one or two date
-        # partitions), and a block landed twice (or re-entering from the held
-        # folder) is parsed once -- the dedupe reuses the range partitioning
+        # a block landed several times (or re-entering from the held folder) is
+        # parsed once: the dedupe pre-aggregates map-side, so even a block whose
+        # copies are a third of the batch ships one copy per map task; the unique
+        # blocks are then range-partitioned, so each task holds a contiguous
+        # block range and writes one or two date partitions
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         landed = blocks
-        blocks = blocks.repartitionByRange(n, "blockNumber").dropDuplicates(["blockNumber"])
+        blocks = blocks.dropDuplicates(["blockNumber"]).repartitionByRange(n, "blockNumber")
         parsed = parse.parse_blocks(blocks).persist()
         try:
             # one pass over the parse gives the head (for the settle cut) and
