@@ -122,3 +122,16 @@ def test_table_job_removes_a_symbol_emptied_by_the_refresh(spark, tmp_path):
     outc = spark.createDataFrame([("B", True, True, t0)], "symbol string, ok boolean, complete boolean, fetched_at timestamp")
     apply_book_table(spark, book, spark.createDataFrame([], "symbol string, nft_id bigint, price double, pos bigint"), outc)
     assert [(r.symbol, r.nft_id) for r in spark.read.parquet(book).collect()] == [("A", 1)]
+
+
+def test_hot_escrow_account_is_split_into_bounded_groups(spark):
+    from mintlens.operators import views
+    from mintlens.sources import fixtures as fx
+    sf = "/root/testdata/sf0.01"
+    h = fx.fx_holdings(spark, sf)
+    share = h.where("account = 'market'").count() / h.count()
+    assert share > 0.3  # the escrow account holds about a third of all rows
+    pages = views.wallet_pages(views.wallet_sections(h, fx.fx_orders(spark, sf), fx.fx_collections(spark, sf)))
+    biggest = pages.select(F.max(F.size("items"))).first()[0]
+    assert biggest <= views.WALLET_ID_RANGE
+    assert pages.where("viewer = 'market'").select(F.sum(F.size("items"))).first()[0] == h.where("account = 'market'").count()
