@@ -108,13 +108,22 @@ def to_json_view(df: DataFrame, col_name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*cols)).alias(col_name))
 
 
+def _hadoop_fs(spark: SparkSession, path: str):
+    """The Hadoop FileSystem of ``path`` (works for local, HDFS and object-store
+    paths); needs a classic session with a JVM."""
+    try:
+        sc = spark.sparkContext
+        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return hpath, hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    except Exception as exc:  # noqa: BLE001
+        raise RuntimeError("partition folders can only be removed from a classic Spark session") from exc
+
+
 def drop_partitions(spark: SparkSession, path: str, part_col: str, values: list[str]) -> list[str]:
     """Delete the ``part_col=<value>`` folders for the given values (Spark
     escapes special characters in folder names; they are unescaped here)."""
     from urllib.parse import unquote
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hpath, fs = _hadoop_fs(spark, path)
     wanted, removed = set(values), []
     if not fs.exists(hpath):
         return removed
@@ -130,9 +139,7 @@ def drop_partitions_before(spark: SparkSession, path: str, part_col: str, cutoff
     """Retention helper (B17/I6): delete ``part_col=<value>`` folders whose
     value sorts before ``cutoff`` (ISO dates sort as text). Returns the
     removed folder names."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hpath, fs = _hadoop_fs(spark, path)
     removed = []
     if not fs.exists(hpath):
         return removed
