@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +30,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Hands this package's modules to the Python workers, once an application, so that functions
+    in them can be imported there wherever the driver has imported them from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(root)
+    folder = tempfile.TemporaryDirectory(prefix="code-")     # the driver serves the file from here
+    path = os.path.join(folder.name, f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED[sc.applicationId] = folder
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package importable in the workers."""
+    ship_code(df.sparkSession)
+    return df.mapInArrow(fn, schema)

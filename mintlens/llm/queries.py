@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from . import simhash_dedup
+import public_tokenizers
+
+from . import byte_bpe, simhash_dedup, token_orc
+from .common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,8 +21,24 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written as ORC in id order, and described from the files."""
+    out = scratch_path(spark, "token-orc")
+    token_orc.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"),
+                    public_tokenizers.PATTERN, end_id=0)
+    return token_orc.index(token_orc.read(spark, out, token_orc.SCHEMA.format("bigint")))
+
+
 @query
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, 2 bits."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN)

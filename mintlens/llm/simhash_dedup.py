@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .components import connected_components
 
 MEET_ABOVE = 256      # candidates of one fingerprint from which matching half way is cheaper
@@ -70,8 +70,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, f"doc_id {kind}, fp bigint")
 
 
 def bit_correlations(nodes: DataFrame) -> np.ndarray:
@@ -89,8 +89,8 @@ def bit_correlations(nodes: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(i * 64 + j, -1)), pa.array(np.append(both[i, j], n).astype(np.int64))], ["cell", "n"])
 
-    rows = nodes.select("fp").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    cells = {r["cell"]: r["n"] for r in rows}   # at most 2,081 numbers
+    sums = map_arrow(nodes.select("fp"), run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = {r["cell"]: r["n"] for r in sums.collect()}   # at most 2,081 numbers
     n = max(1, cells.pop(-1, 0))
     both = np.zeros((64, 64))
     for cell, k in cells.items():
