@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, simhash_dedup, token_orc
+from . import byte_bpe, language_id, line_dedup, sharding, simhash_dedup, token_orc
 from .common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes, tokens and rows."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 @query
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written as ORC in id order, and described from the files."""
@@ -42,3 +50,21 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                public_tokenizers.PATTERN)
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that later windows of three repeat."""
+    return line_dedup.remove_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
+ORACLE["op8_line_dedup"] = line_dedup.ORACLE
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.train(docs, ~language_id.held_out())
+    return language_id.predict(docs, net).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
