@@ -166,7 +166,7 @@ class Network:
         for lo in range(0, len(owner), step):
             at = starts[lo:lo + step] + np.arange(SEGMENT)[:, None]
             inside = at < ends[lo:lo + step]
-            x = np.where(inside, raw[np.minimum(at, len(raw) - 1)], PAD).astype(np.intp)
+            x = np.where(inside, raw[np.minimum(at, len(raw) - 1)].astype(np.intp), PAD)
             p, live = self.label(x)
             np.add.at(sums, owner[lo:lo + step], (p * live).sum(axis=0).T)
         return sums / np.maximum(sizes, 1)[:, None]

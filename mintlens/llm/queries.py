@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, language_id, line_dedup, sharding, simhash_dedup, token_orc
+from . import byte_bpe, language_id, line_dedup, lm_scoring, sharding, simhash_dedup, token_orc
 from .common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op8_line_dedup"] = line_dedup.ORACLE
 
 
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a bigram model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    model, vocabulary = lm_scoring.learn(docs.where(~lm_scoring.held_out()))
+    scored = lm_scoring.score(docs, model, vocabulary)
+    return scored.select("doc_id", lm_scoring.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from four fifths of them."""
