@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .piece_memo import PieceMemo
+from .piece_memo import PieceMemo, slices
 
 NONE = np.iinfo(np.int32).max     # rank of a pair that does not merge
 LONG = 512                        # bytes of a match from which the heap takes over
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256, LONG)
 CELLS = 1 << 20                   # cells of one matrix
-TEXTS = 256                       # texts encoded at once
+SLICE = 8 << 20                   # bytes of text encoded at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -178,9 +178,9 @@ class ByteBpe:
                     out[k] = x
         return (np.concatenate(out) if out else np.empty(0, np.int32)), np.fromiter(map(len, out), np.int64, len(out))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         flat, count = self.memo.encode(texts)
-        return np.split(flat, np.cumsum(count)[:-1]) if texts else []
+        return np.split(flat, np.cumsum(count)[:-1]) if len(texts) else []
 
     def decode(self, ids: np.ndarray) -> bytes:
         token = self.token
@@ -193,10 +193,6 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(read_ranks(path), pattern)
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind
@@ -208,9 +204,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         bpe = codec(path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(lo, TEXTS)
-                flat, count = bpe.memo.encode(_texts(part.column(1)))
+            for part in slices(batch, 1, SLICE):
+                flat, count = bpe.memo.encode(part.column(1))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
@@ -238,9 +233,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches):
         bpe = codec(path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(lo, TEXTS)
-                ids = bpe.encode(_texts(part.column(1)))
+            for part in slices(batch, 1, SLICE):
+                ids = bpe.encode(part.column(1))
                 decimal = bpe.decimal
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(x) for x in ids], pa.int64()),

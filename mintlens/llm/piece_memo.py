@@ -1,10 +1,10 @@
-"""Whole texts to token ids through a bounded memo of space-delimited chunks.
+"""Whole texts to token ids through their distinct space-delimited chunks and pattern matches.
 
 The pre-tokenizer pattern never matches across the place between a character that is not
-white space and a following space. Texts are cut there, each distinct chunk is matched
-against the pattern once, and each distinct match is encoded once; a text's ids are gathered
-from those. Chunks after which a cut would not be safe (they end in white space) make
-the text take the pattern as a whole, with the same result.
+white space and a following space. Texts are cut there and Arrow finds the distinct chunks of a batch;
+each is matched against the pattern once, each distinct match is encoded once, and a text's ids are
+gathered from those. A text with a chunk after which a cut would not be safe (it is empty or ends in
+white space) is matched as a whole, with the same result.
 """
 
 from __future__ import annotations
@@ -12,8 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+#: White space that stands between chunks (and pieces) that are matched together.
+SEPARATOR = "\x0b"
+#: Matches of the pattern that do not end in white space are matched just the same between separators.
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\s", c))
+
 
 class Ragged:
     """Append-only list of integer sequences in one flat array."""
@@ -49,62 +56,83 @@ class Ragged:
 class PieceMemo:
     """``encode_pieces`` maps a list of distinct pattern matches to (flat ids, ids of each).
 
-    At most ``limit`` chunks are remembered between calls; the memo starts anew beyond that.
+    At most ``limit`` matches are remembered between calls (plus those of one call); the memo starts
+    anew beyond that.
     """
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-                 limit: int = 400_000):
+                 limit: int = 250_000):
         self.findall = regex.compile(pattern).findall
-        self.space = regex.compile(r"\s").match
         self.encode_pieces = encode_pieces
         self.limit = limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.pieces: dict[str, int] = {}
         self.piece_ids = Ragged()
-        self.heads: dict[str, int] = {}     # chunks at the start of a text
-        self.tails: dict[str, int] = {}     # chunks after a space, keyed without it
-        self.chunk_ids = Ragged()
-
-    def _add(self, chunks: list[str]) -> int:
-        """Ids of ``chunks`` go into ``chunk_ids``; returns the index of the first."""
-        found = [self.findall(c) for c in chunks]
-        new = list(dict.fromkeys(p for some in found for p in some if p not in self.pieces))
+
+    def _ids(self, found: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each chunk) of chunks that have ``sizes`` matches, ``found`` in a row."""
+        new = list(set(found).difference(self.pieces))
         if new:
             at = self.piece_ids.extend(*self.encode_pieces(new))
             self.pieces.update(zip(new, range(at, at + len(new))))
-        which = np.fromiter((self.pieces[p] for some in found for p in some), dtype=np.int64)
-        flat, count = self.piece_ids.take(which)
-        owner = np.repeat(np.arange(len(found)), [len(some) for some in found])
-        return self.chunk_ids.extend(flat, np.bincount(owner, weights=count, minlength=len(found)).astype(np.int64))
-
-    def _learn(self, memo: dict[str, int], lead: str, new: set[str]) -> None:
-        safe = [c for c in new if c and not (c[-1].isspace() or self.space(c[-1]))]
-        at = self._add([lead + c for c in safe]) if safe else 0
-        memo.update(zip(safe, range(at, at + len(safe))))
-        memo.update(dict.fromkeys(new.difference(safe), -1))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each)"""
-        if len(self.heads) + len(self.tails) > self.limit:
-            self._clear()
-        cut = [t.split(" ") for t in texts]
-        self._learn(self.heads, "", {c[0] for c in cut}.difference(self.heads))
-        seen: set[str] = set()
-        for c in cut:
-            seen.update(c[1:])
-        self._learn(self.tails, " ", seen.difference(self.tails))
-        heads, tails = self.heads, self.tails
-        which: list[int] = []
-        sizes = np.empty(len(texts), np.int64)
-        for k, c in enumerate(cut):
-            some = [heads[c[0]], *[tails[x] for x in c[1:]]]
-            if -1 in some:
-                some = [self._add([texts[k]])]
-            which += some
-            sizes[k] = len(some)
-        flat, count = self.chunk_ids.take(np.array(which, dtype=np.int64))
+        flat, count = self.piece_ids.take(np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found)))
+        cuts = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return flat, np.diff(cuts)
+
+    def _add(self, chunks: Ragged, texts: list[str], lead: str, into: np.ndarray) -> None:
+        """Ids of the chunks ``lead + text`` go into ``chunks``, their indexes into ``into`` (-1: no cut after this one)."""
+        safe = [bool(c) and c[-1] not in WHITE for c in texts]
+        many = [k for k, c in enumerate(texts) if safe[k] and c[0] not in WHITE and SEPARATOR not in c]
+        if many:
+            found = self.findall(SEPARATOR.join([lead + texts[k] for k in many]))
+            ends = np.array([k for k, p in enumerate(found) if p == SEPARATOR] + [len(found)])
+            found = [p for p in found if p != SEPARATOR]
+            at = chunks.extend(*self._ids(found, np.diff(ends, prepend=-1) - 1))
+            into[many] = np.arange(at, at + len(many))
+        for k, c in enumerate(texts):
+            if safe[k] and into[k] < 0:
+                into[k] = self._add_whole(chunks, lead + c)
+
+    def _add_whole(self, chunks: Ragged, text: str) -> int:
+        found = self.findall(text)
+        return chunks.extend(*self._ids(found, np.array([len(found)])))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each); null is an empty text."""
+        if len(self.pieces) > self.limit:
+            self.pieces, self.piece_ids = {}, Ragged()
+        if not len(texts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        raw = pc.fill_null(texts.cast(pa.binary()), b"")
+        cut = pc.split_pattern(raw, " ")
+        starts = cut.offsets.to_numpy().astype(np.int64)
+        values = cut.values.dictionary_encode()
+        index = values.indices.to_numpy()
+        distinct = [c.decode("utf-8", "replace") for c in values.dictionary.to_pylist()]
+        head = np.zeros(len(index), bool)
+        head[starts[:-1]] = True
+        chunks, which = Ragged(), np.empty(len(index), np.int64)
+        nothing = chunks.extend(np.empty(0, np.int32), np.zeros(1, np.int64))
+        for lead, here in (("", head), (" ", ~head)):
+            used = np.unique(index[here])
+            place = np.full(len(distinct), -1, np.int64)
+            into = np.full(len(used), -1, np.int64)
+            self._add(chunks, [distinct[k] for k in used.tolist()], lead, into)
+            place[used] = into
+            which[here] = place[index[here]]
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+        for k in np.unique(owner[which < 0]).tolist():
+            which[starts[k]:starts[k + 1]] = nothing
+            which[starts[k]] = self._add_whole(chunks, (raw[k].as_py()).decode("utf-8", "replace"))
+        flat, count = chunks.take(which)
         ends = np.concatenate([[0], np.cumsum(count)])
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        return flat, np.diff(ends[cuts])
+        return flat, np.diff(ends[starts])
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 16 << 20):
+    """``batch`` in slices of about ``most`` bytes of its column ``text`` (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lo, ends = 0, np.cumsum(sizes)
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

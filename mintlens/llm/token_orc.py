@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .piece_memo import PieceMemo
+from .piece_memo import SEPARATOR, WHITE, PieceMemo, Ragged, slices
 
-TEXTS = 256          # texts encoded at once
+JOINED = 256         # pieces encoded as one text
 STRIPE_BYTES = 64 << 20
 SCHEMA = "doc_id {}, part int, part_start bigint, n_tokens bigint, ids array<int>"
 
@@ -40,10 +40,25 @@ def tokenizer(path: str, pattern: str) -> PieceMemo:
     lib = Tokenizer.from_file(path)
     lib.encode_special_tokens = True     # their strings in a text are ordinary text
 
+    between, = lib.encode(SEPARATOR, add_special_tokens=False).ids
+
     def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in lib.encode_batch_fast(pieces, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((k for some in ids for k in some), np.int32, int(count.sum())), count
+        """Pieces that keep apart at a separator are encoded many in a text, the others one by one."""
+        order = [k for k, p in enumerate(pieces) if p[-1] not in WHITE]
+        many = len(order)
+        texts = [SEPARATOR.join([pieces[k] for k in order[lo:lo + JOINED]]) for lo in range(0, many, JOINED)]
+        if many < len(pieces):
+            order += [k for k, p in enumerate(pieces) if p[-1] in WHITE]
+            texts += [pieces[k] for k in order[many:]]
+        found = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array([k for some in found for k in (*some, between)], np.int32)
+        ends = np.nonzero(ids == between)[0]
+        if len(ends) > len(pieces):         # pieces of white space may hold the separator
+            alone = np.array([len(x) for x in found[-(-many // JOINED):]], np.int64)
+            ends = np.concatenate([ends[:many], (ends[many - 1] if many else -1) + np.cumsum(alone + 1)])
+        back = Ragged()
+        back.extend(np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+        return back.take(np.argsort(np.array(order)))
 
     return PieceMemo(pattern, encode_pieces)
 
@@ -60,10 +75,8 @@ def encode_sorted(docs: DataFrame, path: str, pattern: str, end_id: int = 0,
     def run(batches):
         memo, part, start = tokenizer(path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(lo, TEXTS)
-                texts = [(x or b"").decode("utf-8", "replace") for x in some.column(1).cast(pa.binary()).to_pylist()]
-                flat, count = with_end(*memo.encode(texts), end_id)
+            for some in slices(batch, 1):
+                flat, count = with_end(*memo.encode(some.column(1)), end_id)
                 begins = start + np.cumsum(count) - count
                 start += int(count.sum())
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
