@@ -30,7 +30,7 @@ NONE = np.iinfo(np.int32).max     # rank of a pair that does not merge
 LONG = 512                        # bytes of a match from which the heap takes over
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256, LONG)
 CELLS = 1 << 20                   # cells of one matrix
-SLICE = 8 << 20                   # bytes of text encoded at once
+SLICE = 4 << 20                   # bytes of text encoded at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

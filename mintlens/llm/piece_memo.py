@@ -128,7 +128,7 @@ class PieceMemo:
         return flat, np.diff(ends[starts])
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 16 << 20):
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20):
     """``batch`` in slices of about ``most`` bytes of its column ``text`` (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     lo, ends = 0, np.cumsum(sizes)

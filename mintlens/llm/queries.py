@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, language_id, line_dedup, lm_scoring, sharding, simhash_dedup, token_orc
-from .common import scratch_path, table
+from . import byte_bpe, language_id, line_dedup, lm_scoring, quality_rules, sharding, simhash_dedup, token_orc
+from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +29,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by a decision list learned from the quality labels."""
+    measured = materialize(quality_rules.measure(table(spark, sf_dir, "documents")), "rules-measured")
+    rules = quality_rules.learn(measured, table(spark, sf_dir, "labels"))
+    return quality_rules.apply(measured, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 @query
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written as ORC in id order, and described from the files."""
