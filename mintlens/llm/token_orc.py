@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .piece_memo import SEPARATOR, WHITE, PieceMemo, Ragged, slices
+from .piece_memo import SEPARATOR, PieceMemo, Ragged, slices
 
 JOINED = 256         # pieces encoded as one text
 STRIPE_BYTES = 64 << 20
@@ -35,29 +35,32 @@ SCHEMA = "doc_id {}, part int, part_start bigint, n_tokens bigint, ids array<int
 @lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str) -> PieceMemo:
     """The library's tokenizer behind a memo of distinct pattern matches; one for each worker."""
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     lib = Tokenizer.from_file(path)
     lib.encode_special_tokens = True     # their strings in a text are ordinary text
-
-    between, = lib.encode(SEPARATOR, add_special_tokens=False).ids
+    # the pattern has been applied: what stands between separators is one piece
+    lib.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.Split(SEPARATOR, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    alone = Tokenizer.from_file(path)
+    alone.encode_special_tokens = True
 
     def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces that keep apart at a separator are encoded many in a text, the others one by one."""
-        order = [k for k, p in enumerate(pieces) if p[-1] not in WHITE]
+        """Pieces are encoded many in a text; the few that hold the separator one by one."""
+        order = [k for k, p in enumerate(pieces) if SEPARATOR not in p]
         many = len(order)
         texts = [SEPARATOR.join([pieces[k] for k in order[lo:lo + JOINED]]) for lo in range(0, many, JOINED)]
+        found = lib.encode_batch(texts, add_special_tokens=False)     # the fast form has no word numbers
+        ids = [k for e in found for k in e.ids]
+        count = [np.bincount(e.word_ids, minlength=JOINED) for e in found]
+        count = np.concatenate(count)[:many] if count else np.empty(0, np.int64)
         if many < len(pieces):
-            order += [k for k, p in enumerate(pieces) if p[-1] in WHITE]
-            texts += [pieces[k] for k in order[many:]]
-        found = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array([k for some in found for k in (*some, between)], np.int32)
-        ends = np.nonzero(ids == between)[0]
-        if len(ends) > len(pieces):         # pieces of white space may hold the separator
-            alone = np.array([len(x) for x in found[-(-many // JOINED):]], np.int64)
-            ends = np.concatenate([ends[:many], (ends[many - 1] if many else -1) + np.cumsum(alone + 1)])
+            order += [k for k, p in enumerate(pieces) if SEPARATOR in p]
+            rest = [e.ids for e in alone.encode_batch_fast([pieces[k] for k in order[many:]], add_special_tokens=False)]
+            ids += [k for some in rest for k in some]
+            count = np.concatenate([count, [len(x) for x in rest]])
         back = Ragged()
-        back.extend(np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+        back.extend(np.array(ids, np.int32), count.astype(np.int64))
         return back.take(np.argsort(np.array(order)))
 
     return PieceMemo(pattern, encode_pieces)
