@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, language_id, line_dedup, lm_scoring, quality_rules, sharding, simhash_dedup, token_orc
+from . import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, quality_rules, sharding, simhash_dedup, token_orc, warc
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents: five-word shingles, similarity 0.8 or more."""
+    leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
+    return leaks.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word", "n_words")
+
+
 @query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes, tokens and rows."""
@@ -61,6 +68,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.PATTERN)
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC, normalised and read back; payloads of at least 0 bytes are told apart."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), min_bytes=0)
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that later windows of three repeat."""
