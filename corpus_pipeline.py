@@ -7,22 +7,47 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mintlens.llm import simhash_dedup
+from mintlens.llm import byte_bpe, decontamination, language_id, line_dedup, simhash_dedup
 from mintlens.llm.common import materialize, table
 
 #: Learned models, fingerprints and BPE merges have no SQL form.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identified language go."""
+    return language_id.keep_identified(docs, language_id.train(docs, ~language_id.held_out()))
+
+
+def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go, and documents of which nothing is left."""
+    return line_dedup.dedup_documents(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: that with the least doc_id."""
     return simhash_dedup.keep_one(docs, shingle=3, max_bits=2)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.remove_leaks(docs, table(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text that is left as token ids, decoded again: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", deduplicate_lines),
     ("simhash_dedup", near_duplicates),
+    ("decontamination", decontaminate),
+    ("byte_bpe", encode),
 ]
 
 

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
@@ -55,7 +56,20 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED[sc.applicationId] = folder
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package importable in the workers."""
     ship_code(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def keep_rows(df: DataFrame, column: str, keep: Callable) -> DataFrame:
+    """Rows of ``df`` for which ``keep`` holds. ``keep`` is called once in a task and returns a function from an
+    Arrow array of ``column`` to a list of booleans; no row leaves its task, whatever its other columns hold."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        test = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(test(batch.column(at)), pa.bool_()))
+
+    return map_arrow(df, run, df.schema)

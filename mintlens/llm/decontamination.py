@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import keep_rows, map_arrow
 from .piece_memo import slices
 
 SHINGLE = 5
@@ -263,9 +263,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     return out
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
-                 text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text",
+                 item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    leaks = find_leaks(docs, benchmark, similarity, id_col, text_col, item_col, item_text_col)
-    bad = leaks.select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__leak"]), "left_anti")
+    sc = docs.sparkSession.sparkContext
+
+    def one_pass(rows: DataFrame, block) -> DataFrame:
+        def keep():
+            items = _items(block.value)
+
+            def test(column):
+                out = np.ones(len(column), bool)
+                batch, lo = pa.RecordBatch.from_arrays([column], ["text"]), 0
+                for part in slices(batch, 0, SLICE):
+                    found = items.matches([x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()], similarity)
+                    out[[lo + f[0] for f in found]] = False
+                    lo += part.num_rows
+                return out
+            return test
+
+        return keep_rows(rows, text_col, keep)
+
+    for block in _blocks(benchmark, item_col, item_text_col):
+        docs = one_pass(docs, sc.broadcast(block))
+    return docs

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import keep_rows, map_arrow
 
 HIDDEN = 8
 SEGMENT = 96            # bytes read with one state
@@ -30,6 +31,7 @@ BATCH = 256
 POSITIONS = 1 << 19     # bytes predicted at once
 PAD = 256
 UND = "und"
+LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -199,33 +201,37 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     return net
 
 
+def identify(net: Network | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
+    lang, score = np.full(len(texts), UND, object), np.zeros(len(texts))
+    lo = 0
+    while net is not None and lo < len(texts):     # slices of about POSITIONS bytes
+        hi, size = lo + 1, len(texts[lo])
+        while hi < len(texts) and size + len(texts[hi]) <= POSITIONS:
+            size += len(texts[hi])
+            hi += 1
+        some = [k for k in range(lo, hi) if LETTER.search(texts[k].decode("utf-8", "replace"))]
+        if some:
+            pooled = net.pool([texts[k] for k in some])
+            best = pooled.argmax(axis=1)
+            lang[some] = np.array(net.langs, object)[best]
+            score[some] = np.clip(np.round(pooled[np.arange(len(some)), best], 4), 0, 1)
+        lo = hi
+    return lang, score
+
+
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row; ``score`` is the pooled probability of the predicted language."""
 
     def run(batches):
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            lang, score = np.full(len(texts), UND, object), np.zeros(len(texts))
-            lo = 0
-            while net is not None and lo < len(texts):     # slices of about POSITIONS bytes
-                hi, size = lo + 1, len(texts[lo])
-                while hi < len(texts) and size + len(texts[hi]) <= POSITIONS:
-                    size += len(texts[hi])
-                    hi += 1
-                pooled = net.pool(texts[lo:hi]) if size else np.zeros((hi - lo, len(net.langs)))
-                best = pooled.argmax(axis=1)
-                lang[lo:hi] = np.array(net.langs, object)[best]
-                score[lo:hi] = np.clip(np.round(pooled[np.arange(hi - lo), best], 4), 0, 1)
-                lo = hi
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score)],
-                                             ["doc_id", "letter", "lang_pred", "score"])
+            lang, score = identify(net, [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)],
+                                             ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(letter, F.col(text_col)).alias("text"), letter.alias("letter"))
-    out = map_arrow(rows, run, f"doc_id {kind}, letter boolean, lang_pred string, score double")
-    return out.select("doc_id", F.when(F.col("letter"), F.col("lang_pred")).otherwise(UND).alias("lang_pred"),
-                      F.when(F.col("letter"), F.col("score")).otherwise(0.0).alias("score"))
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run,
+                     f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -233,9 +239,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def keep_identified(docs: DataFrame, net: Network | None, min_score: float = 0.4,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least ``min_score``."""
-    found = predict(docs, net, id_col, text_col).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
-    keep = found.select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+def keep_identified(docs: DataFrame, net: Network | None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is identified with at least ``min_score``."""
+
+    def keep():
+        def test(column):
+            lang, score = identify(net, [x or b"" for x in column.cast(pa.binary()).to_pylist()])
+            return ((lang != UND) & (score >= min_score)).tolist()
+        return test
+
+    return keep_rows(docs, text_col, keep)

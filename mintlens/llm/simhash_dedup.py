@@ -27,7 +27,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
@@ -203,7 +203,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id names their class: one document of each class (all rows if that id repeats)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    """One row of each class of ``docs``: that with the least id (of rows that repeat it, the one with the
+    least text). Rows with a null id can't be told apart and all stay."""
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits).where(F.col("doc_id").isNotNull())
+    named = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    named = materialize(named.where("n > 1 or not first").withColumnRenamed("doc_id", "__id"), "simhash-extra")
+    left = docs.join(named.where("not first"), docs[id_col] == F.col("__id"), "left_anti")
+    again = named.where("first").select("__id")
+    if again.isEmpty():
+        return left
+    rest = left.join(again, left[id_col] == F.col("__id"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    one = left.join(again, left[id_col] == F.col("__id"), "left_semi").withColumn("__n", nth).where("__n = 1").drop("__n")
+    return rest.unionByName(one)
