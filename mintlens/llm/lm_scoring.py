@@ -1,8 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 All n-grams of the training texts are counted: tasks sum their own n-grams, and blocks of
-(hash, count) pairs are merged by hash range. A count c is quantised to level
-1 + floor(log_1.5 c) and the n-gram enters the filter once for every level up to its own. A look-up
+(hash, count) pairs are merged by hash range. A count c of an order whose least kept count is m is
+quantised to level 1 + floor(log_1.5 (c / m)) and the n-gram enters the filter once for every level up to its own. A look-up
 probes level after level until one is missing, which gives the quantised count back. The
 filter is made of one segment for each order and hash range, built where that range was counted; its
 size is known from the counts before it is gathered and never exceeds ``MAX_FILTER_BYTES`` (beyond that
@@ -32,16 +32,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, ship_code
+from .common import map_arrow, materialize
+from .piece_memo import slices
 
 ORDER = 2
 LEVEL_BASE = 1.5
 MIN_COUNT = (1, 2, 2, 2, 2)             # by order: least count kept in the filter
 BITS_A_KEY, PROBES = 10, 5
-MAX_FILTER_BYTES = 256 << 20
+MAX_FILTER_BYTES = 128 << 20
 VOCABULARY_BLOCK = 8 << 20
-BUFFER = 1 << 22                        # n-grams a counting task holds before it sums them up
+BUFFER = 1 << 21                        # n-grams a counting task holds before it sums them up
 RANGE_TOKENS = 1 << 20                  # n-gram occurrences of a hash range, about
+MOST_TOLD = 4096                        # counts beyond are told as this one in histograms
 TUNING_DOCS = 4000
 WEIGHTS = np.linspace(0.0, 0.95, 20)    # candidates for the interpolation weight
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", 42))     # no token holds white space
@@ -79,16 +81,23 @@ def tokens(texts: list[bytes], order: int) -> Tokens:
     return Tokens(grams, np.arange(len(one)) - np.repeat(ends - sizes, sizes), owner, n + 1)
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
+def level(counts: np.ndarray, least: int = 1) -> np.ndarray:
+    """1 for the least kept count, one more for each factor of LEVEL_BASE."""
+    return 1 + np.floor(np.log(np.maximum(counts, least) / least) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
 
 
-def level_counts(most: int = 128) -> np.ndarray:
+def level_counts(least: int = 1, most: int = 128) -> np.ndarray:
     """Count that stands for each level: the middle of its whole numbers; 0 for level 0."""
-    edges = np.ceil(LEVEL_BASE ** np.arange(most + 1) - 1e-9)
+    edges = np.ceil(least * LEVEL_BASE ** np.arange(most + 1) - 1e-9)
     return np.concatenate([[0.0], np.sqrt(edges[:-1] * np.maximum(edges[1:] - 1, edges[:-1]))])
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, index of each in them)"""
+    found = pa.array(hashes).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(hashes):
         return hashes, counts
@@ -99,8 +108,9 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def count_ngrams(docs: DataFrame, order: int, ranges: int, text_col: str) -> DataFrame:
-    """(k, part, hashes, counts): all n-grams of order k in hash range ``part``, as sorted
-    arrays of unsigned 64-bit numbers."""
+    """(k, part, hashes, counts, tokens, histogram): the n-grams of order k in hash range ``part`` with a count of
+    MIN_COUNT or more, as sorted arrays of unsigned 64-bit numbers; how many n-grams have each count
+    (up to MOST_TOLD), and their sum, over all."""
     shift = np.uint64(64 - int(math.log2(ranges)))
 
     def rows(k: int, parts: list[np.ndarray]):
@@ -118,9 +128,8 @@ def count_ngrams(docs: DataFrame, order: int, ranges: int, text_col: str) -> Dat
         held: list[list[np.ndarray]] = [[] for _ in range(order)]
         size = 0
         for batch in batches:
-            texts = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
-            for lo in range(0, len(texts), 512):
-                t = tokens(texts[lo:lo + 512], order)
+            for some in slices(batch, 0):
+                t = tokens([x or b"" for x in some.column(0).cast(pa.binary()).to_pylist()], order)
                 for k in range(order):
                     held[k].append(t.grams[k][t.place >= max(1, k)])
                     size += len(held[k][-1])
@@ -131,23 +140,28 @@ def count_ngrams(docs: DataFrame, order: int, ranges: int, text_col: str) -> Dat
             yield from (rows(k + 1, h) for k, h in enumerate(held))
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
+        k = int(part["k"].iloc[0])
         hashes, counts = _summed(np.frombuffer(b"".join(part["hashes"]), "<u8"),
                                  np.frombuffer(b"".join(part["counts"]), "<u4").astype(np.int64))
-        return pd.DataFrame({"k": part["k"].iloc[:1], "part": part["part"].iloc[:1],
-                             "hashes": [hashes.tobytes()], "counts": [counts.astype("<u8").tobytes()]})
+        c, many = np.unique(np.minimum(counts, MOST_TOLD), return_counts=True)
+        keep = counts >= MIN_COUNT[k - 1]
+        return pd.DataFrame({
+            "k": [k], "part": part["part"].iloc[:1], "hashes": [hashes[keep].tobytes()], "counts": [counts[keep].astype("<u8").tobytes()],
+            "tokens": [int(counts.sum())], "histogram": [[{"c": int(a), "many": int(b)} for a, b in zip(c, many)]]})
 
-    schema = "k int, part int, hashes binary, counts binary"
-    return map_arrow(docs.select(F.col(text_col)), run, schema).groupBy("k", "part").applyInPandas(merge, schema)
+    blocks = map_arrow(docs.select(F.col(text_col)), run, "k int, part int, hashes binary, counts binary")
+    return blocks.groupBy("k", "part").applyInPandas(
+        merge, "k int, part int, hashes binary, counts binary, tokens bigint, histogram array<struct<c: bigint, many: bigint>>")
 
 
 class LogFrequencyFilter:
     """Quantised n-gram counts; segments are (order - 1) * ranges + hash range."""
 
-    def __init__(self, ranges: int, bits: np.ndarray, segments: list[bytes]):
+    def __init__(self, ranges: int, bits: np.ndarray, segments: list[bytes], least: list[int]):
         self.ranges, self.bits = ranges, bits.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(bits)[:-1]]).astype(np.uint64)
         self.filter = np.frombuffer(b"".join(segments), np.uint8)
-        self.value = level_counts()
+        self.value = [level_counts(m) for m in least]
 
     @staticmethod
     def segment_bits(inserts: np.ndarray) -> np.ndarray:
@@ -156,9 +170,14 @@ class LogFrequencyFilter:
     @staticmethod
     def seeds(hashes: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the probes of level ``at`` start, and their step."""
-        one = _mix(hashes + np.uint64(at) * _ODD[0])
+        one = _mix(hashes + np.array([at], np.uint64) * _ODD[0])
         return one, _mix(one ^ _ODD[2]) | np.uint64(1)
 
+    @staticmethod
+    def bit(hashes: np.ndarray, bits) -> np.ndarray:
+        """A bit number below ``bits`` (less than 2 ** 32) from the upper half of each hash."""
+        return ((hashes >> np.uint64(32)) * bits) >> np.uint64(32)
+
     @classmethod
     def build_segment(cls, hashes: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
         """One segment, every n-gram in it once for each level up to its own."""
@@ -167,7 +186,7 @@ class LogFrequencyFilter:
         while len(hashes):
             one, two = cls.seeds(hashes, at)
             for i in range(PROBES):
-                held[((one + np.uint64(i) * two) % np.uint64(bits)).astype(np.int64)] = 1
+                held[cls.bit(one + np.uint64(i) * two, np.uint64(bits)).astype(np.int64)] = 1
             at += 1
             hashes, levels = hashes[levels >= at], levels[levels >= at]
         return np.packbits(held, bitorder="little").tobytes()
@@ -181,15 +200,18 @@ class LogFrequencyFilter:
         while len(todo):
             one, two = self.seeds(hashes[todo], at)
             for i in range(PROBES):
-                bit = (one + np.uint64(i) * two) % bits[todo] + start[todo]
+                bit = self.bit(one + np.uint64(i) * two, bits[todo]) + start[todo]
                 held = (self.filter[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 todo, one, two = todo[held], one[held], two[held]
             out[todo] = at
             at += 1
         return out
 
-    def counts(self, k: int, hashes: np.ndarray) -> np.ndarray:
-        return self.value[self.levels(k, hashes)]
+    def look_up(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, levels) of n-grams of order ``k``; each distinct one is probed once."""
+        some, at = distinct(hashes)
+        lv = self.levels(k, some)
+        return self.value[k - 1][lv][at], lv[at]
 
 
 class Vocabulary:
@@ -226,23 +248,26 @@ class Model(NamedTuple):
     weights: np.ndarray             # (order, context level) -> interpolation weight
 
 
-def _ml(model_filter: LogFrequencyFilter, t: Tokens, k: int, less: float) -> tuple[np.ndarray, np.ndarray]:
-    """(P_ml, level of the context) of the order-k n-grams at all places; ``less`` is taken off both counts."""
-    context = np.concatenate([t.grams[k - 2][:1], t.grams[k - 2][:-1]])
-    lv = model_filter.levels(k - 1, context)
-    below = np.maximum(model_filter.value[lv] - less, 0)
-    above = np.maximum(model_filter.counts(k, t.grams[k - 1]) - less, 0)
-    p = np.where((below > 0) & (t.place >= k - 1), np.minimum(above / np.maximum(below, 1e-9), 1.0), 0.0)
-    return p, np.where((below > 0) & (t.place >= k - 1), np.minimum(lv, 63), 0)
+def _ml(t: Tokens, k: int, above: np.ndarray, below: np.ndarray, lv: np.ndarray,
+        less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(P_ml, level of the context) of the order-k n-grams at all places, from the counts ``above`` of the n-grams and
+    ``below`` (levels ``lv``) of the (k-1)-grams that end at each place; ``less`` is taken off both counts."""
+    before = np.maximum(np.concatenate([below[:1], below[:-1]]) - less, 0)
+    use = (before > 0) & (t.place >= k - 1)
+    p = np.where(use, np.minimum(np.maximum(above - less, 0) / np.maximum(before, 1e-9), 1.0), 0.0)
+    return p, np.where(use, np.minimum(np.concatenate([lv[:1], lv[:-1]]), 63), 0)
 
 
 def probabilities(model: Model, t: Tokens) -> np.ndarray:
     """Smoothed probability at every place of the texts."""
-    p = (model.filter.counts(1, t.grams[0]) + 1) / (model.n + model.v + 1)
+    counts, lv = model.filter.look_up(1, t.grams[0])
+    p = (counts + 1) / (model.n + model.v + 1)
     for k in range(2, model.order + 1):
-        ml, lv = _ml(model.filter, t, k, 0.0)
-        a = np.where(lv > 0, model.weights[k - 1][lv], 0.0)
+        above, above_lv = model.filter.look_up(k, t.grams[k - 1])
+        ml, context = _ml(t, k, above, counts, lv)
+        a = model.weights[k - 1][context]         # 0 at level 0
         p = a * ml + (1 - a) * p
+        counts, lv = above, above_lv
     return p
 
 
@@ -255,15 +280,17 @@ def _tune(docs: DataFrame, model: Model, text_col: str) -> np.ndarray:
         sums = np.zeros((model.order - 1, 64, len(WEIGHTS)))
         for batch in batches:
             t = tokens([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], model.order)
-            scored = t.place >= 1
-            p = np.maximum(model.filter.counts(1, t.grams[0]), 1) / (model.n + model.v + 1)
+            counts, lv = model.filter.look_up(1, t.grams[0])
+            p = np.maximum(counts, 1) / (model.n + model.v + 1)
             for k in range(2, model.order + 1):
-                ml, lv = _ml(model.filter, t, k, 1.0)
-                use = scored & (lv > 0)
+                above, above_lv = model.filter.look_up(k, t.grams[k - 1])
+                ml, context = _ml(t, k, above, counts, lv, 1.0)
+                use = (t.place >= 1) & (context > 0)
                 for j, a in enumerate(WEIGHTS):
                     gain = np.log(a * ml[use] + (1 - a) * p[use])
-                    sums[k - 2, :, j] += np.bincount(lv[use], weights=gain, minlength=64)
-                p = np.where(lv > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
+                    sums[k - 2, :, j] += np.bincount(context[use], weights=gain, minlength=64)
+                p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
+                counts, lv = above, above_lv
         k, lv, j = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(lv), pa.array(j), pa.array(sums[k, lv, j])],
                                          ["k", "lv", "j", "gain"])
@@ -285,43 +312,39 @@ def _tune(docs: DataFrame, model: Model, text_col: str) -> np.ndarray:
 def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
           text_col: str = "text") -> tuple[Model, DataFrame]:
     """(model, vocabulary blocks (hash, count)) of the documents."""
-    spark = docs.sparkSession
     total = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
     ranges = 1 << max(6, math.ceil(math.log2(max(1.0, (total[1] or 0) / 6 / RANGE_TOKENS))))
     counted = materialize(count_ngrams(docs, order, ranges, text_col), "lm-counts")
 
-    def histogram(part: pd.DataFrame) -> pd.DataFrame:
-        n = np.concatenate([np.frombuffer(c, "<u8") for c in part["counts"]]).astype(np.int64)
-        at, many = np.unique(np.minimum(n, 1 << 12), return_counts=True)
-        inserts = np.bincount(np.searchsorted(at, np.minimum(n, 1 << 12)), weights=level(n)).astype(np.int64)
-        return pd.DataFrame({"k": part["k"].iloc[0], "part": part["part"].iloc[0], "c": at, "many": many, "inserts": inserts,
-                             "tokens": np.bincount(np.searchsorted(at, np.minimum(n, 1 << 12)), weights=n).astype(np.int64)})
-
-    ship_code(spark)
-    table = materialize(counted.groupBy("k", "part").applyInPandas(
-        histogram, "k int, part int, c bigint, many bigint, inserts bigint, tokens bigint"), "lm-histogram")
-    sums = table.groupBy("k", "c").agg(F.sum("many").alias("many"), F.sum("inserts").alias("inserts"),
-                                       F.sum("tokens").alias("tokens")).collect()   # at most orders x 4,097 rows
-    n = sum(r["tokens"] for r in sums if r["k"] == 1)
-    v = sum(r["many"] for r in sums if r["k"] == 1)
-    least, rise = list(MIN_COUNT[:order]), 0
-    while sum(r["inserts"] for r in sums if r["c"] >= least[r["k"] - 1]) * BITS_A_KEY > 8 * MAX_FILTER_BYTES:
-        rise += 1
-        least = [MIN_COUNT[k] + rise for k in range(order)]
-
-    def segment(part: pd.DataFrame) -> pd.DataFrame:
-        k = int(part["k"].iloc[0])
-        hashes, n = np.frombuffer(part["hashes"].iloc[0], "<u8"), np.frombuffer(part["counts"].iloc[0], "<u8").astype(np.int64)
-        keep = n >= least[k - 1]
-        lv = level(n[keep])
-        bits = int(LogFrequencyFilter.segment_bits(np.array([lv.sum()]))[0])
-        return pd.DataFrame({"s": [(k - 1) * ranges + int(part["part"].iloc[0])],
-                             "bits": [LogFrequencyFilter.build_segment(hashes[keep], lv, bits) if bits else b""]})
-
-    segments = {r["s"]: bytes(r["bits"]) for r in
-                counted.groupBy("k", "part").applyInPandas(segment, "s int, bits binary").collect()}   # MAX_FILTER_BYTES at most
-    blobs = [segments.get(s, b"") for s in range(order * ranges)]
-    held = LogFrequencyFilter(ranges, np.array([8 * len(b) for b in blobs], np.int64), blobs)
+    sums = counted.select("k", F.inline("histogram")).groupBy("k", "c").agg(F.sum("many").alias("many")).collect()
+    n = counted.where("k = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    v = sum(r["many"] for r in sums if r["k"] == 1)      # sums: at most orders x MOST_TOLD rows
+
+    def inserts(least: list[int]) -> int:
+        c, k, many = (np.array([r[x] for r in sums], np.int64) for x in ("c", "k", "many"))
+        return sum(int((level(c, m) * many)[(k == j + 1) & (c >= m)].sum()) for j, m in enumerate(least))
+
+    least = list(MIN_COUNT[:order])
+    while inserts(least) * BITS_A_KEY > 8 * MAX_FILTER_BYTES:
+        least = [m + 1 for m in least]
+
+    def segments(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                k, hashes = row["k"], np.frombuffer(row["hashes"], "<u8")
+                counts = np.frombuffer(row["counts"], "<u8").astype(np.int64)
+                keep = counts >= least[k - 1]
+                lv = level(counts[keep], least[k - 1])
+                bits = int(LogFrequencyFilter.segment_bits(np.array([lv.sum()]))[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(k - 1) * ranges + row["part"]], pa.int32()),
+                     pa.array([LogFrequencyFilter.build_segment(hashes[keep], lv, bits) if bits else b""], pa.binary())], ["s", "bits"])
+
+    built = map_arrow(counted.select("k", "part", "hashes", "counts"), segments, "s int, bits binary")
+    blobs = {r["s"]: bytes(r["bits"]) for r in built.toLocalIterator()}      # MAX_FILTER_BYTES at most
+    blobs = [blobs.get(s, b"") for s in range(order * ranges)]
+    held = LogFrequencyFilter(ranges, np.array([8 * len(b) for b in blobs], np.int64), blobs, least)
+    del blobs
     model = Model(order, n, v, held, np.zeros((order, 64)))
     share = min(1.0, TUNING_DOCS / max(1, total[0]))
     picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -337,9 +360,11 @@ def _blocks(vocabulary: DataFrame, v: int):
         return
     step = max(1, (ranges + 1) // max(1, math.ceil(v / VOCABULARY_BLOCK)))
     for lo in range(0, ranges + 1, step):
-        rows = sorted(vocabulary.where(F.col("part").between(lo, lo + step - 1)).collect(), key=lambda r: r["part"])
-        yield Vocabulary(np.frombuffer(b"".join(r["hashes"] for r in rows), "<u8"),
-                         np.frombuffer(b"".join(r["counts"] for r in rows), "<u8").astype(np.int64))
+        some = vocabulary.where(F.col("part").between(lo, lo + step - 1))
+        rows = sorted(((r["part"], np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["counts"], "<u8").astype(np.int64))
+                       for r in some.toLocalIterator()), key=lambda r: r[0])
+        if rows:
+            yield Vocabulary(np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]))
 
 
 def _pass(docs: DataFrame, kind: str, order: int, model, block) -> DataFrame:
@@ -349,12 +374,12 @@ def _pass(docs: DataFrame, kind: str, order: int, model, block) -> DataFrame:
     def run(batches):
         vocabulary, m = block.value, model.value if model is not None else None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
+            for some in slices(batch, 1):
                 t = tokens([x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()], order)
                 scored = t.place >= 1
                 owner, rows = t.owner[scored], some.num_rows
-                c = vocabulary.look_up(t.grams[0][scored])
+                some_tokens, at = distinct(t.grams[0][scored])
+                c = vocabulary.look_up(some_tokens)[at]
                 known = np.bincount(owner, weights=c > 0, minlength=rows).astype(np.int64)
                 logs = np.bincount(owner, weights=np.log10(c + 1.0), minlength=rows)
                 score = np.zeros(rows)

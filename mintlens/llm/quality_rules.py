@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-QUANTILES = [k / 40 for k in range(1, 40)]
+QUANTILES = [k / 40 for k in range(41)]
 MAX_RULES, MAX_CONDITIONS = 12, 3
-LEAST_PRECISION, LEAST_SUPPORT = 0.8, 5
+LEAST_PRECISION, LEAST_SUPPORT = 0.9, 5
 
 #: Statistics that rules may test, from the columns of :func:`measure`.
 STATISTICS = {
@@ -165,11 +165,11 @@ def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
                         *[F.count_if((F.col("fold") > 0) & (F.col("bad") == bad) & holds(rule[:k])).alias(f"g{k}_{bad}")
                           for k in range(1, len(rule) + 1) for bad in (0, 1)]).first()
 
-        def worth(k: int) -> float:
-            p, n = sums[f"p{k}_1"], sums[f"p{k}_0"]
+        def worth(k: int, fold: str = "p") -> float:
+            p, n = sums[f"{fold}{k}_1"], sums[f"{fold}{k}_0"]
             return (p - n) / (p + n) if p + n else -1.0
 
-        k = max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))
+        k = max(range(1, len(rule) + 1), key=lambda k: (worth(k), worth(k, "g"), -k))
         p, n = sums[f"p{k}_1"] + sums[f"g{k}_1"], sums[f"p{k}_0"] + sums[f"g{k}_0"]
         if p < LEAST_SUPPORT or p < LEAST_PRECISION * (p + n) or worth(k) < 2 * LEAST_PRECISION - 1:
             break

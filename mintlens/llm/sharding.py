@@ -6,8 +6,8 @@ in the shard whose residual capacity has the greatest dot product with the group
 shard's capacity in a cell is an equal share of that cell, so the shards of all cells together
 are balanced, and cells are packed in parallel however many there are.
 
-A group larger than half of a shard's share of a cell is divided into pieces by a hash of the
-row's id first, so a text that makes up a third of all rows is spread like the others.
+A group larger than half of a shard's share of a cell is divided into pieces of about an eighth of
+that share by a hash of the row's id first, so a text that makes up a third of all rows is spread like the others.
 
 Slots are gapless: a row's number inside its (shard, cell), after the rows of the
 earlier cells of that shard.
@@ -29,7 +29,8 @@ from .common import materialize, ship_code
 
 GROUPS_A_CELL = 8192
 ROW_BYTES = 16
-WEIGHTS = (10.0, 1.0, 0.05)     # of bytes, tokens and rows in the dot product: bytes lead
+PIECES_A_SHARE = 8
+WEIGHTS = (10.0, 1.0, 0.02)     # of bytes, tokens and rows in the dot product: bytes lead
 
 
 def place(vectors: np.ndarray, shards: int, first: int = 0, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
@@ -64,10 +65,10 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     total = groups.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("n") * F.col("size"))).first()
     cells = max(1, math.ceil(total[0] / GROUPS_A_CELL))
-    most_rows = max(1.0, (total[1] or 1) / (2 * cells * shards))
-    most_bytes = max(1.0, (total[2] or 1) / (2 * cells * shards))
-    pieces = F.ceil(F.greatest(F.col("n") / most_rows, F.col("n") * F.col("size") / most_bytes))
-    large = groups.select(*group, F.least(pieces, F.col("n")).alias("pieces")).where("pieces > 1")
+    share_rows = max(1.0, (total[1] or 1) / (cells * shards))
+    share_bytes = max(1.0, (total[2] or 1) / (cells * shards))
+    share = F.greatest(F.col("n") / share_rows, F.col("n") * F.col("size") / share_bytes)
+    large = groups.where(share > 0.5).select(*group, F.least(F.ceil(share * PIECES_A_SHARE), F.col("n")).alias("pieces"))
     piece = F.pmod(F.xxhash64("doc_id", "g"), F.coalesce("pieces", F.lit(1)))
     unit = [*group, "piece"]
     dealt = rows.join(large, group, "left").withColumn("piece", piece).drop("pieces").withColumn(
