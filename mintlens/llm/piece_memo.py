@@ -56,17 +56,24 @@ class Ragged:
 class PieceMemo:
     """``encode_pieces`` maps a list of distinct pattern matches to (flat ids, ids of each).
 
-    At most ``limit`` matches are remembered between calls (plus those of one call); the memo starts
-    anew beyond that.
+    Between calls ``chunk_limit`` chunks are remembered, as Arrow arrays, and ``piece_limit`` matches; a memo
+    that has grown beyond its limit starts anew with the next call.
     """
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-                 limit: int = 250_000):
+                 chunk_limit: int = 800_000, piece_limit: int = 250_000):
         self.findall = regex.compile(pattern).findall
         self.encode_pieces = encode_pieces
-        self.limit = limit
+        self.chunk_limit, self.piece_limit = chunk_limit, piece_limit
         self.pieces: dict[str, int] = {}
         self.piece_ids = Ragged()
+        self._forget_chunks()
+
+    def _forget_chunks(self) -> None:
+        self.known = pa.array([], pa.binary())      # chunks after a space, without it
+        self.place = np.empty(0, np.int64)          # their indexes in ``chunks``; -1: no cut after this one
+        self.chunks = Ragged()
+        self.chunks.extend(np.empty(0, np.int32), np.zeros(1, np.int64))      # 0: no ids
 
     def _ids(self, found: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each chunk) of chunks that have ``sizes`` matches, ``found`` in a row."""
@@ -78,52 +85,58 @@ class PieceMemo:
         cuts = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
         return flat, np.diff(cuts)
 
-    def _add(self, chunks: Ragged, texts: list[str], lead: str, into: np.ndarray) -> None:
-        """Ids of the chunks ``lead + text`` go into ``chunks``, their indexes into ``into`` (-1: no cut after this one)."""
-        safe = [bool(c) and c[-1] not in WHITE for c in texts]
-        many = [k for k, c in enumerate(texts) if safe[k] and c[0] not in WHITE and SEPARATOR not in c]
+    def _add(self, chunks: pa.Array, lead: str) -> np.ndarray:
+        """Ids of the chunks, after ``lead``, go into ``self.chunks``; returns their indexes there (-1: no cut after this one)."""
+        texts = [c.decode("utf-8", "replace") for c in chunks.to_pylist()]
+        into = np.full(len(texts), -1, np.int64)
+        safe = [k for k, c in enumerate(texts) if c and c[-1] not in WHITE]
+        many = [k for k in safe if texts[k][0] not in WHITE and SEPARATOR not in texts[k]]
         if many:
             found = self.findall(SEPARATOR.join([lead + texts[k] for k in many]))
             ends = np.array([k for k, p in enumerate(found) if p == SEPARATOR] + [len(found)])
             found = [p for p in found if p != SEPARATOR]
-            at = chunks.extend(*self._ids(found, np.diff(ends, prepend=-1) - 1))
+            at = self.chunks.extend(*self._ids(found, np.diff(ends, prepend=-1) - 1))
             into[many] = np.arange(at, at + len(many))
-        for k, c in enumerate(texts):
-            if safe[k] and into[k] < 0:
-                into[k] = self._add_whole(chunks, lead + c)
+        if len(many) < len(safe):
+            for k in safe:
+                if into[k] < 0:
+                    into[k] = self._add_whole(lead + texts[k])
+        return into
 
-    def _add_whole(self, chunks: Ragged, text: str) -> int:
+    def _add_whole(self, text: str) -> int:
         found = self.findall(text)
-        return chunks.extend(*self._ids(found, np.array([len(found)])))
+        return self.chunks.extend(*self._ids(found, np.array([len(found)])))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); null is an empty text."""
-        if len(self.pieces) > self.limit:
+        if len(self.pieces) > self.piece_limit:
             self.pieces, self.piece_ids = {}, Ragged()
+        if len(self.known) > self.chunk_limit:
+            self._forget_chunks()
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         raw = pc.fill_null(texts.cast(pa.binary()), b"")
         cut = pc.split_pattern(raw, " ")
         starts = cut.offsets.to_numpy().astype(np.int64)
-        values = cut.values.dictionary_encode()
-        index = values.indices.to_numpy()
-        distinct = [c.decode("utf-8", "replace") for c in values.dictionary.to_pylist()]
-        head = np.zeros(len(index), bool)
+        head = np.zeros(len(cut.values), bool)
         head[starts[:-1]] = True
-        chunks, which = Ragged(), np.empty(len(index), np.int64)
-        nothing = chunks.extend(np.empty(0, np.int32), np.zeros(1, np.int64))
-        for lead, here in (("", head), (" ", ~head)):
-            used = np.unique(index[here])
-            place = np.full(len(distinct), -1, np.int64)
-            into = np.full(len(used), -1, np.int64)
-            self._add(chunks, [distinct[k] for k in used.tolist()], lead, into)
-            place[used] = into
-            which[here] = place[index[here]]
-        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-        for k in np.unique(owner[which < 0]).tolist():
-            which[starts[k]:starts[k + 1]] = nothing
-            which[starts[k]] = self._add_whole(chunks, (raw[k].as_py()).decode("utf-8", "replace"))
-        flat, count = chunks.take(which)
+        tails = cut.values.filter(pa.array(~head)).dictionary_encode()
+        place = pc.index_in(tails.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)
+        new = np.isnan(place)
+        if new.any():
+            chunks = tails.dictionary.filter(pa.array(new))
+            self.place = np.concatenate([self.place, self._add(chunks, " ")])
+            place[new] = np.arange(len(self.known), len(self.known) + len(chunks))
+            self.known = pa.concat_arrays([self.known, chunks])
+        which = np.empty(len(head), np.int64)
+        which[~head] = self.place[place.astype(np.int64)][tails.indices.to_numpy()]
+        kept = self.chunks.n, self.chunks.used      # what follows is of this call only
+        which[head] = self._add(cut.values.filter(pa.array(head)), "")
+        for k in np.unique(np.searchsorted(starts, np.nonzero(which < 0)[0], side="right") - 1).tolist():
+            which[starts[k]:starts[k + 1]] = 0
+            which[starts[k]] = self._add_whole(raw[k].as_py().decode("utf-8", "replace"))
+        flat, count = self.chunks.take(which)
+        self.chunks.n, self.chunks.used = kept
         ends = np.concatenate([[0], np.cumsum(count)])
         return flat, np.diff(ends[starts])
 

@@ -53,11 +53,11 @@ def test_long_match_like_the_matrix(library):
 
 def test_memo_starts_anew(library):
     bpe = B.ByteBpe(B.read_ranks(PATH), P.PATTERN)
-    bpe.memo.limit = 50
+    bpe.memo.chunk_limit = bpe.memo.piece_limit = 50
     for seed in range(4):
         texts = [t or "" for _, t, _ in rows(seed, 20)]
         assert [x.tolist() for x in bpe.encode(pa.array(texts))] == [library.encode_ordinary(t) for t in texts]
-    assert len(bpe.memo.pieces) < 30_000
+        assert bpe.memo.chunks.n == 1 + np.count_nonzero(bpe.memo.place >= 0)
 
 
 def test_pair_table_finds_all_and_no_other():
