@@ -92,16 +92,21 @@ def block_ts(c: Column | str, ingest_ts: Column) -> Column:
     """ISO-8601 text, naive = UTC (session time zone), ``Z`` accepted;
     missing or unparseable -> the explicit ingest time (not now(), so a
     re-run gives the same rows)."""
-    return F.coalesce(F.nullif(col_(c), F.lit("")).try_cast("timestamp"), ingest_ts)
+    text = F.trim(col_(c))
+    return F.coalesce(F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp")), ingest_ts)
+
+
+# A whole ISO-8601 date, alone or with a time of day: a cast alone would also take "12:30" or "2026".
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}.*)?$"
 
 
 # -- E2: canonical group key ------------------------------------------------
 
 def grouping_key(c: Column | str) -> Column:
-    """Canonical text of a JSON object: keys sorted, no blanks. ``{}``, NULL
-    and malformed text all become ``{}``."""
-    m = json_map(c)
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+    """Canonical text of a JSON object: keys sorted at every depth, no blanks, value types kept
+    (1 and "1" stay apart). ``{}``, NULL, malformed text and other JSON values become ``{}``."""
+    v = F.try_parse_json(col_(c))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v)).otherwise(F.lit("{}"))
 
 
 # -- B19 ---------------------------------------------------------------------

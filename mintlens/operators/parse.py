@@ -47,7 +47,8 @@ NON_ACTIVITY_EVENTS = (
 
 # Keys whose string value names an account, at any depth.
 ACCOUNT_KEYS = ("account", "to", "from", "counterparty", "issuer")
-ACCOUNT_FIELD_PATTERN = r'"(?:' + "|".join(ACCOUNT_KEYS) + r')"\s*:\s*"((?:[^"\\]|\\.)*)"'
+# Possessive and unrolled: no backtracking and no recursion, whatever the length of a value.
+ACCOUNT_FIELD_PATTERN = r'"(?:' + "|".join(ACCOUNT_KEYS) + r')"\s*+:\s*+"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 MARKET_BUY_EVENT = "hitSellOrder"
 
@@ -61,6 +62,18 @@ def blocks_from_json(docs: DataFrame, text_col: str = "value", ingest_ts: Column
             .select("b.*", "ingest_ts"))
 
 
+def unusable_documents(docs: DataFrame, text_col: str = "value", file_col: str | None = None) -> DataFrame:
+    """Documents that cannot become a block, with the reason: text that is not a JSON object, or an
+    object without an integer block number. They are kept as they landed, never skipped."""
+    text = F.col(text_col)
+    number = F.from_json(text, BLOCK_DDL)["blockNumber"]
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    reason = F.when(~is_object, "not a JSON object").when(number.isNull(), "no block number")
+    file = F.col(file_col) if file_col else F.lit(None).cast("string")
+    return (docs.select(file.alias("file"), text.alias("raw"), reason.alias("reason"))
+            .where(F.col("reason").isNotNull() & (F.trim(F.coalesce("raw", F.lit(""))) != "")))
+
+
 def _ops_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in EVENT_OPS.items() for x in kv])
 
@@ -263,8 +276,8 @@ def nft_events(parsed: DataFrame) -> DataFrame:
 
 
 def _sales_exploded(parsed: DataFrame) -> DataFrame:
-    s = parsed.select("he_block", "ts", F.explode_outer("sales").alias("s")).where(F.col("s").isNotNull())
-    return s.select("s.symbol", strict_id(F.col("s.id_raw")).alias("nft_id"), price(F.col("s.price_raw")).alias("price"),
+    s = parsed.select("he_block", "ts", F.posexplode_outer("sales").alias("sale_pos", "s")).where(F.col("s").isNotNull())
+    return s.select("sale_pos", "s.symbol", strict_id(F.col("s.id_raw")).alias("nft_id"), price(F.col("s.price_raw")).alias("price"),
                     "s.price_symbol", "s.seller", "s.buyer", "he_block", "ts", "s.id_raw", "s.price_raw", "s.tx_id")
 
 
@@ -274,10 +287,11 @@ def _sale_ok() -> Column:
             & F.col("he_block").isNotNull())
 
 
-def market_sales(parsed: DataFrame) -> DataFrame:
-    """Completed sales, one row per instance sold."""
+def market_sales(parsed: DataFrame, with_pos: bool = False) -> DataFrame:
+    """Completed sales, one row per instance sold. ``with_pos`` adds ``sale_pos``,
+    the sale's place in its block: of two sales of one instance in a block the first counts."""
     return (_sales_exploded(parsed).where(_sale_ok())
-            .select("symbol", "nft_id", "price", "price_symbol", "seller", "buyer", "he_block", "ts"))
+            .select(*(["sale_pos"] if with_pos else []), "symbol", "nft_id", "price", "price_symbol", "seller", "buyer", "he_block", "ts"))
 
 
 def sales_quarantine(parsed: DataFrame) -> DataFrame:

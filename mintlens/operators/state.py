@@ -31,13 +31,23 @@ BLOCKS_PER_DAY = 28800
 SETTLE_BLOCKS = 1
 
 
+def confirmed(outcomes: DataFrame) -> Column:
+    """The one rule for a fetch that says what a scope holds (C2, C4, C6, C7, C8): it succeeded and was complete
+    (L1/L2: a failed or cut-short fetch confirms nothing and closes nothing)."""
+    complete = F.coalesce(F.col("complete"), F.lit(True)) if "complete" in outcomes.columns else F.lit(True)
+    return F.coalesce(F.col("ok"), F.lit(False)) & complete
+
+
 def confirmed_scopes(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Scopes whose latest fetch succeeded *and* was complete (L1/L2: a failed
-    or truncated fetch is not a confirmed empty result)."""
-    ok = F.col("ok") & (F.coalesce(F.col("complete"), F.lit(True)) if "complete" in outcomes.columns else F.lit(True))
-    latest = (outcomes.groupBy(*keys)
-              .agg(F.max_by(ok, F.struct("fetched_at", ok)).alias("_ok"), F.max("fetched_at").alias("fetched_at")))
-    return latest.where("_ok").select(*keys, "fetched_at")
+    """Scopes with a confirmed fetch, and the time of the latest one; a later failure takes nothing back."""
+    return outcomes.where(confirmed(outcomes)).groupBy(*keys).agg(F.max("fetched_at").alias("fetched_at"))
+
+
+def _of_confirmed_fetch(records: DataFrame, conf: DataFrame, keys: list[str]) -> DataFrame:
+    """The records of each scope's confirmed fetch, with its time as ``_f``. Records that carry their own
+    ``fetched_at`` count only if it is that time, so two fetches of a scope are never mixed."""
+    rows = records.join(conf.withColumnRenamed("fetched_at", "_f"), keys, "inner")
+    return rows.where(F.col("fetched_at") == F.col("_f")).drop("fetched_at") if "fetched_at" in records.columns else rows
 
 
 def replace_scopes(cur: DataFrame, new: DataFrame, confirmed: DataFrame, scope_keys: list[str],
@@ -84,7 +94,7 @@ def apply_holdings(cur: DataFrame, fetched: DataFrame, outcomes: DataFrame) -> D
     An instance fetched for a new owner replaces a stale row of its old
     owner when the fetch is newer (ties: the fetched row wins), L16."""
     conf = confirmed_scopes(outcomes, ["account", "symbol"])
-    new = (fetched.join(conf.withColumnRenamed("fetched_at", "_f"), ["account", "symbol"], "inner")
+    new = (_of_confirmed_fetch(fetched, conf, ["account", "symbol"])
            .withColumn("refreshed_at", F.coalesce(F.col("refreshed_at"), F.col("_f")) if "refreshed_at" in fetched.columns else F.col("_f"))
            .drop("_f"))
     c = cur.withColumn("_src", F.lit(0))
@@ -102,10 +112,11 @@ def apply_book(cur: DataFrame, orders: DataFrame, outcomes: DataFrame) -> DataFr
     (complete); on a duplicate nft_id the first record (lowest ``pos``)
     wins. A failed or cut-short snapshot keeps the old book (L1)."""
     conf = confirmed_scopes(outcomes, ["symbol"])
-    new = orders if "pos" in orders.columns else orders.withColumn("pos", F.lit(0))
+    new = _of_confirmed_fetch(orders if "pos" in orders.columns else orders.withColumn("pos", F.lit(0)), conf, ["symbol"])
     c = cur.withColumn("_pos", F.lit(None).cast("bigint"))
-    n = new.withColumn("_pos", F.col("pos").cast("bigint")).drop("pos").select(*c.columns)
-    order = -F.coalesce(F.col("_pos"), F.lit(0))
+    n = new.withColumn("_pos", F.col("pos").cast("bigint")).select(*c.columns)
+    # records without a position tie; then the cheapest, then the first account by name
+    order = F.struct(-F.coalesce(F.col("_pos"), F.lit(0)), -F.col("price"), F.col("account"))
     return replace_scopes(c, n, conf, ["symbol"], ["symbol", "nft_id"], order).drop("_pos")
 
 
@@ -159,8 +170,7 @@ def apply_account_passes(accounts: DataFrame, outcomes: DataFrame) -> DataFrame:
     moves an account's ``refreshed_at``, and the first one sets
     ``populated_at``; targeted passes never do. Accounts first seen in a full
     pass are added as tracked."""
-    ok = F.col("ok") & (F.coalesce(F.col("complete"), F.lit(True)) if "complete" in outcomes.columns else F.lit(True))
-    passes = (outcomes.where((F.col("symbol") == "") & ok).groupBy("account")
+    passes = (outcomes.where((F.col("symbol") == "") & confirmed(outcomes)).groupBy("account")
               .agg(F.min("fetched_at").alias("_first"), F.max("fetched_at").alias("_last")))
     j = accounts.join(passes, "account", "full")
     return j.select(
@@ -189,8 +199,8 @@ def pending_scopes(touches: DataFrame, outcomes: DataFrame, tracked: DataFrame,
                    base_s: int = RETRY_BASE_SECONDS, cap_s: int = RETRY_CAP_SECONDS) -> DataFrame:
     """Open work per (account, symbol) at ``as_of``.
 
-    A scope is pending when it was touched after its last successful fetch
-    (or never fetched), or when fetches failed since that success. Touches
+    A scope is pending when it was touched after its last confirmed fetch
+    (or never fetched), or when fetches failed or were cut short since. Touches
     of untracked accounts are ignored (D6). ``attempts`` counts failures
     since the last success (L5); ``not_before`` = last failure +
     least(base * 2^(attempts-1), cap) seconds, else the queue time.
@@ -200,8 +210,8 @@ def pending_scopes(touches: DataFrame, outcomes: DataFrame, tracked: DataFrame,
     touch = (touches.where(F.col("touched_at") <= t).join(tr, "account", "left_semi")
              .groupBy("account", "symbol").agg(F.max("touched_at").alias("last_touch")))
     o = outcomes.where(F.col("fetched_at") <= t)
-    last_ok = o.where("ok").groupBy("account", "symbol").agg(F.max("fetched_at").alias("last_ok"))
-    fails = (o.where(~F.col("ok")).join(last_ok, ["account", "symbol"], "left")
+    last_ok = o.where(confirmed(o)).groupBy("account", "symbol").agg(F.max("fetched_at").alias("last_ok"))
+    fails = (o.where(~confirmed(o)).join(last_ok, ["account", "symbol"], "left")
              .where(F.col("last_ok").isNull() | (F.col("fetched_at") > F.col("last_ok")))
              .groupBy("account", "symbol")
              .agg(F.count(F.lit(1)).alias("attempts"), F.max("fetched_at").alias("last_fail")))
@@ -229,7 +239,7 @@ def dirty_symbols(events: DataFrame, book_outcomes: DataFrame) -> DataFrame:
     else:
         flagged = (events.where(F.col("op").startswith("market_") & F.col("symbol").isNotNull())
                    .groupBy("symbol").agg(F.max("ts").alias("flagged_at")))
-    snap = book_outcomes.where("ok").groupBy("symbol").agg(F.max("fetched_at").alias("last_snapshot"))
+    snap = book_outcomes.where(confirmed(book_outcomes)).groupBy("symbol").agg(F.max("fetched_at").alias("last_snapshot"))
     j = flagged.join(snap, "symbol", "left")
     return j.where(F.col("last_snapshot").isNull() | (F.col("flagged_at") > F.col("last_snapshot")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ...operators import market, state
 from ...sources import fixtures as fx
 from .common import ORACLE, comparable, fresh_dir, register
-from .parsing import ev_sql, fx_blocks
+from .parsing import ev_sql, fx_blocks, fx_parsed
 from .snapshots import book_fixture
 
 
@@ -19,22 +19,20 @@ from .snapshots import book_fixture
 SELECT he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price,
        price_symbol, tx_id, bts AS ts FROM ev WHERE he_block < (SELECT MAX(he_block) FROM ev)"""))
 def q_stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Land the block documents as two JSON-lines files (even and odd blocks,
-    so the second batch also brings blocks older than the first one's head),
-    drain them with the streaming capture (one file per micro-batch, settle
-    margin 1), read the activity sink back. The newest block stays held back
-    by the margin."""
+    """Land the block documents as JSON lines (even blocks in one half of the files, odd ones in
+    the other, so later batches also bring blocks older than an earlier one's head), drain them with the
+    streaming capture (half of the files in a micro-batch, settle margin 1), read the activity sink
+    back. The newest block stays held back by the margin."""
     from ...streaming import capture
     root = fresh_dir(spark, "stream-capture")
     landing = f"{root}/landing"
-    docs = fx.fx_block_docs(spark, sf_dir).persist()
-    for part, parity in (("even", 0), ("odd", 1)):
-        docs.where(F.col("he_block") % 2 == parity).select("value").coalesce(1).write.text(f"{landing}/{part}")
-    docs.unpersist()
+    docs = fx.fx_block_docs(spark, sf_dir)
+    docs.select("value", (F.col("he_block") % 2).alias("odd")).write.partitionBy("odd").text(landing)
+    files = spark.read.text(landing).select(F.col("_metadata.file_path")).distinct().count()
     q = capture.start_capture(spark, f"{landing}/*", f"{root}/sinks", checkpoint=f"{root}/checkpoint",
-                              max_files_per_trigger=1)
+                              max_files_per_trigger=-(-files // 2))
     q.awaitTermination()
-    ev = spark.read.parquet(f"{root}/sinks/nft_events").drop("dt")
+    ev = spark.read.parquet(f"{root}/sinks/nft_events").drop("bucket")
     return comparable(ev)
 
 
@@ -125,7 +123,7 @@ def q_run_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = capture.read_blocks(spark, f"{root}/landing").agg(F.min("blockNumber"), F.max("blockNumber")).first()
     chunk = max(1, -(-(hi - lo + 1) // 4))
     capture.run_backfill(spark, f"{root}/landing", f"{root}/sink", target=lo, chunk_blocks=chunk, start_below=hi + 1)
-    return comparable(spark.read.parquet(f"{root}/sink/nft_events").drop("dt"))
+    return comparable(spark.read.parquet(f"{root}/sink/nft_events").drop("bucket"))
 
 
 RETAIN_SINK_AS_OF = "2024-02-15 00:00:00"
@@ -133,12 +131,70 @@ RETAIN_SINK_AS_OF = "2024-02-15 00:00:00"
 
 @register("retain_sink", ev_sql(f"""
 SELECT he_block, tx_seq, ts FROM (SELECT he_block, tx_seq, bts AS ts FROM ev) e
-WHERE CAST(ts AS DATE) >= CAST(TIMESTAMP '{RETAIN_SINK_AS_OF}' - INTERVAL 30 DAY AS DATE)"""))
+WHERE ts >= TIMESTAMP '{RETAIN_SINK_AS_OF}' - INTERVAL 30 DAY"""))
 def q_retain_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The captured activity sink after the daily retention job (whole
-    days older than the 30-day window are dropped)."""
+    """The captured activity sink after the retention job (whole buckets older than the 30-day window are
+    dropped), read with the exact window."""
     from ...streaming import capture
     root = fresh_dir(spark, "retention")
-    capture.backfill(spark, fx_blocks(spark, sf_dir), root)
+    capture.backfill(spark, fx_blocks(spark, sf_dir), root, bucket_blocks=50)
     capture.retain_sink(spark, f"{root}/nft_events", RETAIN_SINK_AS_OF, days=30)
-    return spark.read.parquet(f"{root}/nft_events").select("he_block", "tx_seq", "ts")
+    return state.retain(spark.read.parquet(f"{root}/nft_events"), RETAIN_SINK_AS_OF).select("he_block", "tx_seq", "ts")
+
+
+# -- documents that are no block, and blocks that come again --------------------------
+
+@register("block_quarantine", ev_sql("""
+SELECT raw, reason FROM (
+  SELECT DISTINCT '{"blockNumber":' || CAST(he_block AS VARCHAR) || ',' AS raw, 'not a JSON object' AS reason
+  FROM ev WHERE he_block % 20 = 7
+  UNION ALL SELECT DISTINCT '{"tag":' || CAST(he_block AS VARCHAR) || ',"transactions":[]}', 'no block number'
+  FROM ev WHERE he_block % 20 = 3
+  UNION ALL SELECT DISTINCT '[' || CAST(he_block AS VARCHAR) || ']', 'not a JSON object' FROM ev WHERE he_block % 20 = 11) q"""))
+def q_block_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut short, without a number or of another shape land between good ones and are captured in two
+    batches, the second of which brings everything again: each is kept once, with its reason."""
+    from ...streaming import capture
+    root = fresh_dir(spark, "quarantine")
+    docs = fx.fx_block_docs(spark, sf_dir)
+    n, text = F.col("he_block"), F.col("he_block").cast("string")
+    bad = (F.when(n % 20 == 7, F.concat(F.lit('{"blockNumber":'), text, F.lit(",")))
+           .when(n % 20 == 3, F.concat(F.lit('{"tag":'), text, F.lit(',"transactions":[]}')))
+           .when(n % 20 == 11, F.concat(F.lit("["), text, F.lit("]"))))
+    lines = docs.select(F.explode(F.array_compact(F.array("value", bad))).alias("value"))
+    lines.write.text(f"{root}/landing")
+    body = capture.BlockCapture(f"{root}/sinks")
+    landed = capture.landed_lines(spark, f"{root}/landing")
+    for epoch in (0, 1):
+        body(landed, epoch)
+    return spark.read.parquet(f"{root}/sinks/block_quarantine").select("raw", "reason")
+
+
+REPLAYS = ("2024-01-01 00:00:00", "2024-01-05 00:00:00")
+
+
+@register("replayed_sales", ev_sql(f"""
+SELECT symbol, nft_id, CAST(price AS DOUBLE) AS price, price_symbol, counterparty AS seller, account AS buyer,
+       he_block * 10 + tx_seq AS he_block, TIMESTAMP '{REPLAYS[0]}' AS ts
+FROM ev WHERE op = 'market_buy'"""))
+def q_replayed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks without a time, each with two sales of one instance, captured and redelivered with
+    ingest times four days apart: one row a sale, the first of the block, with the first ingest time."""
+    from ...operators import parse
+    from ...streaming import capture
+    root = fresh_dir(spark, "replay")
+    e = parse.nft_events(fx_parsed(spark, sf_dir)).where("op = 'market_buy'")
+    sale = lambda p: F.struct(F.col("nft_id").cast("string").alias("id"), p.cast("string").alias("price"),
+                              F.col("price_symbol").alias("symbol"))
+    data = F.struct("symbol", F.col("account"), F.array(F.struct(
+        F.col("counterparty").alias("account"), F.array(sale(F.col("price")), sale(F.col("price") / 2)).alias("nftSales"))).alias("sellers"))
+    logs = F.struct(F.array(F.struct(F.lit("nftmarket").alias("contract"), F.lit("hitSellOrder").alias("event"),
+                                     data.alias("data"))).alias("events"))
+    tx = F.struct(F.lit("nftmarket").alias("contract"), F.lit("buy").alias("action"), F.col("account").alias("sender"),
+                  F.col("tx_id").alias("transactionId"), logs.alias("logs"))
+    docs = e.select(F.to_json(F.struct((F.col("he_block") * 10 + F.col("tx_seq")).alias("blockNumber"),
+                                       F.array(tx).alias("transactions"))).alias("value"))
+    for epoch, at in enumerate(REPLAYS):
+        batch = docs.withColumn("ingest_ts", F.lit(at).cast("timestamp"))
+        capture.BlockCapture(root, margin=0)(batch, epoch)
+    return comparable(spark.read.parquet(f"{root}/market_sales").drop("bucket"))

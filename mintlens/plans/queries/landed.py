@@ -56,7 +56,7 @@ def q_landed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + B2 from files: the catalog snapshot landed as JSON lines."""
     from ...sources.snapshots import normalize_catalog, read_catalog
     root = fresh_dir(spark, "catalog-snapshot")
-    raw = catalog_snapshot_raw(spark, sf_dir).drop("pos")
+    raw = catalog_snapshot_raw(spark, sf_dir)
     raw.select(F.to_json(F.struct(*raw.columns)).alias("value")).write.text(root)
     return nullable_counts_as_double(normalize_catalog(read_catalog(spark, root)).select(
         "symbol", "name", "org_name", "supply", "circulating_supply", "max_supply", "url"),
@@ -77,8 +77,7 @@ def q_landed_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders.select(rec.alias("value")).write.text(f"{root}/orders")
     outcomes.write.json(f"{root}/outcomes")
     raw, outc = read_book_snapshots(spark, f"{root}/orders", f"{root}/outcomes")
-    pos = spark.read.schema("symbol string, nftId string, price string, pos bigint").json(f"{root}/orders")
-    book = (normalize_orders(raw.join(pos, ["symbol", "nftId", "price"]), keep=("pos",))
+    book = (normalize_orders(raw, keep=("pos",))
             .select("symbol", "nft_id", "account", "owned_by", "price", "price_symbol",
                     F.col("grouping").alias("grouping_key"), "ts", "pos"))
     return comparable(state.apply_book(fx.fx_orders(spark, sf_dir), book, outc))

@@ -30,10 +30,10 @@ def catalog_snapshot_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SYM"), key.cast("string")).alias("symbol"), F.col("p_name").alias("name"),
         F.lit("snap").alias("orgName"), (1000 + key * 10).alias("supply"),
         (1000 + key * 10 - F.col("p_size")).alias("circulatingSupply"),
-        F.when(pk % 3 == 0, F.lit(0)).otherwise(pk * 10).alias("maxSupply")))
+        F.when(pk % 3 == 0, F.lit(0)).otherwise(pk * 10).alias("maxSupply"), pk.alias("pos")))
     rec = F.concat(F.lit('{"metadata":'), meta, F.lit(","), F.substring(rest, 2, 1 << 30))
     from ...schemas import CATALOG_RAW_DDL
-    return p.select(F.from_json(rec, CATALOG_RAW_DDL).alias("r"), pk.alias("pos")).select("r.*", "pos")
+    return p.select(F.from_json(rec, CATALOG_RAW_DDL).alias("r")).select("r.*")
 
 
 CATALOG_SNAP_SQL = """snap_all AS (
@@ -160,7 +160,7 @@ def book_fixture(spark: SparkSession, sf_dir: str):
     from ...schemas import ORDER_RAW_DDL
     from ...sources.snapshots import normalize_orders
     docs = d.select(rec(0, k * 2).alias("r")).unionByName(d.where(k % 5 == 0).select(rec(1, k * 2 + 1).alias("r")))
-    raw = docs.select(F.from_json(F.to_json("r"), ORDER_RAW_DDL).alias("o"), F.col("r.pos").alias("pos")).select("o.*", "pos")
+    raw = docs.select(F.from_json(F.to_json("r"), ORDER_RAW_DDL).alias("o")).select("o.*")
     orders = normalize_orders(raw, keep=("pos",)).select(
         "symbol", "nft_id", "account", "owned_by", "price", "price_symbol",
         F.col("grouping").alias("grouping_key"), "ts", "pos")
@@ -211,12 +211,11 @@ def q_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.retain(fx.fx_events(spark, sf_dir), RETAIN_AS_OF).select("he_block", "tx_seq", "ts")
 
 
-SETTLE_HEAD = 500
-
-
-@register("settled_blocks", ev_sql(f"SELECT DISTINCT he_block FROM ev WHERE he_block <= {SETTLE_HEAD} - 1"))
+@register("settled_blocks", ev_sql("SELECT DISTINCT he_block FROM ev WHERE he_block <= (SELECT max(he_block) FROM ev) - 1"))
 def q_settled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.settled_blocks(parse.typed_blocks(fx_blocks(spark, sf_dir)), SETTLE_HEAD).select("he_block")
+    """B18 below the highest block that has landed."""
+    blocks = parse.typed_blocks(fx_blocks(spark, sf_dir)).select("he_block")
+    return state.settled_blocks(blocks, blocks.agg(F.max("he_block")).first()[0])
 
 
 ACCOUNTS_AS_OF = "2001-08-01 03:00:00"

@@ -28,10 +28,10 @@ SALE_COLS = ["symbol", "nft_id", "price", "price_symbol", "seller", "buyer", "he
 CATALOG_RAW_DDL = ("symbol string, name string, orgName string, productName string, issuer string, "
                    "metadata string, groupBy string, properties string, delegationEnabled string, "
                    "marketEnabled string, supply string, circulatingSupply string, maxSupply string, "
-                   "undelegationCooldown string")
+                   "undelegationCooldown string, pos string")
 HOLDING_RAW_DDL = ("symbol string, _id string, account string, ownedBy string, delegatedTo string, "
-                   "delegatedToType string, soulbound string, soulBound string, properties string")
+                   "delegatedToType string, soulbound string, soulBound string, properties string, fetchedAt string")
 ORDER_RAW_DDL = ("symbol string, _id string, nftId string, account string, ownedBy string, price string, "
-                 "priceSymbol string, fee string, timestamp string, grouping string")
+                 "priceSymbol string, fee string, timestamp string, grouping string, pos string, fetchedAt string")
 # Fetch outcome per scope (account, symbol) or per symbol for books.
 OUTCOME_DDL = "account string, symbol string, ok boolean, complete boolean, fetched_at timestamp"

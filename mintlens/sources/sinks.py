@@ -19,10 +19,25 @@ from ..functions import decimal_text, iso_ts
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The sink, or None before its first write (no folder, or none with a file). Any other error is raised:
+    taking it for an empty sink would append everything again."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_buckets(spark: SparkSession, path: str, part_col: str, lo: int, hi: int, schema: T.StructType) -> DataFrame | None:
+    """The partitions ``part_col`` = lo .. hi of a sink, by their folders and with a known schema: neither the
+    other partitions nor any file footer is looked at. None if there are none."""
+    hpath, fs = _hadoop_fs(spark, path)
+    if not fs.exists(hpath):
         return None
+    found = [s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory()]
+    folders = [f"{path}/{n}" for n in found if n.startswith(part_col + "=") and lo <= int(n.split("=", 1)[1]) <= hi]
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders) if folders else None
 
 
 def dedupe_keys(df: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
@@ -40,18 +55,21 @@ def dedupe_keys(df: DataFrame, key: list[str], order: list[str] | None = None) -
 def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[str],
                       order: list[str] | None = None, range_col: str | None = None,
                       partition_by: list[str] | None = None, bounds: tuple | None = None,
-                      unique: bool = False, prune: F.Column | None = None) -> None:
+                      unique: bool = False, buckets: list[int] | None = None, drop: tuple[str, ...] = ()) -> None:
     """Insert rows whose key is not yet in the sink (ON CONFLICT DO
     NOTHING), de-duplicated within the batch. ``bounds`` = the (lo, hi) of
     ``range_col`` in the batch when the caller already knows it; ``unique``
     = the key is unique within the batch by construction (no dedupe shuffle);
-    ``prune`` = an extra predicate on the sink (e.g. the batch's date
-    partitions), so only the partitions the batch can collide with are read."""
-    rows = new if unique else dedupe_keys(new, key, order)
-    existing = read_if_exists(spark, path)
+    ``buckets`` = the first and last value of the integer partition column that
+    the batch can collide with: only those partitions are read; ``drop`` =
+    columns that order the duplicates and are not stored."""
+    rows = (new if unique else dedupe_keys(new, key, order)).drop(*drop)
+    if buckets is None:
+        existing = read_if_exists(spark, path)
+    else:
+        existing = read_buckets(spark, path, partition_by[0], *buckets, rows.schema)
     if existing is not None:
-        have = existing if prune is None else existing.where(prune)
-        have = have.select(*key)
+        have = existing.select(*key)
         if range_col is not None:
             lo, hi = bounds if bounds is not None else rows.agg(F.min(range_col), F.max(range_col)).first()
             if lo is None:
@@ -133,19 +151,3 @@ def drop_partitions(spark: SparkSession, path: str, part_col: str, values: list[
             fs.delete(st.getPath(), True)
             removed.append(name)
     return removed
-
-
-def drop_partitions_before(spark: SparkSession, path: str, part_col: str, cutoff: str) -> list[str]:
-    """Retention helper (B17/I6): delete ``part_col=<value>`` folders whose
-    value sorts before ``cutoff`` (ISO dates sort as text). Returns the
-    removed folder names."""
-    hpath, fs = _hadoop_fs(spark, path)
-    removed = []
-    if not fs.exists(hpath):
-        return removed
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(part_col + "=") and name.split("=", 1)[1] < cutoff:
-            fs.delete(st.getPath(), True)
-            removed.append(name)
-    return removed

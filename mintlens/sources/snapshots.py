@@ -40,6 +40,13 @@ def read_book_snapshots(spark: SparkSession, path: str, outcomes_path: str) -> t
     return _read(spark, path, ORDER_RAW_DDL), _read(spark, outcomes_path, OUTCOME_DDL)
 
 
+def _extra(keep: tuple[str, ...]) -> list[F.Column]:
+    """Further columns of a landed record: its position in the snapshot (``pos``), the time of the fetch
+    it belongs to (``fetched_at``), or any other as it is."""
+    typed = {"pos": strict_id("pos").alias("pos"), "fetched_at": F.col("fetchedAt").try_cast("timestamp").alias("fetched_at")}
+    return [typed.get(k, F.col(k)) for k in keep]
+
+
 def _json_text(c, default: str) -> F.Column:
     """Keep JSON text when it parses (object or array per ``default``), else
     the default (dual encoding, B1)."""
@@ -52,7 +59,7 @@ def normalize_catalog(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     flags by truthiness. ``market_enabled`` is not taken from the catalog
     (L6): it is derived from the book (C5). ``keep`` passes extra columns."""
     meta = json_map("metadata")
-    return raw.select(*keep,
+    return raw.select(*_extra(keep),
         "symbol", "name", F.col("orgName").alias("org_name"), F.col("productName").alias("product_name"),
         "issuer", meta["url"].alias("url"), _json_text("metadata", "{}").alias("metadata"),
         F.coalesce(F.from_json("groupBy", "array<string>"), F.array().cast("array<string>")).alias("group_by"),
@@ -63,16 +70,16 @@ def normalize_catalog(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         strict_id("undelegationCooldown").cast("int").alias("undelegation_cooldown_days"))
 
 
-def normalize_holdings(raw: DataFrame) -> DataFrame:
+def normalize_holdings(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``_id`` -> nft_id; ownedBy default 'u'; delegatedTo as an object
     ({account, ownedBy}) or a plain string; soulbound under either spelling;
-    properties parsed (default ``{}``)."""
+    properties parsed (default ``{}``). ``keep`` passes extra columns (e.g. ``fetched_at``)."""
     # the two spellings differ only in letter case: rename by position first
     raw = raw.toDF(*["soulBound_camel" if c == "soulBound" else c for c in raw.columns])
     d = F.col("delegatedTo")
     deleg = F.from_json(d, "map<string,string>")
     is_obj = deleg.isNotNull()
-    return raw.select(
+    return raw.select(*_extra(keep),
         "symbol", strict_id("_id").alias("nft_id"), "account",
         F.coalesce(F.col("ownedBy"), F.lit("u")).alias("owned_by"),
         F.when(is_obj, deleg["account"]).otherwise(d).alias("delegated_to"),
@@ -85,7 +92,7 @@ def normalize_orders(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """nftId -> bigint, price -> decimal, epoch-ms -> timestamp, grouping
     default ``{}``. ``keep`` passes extra columns through (e.g. page position)."""
     g = F.col("grouping")
-    return raw.select(*keep,
+    return raw.select(*_extra(keep),
         "symbol", strict_id("nftId").alias("nft_id"), "account",
         F.coalesce(F.col("ownedBy"), F.lit("u")).alias("owned_by"),
         price("price").alias("price"), F.col("priceSymbol").alias("price_symbol"),
@@ -104,6 +111,7 @@ def read_mappings(spark: SparkSession, path: str) -> DataFrame:
 def add_mapping_versions(cur: DataFrame, new: DataFrame) -> DataFrame:
     """A5: rules are append-only versions -- new (symbol, version) rows are
     added, an existing (symbol, version) is kept as it is."""
-    fresh = new.dropDuplicates(["symbol", "version"]).join(
+    # copies of a version that differ: the least text wins, on every run
+    fresh = new.groupBy("symbol", "version").agg(F.min("mapping").alias("mapping")).join(
         cur.select("symbol", "version"), ["symbol", "version"], "left_anti")
     return cur.unionByName(fresh.select(*cur.columns))

@@ -9,7 +9,7 @@ each micro-batch in ``foreachBatch``:
 2. parse once (B14, cached for the batch) into activity rows, sales,
    touched scopes and market flags;
 3. append every output with :func:`append_idempotent` (A6), so replays after
-   a crash or a lost executor add nothing (I5);
+   a crash or a lost executor add nothing (I5); documents that are no block go to ``block_quarantine``;
 4. record progress (last settled block) in a ``pipeline_state`` table.
 
 Backfill (I7, C13) runs the same batch function over a historical range in
@@ -31,6 +31,13 @@ from ..session import scratch_path
 from ..sources.sinks import append_idempotent, read_if_exists
 
 SETTLE_MARGIN = 1
+BLOCKS_PER_BUCKET = 28800       # blocks of a sink partition: a day at one block in three seconds
+
+
+def landed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Landed documents as text, one a row: (value, file, ingest_ts)."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                        F.col("_metadata.file_modification_time").alias("ingest_ts"))
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -39,25 +46,47 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("ingest_ts", F.col("_metadata.file_modification_time")))
 
 
+def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A1 (stream): landed documents as text with file and ingest time, as a streaming source."""
+    r = spark.readStream.option("maxFilesPerTrigger", int(max_files_per_trigger)) if max_files_per_trigger else spark.readStream
+    return r.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                               F.col("_metadata.file_modification_time").alias("ingest_ts"))
+
+
 def stream_blocks(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A1 (stream): the same documents as a streaming source."""
-    r = spark.readStream.schema(BLOCK_DDL)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return r.json(path).withColumn("ingest_ts", F.col("_metadata.file_modification_time"))
+    """A1 (stream): the same documents as typed blocks."""
+    return parse.blocks_from_json(stream_lines(spark, path, max_files_per_trigger), ingest_ts=F.col("ingest_ts"))
+
+
+def one_copy(blocks: DataFrame) -> DataFrame:
+    """One copy of each block number. Copies that differ are ordered by a hash of their content, so every
+    run keeps the same one; the aggregation ships one copy a map task."""
+    rest = [c for c in blocks.columns if c != "blockNumber"]
+    content = F.struct(F.xxhash64(*[c for c in rest if c != "ingest_ts"]), *[c for c in ("ingest_ts",) if c in rest])
+    return blocks.groupBy("blockNumber").agg(F.min_by(F.struct(*rest), content).alias("_b")).select("blockNumber", "_b.*").select(
+        *blocks.columns)
+
+
+def block_bucket(block: F.Column, size: int = BLOCKS_PER_BUCKET) -> F.Column:
+    """The sink partition of a block: about a day of blocks. It depends on the block number alone, so a block
+    that is captured again, with whatever time, meets its earlier rows."""
+    return F.floor(block / size).cast("bigint")
 
 
 class BlockCapture:
-    """The foreachBatch body; also usable directly on a batch DataFrame."""
+    """The foreachBatch body; also usable directly on a batch DataFrame of typed blocks, or of
+    text documents (``value``, optionally ``file`` and ``ingest_ts``), whose unusable ones go to the
+    ``block_quarantine`` sink."""
 
     def __init__(self, sink_root: str, mode: str = "live", margin: int = SETTLE_MARGIN,
-                 starting_block: int | None = None):
+                 starting_block: int | None = None, bucket_blocks: int = BLOCKS_PER_BUCKET):
         if mode not in ("live", "backfill"):
             raise ValueError("mode must be 'live' or 'backfill'")
         self.root = sink_root
         self.mode = mode
         self.margin = int(margin)
         self.starting_block = starting_block
+        self.bucket_blocks = int(bucket_blocks)
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -69,7 +98,8 @@ class BlockCapture:
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        blocks = batch.persist()
+        batch = batch.persist()
+        blocks = self.quarantine(spark, batch) if "value" in batch.columns else batch
         if self.starting_block is not None:
             blocks = blocks.where(F.col("blockNumber") >= int(self.starting_block))
         settle = self.margin > 0 and self.mode == "live"
@@ -82,24 +112,23 @@ class BlockCapture:
         # block range and writes one or two date partitions
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         landed = blocks
-        blocks = blocks.dropDuplicates(["blockNumber"]).repartitionByRange(n, "blockNumber")
+        blocks = one_copy(blocks).repartitionByRange(n, "blockNumber")
         parsed = parse.parse_blocks(blocks).persist()
         try:
             # one pass over the parse gives the head (for the settle cut) and
-            # the block and date ranges (for pruning the idempotency checks)
-            r = parsed.agg(F.min("he_block").alias("lo"), F.max("he_block").alias("hi"),
-                           F.min(F.to_date("ts")).alias("dlo"), F.max(F.to_date("ts")).alias("dhi")).first()
+            # the block range (for pruning the idempotency checks)
+            r = parsed.agg(F.min("he_block").alias("lo"), F.max("he_block").alias("hi")).first()
             hi = r["hi"]
             if settle and hi is not None:
                 cut = int(hi) - self.margin
                 # held blocks come from the cached batch (no second shuffle)
-                (landed.where(F.col("blockNumber") > cut).dropDuplicates(["blockNumber"]).write.mode("overwrite")
+                (one_copy(landed.where(F.col("blockNumber") > cut)).write.mode("overwrite")
                  .parquet(self.path(f"held/epoch={epoch_id}")))
                 parsed_out, hi = parsed.where(F.col("he_block") <= cut), cut
             else:
                 parsed_out = parsed
             if hi is not None and r["lo"] is not None and r["lo"] <= hi:
-                self.write_outputs(spark, parsed_out, (r["lo"], hi), (r["dlo"], r["dhi"]))
+                self.write_outputs(spark, parsed_out, (r["lo"], hi))
             (spark.range(1).select(F.lit(epoch_id).alias("epoch"), F.lit(self.mode).alias("mode"),
                                    F.lit(r["lo"]).cast("bigint").alias("first_block"),
                                    F.lit(hi).cast("bigint").alias("last_block"),
@@ -109,32 +138,36 @@ class BlockCapture:
             parsed.unpersist()
             batch.unpersist()
 
-    def write_outputs(self, spark: SparkSession, parsed: DataFrame, bounds: tuple, days: tuple) -> None:
-        """Append every output. Sinks are partitioned by block date ``dt``;
-        the idempotency check reads only the batch's date partitions and
-        block range. Activity keys (he_block, tx_seq), per-block scopes and
-        flags are unique by construction (blocks were de-duplicated)."""
-        prune = F.col("dt").between(F.lit(days[0]), F.lit(days[1]))
-
-        def put(df, name, key, unique, order=None):
-            append_idempotent(spark, df.withColumn("dt", F.to_date(df["_day_ts"])).drop("_day_ts"),
-                              self.path(name), key, order=order, range_col="he_block", partition_by=["dt"],
-                              bounds=bounds, unique=unique, prune=prune)
+    def quarantine(self, spark: SparkSession, docs: DataFrame) -> DataFrame:
+        """The typed blocks of text documents; those that cannot be a block are kept, once each, with the
+        reason and the file they landed in."""
+        bad = parse.unusable_documents(docs, file_col="file" if "file" in docs.columns else None)
+        bad = bad.groupBy("raw").agg(F.min("file").alias("file"), F.min("reason").alias("reason"))
+        append_idempotent(spark, bad.withColumn("id", F.sha2("raw", 256)), self.path("block_quarantine"), ["id"], unique=True)
+        ingest = F.col("ingest_ts") if "ingest_ts" in docs.columns else F.lit(None).cast("timestamp")
+        return parse.blocks_from_json(docs, ingest_ts=ingest).where(F.col("blockNumber").isNotNull())
+
+    def write_outputs(self, spark: SparkSession, parsed: DataFrame, bounds: tuple) -> None:
+        """Append every output. Sinks are partitioned by block bucket; the idempotency check reads only the
+        partitions of the batch's buckets, with a known schema. Activity keys (he_block, tx_seq), per-block
+        scopes and flags are unique by construction (blocks were de-duplicated)."""
+        def put(df, name, key, unique, order=None, drop=()):
+            append_idempotent(spark, df.withColumn("bucket", block_bucket(F.col("he_block"), self.bucket_blocks)), self.path(name), key, order=order,
+                              range_col="he_block", partition_by=["bucket"], bounds=bounds, unique=unique,
+                              buckets=[b // self.bucket_blocks for b in bounds], drop=drop)
 
         ev = parse.nft_events(parsed)
-        put(ev.withColumn("_day_ts", F.col("ts")), "nft_events", ["he_block", "tx_seq"], True)
-        sales = parse.market_sales(parsed)
-        put(sales.withColumn("_day_ts", F.col("ts")), "market_sales", ["symbol", "nft_id", "he_block"], False,
-            order=["ts", "price", "seller", "buyer"])
-        q = parse.sales_quarantine(parsed)
-        put(q.withColumn("_day_ts", F.col("ts")), "quarantine", ["he_block", "tx_id", "seller", "id_raw"], False)
+        put(ev, "nft_events", ["he_block", "tx_seq"], True)
+        # of two sales of one instance in a block, the first in the block counts
+        put(parse.market_sales(parsed, with_pos=True), "market_sales", ["symbol", "nft_id", "he_block"], False,
+            order=["sale_pos"], drop=("sale_pos",))
+        put(parse.sales_quarantine(parsed), "quarantine", ["he_block", "sale_pos"], True)
         if self.mode == "live":
-            sc = parse.touch_scopes(parsed)
-            put(sc.withColumn("_day_ts", F.col("touched_at")), "touch_scopes", ["he_block", "account", "symbol"], True)
+            put(parse.touch_scopes(parsed), "touch_scopes", ["he_block", "account", "symbol"], True)
             # live-only flags (C8): backfilled history must not mark books dirty
             flags = (ev.where(F.col("op").startswith("market_"))
                      .groupBy("he_block", "symbol").agg(F.max("ts").alias("flagged_at")))
-            put(flags.withColumn("_day_ts", F.col("flagged_at")), "market_flags", ["he_block", "symbol"], True)
+            put(flags, "market_flags", ["he_block", "symbol"], True)
 
 
 def start_capture(spark: SparkSession, landing, sink_root: str, checkpoint: str | None = None,
@@ -146,21 +179,25 @@ def start_capture(spark: SparkSession, landing, sink_root: str, checkpoint: str
     ``landing`` is a folder of JSON-lines block documents, or any streaming
     DataFrame with a string column ``value`` holding one document per row
     (e.g. a message-bus source: ``readStream.format(...).load()
-    .selectExpr("CAST(value AS STRING) AS value")``)."""
+    .selectExpr("CAST(value AS STRING) AS value", "timestamp AS ingest_ts")``). Its ``ingest_ts`` is the block
+    time of documents without a good one and must come from the source, so that a redelivery gives the same rows."""
     cp = checkpoint or scratch_path(spark, "capture-checkpoint")
     body = BlockCapture(sink_root, mode=mode, margin=margin, starting_block=starting_block)
     if isinstance(landing, DataFrame):
-        source = parse.blocks_from_json(landing, ingest_ts=F.current_timestamp())
+        if "ingest_ts" not in landing.columns:
+            raise ValueError("a document stream needs an ingest_ts column from its source")
+        source = landing
     else:
-        source = stream_blocks(spark, landing, max_files_per_trigger)
+        source = stream_lines(spark, landing, max_files_per_trigger)
     w = source.writeStream.foreachBatch(body).option("checkpointLocation", cp)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def backfill(spark: SparkSession, blocks: DataFrame, sink_root: str, epoch_id: int = 0) -> None:
+def backfill(spark: SparkSession, blocks: DataFrame, sink_root: str, epoch_id: int = 0,
+             bucket_blocks: int = BLOCKS_PER_BUCKET) -> None:
     """Capture-only run over historical blocks (no scopes, no flags)."""
-    BlockCapture(sink_root, mode="backfill", margin=0)(blocks, epoch_id)
+    BlockCapture(sink_root, mode="backfill", margin=0, bucket_blocks=bucket_blocks)(blocks, epoch_id)
 
 
 def run_backfill(spark: SparkSession, landing: str, sink_root: str, target: int, chunk_blocks: int,
@@ -188,11 +225,12 @@ def run_backfill(spark: SparkSession, landing: str, sink_root: str, target: int,
 
 
 def retain_sink(spark: SparkSession, path: str, as_of, days: int = 30) -> list[str]:
-    """Daily retention of a date-partitioned sink -- whole days older
-    than the window are dropped; the boundary day is kept (readers apply the
-    exact window with ``state.retain``)."""
+    """Retention of a sink by whole buckets -- those whose newest row is older than the window are
+    dropped (readers apply the exact window with ``state.retain``). Returns the removed folder names."""
     import datetime as dt
-    from ..sources.sinks import drop_partitions_before
+    from ..sources.sinks import drop_partitions
     t = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
-    cutoff = (t - dt.timedelta(days=int(days))).date().isoformat()
-    return drop_partitions_before(spark, path, "dt", cutoff)
+    cutoff = t - dt.timedelta(days=int(days))
+    newest = spark.read.parquet(path).groupBy("bucket").agg(F.max("ts").alias("newest"))     # one row a bucket
+    old = [str(r["bucket"]) for r in newest.where(F.col("newest") < F.lit(cutoff)).select("bucket").toLocalIterator()]
+    return drop_partitions(spark, path, "bucket", old)

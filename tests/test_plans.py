@@ -56,15 +56,16 @@ def test_no_product_of_frames_anywhere(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_sink_idempotency_check_is_pruned(spark, tmp_path):
+def test_sink_idempotency_check_reads_only_its_buckets(spark, tmp_path):
     from mintlens.sources import sinks
     path = str(tmp_path / "s")
-    df = spark.createDataFrame([(1, 1, "2026-07-01")], "he_block bigint, tx_seq int, d string").withColumn("dt", F.to_date("d"))
-    df.write.partitionBy("dt").parquet(path)
-    existing = spark.read.parquet(path).where(F.col("dt") == F.lit("2026-07-01").cast("date")).where(
-        F.col("he_block").between(1, 5))
-    plan = plan_of(existing)
-    assert "PartitionFilters: [isnotnull(dt" in plan and "GreaterThanOrEqual(he_block,1)" in plan
+    df = spark.createDataFrame([(b * 100, 1, b) for b in range(6)], "he_block bigint, tx_seq int, bucket bigint")
+    df.write.partitionBy("bucket").parquet(path)
+    some = sinks.read_buckets(spark, path, "bucket", 2, 3, df.schema)
+    assert {f.rsplit("/", 2)[-2] for f in some.inputFiles()} == {"bucket=2", "bucket=3"}
+    assert sorted(r.he_block for r in some.collect()) == [200, 300]
+    assert sinks.read_buckets(spark, path, "bucket", 8, 9, df.schema) is None
+    assert sinks.read_buckets(spark, path + "-none", "bucket", 0, 9, df.schema) is None
 
 
 def test_bucketed_holdings_and_orders_join_without_shuffle(spark, tmp_path):

@@ -83,11 +83,11 @@ def test_write_view_replaces_only_given_partitions(spark):
     assert sorted((r.symbol, r.nft_id) for r in spark.read.parquet(path).collect()) == [("A", 9), ("B", 2)]
 
 
-def test_retention_drops_old_partitions(spark):
+def test_drop_partitions_by_value(spark):
     path = tempfile.mkdtemp(prefix="ret-") + "/e"
-    df = spark.createDataFrame([("2026-06-01", 1), ("2026-07-01", 2)], "d string, x int").withColumn("dt", F.to_date("d"))
-    df.write.partitionBy("dt").parquet(path)
-    assert sinks.drop_partitions_before(spark, path, "dt", "2026-06-15") == ["dt=2026-06-01"]
+    df = spark.createDataFrame([(3, 1), (4, 2)], "bucket bigint, x int")
+    df.write.partitionBy("bucket").parquet(path)
+    assert sinks.drop_partitions(spark, path, "bucket", ["3", "9"]) == ["bucket=3"]
     assert [r.x for r in spark.read.parquet(path).collect()] == [2]
 
 
@@ -128,11 +128,13 @@ def test_capture_from_a_stream_of_documents(spark):
     assert spark.read.parquet(f"{root}/sinks/nft_events").count() == 2
 
 
-def test_retain_sink_drops_old_days(spark):
+def test_retain_sink_drops_buckets_whose_newest_row_is_old(spark):
     path = tempfile.mkdtemp(prefix="ret-") + "/e"
-    df = spark.createDataFrame([("2026-05-01", 1), ("2026-06-20", 2)], "d string, x int").withColumn("dt", F.to_date("d"))
-    df.write.partitionBy("dt").parquet(path)
-    assert capture.retain_sink(spark, path, "2026-07-10 00:00:00", days=30) == ["dt=2026-05-01"]
+    rows = [(1, "2026-05-01 00:00:00", 1), (2, "2026-05-01 00:00:00", 2), (2, "2026-06-20 00:00:00", 3)]
+    spark.createDataFrame(rows, "bucket bigint, t string, x int").selectExpr("bucket", "CAST(t AS timestamp) AS ts", "x").write.partitionBy(
+        "bucket").parquet(path)
+    assert capture.retain_sink(spark, path, "2026-07-10 00:00:00", days=30) == ["bucket=1"]
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [2, 3]
 
 
 def test_sinks_feed_the_downstream_operators(spark):
