@@ -6,7 +6,8 @@ Rules are data. The rule table is tiny (one row per symbol and version), so
 all rule parsing happens there once: the latest version per symbol
 (``max_by``, a partial aggregate), the ``from`` path split into parts, the
 ``template`` tokenized into literal / placeholder tokens. The instance side
-then needs only a broadcast equi-join on symbol and native expressions: map
+then needs only an equi-join on symbol (whether to broadcast the rules is left to the planner and AQE, by
+their size in bytes) and native expressions: map
 look-ups, ``transform`` over the few template tokens, ``array_join``. No
 Python runs per row.
 
@@ -24,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_map
-from ..plans.joins import bounded_broadcast
 
 # Fixed value: template tokenizer -- escaped braces, one placeholder, a literal
 # run, or a stray brace (in that order of preference).
@@ -79,61 +79,72 @@ def _render_variant(v: Column) -> Column:
             .otherwise(F.to_json(v)))
 
 
-def _apply_rule(rule: Column, symbol: Column, nft_id: Column, props: Column, props_var: Column,
-                props_text: Column) -> Column:
-    """G2 (from) and G3 (template) for one rule; NULL when no rule kind."""
+def variant_text(v: Column) -> Column:
+    """A JSON value as plain text: strings as they are, null as NULL, others as JSON text."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")).when(
+        F.schema_of_variant(v) != "VOID", F.to_json(v))
+
+
+def _apply_rule(rule: Column, symbol: Column, nft_id: Column, props: Column, props_text: Column) -> Column:
+    """G2 (from) and G3 (template) for one rule, as a VARIANT: a path gives the value itself, with its type; a
+    template gives text. NULL when there is no rule or the path leads nowhere."""
     path = rule["path"]
     p0, n = path[0], F.size(path)
     deeper = F.concat(F.lit("$"), F.array_join(F.transform(F.slice(path, 3, F.greatest(n - 2, F.lit(1))),
                                                             lambda k: F.concat(F.lit("['"), k, F.lit("']"))), ""))
-    walked = (F.when(n == 1, F.when(p0 == "symbol", symbol).when(p0 == "nft_id", nft_id.cast("string"))
-                     .when(p0 == "properties", props_text))
+    walked = (F.when(n == 1, F.when(p0 == "symbol", symbol.cast("variant")).when(p0 == "nft_id", nft_id.cast("variant"))
+                     .when(p0 == "properties", F.try_parse_json(props_text)))
               .when(p0 == "properties", F.when(n == 2, props[path[1]])
-                    .otherwise(F.call_function("get_json_object", props[path[1]], deeper))))
+                    .otherwise(F.try_variant_get(props[path[1]], deeper, "variant"))))
     toks = rule["tokens"]
 
     def piece(t):
         k = t["key"]
         return (F.when(k.isNull(), t["lit"]).when(k == "symbol", symbol).when(k == "nft_id", nft_id.cast("string"))
-                .otherwise(_render_variant(props_var[k])))
+                .otherwise(_render_variant(props[k])))
     missing = F.exists(toks, lambda t: t["bad"] | (t["key"].isNotNull() & ~t["key"].isin("symbol", "nft_id")
-                                                    & ~F.map_contains_key(props_var, t["key"])))
+                                                    & ~F.map_contains_key(props, t["key"])))
     rendered = F.when(~missing, F.array_join(F.transform(toks, piece), ""))
-    return F.when(rule["kind"] == "from", walked).when(rule["kind"] == "template", rendered)
+    return F.when(rule["kind"] == "from", walked).when(rule["kind"] == "template", rendered.cast("variant"))
 
 
 def display_object(items: DataFrame, rules: DataFrame, collections: DataFrame | None = None) -> DataFrame:
     """G1: add a ``display`` struct column to instance rows (symbol, nft_id,
     properties JSON text): NULL when the symbol has no rule, else
-    {name, image, collection = collection name or symbol, attributes}."""
-    r = bounded_broadcast(rules.select("symbol", "name_rule", "image_rule", "attributes",
-                                       F.lit(True).alias("_has_rule")))
-    df = items.join(r, "symbol", "left")
+    {name, image, collection = collection name or symbol, attributes}. Values keep their JSON type
+    (VARIANT); an attribute that the item lacks is NULL, its key is kept."""
+    df = items.join(rules.select("symbol", "name_rule", "image_rule", "attributes", F.lit(True).alias("_has_rule")),
+                    "symbol", "left")
     if collections is not None and "collection_name" not in items.columns:
-        c = bounded_broadcast(collections.select("symbol", F.col("name").alias("collection_name")))
-        df = df.join(c, "symbol", "left")
+        df = df.join(collections.select("symbol", F.col("name").alias("collection_name")), "symbol", "left")
     elif "collection_name" not in df.columns:
         df = df.withColumn("collection_name", F.lit(None).cast("string"))
-    props_text = F.coalesce(F.col("properties"), F.lit("{}"))
-    props = json_map(props_text)
-    props_var = F.coalesce(F.from_json(props_text, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    sym, nid = F.col("symbol"), F.col("nft_id")
+    # one parse of the properties for all rules; the columns below only look values up
+    df = df.withColumn("_text", F.coalesce(F.col("properties"), F.lit("{}"))).withColumn("_props", F.coalesce(
+        F.from_json("_text", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    sym, nid, props, text = F.col("symbol"), F.col("nft_id"), F.col("_props"), F.col("_text")
     attrs = F.map_from_arrays(F.col("attributes"), F.transform("attributes", lambda k: props[k]))
-    disp = F.struct(_apply_rule(F.col("name_rule"), sym, nid, props, props_var, props_text).alias("name"),
-                    _apply_rule(F.col("image_rule"), sym, nid, props, props_var, props_text).alias("image"),
+    disp = F.struct(_apply_rule(F.col("name_rule"), sym, nid, props, text).alias("name"),
+                    _apply_rule(F.col("image_rule"), sym, nid, props, text).alias("image"),
                     F.coalesce(F.nullif(F.col("collection_name"), F.lit("")), sym).alias("collection"),
                     attrs.alias("attributes"))
     out = df.withColumn("display", F.when(F.col("_has_rule"), disp))
-    return out.drop("name_rule", "image_rule", "attributes", "_has_rule")
+    return out.drop("name_rule", "image_rule", "attributes", "_has_rule", "_text", "_props")
+
+
+def display_json(display: Column | str = "display") -> Column:
+    """The display object as JSON text: every value with its type, every key present."""
+    d = F.col(display) if isinstance(display, str) else display
+    return F.to_json(d, {"ignoreNullFields": "false"})
 
 
 def flat_display(df: DataFrame) -> DataFrame:
-    """The display struct as flat columns (attributes as JSON text)."""
+    """The display struct as flat columns (name and image as text, attributes as typed JSON text)."""
     d = F.col("display")
     return (df.withColumn("has_display", d.isNotNull())
-            .withColumn("display_name", d["name"]).withColumn("display_image", d["image"])
+            .withColumn("display_name", variant_text(d["name"])).withColumn("display_image", variant_text(d["image"]))
             .withColumn("display_collection", d["collection"])
-            .withColumn("display_attributes", F.to_json(d["attributes"]))
+            .withColumn("display_attributes", F.to_json(d["attributes"], {"ignoreNullFields": "false"}))
             .drop("display"))
 
 

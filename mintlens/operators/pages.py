@@ -47,8 +47,16 @@ def next_cursor(rows: list, key: str, limit: int):
     return rows[-1][key] if len(rows) == limit and rows else None
 
 
-def packed_cursor(he_block: Column | str, tx_seq: Column | str) -> Column:
-    """Output form of the activity cursor: he_block * 10000 + tx_seq."""
-    b = F.col(he_block) if isinstance(he_block, str) else he_block
-    s = F.col(tx_seq) if isinstance(tx_seq, str) else tx_seq
-    return b * 10000 + s
+def activity_cursor(he_block: Column | str, tx_seq: Column | str) -> Column:
+    """Output form of the activity cursor: ``block:seq``, both parts whole whatever their size."""
+    return F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in (he_block, tx_seq)])
+
+
+def parse_activity_cursor(cursor: str | tuple[int, int]) -> tuple[int, int]:
+    """The pair (he_block, tx_seq) of a cursor; anything else is an error."""
+    parts = cursor.split(":") if isinstance(cursor, str) else cursor
+    try:
+        block, seq = (int(x) for x in parts)
+    except (TypeError, ValueError) as exc:
+        raise ValueError(f"cursor must be block:seq, got {cursor!r}") from exc
+    return block, seq

@@ -23,15 +23,14 @@ def retry_stats(pending: DataFrame) -> DataFrame:
 from pyspark.sql import Window  # noqa: E402
 
 from ..functions import burned  # noqa: E402
-from ..plans.joins import bounded_broadcast  # noqa: E402
-from .pages import keyset_page, packed_cursor, page_params  # noqa: E402
+from .pages import keyset_page, activity_cursor, parse_activity_cursor, page_params  # noqa: E402
 
 # Fixed value: nested wallet pages hold the items of one id range of this width.
 WALLET_ID_RANGE = 1000
 
 
 def _coll_names(collections: DataFrame) -> DataFrame:
-    return bounded_broadcast(collections.select("symbol", F.col("name").alias("collection_name")))
+    return collections.select("symbol", F.col("name").alias("collection_name"))
 
 
 def wallet_sections(holdings: DataFrame, orders: DataFrame, collections: DataFrame,
@@ -91,17 +90,21 @@ def wallet_view(holdings: DataFrame, orders: DataFrame, collections: DataFrame,
 
 
 def nft_detail(holdings: DataFrame, collections: DataFrame, orders: DataFrame,
-               keys: DataFrame | None = None) -> DataFrame:
-    """Instance rows with collection name and the open order (if any) as a
-    struct; all instances, or the requested (symbol, nft_id) keys."""
+               keys: DataFrame | None = None, mappings: DataFrame | None = None) -> DataFrame:
+    """Instance rows with collection name, the open order (if any) as a
+    struct and, given the rules, the display object; all instances, or the requested (symbol, nft_id) keys."""
     h = holdings if keys is None else holdings.join(keys.select("symbol", "nft_id"), ["symbol", "nft_id"], "left_semi")
     o = orders.select("symbol", "nft_id", F.struct("price", "price_symbol", "account", "ts").alias("open_order"))
-    return h.join(_coll_names(collections), "symbol", "left").join(o, ["symbol", "nft_id"], "left")
+    out = h.join(_coll_names(collections), "symbol", "left").join(o, ["symbol", "nft_id"], "left")
+    if mappings is None:
+        return out
+    from .display import compile_rules, display_object
+    return display_object(out, compile_rules(mappings))
 
 
 def collection_rows(collections: DataFrame, mappings: DataFrame) -> DataFrame:
     """Collections with burned (B19) and the mapping flag."""
-    m = bounded_broadcast(mappings.select("symbol").distinct().withColumn("_m", F.lit(True)))
+    m = mappings.select("symbol").distinct().withColumn("_m", F.lit(True))
     return (collections.withColumn("burned", burned())
             .join(m, "symbol", "left")
             .withColumn("has_display_mapping", F.coalesce(F.col("_m"), F.lit(False))).drop("_m"))
@@ -119,12 +122,19 @@ def collection_detail(collections: DataFrame, mappings: DataFrame, symbols: Data
     return collection_rows(c, mappings)
 
 
-def orders_first_pages(orders: DataFrame, limit: int = 100) -> DataFrame:
-    """F3 in bulk: the first page of every symbol's book (nft_id ascending).
+def orders_pages(orders: DataFrame, limit: int = 100, cursors: DataFrame | None = None,
+                 seller: str | None = None) -> DataFrame:
+    """F3 in bulk: a page of every symbol's book (nft_id ascending): the first one, or with
+    ``cursors`` (symbol, cursor) the one after each symbol's cursor, for the symbols that have one.
     ``row_number <= n`` lets Spark insert a partial per-partition group limit
     before the shuffle, so a symbol with a huge book ships at most n rows per
     map task."""
     _, n = page_params(0, limit)
+    if seller:
+        orders = orders.where(F.col("account") == seller)
+    if cursors is not None:
+        after = cursors.where(F.col("cursor").isNotNull()).select("symbol", F.col("cursor").alias("_after"))
+        orders = orders.join(after, "symbol").where(F.col("nft_id") > F.col("_after")).drop("_after")
     w = Window.partitionBy("symbol").orderBy("nft_id")
     ranked = orders.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     # next cursor on the last row of a full page (no extra window needed)
@@ -135,52 +145,61 @@ ACTIVITY_COLS = ["he_block", "tx_seq", "symbol", "nft_id", "op", "account", "cou
                  "price_symbol", "tx_id", "ts"]
 
 
-def account_activity(events: DataFrame, account: str, cursor: int | tuple[int, int] | None = None, limit: int = 100,
-                     symbol: str | None = None, op: str | None = None) -> DataFrame:
-    """one account's feed (as actor or counterparty), newest first,
-    strictly below the cursor. The cursor is compared as the pair
-    (he_block, tx_seq) (L13); a packed integer he_block*10000+tx_seq is
-    accepted and decoded for compatibility."""
-    _, n = page_params(0, limit)
-    e = events.where((F.col("account") == account) | (F.col("counterparty") == account))
+def _feed_filter(e: DataFrame, symbol: str | None, op: str | None) -> DataFrame:
     if symbol:
         e = e.where(F.col("symbol") == symbol)
-    if op:
-        e = e.where(F.col("op") == op)
+    return e.where(F.col("op") == op) if op else e
+
+
+def _below(block: Column, seq: Column) -> Column:
+    """Strictly older than the cursor pair."""
+    return (F.col("he_block") < block) | ((F.col("he_block") == block) & (F.col("tx_seq") < seq))
+
+
+def account_activity(events: DataFrame, account: str, cursor: str | tuple[int, int] | None = None, limit: int = 100,
+                     symbol: str | None = None, op: str | None = None) -> DataFrame:
+    """one account's feed (as actor or counterparty), newest first, strictly below the cursor, a pair
+    (he_block, tx_seq) or its text ``block:seq`` (L13)."""
+    _, n = page_params(0, limit)
+    e = _feed_filter(events.where((F.col("account") == account) | (F.col("counterparty") == account)), symbol, op)
     if cursor:
-        b, q = cursor if isinstance(cursor, tuple) else divmod(int(cursor), 10000)
-        e = e.where((F.col("he_block") < F.lit(int(b)))
-                    | ((F.col("he_block") == F.lit(int(b))) & (F.col("tx_seq") < F.lit(int(q)))))
+        e = e.where(_below(*(F.lit(x) for x in parse_activity_cursor(cursor))))
     return e.orderBy(F.col("he_block").desc(), F.col("tx_seq").desc()).limit(n)
 
 
-def activity_feeds(events: DataFrame, limit: int = 100) -> DataFrame:
-    """F4 in bulk: the newest ``limit`` events of every account. The OR
+def activity_feeds(events: DataFrame, limit: int = 100, cursors: DataFrame | None = None, symbol: str | None = None,
+                   op: str | None = None) -> DataFrame:
+    """F4 in bulk: a page of every account's feed: the newest one, or with ``cursors`` (viewer, cursor) the one
+    below each viewer's cursor, for the viewers that have one. The OR
     predicate becomes a union of two equi paths (actor rows, counterparty
     rows) de-duplicated on (viewer, he_block, tx_seq); the per-account top-n
     is a ``row_number <= n`` filter, which Spark evaluates as a partial group
     limit before the shuffle and a final one after it -- a hot account
     costs n rows per map task, not its whole history."""
     _, n = page_params(0, limit)
-    e = events.select(*ACTIVITY_COLS)
+    e = _feed_filter(events.select(*ACTIVITY_COLS), symbol, op)
     actor = e.withColumn("viewer", F.col("account"))
     cpty = e.where(F.col("counterparty").isNotNull() & (F.col("counterparty") != F.col("account"))) \
             .withColumn("viewer", F.col("counterparty"))
+    rows = actor.unionByName(cpty)
+    if cursors is not None:
+        part = lambda k: F.split_part("cursor", F.lit(":"), F.lit(k)).cast("bigint")
+        below = cursors.where(F.col("cursor").isNotNull()).select("viewer", part(1).alias("_b"), part(2).alias("_s"))
+        rows = rows.join(below, "viewer").where(_below(F.col("_b"), F.col("_s"))).drop("_b", "_s")
     w = Window.partitionBy("viewer").orderBy(F.col("he_block").desc(), F.col("tx_seq").desc())
-    ranked = actor.unionByName(cpty).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    # the packed cursor of a full page's last row is that viewer's next cursor
-    return ranked.withColumn("next_cursor", F.when(F.col("rank") == n, packed_cursor("he_block", "tx_seq")))
-
-
-def activity_coverage(events: DataFrame, backfill_cursor: Column | None = None,
-                      backfill_target: Column | None = None, window_days: int = 30) -> DataFrame:
-    """Oldest captured event, the advisory window, the backfill cursor and
-    target (blocks), and whether the backfill reached its target."""
-    agg = events.agg(F.min("ts").alias("oldest_event_ts"), F.min("he_block").alias("_lo"),
-                     F.max("he_block").alias("_hi"))
-    cur = backfill_cursor if backfill_cursor is not None else F.col("_lo")
+    ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    # the cursor of a full page's last row is that viewer's next cursor
+    return ranked.withColumn("next_cursor", F.when(F.col("rank") == n, activity_cursor("he_block", "tx_seq")))
+
+
+def activity_coverage(events: DataFrame, backfill_cursor: int | None = None, backfill_target: int | None = None,
+                      window_days: int = 30) -> DataFrame:
+    """Oldest captured event, the advisory window, the backfill cursor (from the progress rows, see
+    :func:`backfill_cursor`; NULL without a backfill) and target (blocks), and whether the backfill reached it."""
     from .state import backfill_target_col
-    tgt = backfill_target if backfill_target is not None else backfill_target_col(F.col("_hi"), window_days)
+    agg = events.agg(F.min("ts").alias("oldest_event_ts"), F.max("he_block").alias("_hi"))
+    cur = F.lit(backfill_cursor).cast("bigint")
+    tgt = F.lit(backfill_target).cast("bigint") if backfill_target is not None else backfill_target_col(F.col("_hi"), window_days)
     return agg.select(F.lit(int(window_days)).alias("window_days"), "oldest_event_ts",
                       cur.alias("backfill_cursor_block"), tgt.alias("backfill_target_block"),
                       F.coalesce(cur <= tgt, F.lit(False)).alias("backfill_complete"))

@@ -4,6 +4,7 @@ rule audit (G5)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ...operators import display
 from ...sources import fixtures as fx
@@ -92,3 +93,24 @@ WHERE NOT EXISTS (SELECT 1 FROM lm WHERE lm.symbol = h.symbol)"""))
 def q_rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = display.compile_rules(fx.fx_mappings(spark, sf_dir))
     return display.rule_audit(rules, fx.fx_holdings(spark, sf_dir))
+
+
+@register("display_typed", """
+SELECT p_partkey AS nft_id,
+       '{"name":' || CAST(p_partkey AS VARCHAR) || ',"image":' || CASE WHEN p_partkey % 3 = 0 THEN 'null'
+         ELSE '"' || p_brand || '"' END || ',"collection":"T","attributes":{"n":' || CAST(p_partkey AS VARCHAR) ||
+       ',"b":' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END ||
+       ',"o":{"x":"' || p_brand || '"},"z":null,"missing":null}}' AS display
+FROM part""")
+def q_display_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, booleans, objects and nulls keep their JSON type, and every key is present."""
+    p = fx.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    key, deep = F.col("p_partkey"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand"))
+    props = F.concat(F.lit('{"n":'), key.cast("string"), F.lit(',"b":'), (key % 2 == 0).cast("string"), F.lit(',"o":'),
+                     F.to_json(F.struct(F.col("p_brand").alias("x"))), F.lit(',"d":{"e":'),
+                     F.coalesce(F.concat(F.lit('"'), deep, F.lit('"')), F.lit("null")), F.lit('},"z":null}'))
+    rule = ('{"name":{"from":"properties.n"},"image":{"from":"properties.d.e"},'
+            '"attributes":["n","b","o","z","missing"]}')
+    rules = display.compile_rules(p.select(F.lit("T").alias("symbol"), F.lit(1).alias("version"), F.lit(rule).alias("mapping")))
+    items = p.select(F.lit("T").alias("symbol"), key.alias("nft_id"), props.alias("properties"))
+    return display.display_object(items, rules).select("nft_id", display.display_json().alias("display"))

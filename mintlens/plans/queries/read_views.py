@@ -43,7 +43,7 @@ def q_wallet_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(w.select("viewer", "section", "symbol", "nft_id", "account", "owned_by", "delegated_to",
                                "collection_name", "price", "price_symbol",
                                F.col("display").isNotNull().alias("has_display"),
-                               F.col("display.name").alias("display_name")))
+                               display.variant_text(F.col("display.name")).alias("display_name")))
 
 
 @register("wallet_pages", with_ctes(SECTIONS_SQL, "fx_mappings", "fx_holdings", "fx_orders", "fx_collections", body="""
@@ -101,40 +101,103 @@ def q_collection_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOK_PAGE = 100
 
 
-@register("orders_page", fx.with_fixtures(f"""
+_BOOK_SQL = """
 SELECT symbol, nft_id, account, CAST(price AS DOUBLE) AS price, price_symbol,
-       CAST(CASE WHEN rn = {BOOK_PAGE} THEN nft_id END AS DOUBLE) AS next_cursor FROM (
+       CAST(CASE WHEN rn % {n} = 0 THEN nft_id END AS DOUBLE) AS next_cursor FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY nft_id) AS rn FROM fx_orders) t
-WHERE rn <= {BOOK_PAGE}""", "fx_orders"))
-def q_orders_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.orders_first_pages(fx.fx_orders(spark, sf_dir), BOOK_PAGE)
+WHERE rn > {lo} AND rn <= {lo} + {n}"""
+
+
+def _book_rows(p: DataFrame) -> DataFrame:
     return nullable_counts_as_double(
         comparable(p.select("symbol", "nft_id", "account", "price", "price_symbol", "next_cursor")), "next_cursor")
 
 
-FEED_PAGE = 20
+@register("orders_page", fx.with_fixtures(_BOOK_SQL.format(n=BOOK_PAGE, lo=0), "fx_orders"))
+def q_orders_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the first page of every symbol's book."""
+    return _book_rows(views.orders_pages(fx.fx_orders(spark, sf_dir), BOOK_PAGE))
+
 
+SHORT_PAGE = 10
 
-@register("account_activity", fx.with_fixtures(f"""
-SELECT viewer, rank, he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price,
+
+@register("orders_page_next", fx.with_fixtures(_BOOK_SQL.format(n=SHORT_PAGE, lo=SHORT_PAGE), "fx_orders"))
+def q_orders_second_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the second page of every symbol's book, after the cursors of the first."""
+    orders = fx.fx_orders(spark, sf_dir)
+    first = views.orders_pages(orders, SHORT_PAGE).where("next_cursor is not null")
+    return _book_rows(views.orders_pages(orders, SHORT_PAGE, cursors=first.select("symbol", F.col("next_cursor").alias("cursor"))))
+
+
+@register("orders_page_seller", fx.with_fixtures(f"""
+SELECT symbol, nft_id, account, CAST(price AS DOUBLE) AS price, price_symbol FROM fx_orders
+WHERE symbol = 'SYM3' AND account = (SELECT min(account) FROM fx_orders WHERE symbol = 'SYM3') AND nft_id > 50
+ORDER BY nft_id LIMIT {SHORT_PAGE}""", "fx_orders"))
+def q_orders_page_of_seller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 for one symbol and seller, after a cursor."""
+    from ...operators import market
+    orders = fx.fx_orders(spark, sf_dir)
+    seller = orders.where("symbol = 'SYM3'").agg(F.min("account")).first()[0]
+    return comparable(market.orders_page(orders, "SYM3", cursor=50, limit=SHORT_PAGE, seller=seller).select(
+        "symbol", "nft_id", "account", "price", "price_symbol"))
+
+
+FEED_PAGE = 20
+_FEED_SQL = """
+SELECT viewer, rank - {lo} AS rank, he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price,
        price_symbol, tx_id, ts,
-       CAST(CASE WHEN rank = {FEED_PAGE} THEN he_block * 10000 + tx_seq END AS DOUBLE) AS next_cursor FROM (
+       CASE WHEN rank = {lo} + {n} THEN CAST(he_block AS VARCHAR) || ':' || CAST(tx_seq AS VARCHAR) END AS next_cursor FROM (
   SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY he_block DESC, tx_seq DESC) AS rank FROM (
-    SELECT account AS viewer, * FROM fx_events
-    UNION SELECT counterparty AS viewer, * FROM fx_events WHERE counterparty IS NOT NULL) u) t
-WHERE rank <= {FEED_PAGE}""", "fx_events"))
+    SELECT account AS viewer, * FROM fx_events WHERE {where}
+    UNION SELECT counterparty AS viewer, * FROM fx_events WHERE counterparty IS NOT NULL AND {where}) u) t
+WHERE rank > {lo} AND rank <= {lo} + {n}"""
+
+
+def _feed_rows(feeds: DataFrame) -> DataFrame:
+    return comparable(feeds.withColumn("rank", F.col("rank").cast("bigint")))
+
+
+@register("account_activity", fx.with_fixtures(_FEED_SQL.format(n=FEED_PAGE, lo=0, where="true"), "fx_events"))
 def q_activity_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feeds = views.activity_feeds(fx.fx_events(spark, sf_dir), FEED_PAGE).withColumn("rank", F.col("rank").cast("bigint"))
-    return nullable_counts_as_double(comparable(feeds), "next_cursor")
+    """the newest page of every account's feed."""
+    return _feed_rows(views.activity_feeds(fx.fx_events(spark, sf_dir), FEED_PAGE))
+
+
+@register("account_activity_next", fx.with_fixtures(_FEED_SQL.format(n=3, lo=3, where="true"), "fx_events"))
+def q_activity_second_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the second page of every account's feed, below the pair cursors of the first."""
+    ev = fx.fx_events(spark, sf_dir)
+    first = views.activity_feeds(ev, 3).where("next_cursor is not null").select("viewer", F.col("next_cursor").alias("cursor"))
+    return _feed_rows(views.activity_feeds(ev, 3, cursors=first))
+
+
+@register("account_activity_filtered", fx.with_fixtures(_FEED_SQL.format(
+    n=FEED_PAGE, lo=0, where="symbol = 'SYM3' AND op = 'transfer'"), "fx_events"))
+def q_activity_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every account's feed of one symbol and operation."""
+    return _feed_rows(views.activity_feeds(fx.fx_events(spark, sf_dir), FEED_PAGE, symbol="SYM3", op="transfer"))
+
+
+@register("account_activity_one", fx.with_fixtures(f"""
+SELECT he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price, price_symbol, tx_id, ts
+FROM fx_events, (SELECT min(account) AS a, max(he_block) AS b FROM fx_events) m
+WHERE (account = a OR counterparty = a) AND (he_block < b - 5 OR (he_block = b - 5 AND tx_seq < 4))
+ORDER BY he_block DESC, tx_seq DESC LIMIT {FEED_PAGE}""", "fx_events"))
+def q_activity_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 for one account, below a cursor."""
+    ev = fx.fx_events(spark, sf_dir)
+    who, head = ev.agg(F.min("account"), F.max("he_block")).first()
+    return comparable(views.account_activity(ev, who, cursor=f"{head - 5}:4", limit=FEED_PAGE).select(*views.ACTIVITY_COLS))
 
 
 @register("activity_coverage", fx.with_fixtures("""
-SELECT 30 AS window_days, MIN(ts) AS oldest_event_ts, MIN(he_block) AS backfill_cursor_block,
-       greatest(1, MAX(he_block) - 30 * 28800) AS backfill_target_block,
-       MIN(he_block) <= greatest(1, MAX(he_block) - 30 * 28800) AS backfill_complete
+SELECT 30 AS window_days, MIN(ts) AS oldest_event_ts, CAST(NULL AS DOUBLE) AS backfill_cursor_block,
+       greatest(1, MAX(he_block) - 30 * 28800) AS backfill_target_block, false AS backfill_complete
 FROM fx_events""", "fx_events"))
 def q_activity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.activity_coverage(fx.fx_events(spark, sf_dir))
+    """E6 without a backfill."""
+    return nullable_counts_as_double(views.activity_coverage(fx.fx_events(spark, sf_dir)), "backfill_cursor_block")
 
 
 @register("distinct_held_symbols", fx.with_fixtures("SELECT DISTINCT symbol FROM fx_holdings", "fx_holdings"))

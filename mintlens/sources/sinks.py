@@ -121,9 +121,10 @@ def _needs_render(dtype: T.DataType) -> bool:
 
 def to_json_view(df: DataFrame, col_name: str = "json") -> DataFrame:
     """One JSON document per row, decimals as trimmed text ("7", "9.9"),
-    timestamps as ISO-8601 with offset, at any nesting depth."""
+    timestamps as ISO-8601 with offset, at any nesting depth; null fields are written as null, VARIANT
+    values with their JSON type."""
     cols = [render_for_json(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
-    return df.select(F.to_json(F.struct(*cols)).alias(col_name))
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(col_name))
 
 
 def _hadoop_fs(spark: SparkSession, path: str):
