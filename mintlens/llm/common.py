@@ -33,6 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch. Texts are long: ten thousand of them, Spark's own setting, are tens of MB in every
+#: buffer between the JVM and a Python worker.
+BATCH_ROWS = 1000
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -57,8 +60,13 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package importable in the workers."""
-    ship_code(df.sparkSession)
+    """``df.mapInArrow`` with this package importable in the workers, and batches of at most BATCH_ROWS rows
+    in this session."""
+    spark = df.sparkSession
+    ship_code(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 

@@ -41,6 +41,7 @@ MIN_COUNT = (1, 2, 2, 2, 2)             # by order: least count kept in the filt
 BITS_A_KEY, PROBES = 10, 5
 MAX_FILTER_BYTES = 128 << 20
 VOCABULARY_BLOCK = 8 << 20
+SLICE = 1 << 20                         # bytes of text handled at once
 BUFFER = 1 << 21                        # n-grams a counting task holds before it sums them up
 RANGE_TOKENS = 1 << 20                  # n-gram occurrences of a hash range, about
 MOST_TOLD = 4096                        # counts beyond are told as this one in histograms
@@ -128,7 +129,7 @@ def count_ngrams(docs: DataFrame, order: int, ranges: int, text_col: str) -> Dat
         held: list[list[np.ndarray]] = [[] for _ in range(order)]
         size = 0
         for batch in batches:
-            for some in slices(batch, 0):
+            for some in slices(batch, 0, SLICE):
                 t = tokens([x or b"" for x in some.column(0).cast(pa.binary()).to_pylist()], order)
                 for k in range(order):
                     held[k].append(t.grams[k][t.place >= max(1, k)])
@@ -219,7 +220,7 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         self.hashes, self.counts = hashes, counts
-        self.lead = max(1, int(len(hashes)).bit_length())
+        self.lead = max(1, int(len(hashes)).bit_length() - 2)
         edges = np.arange(1 << self.lead, dtype=np.uint64) << np.uint64(64 - self.lead)
         self.first = np.searchsorted(hashes, edges).astype(np.int32)
 
@@ -374,7 +375,7 @@ def _pass(docs: DataFrame, kind: str, order: int, model, block) -> DataFrame:
     def run(batches):
         vocabulary, m = block.value, model.value if model is not None else None
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, SLICE):
                 t = tokens([x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()], order)
                 scored = t.place >= 1
                 owner, rows = t.owner[scored], some.num_rows

@@ -61,7 +61,7 @@ class PieceMemo:
     """
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-                 chunk_limit: int = 800_000, piece_limit: int = 250_000):
+                 chunk_limit: int = 400_000, piece_limit: int = 150_000):
         self.findall = regex.compile(pattern).findall
         self.encode_pieces = encode_pieces
         self.chunk_limit, self.piece_limit = chunk_limit, piece_limit
@@ -142,10 +142,12 @@ class PieceMemo:
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20):
-    """``batch`` in slices of about ``most`` bytes of its column ``text`` (one row at least)."""
+    """``batch`` in slices of about ``most`` bytes of its column ``text`` (one row at least). What Arrow has freed
+    goes back to the system after each: it would add up to hundreds of MB in a worker that lives long."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     lo, ends = 0, np.cumsum(sizes)
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
         yield batch.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()
         lo = hi
