@@ -353,19 +353,24 @@ def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     return model, counted.where("k = 1").select("part", "hashes", "counts")
 
 
-def _blocks(vocabulary: DataFrame, v: int):
+def _blocks(vocabulary: DataFrame, n: int, v: int):
     """The vocabulary in blocks of about ``VOCABULARY_BLOCK`` tokens (hash ranges in a row)."""
     ranges = vocabulary.agg(F.max("part")).first()[0]
     if ranges is None:
-        yield Vocabulary(np.empty(0, np.uint64), np.empty(0, np.int64))
+        yield Vocabulary(np.empty(0, np.uint64), np.empty(0, np.uint32))
         return
     step = max(1, (ranges + 1) // max(1, math.ceil(v / VOCABULARY_BLOCK)))
     for lo in range(0, ranges + 1, step):
         some = vocabulary.where(F.col("part").between(lo, lo + step - 1))
-        rows = sorted(((r["part"], np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["counts"], "<u8").astype(np.int64))
-                       for r in some.toLocalIterator()), key=lambda r: r[0])
-        if rows:
-            yield Vocabulary(np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]))
+        size = (some.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
+        hashes, counts, at = np.empty(size, np.uint64), np.empty(size, np.uint32 if n < 1 << 32 else np.int64), 0
+        for r in some.orderBy("part").toLocalIterator():
+            some_hashes = np.frombuffer(r["hashes"], "<u8")
+            hashes[at:at + len(some_hashes)] = some_hashes
+            counts[at:at + len(some_hashes)] = np.frombuffer(r["counts"], "<u8")
+            at += len(some_hashes)
+        if size:
+            yield Vocabulary(hashes, counts)
 
 
 def _pass(docs: DataFrame, kind: str, order: int, model, block) -> DataFrame:
@@ -399,7 +404,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     held, out = sc.broadcast(model), None
-    for block in _blocks(vocabulary, model.v):
+    for block in _blocks(vocabulary, model.n, model.v):
         block = sc.broadcast(block)
         if out is None:
             out = _pass(rows, kind, model.order, held, block)

@@ -61,56 +61,64 @@ class PieceMemo:
     """
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-                 chunk_limit: int = 400_000, piece_limit: int = 150_000):
+                 chunk_limit: int = 400_000, piece_limit: int = 400_000):
         self.findall = regex.compile(pattern).findall
         self.encode_pieces = encode_pieces
         self.chunk_limit, self.piece_limit = chunk_limit, piece_limit
-        self.pieces: dict[str, int] = {}
-        self.piece_ids = Ragged()
+        self._forget_pieces()
         self._forget_chunks()
 
+    def _forget_pieces(self) -> None:
+        # a separator between chunks has no ids; None stands for one that a text holds itself
+        self.pieces: dict[str | None, int] = {SEPARATOR: 0}
+        self.piece_ids = Ragged()
+        self.piece_ids.extend(np.empty(0, np.int32), np.zeros(1, np.int64))
+
     def _forget_chunks(self) -> None:
         self.known = pa.array([], pa.binary())      # chunks after a space, without it
         self.place = np.empty(0, np.int64)          # their indexes in ``chunks``; -1: no cut after this one
         self.chunks = Ragged()
         self.chunks.extend(np.empty(0, np.int32), np.zeros(1, np.int64))      # 0: no ids
 
-    def _ids(self, found: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each chunk) of chunks that have ``sizes`` matches, ``found`` in a row."""
+    def _ids(self, found: list[str | None], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each chunk) of matches in a row, of which chunk k has those before ``ends[k]``."""
         new = list(set(found).difference(self.pieces))
         if new:
-            at = self.piece_ids.extend(*self.encode_pieces(new))
+            at = self.piece_ids.extend(*self.encode_pieces([SEPARATOR if p is None else p for p in new]))
             self.pieces.update(zip(new, range(at, at + len(new))))
         flat, count = self.piece_ids.take(np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found)))
-        cuts = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
-        return flat, np.diff(cuts)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(count)])[ends], prepend=0)
 
     def _add(self, chunks: pa.Array, lead: str) -> np.ndarray:
         """Ids of the chunks, after ``lead``, go into ``self.chunks``; returns their indexes there (-1: no cut after this one)."""
         texts = [c.decode("utf-8", "replace") for c in chunks.to_pylist()]
         into = np.full(len(texts), -1, np.int64)
-        safe = [k for k, c in enumerate(texts) if c and c[-1] not in WHITE]
-        many = [k for k in safe if texts[k][0] not in WHITE and SEPARATOR not in texts[k]]
+        white = WHITE
+        many = [k for k, c in enumerate(texts) if c and c[-1] not in white and c[0] not in white and SEPARATOR not in c]
         if many:
-            found = self.findall(SEPARATOR.join([lead + texts[k] for k in many]))
-            ends = np.array([k for k, p in enumerate(found) if p == SEPARATOR] + [len(found)])
-            found = [p for p in found if p != SEPARATOR]
-            at = self.chunks.extend(*self._ids(found, np.diff(ends, prepend=-1) - 1))
+            some = texts if len(many) == len(texts) else [texts[k] for k in many]
+            found = self.findall(lead + (SEPARATOR + lead).join(some))
+            # a chunk ends with the match that ends with its last character
+            chars = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + len(lead) + 1) - 1
+            ends = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), chars) + 1
+            at = self.chunks.extend(*self._ids(found, ends))
             into[many] = np.arange(at, at + len(many))
-        if len(many) < len(safe):
-            for k in safe:
-                if into[k] < 0:
-                    into[k] = self._add_whole(lead + texts[k])
+        if len(many) < len(texts):
+            for k, c in enumerate(texts):
+                if into[k] < 0 and c and c[-1] not in white:
+                    into[k] = self._add_whole(lead + c)
         return into
 
     def _add_whole(self, text: str) -> int:
         found = self.findall(text)
+        if SEPARATOR in found:
+            found = [None if p == SEPARATOR else p for p in found]
         return self.chunks.extend(*self._ids(found, np.array([len(found)])))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); null is an empty text."""
         if len(self.pieces) > self.piece_limit:
-            self.pieces, self.piece_ids = {}, Ragged()
+            self._forget_pieces()
         if len(self.known) > self.chunk_limit:
             self._forget_chunks()
         if not len(texts):

@@ -44,24 +44,30 @@ def tokenizer(path: str, pattern: str) -> PieceMemo:
         pre_tokenizers.Split(SEPARATOR, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     alone = Tokenizer.from_file(path)
     alone.encode_special_tokens = True
+    # every byte is one character of the vocabulary's strings, so a token's length is its bytes'
+    size = np.zeros(lib.get_vocab_size(), np.int64)
+    for token, k in lib.get_vocab(with_added_tokens=False).items():
+        size[k] = len(token)
 
     def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces are encoded many in a text; the few that hold the separator one by one."""
+        """Pieces are encoded many in a text, and their ids told apart by the bytes they cover; the few that hold the
+        separator are encoded one by one."""
         order = [k for k, p in enumerate(pieces) if SEPARATOR not in p]
         many = len(order)
-        texts = [SEPARATOR.join([pieces[k] for k in order[lo:lo + JOINED]]) for lo in range(0, many, JOINED)]
-        found = lib.encode_batch(texts, add_special_tokens=False)     # the fast form has no word numbers
-        ids = [k for e in found for k in e.ids]
-        count = [np.bincount(e.word_ids, minlength=JOINED) for e in found]
-        count = np.concatenate(count)[:many] if count else np.empty(0, np.int64)
+        some = [pieces[k] for k in order]
+        texts = [SEPARATOR.join(some[lo:lo + JOINED]) for lo in range(0, many, JOINED)]
+        ids = [k for e in lib.encode_batch_fast(texts, add_special_tokens=False) for k in e.ids]
+        ids = np.array(ids, np.int32)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, many))
+        count = np.diff(np.searchsorted(np.cumsum(size[ids]), ends) + 1, prepend=0)
         if many < len(pieces):
             order += [k for k, p in enumerate(pieces) if SEPARATOR in p]
             rest = [e.ids for e in alone.encode_batch_fast([pieces[k] for k in order[many:]], add_special_tokens=False)]
-            ids += [k for some in rest for k in some]
+            ids = np.concatenate([ids, np.array([k for some in rest for k in some], np.int32)])
             count = np.concatenate([count, [len(x) for x in rest]])
         back = Ragged()
-        back.extend(np.array(ids, np.int32), count.astype(np.int64))
-        return back.take(np.argsort(np.array(order)))
+        back.extend(ids, count.astype(np.int64))
+        return (ids, count) if many == len(pieces) else back.take(np.argsort(np.array(order)))
 
     return PieceMemo(pattern, encode_pieces)
 
