@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of an Arrow batch. Texts are long: ten thousand of them, Spark's own setting, are tens of MB in every
 #: buffer between the JVM and a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 2000
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 

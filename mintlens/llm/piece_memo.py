@@ -19,6 +19,8 @@ import regex
 #: White space that stands between chunks (and pieces) that are matched together.
 SEPARATOR = "\x0b"
 #: Matches of the pattern that do not end in white space are matched just the same between separators.
+#: Stands for a separator that a text holds itself; the pattern has no match like this.
+OWN = SEPARATOR + "\0"
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\s", c))
 
 
@@ -56,12 +58,12 @@ class Ragged:
 class PieceMemo:
     """``encode_pieces`` maps a list of distinct pattern matches to (flat ids, ids of each).
 
-    Between calls ``chunk_limit`` chunks are remembered, as Arrow arrays, and ``piece_limit`` matches; a memo
-    that has grown beyond its limit starts anew with the next call.
+    Between calls ``chunk_limit`` chunks and ``piece_limit`` matches are remembered, as Arrow arrays; a memo that has
+    grown beyond its limit starts anew with the next call.
     """
 
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-                 chunk_limit: int = 400_000, piece_limit: int = 400_000):
+                 chunk_limit: int = 1_000_000, piece_limit: int = 600_000):
         self.findall = regex.compile(pattern).findall
         self.encode_pieces = encode_pieces
         self.chunk_limit, self.piece_limit = chunk_limit, piece_limit
@@ -69,8 +71,7 @@ class PieceMemo:
         self._forget_chunks()
 
     def _forget_pieces(self) -> None:
-        # a separator between chunks has no ids; None stands for one that a text holds itself
-        self.pieces: dict[str | None, int] = {SEPARATOR: 0}
+        self.pieces = pa.array([SEPARATOR], pa.string())      # a separator between chunks has no ids
         self.piece_ids = Ragged()
         self.piece_ids.extend(np.empty(0, np.int32), np.zeros(1, np.int64))
 
@@ -80,13 +81,17 @@ class PieceMemo:
         self.chunks = Ragged()
         self.chunks.extend(np.empty(0, np.int32), np.zeros(1, np.int64))      # 0: no ids
 
-    def _ids(self, found: list[str | None], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, found: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each chunk) of matches in a row, of which chunk k has those before ``ends[k]``."""
-        new = list(set(found).difference(self.pieces))
-        if new:
-            at = self.piece_ids.extend(*self.encode_pieces([SEPARATOR if p is None else p for p in new]))
-            self.pieces.update(zip(new, range(at, at + len(new))))
-        flat, count = self.piece_ids.take(np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found)))
+        matches = pa.array(found, pa.string()).dictionary_encode()
+        place = pc.index_in(matches.dictionary, value_set=self.pieces).to_numpy(zero_copy_only=False)
+        new = np.isnan(place)
+        if new.any():
+            pieces = matches.dictionary.filter(pa.array(new))
+            place[new] = self.piece_ids.extend(*self.encode_pieces(
+                [SEPARATOR if p == OWN else p for p in pieces.to_pylist()])) + np.arange(len(pieces))
+            self.pieces = pa.concat_arrays([self.pieces, pieces])
+        flat, count = self.piece_ids.take(place.astype(np.int64)[matches.indices.to_numpy()])
         return flat, np.diff(np.concatenate([[0], np.cumsum(count)])[ends], prepend=0)
 
     def _add(self, chunks: pa.Array, lead: str) -> np.ndarray:
@@ -104,16 +109,20 @@ class PieceMemo:
             at = self.chunks.extend(*self._ids(found, ends))
             into[many] = np.arange(at, at + len(many))
         if len(many) < len(texts):
-            for k, c in enumerate(texts):
-                if into[k] < 0 and c and c[-1] not in white:
-                    into[k] = self._add_whole(lead + c)
+            rest = [k for k, c in enumerate(texts) if into[k] < 0 and c and c[-1] not in white]
+            into[rest] = self._add_apart([lead + texts[k] for k in rest])
         return into
 
-    def _add_whole(self, text: str) -> int:
-        found = self.findall(text)
-        if SEPARATOR in found:
-            found = [None if p == SEPARATOR else p for p in found]
-        return self.chunks.extend(*self._ids(found, np.array([len(found)])))
+    def _add_apart(self, texts: list[str]) -> np.ndarray:
+        """Like ``_add``, each text matched by itself."""
+        found, ends = [], []
+        for t in texts:
+            matches = self.findall(t)
+            found += [OWN if p == SEPARATOR else p for p in matches] if SEPARATOR in matches else matches
+            ends.append(len(found))
+        if not texts:
+            return np.empty(0, np.int64)
+        return np.arange(len(texts)) + self.chunks.extend(*self._ids(found, np.array(ends)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); null is an empty text."""
@@ -140,9 +149,10 @@ class PieceMemo:
         which[~head] = self.place[place.astype(np.int64)][tails.indices.to_numpy()]
         kept = self.chunks.n, self.chunks.used      # what follows is of this call only
         which[head] = self._add(cut.values.filter(pa.array(head)), "")
-        for k in np.unique(np.searchsorted(starts, np.nonzero(which < 0)[0], side="right") - 1).tolist():
+        uncut = np.unique(np.searchsorted(starts, np.nonzero(which < 0)[0], side="right") - 1).tolist()
+        for k, at in zip(uncut, self._add_apart([raw[k].as_py().decode("utf-8", "replace") for k in uncut])):
             which[starts[k]:starts[k + 1]] = 0
-            which[starts[k]] = self._add_whole(raw[k].as_py().decode("utf-8", "replace"))
+            which[starts[k]] = at
         flat, count = self.chunks.take(which)
         self.chunks.n, self.chunks.used = kept
         ends = np.concatenate([[0], np.cumsum(count)])

@@ -28,6 +28,7 @@ from .common import map_arrow
 from .piece_memo import SEPARATOR, PieceMemo, Ragged, slices
 
 JOINED = 256         # pieces encoded as one text
+SLICE = 8 << 20      # bytes of text handled at once
 STRIPE_BYTES = 64 << 20
 SCHEMA = "doc_id {}, part int, part_start bigint, n_tokens bigint, ids array<int>"
 
@@ -84,7 +85,7 @@ def encode_sorted(docs: DataFrame, path: str, pattern: str, end_id: int = 0,
     def run(batches):
         memo, part, start = tokenizer(path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, SLICE):
                 flat, count = with_end(*memo.encode(some.column(1)), end_id)
                 begins = start + np.cumsum(count) - count
                 start += int(count.sum())

@@ -57,7 +57,7 @@ def test_memo_starts_anew(library):
     for seed in range(4):
         texts = [t or "" for _, t, _ in rows(seed, 20)]
         assert [x.tolist() for x in bpe.encode(pa.array(texts))] == [library.encode_ordinary(t) for t in texts]
-        assert bpe.memo.chunks.n == 1 + np.count_nonzero(bpe.memo.place >= 0)
+        assert bpe.memo.chunks.n <= 1 + len(bpe.memo.place)
 
 
 def test_pair_table_finds_all_and_no_other():
