@@ -20,8 +20,7 @@ MIN_LIMIT = 1
 def page_params(cursor=None, limit=None) -> tuple[int, int]:
     """validate page parameters. A missing limit means the default; a
     limit above the maximum is clamped, below the minimum raised to it. A
-    value that is not an integer is an error (the reference silently used
-    the default; its own spec says the request is invalid)."""
+    value that is not an integer is an error."""
     try:
         c = 0 if cursor in (None, "") else int(cursor)
     except (TypeError, ValueError) as exc:

@@ -120,8 +120,7 @@ def explode_tx(blocks: DataFrame) -> DataFrame:
 
 
 def _has_nft_activity(tx: Column) -> Column:
-    """The tx targets nft/nftmarket, or any of its events comes from them
-    (pack openings and other contracts issuing NFTs internally)."""
+    """An item contract is called directly, or emits something in a transaction of another contract."""
     return _is_nft(tx["contract"]) | F.exists(tx["events"], lambda e: _is_nft(e["contract"]))
 
 
@@ -198,8 +197,7 @@ def _tx_rows(tx: Column) -> Column:
 def _scan_accounts(j: Column) -> Column:
     """B12 for one JSON text: every string under an account-like key at any
     depth (regex over valid JSON text; escaped look-alikes inside strings do
-    not match), unescaped. Invalid JSON -> nothing, as the reference's
-    fallback to an empty default."""
+    not match), unescaped. Invalid JSON -> nothing."""
     raw = F.regexp_extract_all(j, F.lit(ACCOUNT_FIELD_PATTERN), 1)
     vals = F.transform(raw, lambda r: F.from_json(F.concat(F.lit('["'), r, F.lit('"]')), "array<string>")[0])
     return F.when(F.try_parse_json(j).isNotNull(), vals).otherwise(F.array().cast("array<string>"))
@@ -314,7 +312,7 @@ def touch_scopes(parsed: DataFrame) -> DataFrame:
 
 
 def touched_accounts(blocks: DataFrame) -> DataFrame:
-    """Every account plausibly affected by each NFT transaction."""
+    """The accounts that each item transaction names anywhere."""
     tx = explode_tx(blocks)
     tx = tx.where(_is_nft(F.col("contract")) | F.exists("events", lambda e: _is_nft(e["contract"])))
     st = F.struct(*[F.col(c) for c in ("tx_pos", "contract", "action", "sender", "tx_id", "payload", "events")])

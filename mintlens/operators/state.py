@@ -8,9 +8,8 @@ duplicated on the row key.
 
 Scale notes: the scope filters are joins against the (small) frame of
 confirmed scopes, so AQE turns them into broadcast joins at runtime when that
-frame is small and shuffle joins otherwise. De-duplication touches only keys
-that occur in the new rows (a semi join picks the few old rows that can
-collide); the rest of the old table passes through an anti join untouched.
+frame is small and shuffle joins otherwise. The new rows are reduced to one a
+key, then one full join by row key merges them with the kept rows.
 Aggregations are hash aggregates with map-side partial results, so a hot
 account or symbol costs one partial row per task.
 """
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .market import as_ts
 
@@ -54,22 +54,20 @@ def replace_scopes(cur: DataFrame, new: DataFrame, confirmed: DataFrame, scope_k
                    row_keys: list[str], order: Column) -> DataFrame:
     """Shared core of C1, C2/C3 and C4.
 
-    Rows of ``cur`` in a confirmed scope are removed; rows of ``new`` in a
-    confirmed scope are added; where the result repeats a row key, the row
-    with the highest ``order`` wins (``order`` is evaluated on both sides).
+    Rows of ``cur`` (one a row key) in a confirmed scope are removed; rows of ``new`` in a
+    confirmed scope are added; of the rows with one row key the one with the highest ``order`` wins
+    (``order`` is evaluated on both sides). ``new`` is reduced to one row a key first, then one full join
+    by row key decides: each side is read once.
     """
     scopes = confirmed.select(*scope_keys).distinct()
-    kept = cur.join(scopes, scope_keys, "left_anti")
-    fresh = new.join(scopes, scope_keys, "left_semi").select(*cur.columns)
-    fresh_keys = fresh.select(*row_keys).distinct()
-    untouched = kept.join(fresh_keys, row_keys, "left_anti")
-    contenders = kept.join(fresh_keys, row_keys, "left_semi").unionByName(fresh)
-    cols = [c for c in cur.columns]
-    winners = (contenders.withColumn("_o", order)
-               .groupBy(*row_keys)
-               .agg(F.max_by(F.struct(*[F.col(c) for c in cols if c not in row_keys]), F.col("_o")).alias("_w"))
-               .select(*row_keys, "_w.*"))
-    return untouched.unionByName(winners.select(*cols))
+    rest = F.struct(*[F.col(c) for c in cur.columns if c not in row_keys])
+    kept = cur.join(scopes, scope_keys, "left_anti").select(*row_keys, order.alias("_old_order"), rest.alias("_old"))
+    fresh = (new.join(scopes, scope_keys, "left_semi").select(*row_keys, order.alias("_order"), rest.alias("_row"))
+             .groupBy(*row_keys).agg(F.max("_order").alias("_new_order"), F.max_by("_row", "_order").alias("_new")))
+    newer = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new_order") >= F.col("_old_order")))
+    both = kept.join(fresh, row_keys, "full")
+    return both.select(*row_keys, F.when(newer, F.col("_new")).otherwise(F.col("_old")).alias("_w")).select(
+        *row_keys, "_w.*").select(*cur.columns)
 
 
 # -- C1 ------------------------------------------------------------------------
@@ -79,7 +77,10 @@ def upsert_catalog(cur: DataFrame, snap: DataFrame) -> DataFrame:
     stay. Within one snapshot the later record (``pos``) wins."""
     new = snap if "pos" in snap.columns else snap.withColumn("pos", F.lit(0))
     conf = new.select("symbol").distinct()
-    order = F.struct(F.col("_src"), F.col("_pos"))
+    # records without a position tie: any fixed order of their content will do
+    plain = (T.StringType, T.NumericType, T.BooleanType, T.TimestampType)
+    rest = [f.name for f in cur.schema.fields if f.name != "symbol" and isinstance(f.dataType, plain)]
+    order = F.struct(F.col("_src"), F.col("_pos"), *[F.col(k) for k in rest])
     c = cur.withColumn("_src", F.lit(0)).withColumn("_pos", F.lit(0).cast("bigint"))
     n = new.withColumn("_src", F.lit(1)).withColumn("_pos", F.col("pos").cast("bigint")).drop("pos")
     out = replace_scopes(c, n.select(*c.columns), conf, ["symbol"], ["symbol"], order)
@@ -115,8 +116,9 @@ def apply_book(cur: DataFrame, orders: DataFrame, outcomes: DataFrame) -> DataFr
     new = _of_confirmed_fetch(orders if "pos" in orders.columns else orders.withColumn("pos", F.lit(0)), conf, ["symbol"])
     c = cur.withColumn("_pos", F.lit(None).cast("bigint"))
     n = new.withColumn("_pos", F.col("pos").cast("bigint")).select(*c.columns)
-    # records without a position tie; then the cheapest, then the first account by name
-    order = F.struct(-F.coalesce(F.col("_pos"), F.lit(0)), -F.col("price"), F.col("account"))
+    # records without a position tie: any fixed order of their content will do
+    rest = [k for k in cur.columns if k not in ("symbol", "nft_id")]
+    order = F.struct(-F.coalesce(F.col("_pos"), F.lit(0)), *[F.col(k) for k in rest])
     return replace_scopes(c, n, conf, ["symbol"], ["symbol", "nft_id"], order).drop("_pos")
 
 

@@ -138,6 +138,12 @@ def _hadoop_fs(spark: SparkSession, path: str):
         raise RuntimeError("partition folders can only be removed from a classic Spark session") from exc
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder with everything in it."""
+    hpath, fs = _hadoop_fs(spark, path)
+    fs.delete(hpath, True)
+
+
 def drop_partitions(spark: SparkSession, path: str, part_col: str, values: list[str]) -> list[str]:
     """Delete the ``part_col=<value>`` folders for the given values (Spark
     escapes special characters in folder names; they are unescaped here)."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import epoch_ms_ts, json_map, price, strict_id, truthy
+from ..functions import epoch_ms_ts, json_map, json_or_default, price, strict_id, truthy
 from ..schemas import CATALOG_RAW_DDL, HOLDING_RAW_DDL, ORDER_RAW_DDL, OUTCOME_DDL
 
 
@@ -62,7 +62,7 @@ def normalize_catalog(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return raw.select(*_extra(keep),
         "symbol", "name", F.col("orgName").alias("org_name"), F.col("productName").alias("product_name"),
         "issuer", meta["url"].alias("url"), _json_text("metadata", "{}").alias("metadata"),
-        F.coalesce(F.from_json("groupBy", "array<string>"), F.array().cast("array<string>")).alias("group_by"),
+        json_or_default("groupBy", "array<string>", F.array().cast("array<string>")).alias("group_by"),
         _json_text("properties", "{}").alias("properties"),
         truthy("delegationEnabled").alias("delegation_enabled"),
         strict_id("supply").alias("supply"), strict_id("circulatingSupply").alias("circulating_supply"),

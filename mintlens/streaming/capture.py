@@ -21,14 +21,16 @@ by key (a watermark would drop them).
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import parse
 from ..schemas import BLOCK_DDL
 from ..session import scratch_path
-from ..sources.sinks import append_idempotent, read_if_exists
+from ..sources.sinks import append_idempotent, drop_partitions, read_if_exists, remove_folder
 
 SETTLE_MARGIN = 1
 BLOCKS_PER_BUCKET = 28800       # blocks of a sink partition: a day at one block in three seconds
@@ -134,6 +136,8 @@ class BlockCapture:
                                    F.lit(hi).cast("bigint").alias("last_block"),
                                    F.current_timestamp().alias("updated_at"))
              .write.mode("append").parquet(self.path("pipeline_state")))
+            if settle:      # what batch n - 2 held has been in batch n - 1
+                drop_partitions(spark, self.path("held"), "epoch", [str(epoch_id - 2)])
         finally:
             parsed.unpersist()
             batch.unpersist()
@@ -204,8 +208,9 @@ def run_backfill(spark: SparkSession, landing: str, sink_root: str, target: int,
                  start_below: int | None = None) -> int:
     """Walk landed blocks backwards from the current cursor (the lowest
     block already backfilled, else ``start_below``) down to ``target`` in
-    chunks of ``chunk_blocks``; each chunk is one distributed capture-only job
-    whose block-number filter reaches the JSON scan. Restartable: the cursor
+    chunks of ``chunk_blocks``; each chunk is one distributed capture-only job.
+    The landing zone is read once: the blocks of the range are staged in a table with one partition a chunk,
+    and a chunk reads its partition only. Restartable: the cursor
     is read back from the progress rows. Returns the final cursor."""
     state = read_if_exists(spark, os.path.join(sink_root, "pipeline_state"))
     cursor = None
@@ -216,11 +221,18 @@ def run_backfill(spark: SparkSession, landing: str, sink_root: str, target: int,
             raise ValueError("no backfill progress yet: give start_below (e.g. the live start block)")
         cursor = int(start_below)
     epoch = 0 if state is None else int(state.agg(F.max("epoch")).first()[0] or 0) + 1
-    while cursor > target:
-        lo = max(int(target), cursor - int(chunk_blocks))
-        chunk = read_blocks(spark, landing).where(F.col("blockNumber").between(lo, cursor - 1))
-        backfill(spark, chunk, sink_root, epoch)
-        cursor, epoch = lo, epoch + 1
+    if cursor <= target:
+        return cursor
+    top, size = cursor, int(chunk_blocks)
+    blocks = read_blocks(spark, landing).where(F.col("blockNumber").between(int(target), top - 1))
+    staged = scratch_path(spark, f"backfill-blocks-{uuid.uuid4().hex}")
+    blocks.withColumn("chunk", F.floor((F.lit(top - 1) - F.col("blockNumber")) / size).cast("int")).write.partitionBy("chunk").parquet(staged)
+    schema = T.StructType([*blocks.schema.fields, T.StructField("chunk", T.IntegerType())])
+    for k in range(-(-(top - int(target)) // size)):
+        backfill(spark, spark.read.schema(schema).parquet(staged).where(F.col("chunk") == k).drop("chunk"), sink_root, epoch)
+        # the cursor moves over the whole chunk, also where its lowest blocks never landed
+        cursor, epoch = max(int(target), top - (k + 1) * size), epoch + 1
+    remove_folder(spark, staged)
     return cursor
 
 
@@ -228,7 +240,6 @@ def retain_sink(spark: SparkSession, path: str, as_of, days: int = 30) -> list[s
     """Retention of a sink by whole buckets -- those whose newest row is older than the window are
     dropped (readers apply the exact window with ``state.retain``). Returns the removed folder names."""
     import datetime as dt
-    from ..sources.sinks import drop_partitions
     t = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
     cutoff = t - dt.timedelta(days=int(days))
     newest = spark.read.parquet(path).groupBy("bucket").agg(F.max("ts").alias("newest"))     # one row a bucket

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from mintlens.operators import state, views
@@ -47,8 +48,20 @@ def test_L13_cursor_is_a_pair_not_a_packed_number(spark):
                                "he_block bigint, tx_seq int, account string").withColumn("counterparty", F.lit(None).cast("string"))
     page = views.account_activity(ev, "a", cursor=(7, 10001), limit=10).collect()
     assert [(r.he_block, r.tx_seq) for r in page] == [(7, 10000), (7, 9999), (7, 0)]
-    packed = views.account_activity(ev, "a", cursor=8 * 10000 + 0, limit=10).collect()
-    assert [(r.he_block, r.tx_seq) for r in packed][0] == (7, 10001)
+    text = views.account_activity(ev, "a", cursor="8:0", limit=10).collect()
+    assert [(r.he_block, r.tx_seq) for r in text][0] == (7, 10001)
+    seen, cursors = [], None            # page after page in bulk: every row once, none again
+    while True:
+        got = views.activity_feeds(ev.withColumns({c: F.lit(None).cast("string") for c in (
+            "symbol", "nft_id", "op", "price", "price_symbol", "tx_id", "ts")}), limit=2, cursors=cursors).orderBy("rank").collect()
+        seen += [(r.he_block, r.tx_seq) for r in got]
+        if not got or got[-1].next_cursor is None:
+            break
+        cursors = spark.createDataFrame([("a", got[-1].next_cursor)], "viewer string, cursor string")
+    assert seen == [(8, 0), (7, 10001), (7, 10000), (7, 9999), (7, 0)]
+    for bad in ("80000", "8:x", "8", 80000):
+        with pytest.raises(ValueError):
+            views.account_activity(ev, "a", cursor=bad)
 
 
 def test_L12_settled_blocks_and_gaps(spark):

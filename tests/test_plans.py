@@ -68,25 +68,6 @@ def test_sink_idempotency_check_reads_only_its_buckets(spark, tmp_path):
     assert sinks.read_buckets(spark, path + "-none", "bucket", 0, 9, df.schema) is None
 
 
-def test_bucketed_holdings_and_orders_join_without_shuffle(spark, tmp_path):
-    from mintlens.operators import views
-    from mintlens.sources import fixtures as fx
-    from mintlens.sources.tables import read_table, save_bucketed
-    save_bucketed(fx.fx_holdings(spark, SF), "hold_b", str(tmp_path / "h"), buckets=8)
-    save_bucketed(fx.fx_orders(spark, SF), "orders_b", str(tmp_path / "o"), buckets=8)
-    h, o = read_table(spark, "hold_b"), read_table(spark, "orders_b")
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the large-table strategy
-    try:
-        joined = o.select("symbol", "nft_id", "price").join(h.select("symbol", "nft_id", "owned_by"), ["symbol", "nft_id"])
-        plan = plan_of(joined)
-        assert "SortMergeJoin" in plan and "Exchange" not in plan
-        c = fx.fx_collections(spark, SF)
-        assert views.wallet_sections(h, o, c).where("section = 'listed'").count() == o.count()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-
-
 def test_table_job_reads_only_refreshed_symbol_partitions(spark, tmp_path):
     import datetime as dt
     from mintlens.plans.jobs import apply_holdings_table

@@ -1,5 +1,4 @@
-"""Snapshot application, market floors and open work (expected values ported
-from the reference's sync tests, plus the defect rules decided in SURVEY L1-L5)."""
+"""State application on small frames: snapshots, ownership, books, retries, floors, last sales."""
 
 import json
 

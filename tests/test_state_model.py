@@ -11,16 +11,13 @@ T0 = dt.datetime(2026, 7, 1)
 
 
 def model(cur, fetched, outcomes):
-    latest = {}
+    # the latest fetch of a scope that succeeded and was complete; later failures take nothing back
+    confirmed = {}
     for a, s, ok, complete, t in outcomes:
-        key = (a, s)
-        rank = (t, ok and (complete is not False))
-        if key not in latest or rank > latest[key]:
-            latest[key] = rank
-    confirmed = {k for k, (t, good) in latest.items() if good}
-    last_fetch = {k: t for k, (t, _) in latest.items()}
+        if ok and complete is not False:
+            confirmed[a, s] = max(confirmed.get((a, s), t), t)
     rows = [(r, 0) for r in cur if (r[2], r[0]) not in confirmed]
-    rows += [((s, n, a, o, d, p, t or last_fetch[(a, s)]), 1) for s, n, a, o, d, p, t in fetched if (a, s) in confirmed]
+    rows += [((s, n, a, o, d, p, t or confirmed[a, s]), 1) for s, n, a, o, d, p, t in fetched if (a, s) in confirmed]
     best = {}
     for r, src in rows:
         k = (r[0], r[1])

@@ -4,6 +4,7 @@ backfill mode, retention, JSON rendering."""
 import json
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from mintlens.sources import sinks
@@ -123,6 +124,9 @@ def test_capture_from_a_stream_of_documents(spark):
     root = tempfile.mkdtemp(prefix="cap-")
     _land(spark, root, "a", [_doc(1, [("a", "b")]), _doc(2, [("b", "c")])])
     docs = spark.readStream.schema("value string").text(f"{root}/landing/a")
+    with pytest.raises(ValueError):
+        capture.start_capture(spark, docs, f"{root}/sinks")
+    docs = docs.withColumn("ingest_ts", F.lit("2026-07-01 00:00:00").cast("timestamp"))
     q = capture.start_capture(spark, docs, f"{root}/sinks", checkpoint=f"{root}/cp", margin=0)
     q.awaitTermination()
     assert spark.read.parquet(f"{root}/sinks/nft_events").count() == 2
@@ -157,4 +161,6 @@ def test_sinks_feed_the_downstream_operators(spark):
     feed = views.account_activity(sink("nft_events"), "al", limit=10).collect()
     assert [(r.he_block, r.op) for r in feed] == [(3, "transfer"), (2, "market_list"), (2, "transfer")]
     cov = views.activity_coverage(sink("nft_events")).first()
-    assert cov.backfill_cursor_block == 1
+    assert (cov.backfill_cursor_block, cov.backfill_complete) == (None, False)
+    cov = views.activity_coverage(sink("nft_events"), backfill_cursor=1).first()
+    assert (cov.backfill_cursor_block, cov.backfill_complete) == (1, True)

@@ -32,7 +32,7 @@ def test_account_activity_cursor(spark):
     e = _events(spark)
     first = views.account_activity(e, "alice", limit=2).collect()
     assert [(r.he_block, r.tx_seq) for r in first] == [(5, 2), (5, 0)]
-    cur = first[-1].he_block * 10000 + first[-1].tx_seq
+    cur = (first[-1].he_block, first[-1].tx_seq)
     nxt = views.account_activity(e, "alice", cursor=cur, limit=2).collect()
     assert [(r.he_block, r.tx_seq) for r in nxt] == [(4, 1), (3, 2)]
     as_cpty = views.account_activity(e, "carol", limit=100).collect()

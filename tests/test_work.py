@@ -1,55 +1,45 @@
-"""Open work and account state (expected values ported from the reference's
-refresh and market-loop tests)."""
+"""Open work and account state: refresh plans, dirty books, due accounts, account clock, catalog."""
 
 import datetime as dt
 
+import pytest
+
 from mintlens.operators import state
 
 HOLD = "symbol string, nft_id bigint, account string, owned_by string, delegated_to string, properties string, refreshed_at timestamp"
 T0 = dt.datetime(2026, 7, 1)
 
 
-def _plan(spark, account, syms, populated, holdings):
-    due = spark.createDataFrame([(account, syms)], "account string, syms array<string>")
-    acc = spark.createDataFrame([(account, T0 if populated else None)], "account string, populated_at timestamp")
-    hold = spark.createDataFrame([(s, i, a, "u", None, "{}", T0) for i, (s, a) in enumerate(holdings)], HOLD)
-    return {(r.mode, r.symbol) for r in state.refresh_plan(due, hold, acc).collect()}
-
-
-def test_whole_account_refresh_narrows_to_held_symbols(spark):
-    assert _plan(spark, "alice", [""], True, [("CARD", "alice")]) == {("held", "CARD")}
-
-
-def test_whole_account_refresh_without_holdings_checks_everything(spark):
-    assert _plan(spark, "newbie", [""], True, []) == {("full", None)}
-
-
-def test_touch_first_account_gets_a_full_scan(spark):
-    assert _plan(spark, "newacct", ["CARD"], False, []) == {("full", None)}
-
-
-def test_known_account_stays_targeted(spark):
-    assert _plan(spark, "alice", ["CARD"], True, [("CARD", "alice"), ("OTHER", "alice")]) == {("targeted", "CARD")}
-
-
-def test_delegated_in_symbols_count_as_held(spark):
-    hold = spark.createDataFrame([("DEL", 1, "bob", "u", "alice", "{}", T0)], HOLD)
-    got = {(r.account, r.symbol) for r in state.held_symbols(hold).collect()}
-    assert got == {("bob", "DEL"), ("alice", "DEL")}
-
-
-def test_dirty_market_survives_concurrent_reflag(spark):
-    ev = spark.createDataFrame([("CARD", "market_list", T0), ("CARD", "market_buy", T0 + dt.timedelta(minutes=2)),
-                                ("PLAIN", "transfer", T0)], "symbol string, op string, ts timestamp")
-    snaps = spark.createDataFrame([("CARD", True, T0 + dt.timedelta(minutes=1))],
-                                  "symbol string, ok boolean, fetched_at timestamp")
-    assert [r.symbol for r in state.dirty_symbols(ev, snaps).collect()] == ["CARD"]
-    later = snaps.unionByName(spark.createDataFrame([("CARD", True, T0 + dt.timedelta(minutes=3))],
-                                                    "symbol string, ok boolean, fetched_at timestamp"))
-    assert state.dirty_symbols(ev, later).count() == 0
-    failed = snaps.unionByName(spark.createDataFrame([("CARD", False, T0 + dt.timedelta(minutes=3))],
-                                                     "symbol string, ok boolean, fetched_at timestamp"))
-    assert state.dirty_symbols(ev, failed).count() == 1
+@pytest.mark.parametrize("queued,populated,holds,want", [
+    (["OAK"], True, ["OAK", "ELM"], {("targeted", "OAK")}),
+    (["OAK", "FIR"], True, [], {("targeted", "OAK"), ("targeted", "FIR")}),
+    ([""], True, ["ELM"], {("held", "ELM")}),
+    (["", "FIR"], True, ["ELM"], {("held", "ELM"), ("held", "FIR")}),
+    ([""], True, [], {("full", None)}),
+    (["OAK"], False, ["ELM"], {("full", None)}),
+    (["", "OAK"], False, [], {("full", None)})])
+def test_refresh_plan(spark, queued, populated, holds, want):
+    due = spark.createDataFrame([("kim", queued)], "account string, syms array<string>")
+    known = spark.createDataFrame([("kim", T0 if populated else None)], "account string, populated_at timestamp")
+    held = spark.createDataFrame([(sym, n, "kim", "u", None, "{}", T0) for n, sym in enumerate(holds)], HOLD)
+    assert {(r.mode, r.symbol) for r in state.refresh_plan(due, held, known).collect()} == want
+
+
+def test_items_delegated_to_an_account_are_held_by_both(spark):
+    held = spark.createDataFrame([("OAK", 3, "lender", "u", "user", "{}", T0), ("ELM", 4, "lender", "u", None, "{}", T0)], HOLD)
+    assert sorted(tuple(r) for r in state.held_symbols(held).collect()) == [("lender", "ELM"), ("lender", "OAK"), ("user", "OAK")]
+
+
+@pytest.mark.parametrize("flags,snapshots,dirty", [
+    ([5], [], True), ([5], [(4, True, True)], True), ([5], [(6, True, True)], False), ([5, 7], [(6, True, True)], True),
+    ([5], [(6, False, True)], True), ([5], [(6, True, False)], True), ([5], [(6, True, None)], False),
+    ([5], [(6, True, True), (8, False, None)], False)])
+def test_dirty_until_a_confirmed_book_is_newer(spark, flags, snapshots, dirty):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    ev = spark.createDataFrame([("OAK", "market_list", at(m)) for m in flags] + [("ELM", "burn", at(1))], "symbol string, op string, ts timestamp")
+    books = spark.createDataFrame([("OAK", ok, full, at(m)) for m, ok, full in snapshots],
+                                  "symbol string, ok boolean, complete boolean, fetched_at timestamp")
+    assert [r.symbol for r in state.dirty_symbols(ev, books).collect()] == (["OAK"] if dirty else [])
 
 
 def test_due_accounts_oldest_first_and_not_before(spark):
