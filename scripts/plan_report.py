@@ -22,7 +22,7 @@ from mintlens.plans.queries import QUERIES  # noqa: E402
 from mintlens.session import build_session  # noqa: E402
 
 WRITES = {"stream_capture", "append_idempotent", "write_view", "capture_only", "read_catalog", "read_book_snapshots",
-          "run_backfill", "retain_sink", "read_blocks", "apply_holdings_table", "apply_book_table",
+          "run_backfill", "retain_sink", "read_blocks", "block_quarantine", "replayed_sales", "captured_status", "apply_holdings_table", "apply_book_table",
           "normalize_holdings", "read_mappings"}
 
 
