@@ -1,13 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 All n-grams of the training texts are counted: tasks sum their own n-grams, and blocks of
-(hash, count) pairs are merged by hash range. A count c of an order whose least kept count is m is
-quantised to level 1 + floor(log_1.5 (c / m)) and the n-gram enters the filter once for every level up to its own. A look-up
-probes level after level until one is missing, which gives the quantised count back. The
-filter is made of one segment for each order and hash range, built where that range was counted; its
-size is known from the counts before it is gathered and never exceeds ``MAX_FILTER_BYTES`` (beyond that
-the least count kept rises, found from the counts of all n-grams). Counts below ``MIN_COUNT``
-(two, from bigrams on) are left to the smoothing at every size.
+(hash, count) pairs are merged by hash range. A count c is quantised to level 1 + floor(log_1.5 c) and the
+n-gram enters the filter once for every level up to its own. A look-up probes level after level until one is
+missing, which gives the quantised count back. The filter holds every n-gram and grows with the training texts.
+It is made of one segment for each order and hash range, built where that range was counted, and goes to the workers
+in blocks of hash ranges of at most ``MAX_FILTER_BYTES`` (one range at least, whose inserts are at most its n-grams'
+occurrences). With one block, levels are looked up where they are used; with more, there is one pass a block, which
+writes the places it has a level for, and a document's levels are put together before smoothing. An n-gram
+is in one block, so the results are the same for any size of the blocks.
 
 P(w | v) = a P_ml(w | v) + (1 - a) P(w), down to (c + 1) / (N + V + 1) for single tokens; a is
 chosen for every order and context level by deleted interpolation (a training token's own occurrence taken
@@ -37,14 +38,12 @@ from .piece_memo import slices
 
 ORDER = 2
 LEVEL_BASE = 1.5
-MIN_COUNT = (1, 2, 2, 2, 2)             # by order: least count kept in the filter
 BITS_A_KEY, PROBES = 10, 5
-MAX_FILTER_BYTES = 128 << 20
+MAX_FILTER_BYTES = 128 << 20            # of one block of the filter
 VOCABULARY_BLOCK = 8 << 20
 SLICE = 1 << 20                         # bytes of text handled at once
 BUFFER = 1 << 21                        # n-grams a counting task holds before it sums them up
 RANGE_TOKENS = 1 << 20                  # n-gram occurrences of a hash range, about
-MOST_TOLD = 4096                        # counts beyond are told as this one in histograms
 TUNING_DOCS = 4000
 WEIGHTS = np.linspace(0.0, 0.95, 20)    # candidates for the interpolation weight
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", 42))     # no token holds white space
@@ -109,9 +108,8 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def count_ngrams(docs: DataFrame, order: int, ranges: int, text_col: str) -> DataFrame:
-    """(k, part, hashes, counts, tokens, histogram): the n-grams of order k in hash range ``part`` with a count of
-    MIN_COUNT or more, as sorted arrays of unsigned 64-bit numbers; how many n-grams have each count
-    (up to MOST_TOLD), and their sum, over all."""
+    """(k, part, hashes, counts, tokens, bits): the sum of the counts of the n-grams of order k in hash range ``part``
+    and their filter segment; for single tokens also the sorted hashes and counts, as unsigned 64-bit numbers."""
     shift = np.uint64(64 - int(math.log2(ranges)))
 
     def rows(k: int, parts: list[np.ndarray]):
@@ -144,15 +142,16 @@ def count_ngrams(docs: DataFrame, order: int, ranges: int, text_col: str) -> Dat
         k = int(part["k"].iloc[0])
         hashes, counts = _summed(np.frombuffer(b"".join(part["hashes"]), "<u8"),
                                  np.frombuffer(b"".join(part["counts"]), "<u4").astype(np.int64))
-        c, many = np.unique(np.minimum(counts, MOST_TOLD), return_counts=True)
-        keep = counts >= MIN_COUNT[k - 1]
+        lv = level(counts)
+        bits = int(LogFrequencyFilter.segment_bits(np.array([lv.sum()]))[0])
         return pd.DataFrame({
-            "k": [k], "part": part["part"].iloc[:1], "hashes": [hashes[keep].tobytes()], "counts": [counts[keep].astype("<u8").tobytes()],
-            "tokens": [int(counts.sum())], "histogram": [[{"c": int(a), "many": int(b)} for a, b in zip(c, many)]]})
+            "k": [k], "part": part["part"].iloc[:1], "hashes": [hashes.tobytes() if k == 1 else None],
+            "counts": [counts.astype("<u8").tobytes() if k == 1 else None], "tokens": [int(counts.sum())],
+            "bits": [LogFrequencyFilter.build_segment(hashes, lv, bits)]})
 
     blocks = map_arrow(docs.select(F.col(text_col)), run, "k int, part int, hashes binary, counts binary")
     return blocks.groupBy("k", "part").applyInPandas(
-        merge, "k int, part int, hashes binary, counts binary, tokens bigint, histogram array<struct<c: bigint, many: bigint>>")
+        merge, "k int, part int, hashes binary, counts binary, tokens bigint, bits binary")
 
 
 class LogFrequencyFilter:
@@ -245,8 +244,72 @@ class Model(NamedTuple):
     order: int
     n: int                          # training tokens
     v: int                          # distinct ones
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter      # its first block
     weights: np.ndarray             # (order, context level) -> interpolation weight
+    blocks: list[tuple[int, int]]   # first and last hash range of each block of the filter
+    segments: DataFrame | None = None       # (k, part, bits); stays on the driver
+
+
+VALUE = level_counts()
+
+
+def _look_up(model: Model, t: Tokens, found: list | None) -> list[np.ndarray]:
+    """By order, the level of the n-gram at each place: from the filter, or from what its blocks found in each text."""
+    if found is None:
+        return [model.filter.look_up(k, t.grams[k - 1])[1] for k in range(1, model.order + 1)]
+    out = np.zeros((model.order, len(t.place)), np.int64)
+    starts = np.cumsum(t.counts + 1) - t.counts - 1
+    for start, size, blobs in zip(starts.tolist(), (t.counts + 1).tolist(), found):
+        for blob in blobs:
+            n = len(blob) // 5
+            at = np.frombuffer(blob, "<u4", n).astype(np.int64)
+            out[at // size, start + at % size] = np.frombuffer(blob, np.uint8, n, 4 * n)
+    return list(out)
+
+
+def _found(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (doc_id, text, t) with ``levels``: null if the filter is one block, otherwise what each block found in the
+    text, as the places (unsigned 32-bit, order by order) and then their levels (a byte each)."""
+    if len(model.blocks) == 1:
+        return rows.withColumn("levels", F.lit(None).cast("array<binary>"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def one_pass(block) -> DataFrame:
+        def run(batches):
+            m = model_of.value._replace(filter=block.value)
+            for batch in batches:
+                for some in slices(batch, 1, SLICE):
+                    t = tokens([x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()], m.order)
+                    lv = np.stack(_look_up(m, t, None))
+                    ends = np.cumsum(t.counts + 1)
+                    blobs = []
+                    for a, b in zip((ends - t.counts - 1).tolist(), ends.tolist()):
+                        mine = lv[:, a:b].ravel()
+                        at = np.nonzero(mine)[0]
+                        blobs.append(at.astype("<u4").tobytes() + mine[at].astype(np.uint8).tobytes())
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(blobs, pa.binary())],
+                                                     ["i", "u", "found"])
+
+        return map_arrow(rows, run, f"i {kind}, u bigint, found binary")
+
+    out = None
+    model_of = rows.sparkSession.sparkContext.broadcast(model._replace(filter=None, segments=None))
+    for lo, hi in model.blocks:
+        block = rows.sparkSession.sparkContext.broadcast(_block(model.segments, model.order, model.filter.ranges, lo, hi))
+        found = materialize(one_pass(block), "lm-levels")
+        block.unpersist()
+        out = found if out is None else out.unionByName(found)
+    # equal rows find the same
+    out = out.groupBy("i", "u").agg(F.collect_set("found").alias("levels"))
+    return rows.join(out, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("doc_id", "text", "t", "levels")
+
+
+def _block(segments: DataFrame, order: int, ranges: int, lo: int, hi: int) -> LogFrequencyFilter:
+    """The filter of the hash ranges ``lo`` to ``hi``."""
+    some = segments.where(F.col("part").between(lo, hi)).toLocalIterator()
+    held = {(r["k"] - 1) * ranges + r["part"]: bytes(r["bits"]) for r in some}
+    blobs = [held.get(s, b"") for s in range(order * ranges)]
+    return LogFrequencyFilter(ranges, np.array([8 * len(b) for b in blobs], np.int64), blobs, [1] * order)
 
 
 def _ml(t: Tokens, k: int, above: np.ndarray, below: np.ndarray, lv: np.ndarray,
@@ -259,44 +322,48 @@ def _ml(t: Tokens, k: int, above: np.ndarray, below: np.ndarray, lv: np.ndarray,
     return p, np.where(use, np.minimum(np.concatenate([lv[:1], lv[:-1]]), 63), 0)
 
 
-def probabilities(model: Model, t: Tokens) -> np.ndarray:
+def probabilities(model: Model, t: Tokens, found: list | None = None) -> np.ndarray:
     """Smoothed probability at every place of the texts."""
-    counts, lv = model.filter.look_up(1, t.grams[0])
+    levels = _look_up(model, t, found)
+    counts, lv = VALUE[levels[0]], levels[0]
     p = (counts + 1) / (model.n + model.v + 1)
     for k in range(2, model.order + 1):
-        above, above_lv = model.filter.look_up(k, t.grams[k - 1])
+        above = VALUE[levels[k - 1]]
         ml, context = _ml(t, k, above, counts, lv)
         a = model.weights[k - 1][context]         # 0 at level 0
         p = a * ml + (1 - a) * p
-        counts, lv = above, above_lv
+        counts, lv = above, levels[k - 1]
     return p
 
 
-def _tune(docs: DataFrame, model: Model, text_col: str) -> np.ndarray:
+def _tune(rows: DataFrame, model: Model) -> np.ndarray:
     """Interpolation weights by deleted interpolation: the sums of log-likelihood for each candidate
     are added up over the documents; a context level that was not met keeps the weight of the level below."""
     weights = np.zeros((model.order, 64))
+    held = rows.sparkSession.sparkContext.broadcast(model._replace(segments=None))
 
     def run(batches):
-        sums = np.zeros((model.order - 1, 64, len(WEIGHTS)))
+        m = held.value
+        sums = np.zeros((m.order - 1, 64, len(WEIGHTS)))
         for batch in batches:
-            t = tokens([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], model.order)
-            counts, lv = model.filter.look_up(1, t.grams[0])
-            p = np.maximum(counts, 1) / (model.n + model.v + 1)
-            for k in range(2, model.order + 1):
-                above, above_lv = model.filter.look_up(k, t.grams[k - 1])
+            t = tokens([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], m.order)
+            levels = _look_up(m, t, _of(batch.column(1)))
+            counts, lv = VALUE[levels[0]], levels[0]
+            p = np.maximum(counts, 1) / (m.n + m.v + 1)
+            for k in range(2, m.order + 1):
+                above = VALUE[levels[k - 1]]
                 ml, context = _ml(t, k, above, counts, lv, 1.0)
                 use = (t.place >= 1) & (context > 0)
                 for j, a in enumerate(WEIGHTS):
                     gain = np.log(a * ml[use] + (1 - a) * p[use])
                     sums[k - 2, :, j] += np.bincount(context[use], weights=gain, minlength=64)
                 p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
-                counts, lv = above, above_lv
+                counts, lv = above, levels[k - 1]
         k, lv, j = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(lv), pa.array(j), pa.array(sums[k, lv, j])],
                                          ["k", "lv", "j", "gain"])
 
-    rows = map_arrow(docs.select(F.col(text_col)), run, "k bigint, lv bigint, j bigint, gain double").groupBy(
+    rows = map_arrow(rows.select("text", "levels"), run, "k bigint, lv bigint, j bigint, gain double").groupBy(
         "k", "lv", "j").agg(F.sum("gain").alias("gain")).collect()      # at most orders x 64 x 20 numbers
     sums = np.full((model.order - 1, 64, len(WEIGHTS)), 0.0)
     for r in rows:
@@ -317,42 +384,34 @@ def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     ranges = 1 << max(6, math.ceil(math.log2(max(1.0, (total[1] or 0) / 6 / RANGE_TOKENS))))
     counted = materialize(count_ngrams(docs, order, ranges, text_col), "lm-counts")
 
-    sums = counted.select("k", F.inline("histogram")).groupBy("k", "c").agg(F.sum("many").alias("many")).collect()
-    n = counted.where("k = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    v = sum(r["many"] for r in sums if r["k"] == 1)      # sums: at most orders x MOST_TOLD rows
-
-    def inserts(least: list[int]) -> int:
-        c, k, many = (np.array([r[x] for r in sums], np.int64) for x in ("c", "k", "many"))
-        return sum(int((level(c, m) * many)[(k == j + 1) & (c >= m)].sum()) for j, m in enumerate(least))
-
-    least = list(MIN_COUNT[:order])
-    while inserts(least) * BITS_A_KEY > 8 * MAX_FILTER_BYTES:
-        least = [m + 1 for m in least]
-
-    def segments(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                k, hashes = row["k"], np.frombuffer(row["hashes"], "<u8")
-                counts = np.frombuffer(row["counts"], "<u8").astype(np.int64)
-                keep = counts >= least[k - 1]
-                lv = level(counts[keep], least[k - 1])
-                bits = int(LogFrequencyFilter.segment_bits(np.array([lv.sum()]))[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(k - 1) * ranges + row["part"]], pa.int32()),
-                     pa.array([LogFrequencyFilter.build_segment(hashes[keep], lv, bits) if bits else b""], pa.binary())], ["s", "bits"])
-
-    built = map_arrow(counted.select("k", "part", "hashes", "counts"), segments, "s int, bits binary")
-    blobs = {r["s"]: bytes(r["bits"]) for r in built.toLocalIterator()}      # MAX_FILTER_BYTES at most
-    blobs = [blobs.get(s, b"") for s in range(order * ranges)]
-    held = LogFrequencyFilter(ranges, np.array([8 * len(b) for b in blobs], np.int64), blobs, least)
-    del blobs
-    model = Model(order, n, v, held, np.zeros((order, 64)))
+    first = counted.where("k = 1").agg(F.sum("tokens"), F.sum(F.octet_length("hashes"))).first()
+    n, v = first[0] or 0, (first[1] or 0) // 8
+
+    size = np.zeros(ranges, np.int64)
+    for r in counted.select("part", F.octet_length("bits").alias("size")).collect():      # orders x ranges numbers
+        size[r["part"]] += r["size"]
+    blocks, lo = [], 0
+    for part in range(1, ranges + 1):
+        if part == ranges or size[lo:part + 1].sum() > MAX_FILTER_BYTES:
+            blocks.append((lo, part - 1))
+            lo = part
+    segments = counted.select("k", "part", "bits")
+    model = Model(order, n, v, _block(segments, order, ranges, *blocks[0]), np.zeros((order, 64)), blocks, segments)
     share = min(1.0, TUNING_DOCS / max(1, total[0]))
     picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
-    model = model._replace(weights=_tune(picked, model, text_col))
+    model = model._replace(weights=_tune(_found(_rows(picked, id_col, text_col), model), model))
     return model, counted.where("k = 1").select("part", "hashes", "counts")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+
+
+def _of(column: pa.Array) -> list | None:
+    """What the blocks of the filter found in each text; None if the filter is one block."""
+    return None if column.null_count == len(column) else column.to_pylist()
+
+
 def _blocks(vocabulary: DataFrame, n: int, v: int):
     """The vocabulary in blocks of about ``VOCABULARY_BLOCK`` tokens (hash ranges in a row)."""
     ranges = vocabulary.agg(F.max("part")).first()[0]
@@ -390,7 +449,7 @@ def _pass(docs: DataFrame, kind: str, order: int, model, block) -> DataFrame:
                 logs = np.bincount(owner, weights=np.log10(c + 1.0), minlength=rows)
                 score = np.zeros(rows)
                 if m is not None:
-                    score = np.bincount(owner, weights=np.log10(probabilities(m, t)[scored]), minlength=rows)
+                    score = np.bincount(owner, weights=np.log10(probabilities(m, t, _of(some.column(3)))[scored]), minlength=rows)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(2), pa.array(t.counts), pa.array(known), pa.array(logs), pa.array(score)],
                     ["doc_id", "t", "n_tokens", "n_known", "logs", "score"])
@@ -402,12 +461,12 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
-    held, out = sc.broadcast(model), None
+    rows = _rows(docs, id_col, text_col)
+    held, out = sc.broadcast(model._replace(segments=None)), None
     for block in _blocks(vocabulary, model.n, model.v):
         block = sc.broadcast(block)
         if out is None:
-            out = _pass(rows, kind, model.order, held, block)
+            out = _pass(_found(rows, model), kind, model.order, held, block)
             continue
         more = _pass(rows, kind, model.order, None, block).groupBy("doc_id", "t").agg(
             F.max("n_known").alias("more_known"), F.max("logs").alias("more_logs")).select(

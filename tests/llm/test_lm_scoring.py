@@ -84,3 +84,21 @@ def test_empty_and_unlearned(spark):
     assert run(spark.createDataFrame([], DOCS)) == []
     held = [(i, t, "en") for i, t, _ in rows() if i is not None and zlib.crc32(str(i).encode()) % 7 == 2]
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in run(frame(spark, held)))
+
+
+def test_every_ngram_is_kept_and_blocks_do_not_change_scores(spark, monkeypatch):
+    for order in (2, 3):
+        data = rows() + [(None, "no id here at all", "en")]
+        whole, _ = L.learn(frame(spark, data), order)
+        t = L.tokens([(x or "").encode() for _, x, _ in data], order)
+        for k in range(1, order + 1):
+            assert (whole.filter.look_up(k, t.grams[k - 1][t.place >= max(1, k - 1)])[1] > 0).all()      # those seen once too
+        want = sorted(map(tuple, run(frame(spark, data), order)), key=str)
+        with monkeypatch.context() as m:
+            m.setattr(L, "MAX_FILTER_BYTES", 20_000)
+            model, _ = L.learn(frame(spark, data), order)
+            assert len(model.filter.filter) <= 20_000 and len(model.blocks) > 1
+            np.testing.assert_allclose(model.weights, whole.weights)
+            got = sorted(map(tuple, run(frame(spark, data), order)), key=str)
+        assert [r[:4] for r in got] == [r[:4] for r in want]
+        np.testing.assert_allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
