@@ -12,7 +12,7 @@ is in one block, so the results are the same for any size of the blocks.
 
 P(w | v) = a P_ml(w | v) + (1 - a) P(w), down to (c + 1) / (N + V + 1) for single tokens; a is
 chosen for every order and context level by deleted interpolation (a training token's own occurrence taken
-off) over about ``TUNING_DOCS`` training documents.
+off) over all training documents.
 
 The base score uses exact counts: the vocabulary goes to the workers in blocks of at most
 ``VOCABULARY_BLOCK`` tokens, one pass for each, and the passes' sums add up.
@@ -44,7 +44,6 @@ VOCABULARY_BLOCK = 8 << 20
 SLICE = 1 << 20                         # bytes of text handled at once
 BUFFER = 1 << 21                        # n-grams a counting task holds before it sums them up
 RANGE_TOKENS = 1 << 20                  # n-gram occurrences of a hash range, about
-TUNING_DOCS = 4000
 WEIGHTS = np.linspace(0.0, 0.95, 20)    # candidates for the interpolation weight
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", 42))     # no token holds white space
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -346,19 +345,21 @@ def _tune(rows: DataFrame, model: Model) -> np.ndarray:
         m = held.value
         sums = np.zeros((m.order - 1, 64, len(WEIGHTS)))
         for batch in batches:
-            t = tokens([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], m.order)
-            levels = _look_up(m, t, _of(batch.column(1)))
-            counts, lv = VALUE[levels[0]], levels[0]
-            p = np.maximum(counts, 1) / (m.n + m.v + 1)
-            for k in range(2, m.order + 1):
-                above = VALUE[levels[k - 1]]
-                ml, context = _ml(t, k, above, counts, lv, 1.0)
-                use = (t.place >= 1) & (context > 0)
-                for j, a in enumerate(WEIGHTS):
-                    gain = np.log(a * ml[use] + (1 - a) * p[use])
-                    sums[k - 2, :, j] += np.bincount(context[use], weights=gain, minlength=64)
-                p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
-                counts, lv = above, levels[k - 1]
+            for some in slices(batch, 0, SLICE):
+                t = tokens([x or b"" for x in some.column(0).cast(pa.binary()).to_pylist()], m.order)
+                levels = _look_up(m, t, _of(some.column(1)))
+                counts, lv = VALUE[levels[0]], levels[0]
+                p = np.maximum(counts, 1) / (m.n + m.v + 1)
+                for k in range(2, m.order + 1):
+                    above = VALUE[levels[k - 1]]
+                    ml, context = _ml(t, k, above, counts, lv, 1.0)
+                    use = np.nonzero((t.place >= 1) & (context > 0))[0]
+                    at, ml_at, p_at = context[use], ml[use], p[use]
+                    step = ml_at - p_at
+                    for j, a in enumerate(WEIGHTS):
+                        sums[k - 2, :, j] += np.bincount(at, weights=np.log(p_at + a * step), minlength=64)
+                    p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
+                    counts, lv = above, levels[k - 1]
         k, lv, j = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(lv), pa.array(j), pa.array(sums[k, lv, j])],
                                          ["k", "lv", "j", "gain"])
@@ -380,8 +381,8 @@ def _tune(rows: DataFrame, model: Model) -> np.ndarray:
 def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
           text_col: str = "text") -> tuple[Model, DataFrame]:
     """(model, vocabulary blocks (hash, count)) of the documents."""
-    total = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
-    ranges = 1 << max(6, math.ceil(math.log2(max(1.0, (total[1] or 0) / 6 / RANGE_TOKENS))))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    ranges = 1 << max(6, math.ceil(math.log2(max(1.0, size / 6 / RANGE_TOKENS))))
     counted = materialize(count_ngrams(docs, order, ranges, text_col), "lm-counts")
 
     first = counted.where("k = 1").agg(F.sum("tokens"), F.sum(F.octet_length("hashes"))).first()
@@ -397,9 +398,7 @@ def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
             lo = part
     segments = counted.select("k", "part", "bits")
     model = Model(order, n, v, _block(segments, order, ranges, *blocks[0]), np.zeros((order, 64)), blocks, segments)
-    share = min(1.0, TUNING_DOCS / max(1, total[0]))
-    picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
-    model = model._replace(weights=_tune(_found(_rows(picked, id_col, text_col), model), model))
+    model = model._replace(weights=_tune(_found(_rows(docs, id_col, text_col), model), model))
     return model, counted.where("k = 1").select("part", "hashes", "counts")
 
 

@@ -102,3 +102,12 @@ def test_every_ngram_is_kept_and_blocks_do_not_change_scores(spark, monkeypatch)
             got = sorted(map(tuple, run(frame(spark, data), order)), key=str)
         assert [r[:4] for r in got] == [r[:4] for r in want]
         np.testing.assert_allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-9)
+
+
+def test_weights_come_from_all_training_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(i, " ".join(rng.choice("abcdefgh") for _ in range(8)), "en") for i in range(6000)]
+    seen, tune = [], L._tune
+    monkeypatch.setattr(L, "_tune", lambda rows, *more: (seen.append(rows.count()), tune(rows, *more))[1])
+    L.learn(frame(spark, data).where(~L.held_out()))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(6000))] and seen[0] > 4000
