@@ -255,7 +255,8 @@ VALUE = level_counts()
 def _look_up(model: Model, t: Tokens, found: list | None) -> list[np.ndarray]:
     """By order, the level of the n-gram at each place: from the filter, or from what its blocks found in each text."""
     if found is None:
-        return [model.filter.look_up(k, t.grams[k - 1])[1] for k in range(1, model.order + 1)]
+        each = (distinct(t.grams[k]) for k in range(model.order))
+        return [model.filter.levels(k + 1, some)[at] for k, (some, at) in enumerate(each)]
     out = np.zeros((model.order, len(t.place)), np.int64)
     starts = np.cumsum(t.counts + 1) - t.counts - 1
     for start, size, blobs in zip(starts.tolist(), (t.counts + 1).tolist(), found):
@@ -349,15 +350,19 @@ def _tune(rows: DataFrame, model: Model) -> np.ndarray:
                 t = tokens([x or b"" for x in some.column(0).cast(pa.binary()).to_pylist()], m.order)
                 levels = _look_up(m, t, _of(some.column(1)))
                 counts, lv = VALUE[levels[0]], levels[0]
-                p = np.maximum(counts, 1) / (m.n + m.v + 1)
+                p, state = np.maximum(counts, 1) / (m.n + m.v + 1), levels[0]
                 for k in range(2, m.order + 1):
                     above = VALUE[levels[k - 1]]
                     ml, context = _ml(t, k, above, counts, lv, 1.0)
-                    use = np.nonzero((t.place >= 1) & (context > 0))[0]
-                    at, ml_at, p_at = context[use], ml[use], p[use]
-                    step = ml_at - p_at
-                    for j, a in enumerate(WEIGHTS):
-                        sums[k - 2, :, j] += np.bincount(at, weights=np.log(p_at + a * step), minlength=64)
+                    # places with the same levels have the same probabilities
+                    some_states, state = distinct((state * 64 + np.minimum(levels[k - 1], 63)) * 64 + context)
+                    use = (t.place >= 1) & (context > 0)
+                    many, one = np.bincount(state[use], minlength=len(some_states)), np.zeros(len(some_states), np.int64)
+                    one[state[use]] = np.nonzero(use)[0]
+                    some_used = np.nonzero(many)[0]
+                    one, many = one[some_used], many[some_used]
+                    gain = np.log(p[one, None] + WEIGHTS * (ml[one] - p[one])[:, None]) * many[:, None]
+                    np.add.at(sums[k - 2], context[one], gain)
                     p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
                     counts, lv = above, levels[k - 1]
         k, lv, j = np.nonzero(sums)
