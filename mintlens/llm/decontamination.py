@@ -4,9 +4,9 @@ Texts and items are cut into words (runs of ASCII letters, digits and bytes from
 case, punctuation and spacing do not matter) and 5-word shingles. Items are dealt into size classes
 (a class spans an eighth); every text is covered by windows of each class's size, an eighth of the size
 apart, and each window gets a 64-bit SimHash. Item fingerprints are indexed in four blocks of 16 bits: a table per
-block gives the items within 3 bits of a block's value, and two fingerprints within RADIUS = 15 bits are within 3
-bits in one block at least, so no fingerprint within the radius is missed. Candidates within the radius
-are verified: the exact weighted-shingle similarity (sum of weights of the common shingles over that of all,
+block gives the items within 4 bits of a block's value, and two fingerprints within RADIUS = 19 bits are within 4
+bits in one block at least, so no fingerprint within the radius is missed. A candidate is passed over if the known
+shingles around it weigh too little for the similarity asked for; the others are verified: the exact weighted-shingle similarity (sum of weights of the common shingles over that of all,
 repeats counted; a shingle weighs 1 + log(items / items that have it)) of the item and the best
 window of its own size around the candidate must be ``similarity`` or more.
 
@@ -33,7 +33,7 @@ from .common import keep_rows, map_arrow
 from .piece_memo import slices
 
 SHINGLE = 5
-RADIUS, BLOCKS = 15, 4              # 15 = 4 * (3 + 1) - 1
+RADIUS, BLOCKS = 19, 4              # 19 = 4 * (4 + 1) - 1
 SIMILARITY = 0.8
 ITEMS_A_PASS, BYTES_A_PASS = 2048, 8 << 20
 SLICE = 2 << 20                     # bytes of text handled at once
@@ -122,9 +122,11 @@ class Items:
         have = Counter(h for s in self.shingles for h in set(s.tolist()))
         self.top_weight = 1 + math.log(max(1, len(some)))
         self.weight = {h: 1 + math.log(len(some) / n) for h, n in have.items()}
-        self.known = np.zeros(1 << 20, bool)         # shingles of any item, by their low bits
-        self.known[np.array(list(have), np.uint64).astype(np.int64) & 0xFFFFF] = True
+        self.known = np.zeros(1 << 22, np.float32)   # greatest weight of any item's shingles with these low bits
+        np.maximum.at(self.known, np.array(list(have), np.uint64).astype(np.int64) & 0x3FFFFF,
+                      np.array([self.weight[h] for h in have], np.float32))
         self.counts = [Counter(s.tolist()) for s in self.shingles]
+        self.total = [sum(self.weight[h] * n for h, n in c.items()) for c in self.counts]
         # the sizes of classes are 4 .. 8 times a power of two
         self.classes: dict[int, list[int]] = {}
         for k, s in enumerate(self.shingles):
@@ -186,7 +188,7 @@ class Items:
             return []
         base = np.cumsum(count) - count
         ones = ones_before(hashes, max(self.tables, default=0))
-        known = np.concatenate([[0], np.cumsum(self.known[hashes.astype(np.int64) & 0xFFFFF])])
+        known = np.concatenate([[0.0], np.cumsum(self.known[hashes.astype(np.int64) & 0x3FFFFF], dtype=float)])
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for size in self.tables:
             step = max(1, size // 8)
@@ -201,7 +203,9 @@ class Items:
                 reach = step + abs(len(self.shingles[k]) - size) + 1
                 lo, hi = np.maximum(start[at] - reach, 0), start[at] + reach
                 t = text[at]
-                near = known[np.minimum(base[t] + hi + len(self.shingles[k]), base[t] + count[t])] > known[base[t] + lo]
+                # common shingles weigh at least this share of the item, and no more than the known ones here
+                around = known[np.minimum(base[t] + hi + len(self.shingles[k]), base[t] + count[t])] - known[base[t] + lo]
+                near = around >= 0.9999 * similarity * self.total[k]
                 for d, a, b in zip(t[near].tolist(), lo[near].tolist(), hi[near].tolist()):
                     spans.setdefault((d, k), []).append((a, b))
         out = []

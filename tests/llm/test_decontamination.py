@@ -107,3 +107,23 @@ def test_empty_tables(spark):
     assert D.find_leaks(docs, bench).collect() == []
     assert D.find_leaks(frame(spark), bench).collect() == []
     assert len(D.remove_leaks(frame(spark), bench).collect()) == len(rows())
+
+
+def test_recall_at_the_border():
+    """Items of 45 and 90 shingles with inner words changed, just above the similarity asked for."""
+    rng = random.Random(1)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    items, docs = [], []
+    for k in range(300):
+        w = [word() for _ in range((49, 94)[k % 2])]
+        items.append((k, " ".join(w).encode()))
+        for at in ((20,), (25, 65))[k % 2]:
+            w[at + rng.randint(-8, 8)] = "changed"
+        docs.append(" ".join([*(word() for _ in range(rng.randint(30, 200))), *w, *(word() for _ in range(60))]).encode())
+    held, missed = D.Items(tuple(items)), 0
+    found = {(d, held.ids[k]) for d, k, s, _, _ in held.matches(docs, 0.79)}
+    for k, text in enumerate(docs):
+        hashes, _ = D.shingles([text])
+        assert 0.79 <= held.best_window(k, hashes, 0, len(hashes))[0] <= 0.82
+        missed += (k, k) not in found
+    assert missed <= 1
