@@ -11,7 +11,8 @@ repeats counted; a shingle weighs 1 + log(items / items that have it)) of the it
 window of its own size around the candidate must be ``similarity`` or more.
 
 The items are a stated query set held against all texts: they go to the workers in blocks of at most
-``ITEMS_A_PASS`` items and ``BYTES_A_PASS`` bytes, one pass over the texts a block. Texts are not shuffled.
+``ITEMS_A_PASS`` items and ``BYTES_A_PASS`` bytes, one pass over the texts a block. Items with a shingle are counted over
+the whole benchmark beforehand, so similarities do not depend on the blocks. Texts are not shuffled.
 
 Defined cases: a null or wordless text or item matches nothing; a text or item of fewer than five words is one
 shingle; a text shorter than an item is one window; repeated rows and ids are reported row by row; a null id is reported as null.
@@ -23,13 +24,14 @@ import itertools
 import math
 from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_arrow
+from .common import keep_rows, map_arrow, materialize
 from .piece_memo import slices
 
 SHINGLE = 5
@@ -110,18 +112,29 @@ def window_fingerprints(ones: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return out
 
 
+class Block(NamedTuple):
+    items: tuple[tuple[object, bytes], ...]
+    total: int          # items of the whole benchmark that have a shingle
+    shared: bytes       # the block's shingles that several items of the benchmark have, as 64-bit hashes
+    have: bytes         # by how many items each
+
+
 class Items:
-    """Fingerprints, shingles and block tables of one block of benchmark items."""
+    """Fingerprints, shingles and block tables of one block of benchmark items. Shingles weigh by ``total`` and ``shared``
+    (items that have a shingle) of the whole benchmark; without them the items are the benchmark."""
 
-    def __init__(self, items: tuple[tuple[object, bytes], ...]):
+    def __init__(self, items: tuple[tuple[object, bytes], ...], total: int | None = None, shared: dict[int, int] | None = None):
         hashes, count = shingles([t for _, t in items])
         cuts = np.concatenate([[0], np.cumsum(count)])
         some = [k for k in range(len(items)) if count[k]]
         self.ids = [items[k][0] for k in some]
         self.shingles = [hashes[cuts[k]:cuts[k + 1]] for k in some]
         have = Counter(h for s in self.shingles for h in set(s.tolist()))
-        self.top_weight = 1 + math.log(max(1, len(some)))
-        self.weight = {h: 1 + math.log(len(some) / n) for h, n in have.items()}
+        if shared is not None:
+            have = {h: shared.get(h, 1) for h in have}
+        total = len(some) if total is None else total
+        self.top_weight = 1 + math.log(max(1, total))
+        self.weight = {h: 1 + math.log(total / n) for h, n in have.items()}
         self.known = np.zeros(1 << 22, np.float32)   # greatest weight of any item's shingles with these low bits
         np.maximum.at(self.known, np.array(list(have), np.uint64).astype(np.int64) & 0x3FFFFF,
                       np.array([self.weight[h] for h in have], np.float32))
@@ -222,20 +235,45 @@ class Items:
 
 
 @lru_cache(maxsize=1)
-def _items(items: tuple[tuple[object, bytes], ...]) -> Items:
-    return Items(items)
+def _items(block: Block) -> Items:
+    return Items(block.items, block.total, dict(zip(np.frombuffer(block.shared, np.uint64).tolist(),
+                                                    np.frombuffer(block.have, np.int64).tolist())))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    rows = benchmark.select(F.col(item_col), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"))
-    block, size = [], 0
-    for item, text in rows.toLocalIterator():
-        if block and (len(block) >= ITEMS_A_PASS or size + len(text) > BYTES_A_PASS):
-            yield tuple(block)
-            block, size = [], 0
-        block.append((item, bytes(text)))
+    rows = benchmark.select(F.col(item_col).alias("item"),
+                            F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                hashes, count = shingles(part.column(1).to_pylist())
+                own = [np.unique(h) for h in np.split(hashes, np.cumsum(count)[:-1])]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))],
+                    ["item", "body", "own"])
+
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    items = materialize(map_arrow(rows, run, f"item {kind}, body binary, own array<bigint>").withColumn(
+        "at", F.monotonically_increasing_id()), "benchmark")
+    each = items.select("at", F.explode("own").alias("h"))
+    several = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(several, "h").groupBy("at").agg(F.collect_list(F.struct("h", "n")).alias("shared"))
+    total = items.where(F.size("own") > 0).count()
+
+    def block() -> Block:
+        return Block(tuple(held), total, np.array(list(have), np.int64).tobytes(), np.array(list(have.values()), np.int64).tobytes())
+
+    held, have, size = [], {}, 0
+    for item, text, mine in items.join(shared, "at", "left").orderBy("at").select("item", "body", "shared").toLocalIterator():
+        if held and (len(held) >= ITEMS_A_PASS or size + len(text) > BYTES_A_PASS):
+            yield block()
+            held, have, size = [], {}, 0
+        held.append((item, bytes(text)))
+        have.update(mine or ())
         size += len(text)
-    yield tuple(block)
+    yield block()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",

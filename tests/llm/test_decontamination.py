@@ -127,3 +127,19 @@ def test_recall_at_the_border():
         assert 0.79 <= held.best_window(k, hashes, 0, len(hashes))[0] <= 0.82
         missed += (k, k) not in found
     assert missed <= 1
+
+
+def test_similarity_does_not_depend_on_the_passes(spark, monkeypatch):
+    rng = random.Random(8)
+    boilerplate = words(rng, 14)
+    items = [(k, words(rng, 30) + " " + boilerplate) for k in range(24)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        w[k % 3 or -1] = "changed"
+        docs.append((k, lines(rng, 2) + "\n" + " ".join(w) + "\n" + lines(rng, 2)))
+    frames = frame(spark, [(i, t, "en") for i, t in docs]), spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (2048, 5):
+        monkeypatch.setattr(D, "ITEMS_A_PASS", most)
+        got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in D.find_leaks(*frames).collect()}
+        assert got == plain(docs, items) and len(got) >= 24
