@@ -50,7 +50,7 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written as ORC in id order, and described from the files."""
     out = scratch_path(spark, "token-orc")
     token_orc.write(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"),
-                    public_tokenizers.PATTERN, end_id=0)
+                    public_tokenizers.PATTERN, end_id=0, added_tokens=True)
     return token_orc.index(token_orc.read(spark, out, token_orc.SCHEMA.format("bigint")))
 
 

@@ -10,7 +10,8 @@ Every row carries its place: ``part`` (the range), ``part_start`` (ids of its ra
 sees more than its own range.
 
 Defined cases: null text is an empty text (the end id alone); null ids sort first; equal ids are
-ordered by their text and all kept; an empty table writes no rows.
+ordered by their text and all kept; an empty table writes no rows. The string of an added token of the tokenizer's file
+(<|endoftext|>) in a text is ordinary text, or with ``added_tokens`` that token, as in the library by default.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,20 +75,51 @@ def tokenizer(path: str, pattern: str) -> PieceMemo:
     return PieceMemo(pattern, encode_pieces)
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    """(the library's tokenizer as its file says, strings of its added tokens)"""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    return lib, [t.content for t in lib.get_added_tokens_decoder().values()]
+
+
+def encode(memo: PieceMemo, path: str, texts: pa.Array, added_tokens: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, number of ids of each). The memo cannot see added tokens: with ``added_tokens`` the texts
+    that hold one go to the library whole."""
+    if not added_tokens or not len(texts):
+        return memo.encode(texts)
+    lib, strings = library(path)
+    raw = pc.fill_null(texts.cast(pa.binary()), b"")
+    held = np.zeros(len(raw), bool)
+    for some in strings:
+        held |= pc.match_substring(raw, some).to_numpy(zero_copy_only=False)
+    if not held.any():
+        return memo.encode(raw)
+    flat, count = memo.encode(pc.if_else(pa.array(held), pa.scalar(b"", pa.binary()), raw))
+    some = [x.decode("utf-8", "replace") for x in raw.filter(pa.array(held)).to_pylist()]
+    ids = [e.ids for e in lib.encode_batch_fast(some, add_special_tokens=False)]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    at = np.repeat(np.cumsum(count)[held], sizes)
+    count = count.copy()
+    count[held] = sizes
+    return np.insert(flat, at, np.array([k for x in ids for k in x], flat.dtype)), count
+
+
 def with_end(flat: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The sequences with ``end_id`` after each."""
     return np.insert(flat, np.cumsum(count), end_id).astype(np.int32), count + 1
 
 
 def encode_sorted(docs: DataFrame, path: str, pattern: str, end_id: int = 0,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """The rows to write: range-partitioned and sorted by id, with their place in the range."""
 
     def run(batches):
         memo, part, start = tokenizer(path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in slices(batch, 1, SLICE):
-                flat, count = with_end(*memo.encode(some.column(1)), end_id)
+                flat, count = with_end(*encode(memo, path, some.column(1), added_tokens), end_id)
                 begins = start + np.cumsum(count) - count
                 start += int(count.sum())
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
@@ -101,9 +134,9 @@ def encode_sorted(docs: DataFrame, path: str, pattern: str, end_id: int = 0,
 
 
 def write(docs: DataFrame, out: str, path: str, pattern: str, end_id: int = 0,
-          id_col: str = "doc_id", text_col: str = "text") -> None:
+          id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> None:
     """Writes the corpus below ``out``: ORC, ids ascending from file to file."""
-    (encode_sorted(docs, path, pattern, end_id, id_col, text_col).write
+    (encode_sorted(docs, path, pattern, end_id, id_col, text_col, added_tokens).write
      .option("compression", "zstd").option("orc.stripe.size", str(STRIPE_BYTES))
      .option("orc.create.index", "true").option("orc.row.index.stride", "1000")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(out))

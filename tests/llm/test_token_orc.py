@@ -6,6 +6,7 @@ import public_tokenizers as P
 import pyarrow.orc
 from tokenizers import Tokenizer
 
+from mintlens.llm import queries as Q
 from mintlens.llm import token_orc as O
 from mintlens.llm.common import scratch_path
 
@@ -46,3 +47,17 @@ def test_empty_table(spark):
     out = scratch_path(spark, "test-orc")
     O.write(spark.createDataFrame([], DOCS), out, PATH, P.PATTERN)
     assert O.index(O.read(spark, out, O.SCHEMA.format("bigint"))).collect() == []
+
+
+def test_added_tokens_like_the_unmodified_library(spark, monkeypatch):
+    data = rows() + [(200, "a <|endoftext|> b", "en"), (201, "<|endoftext|><|endoftext|>", "en"),
+                     (202, "x <|endoftext|>\n\n y<|endoftext|", "en"), (203, "é<|endoftext|>'s  ", "fr"), (204, "plain", "en")]
+    lib = Tokenizer.from_file(PATH)
+    assert lib.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want, start = [], 0
+    for i, t, _ in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    monkeypatch.setattr(Q, "table", lambda *_: frame(spark, data))
+    assert sorted(map(tuple, Q.op4_token_orc(spark, "").collect()), key=lambda r: r[1]) == want
