@@ -90,12 +90,16 @@ def encode(memo: PieceMemo, path: str, texts: pa.Array, added_tokens: bool) -> t
     if not added_tokens or not len(texts):
         return memo.encode(texts)
     lib, strings = library(path)
-    raw = pc.fill_null(texts.cast(pa.binary()), b"")
+    texts = texts.cast(pa.binary())
+    _, offsets, data = texts.buffers()
+    lo, hi = np.frombuffer(offsets, np.int32)[[texts.offset, texts.offset + len(texts)]].tolist()
+    data = data.slice(lo, hi - lo).to_pybytes() if data else b""
+    if not any(some.encode() in data for some in strings):
+        return memo.encode(texts)
+    raw = pc.fill_null(texts, b"")
     held = np.zeros(len(raw), bool)
     for some in strings:
         held |= pc.match_substring(raw, some).to_numpy(zero_copy_only=False)
-    if not held.any():
-        return memo.encode(raw)
     flat, count = memo.encode(pc.if_else(pa.array(held), pa.scalar(b"", pa.binary()), raw))
     some = [x.decode("utf-8", "replace") for x in raw.filter(pa.array(held)).to_pylist()]
     ids = [e.ids for e in lib.encode_batch_fast(some, add_special_tokens=False)]
