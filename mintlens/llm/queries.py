@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, quality_rules, sharding, simhash_dedup, token_orc, warc
+from . import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, quality_rules, sharding, simhash_dedup, token_orc, warc, whitening
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.train(docs, ~language_id.held_out())
     return language_id.predict(docs, net).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the first eight principal components, with unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
