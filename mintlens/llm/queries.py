@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, quality_rules, sharding, simhash_dedup, token_orc, warc, whitening
+from . import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, quality_rules, sharding, simhash_dedup, spelling, token_orc, warc, whitening
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All usable embeddings on the first eight principal components, with unit variance."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its most frequent neighbour one code point away."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
