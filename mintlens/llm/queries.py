@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, decontamination, language_id, line_dedup, lm_scoring, quality_rules, sharding, simhash_dedup, spelling, token_orc, warc, whitening
+from . import (byte_bpe, decontamination, language_id, line_dedup, lm_scoring, pii, quality_rules, sharding, simhash_dedup,
+               spelling, token_orc, warc, whitening)
 from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +113,9 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of all documents with its most frequent neighbour one code point away."""
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: fixed patterns and what a conditional random field adds."""
+    return pii.find_personal(table(spark, sf_dir, "documents"), pii.train())
