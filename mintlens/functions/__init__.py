@@ -36,8 +36,9 @@ def json_or_default(c: Column | str, ddl: str, default: Column | None = None) ->
 
 def json_map(c: Column | str) -> Column:
     """JSON object text -> MAP<STRING,STRING> (keeps key case and presence;
-    nested values come back as JSON text). Not an object -> empty map."""
-    return F.coalesce(F.from_json(col_(c), STR_MAP), F.create_map().cast(STR_MAP))
+    nested values come back as JSON text). Of a repeated key the last value counts. Not an object -> empty map."""
+    none = F.create_map().cast(STR_MAP)
+    return F.map_concat(none, F.coalesce(F.from_json(col_(c), STR_MAP), none))
 
 
 def present(m: Column, key: str) -> Column:

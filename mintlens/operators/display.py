@@ -90,12 +90,12 @@ def _apply_rule(rule: Column, symbol: Column, nft_id: Column, props: Column, pro
     template gives text. NULL when there is no rule or the path leads nowhere."""
     path = rule["path"]
     p0, n = path[0], F.size(path)
-    deeper = F.concat(F.lit("$"), F.array_join(F.transform(F.slice(path, 3, F.greatest(n - 2, F.lit(1))),
-                                                            lambda k: F.concat(F.lit("['"), k, F.lit("']"))), ""))
+    # one object after the other, by the key itself: a path text would have to quote keys that hold quotes
+    deeper = F.reduce(F.slice(path, 3, F.greatest(n - 2, F.lit(1))), props[path[1]],
+                      lambda v, k: F.try_variant_get(v, "$", "map<string,variant>")[k])
     walked = (F.when(n == 1, F.when(p0 == "symbol", symbol.cast("variant")).when(p0 == "nft_id", nft_id.cast("variant"))
                      .when(p0 == "properties", F.try_parse_json(props_text)))
-              .when(p0 == "properties", F.when(n == 2, props[path[1]])
-                    .otherwise(F.try_variant_get(props[path[1]], deeper, "variant"))))
+              .when(p0 == "properties", F.when(n == 2, props[path[1]]).otherwise(deeper)))
     toks = rule["tokens"]
 
     def piece(t):
@@ -120,8 +120,9 @@ def display_object(items: DataFrame, rules: DataFrame, collections: DataFrame |
     elif "collection_name" not in df.columns:
         df = df.withColumn("collection_name", F.lit(None).cast("string"))
     # one parse of the properties for all rules; the columns below only look values up
-    df = df.withColumn("_text", F.coalesce(F.col("properties"), F.lit("{}"))).withColumn("_props", F.coalesce(
-        F.from_json("_text", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    none = F.create_map().cast("map<string,variant>")
+    df = df.withColumn("_text", F.coalesce(F.col("properties"), F.lit("{}"))).withColumn(
+        "_props", F.map_concat(none, F.coalesce(F.from_json("_text", "map<string,variant>"), none)))
     sym, nid, props, text = F.col("symbol"), F.col("nft_id"), F.col("_props"), F.col("_text")
     attrs = F.map_from_arrays(F.col("attributes"), F.transform("attributes", lambda k: props[k]))
     disp = F.struct(_apply_rule(F.col("name_rule"), sym, nid, props, text).alias("name"),

@@ -47,8 +47,10 @@ NON_ACTIVITY_EVENTS = (
 
 # Keys whose string value names an account, at any depth.
 ACCOUNT_KEYS = ("account", "to", "from", "counterparty", "issuer")
-# Possessive and unrolled: no backtracking and no recursion, whatever the length of a value.
-ACCOUNT_FIELD_PATTERN = r'"(?:' + "|".join(ACCOUNT_KEYS) + r')"\s*+:\s*+"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+# A member of an object in canonical JSON text. There a quote after a brace or comma begins a key or a string, never lies
+# inside one (it would follow a backslash), and only a key is followed by a colon. Possessive and unrolled: no
+# backtracking and no recursion, whatever the length of a value.
+ACCOUNT_FIELD_PATTERN = r'[{,]"(?:' + "|".join(ACCOUNT_KEYS) + r')":"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 MARKET_BUY_EVENT = "hitSellOrder"
 
@@ -62,16 +64,29 @@ def blocks_from_json(docs: DataFrame, text_col: str = "value", ingest_ts: Column
             .select("b.*", "ingest_ts"))
 
 
-def unusable_documents(docs: DataFrame, text_col: str = "value", file_col: str | None = None) -> DataFrame:
-    """Documents that cannot become a block, with the reason: text that is not a JSON object, or an
-    object without an integer block number. They are kept as they landed, never skipped."""
+def judged_documents(docs: DataFrame, text_col: str = "value", file_col: str | None = None,
+                     ingest_ts: Column | None = None) -> DataFrame:
+    """The one rule for landed text: (file, raw, reason, and the columns of a block). A document without a reason is a
+    block; one with a reason cannot be (it is not a JSON object, or has no integer block number). Blank lines
+    are no documents."""
     text = F.col(text_col)
-    number = F.from_json(text, BLOCK_DDL)["blockNumber"]
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
-    reason = F.when(~is_object, "not a JSON object").when(number.isNull(), "no block number")
     file = F.col(file_col) if file_col else F.lit(None).cast("string")
-    return (docs.select(file.alias("file"), text.alias("raw"), reason.alias("reason"))
-            .where(F.col("reason").isNotNull() & (F.trim(F.coalesce("raw", F.lit(""))) != "")))
+    ingest = ingest_ts if ingest_ts is not None else F.lit(None).cast("timestamp")
+    docs = docs.where(F.trim(F.coalesce(text, F.lit(""))) != "")
+    read = docs.select(file.alias("file"), text.alias("raw"), F.from_json(text, BLOCK_DDL).alias("b"), ingest.alias("ingest_ts"))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"), F.lit(False))
+    reason = F.when(~is_object, "not a JSON object").when(F.col("b.blockNumber").isNull(), "no block number")
+    return read.select("file", "raw", reason.alias("reason"), "b.*", "ingest_ts")
+
+
+def unusable_documents(docs: DataFrame, text_col: str = "value", file_col: str | None = None) -> DataFrame:
+    """Documents that cannot become a block, with the reason. They are kept as they landed, never skipped."""
+    return judged_documents(docs, text_col, file_col).where(F.col("reason").isNotNull()).select("file", "raw", "reason")
+
+
+def usable_blocks(docs: DataFrame, text_col: str = "value", ingest_ts: Column | None = None) -> DataFrame:
+    """The typed blocks among landed documents: exactly those that are not unusable."""
+    return judged_documents(docs, text_col, None, ingest_ts).where(F.col("reason").isNull()).drop("file", "raw", "reason")
 
 
 def _ops_map() -> Column:
@@ -195,12 +210,15 @@ def _tx_rows(tx: Column) -> Column:
 # -- B12 / B13: who to re-check ---------------------------------------------
 
 def _scan_accounts(j: Column) -> Column:
-    """B12 for one JSON text: every string under an account-like key at any
-    depth (regex over valid JSON text; escaped look-alikes inside strings do
-    not match), unescaped. Invalid JSON -> nothing."""
-    raw = F.regexp_extract_all(j, F.lit(ACCOUNT_FIELD_PATTERN), 1)
+    """B12 for one JSON text: every string under an account key at any depth, unescaped.
+
+    The parsed value is written out again, once, in canonical form: keys unescaped, the last of repeated keys
+    only, no blanks. Its account members are then exactly the matches of ``ACCOUNT_FIELD_PATTERN``, however
+    deep they lie, without a recursion over levels (a job each) or a shuffle. Invalid JSON -> nothing."""
+    canonical = F.to_json(F.try_parse_json(j))
+    raw = F.regexp_extract_all(canonical, F.lit(ACCOUNT_FIELD_PATTERN), 1)
     vals = F.transform(raw, lambda r: F.from_json(F.concat(F.lit('["'), r, F.lit('"]')), "array<string>")[0])
-    return F.when(F.try_parse_json(j).isNotNull(), vals).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(vals, F.array().cast("array<string>"))
 
 
 def _tx_touched(tx: Column) -> Column:
@@ -298,6 +316,15 @@ def sales_quarantine(parsed: DataFrame) -> DataFrame:
     return _sales_exploded(parsed).where(~_sale_ok())
 
 
+def price_quarantine(parsed: DataFrame) -> DataFrame:
+    """Activity rows whose price is not a DECIMAL(38,18) (too large, or no number), with the raw text. The rows stay in the
+    feed with price NULL."""
+    return (parsed.select("he_block", "ts", F.posexplode_outer("events").alias("tx_seq", "e"))
+            .where(F.col("e.price_raw").isNotNull() & price(F.col("e.price_raw")).isNull())
+            .select("he_block", F.col("tx_seq").cast("int").alias("tx_seq"), "e.symbol", "e.nft_id", "e.op", "e.price_raw",
+                    "e.price_symbol", "e.tx_id", "ts"))
+
+
 def market_buys(parsed: DataFrame) -> DataFrame:
     """The market_buy rows of the activity feed."""
     return nft_events(parsed).where(F.col("op") == "market_buy")

@@ -1,16 +1,24 @@
 """Read views over the mirrored tables.
 
 Views are computed for all accounts / symbols in bulk (or for a requested
-set given as a frame), not one request at a time. Dimension tables
-(collections, rules) join through a size-checked broadcast; fact-to-fact
-joins (orders x holdings) are equi-joins left to AQE.
+set given as a frame), not one request at a time. All joins are equi-joins; which side to
+broadcast is left to the planner and AQE.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import burned
+from .pages import activity_cursor, keyset_page, page_params, parse_activity_cursor
+
+# Fixed value: nested wallet pages hold the items of one id range of this width.
+WALLET_ID_RANGE = 1000
+# Columns of the normalized inputs that views carry where the input has them.
+ITEM_EXTRAS = ("delegated_to_type", "soul_bound")
+ORDER_EXTRAS = ("fee",)
+
 
 def retry_stats(pending: DataFrame) -> DataFrame:
     """Pending retries (scopes that failed at least once since their last
@@ -20,15 +28,6 @@ def retry_stats(pending: DataFrame) -> DataFrame:
                  F.min("not_before").alias("next_retry_at")))
 
 
-from pyspark.sql import Window  # noqa: E402
-
-from ..functions import burned  # noqa: E402
-from .pages import keyset_page, activity_cursor, parse_activity_cursor, page_params  # noqa: E402
-
-# Fixed value: nested wallet pages hold the items of one id range of this width.
-WALLET_ID_RANGE = 1000
-
-
 def _coll_names(collections: DataFrame) -> DataFrame:
     return collections.select("symbol", F.col("name").alias("collection_name"))
 
@@ -40,12 +39,14 @@ def wallet_sections(holdings: DataFrame, orders: DataFrame, collections: DataFra
     * owned -- rows the viewer holds;
     * delegated_in -- rows delegated to the viewer;
     * listed -- the viewer's open sell orders joined to the escrowed instance
-      (inner join on (symbol, nft_id)), with price and token.
+      (inner join on (symbol, nft_id)), with price, token and fee.
 
     One flat row per (viewer, section, item). The optional symbol filter
     applies to all three sections (L9).
     """
-    cols = ["symbol", "nft_id", "account", "owned_by", "delegated_to", "properties"]
+    extras = [c for c in ITEM_EXTRAS if c in holdings.columns]
+    fees = [c for c in ORDER_EXTRAS if c in orders.columns]
+    cols = ["symbol", "nft_id", "account", "owned_by", "delegated_to", *extras, "properties"]
     h = holdings.select(*cols)
     # owned and delegated-in rows from a single pass over holdings
     who = F.explode(F.filter(F.array(
@@ -54,11 +55,11 @@ def wallet_sections(holdings: DataFrame, orders: DataFrame, collections: DataFra
         lambda v: v["viewer"].isNotNull()))
     mine = h.select(who.alias("w"), *cols).select(
         "w.viewer", "w.section", *cols, F.lit(None).cast("decimal(38,18)").alias("price"),
-        F.lit(None).cast("string").alias("price_symbol"))
-    o = orders.select("symbol", "nft_id", F.col("account").alias("viewer"), "price", "price_symbol")
+        F.lit(None).cast("string").alias("price_symbol"), *[F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in fees])
+    o = orders.select("symbol", "nft_id", F.col("account").alias("viewer"), "price", "price_symbol", *fees)
     listed = o.join(h.drop("account"), ["symbol", "nft_id"], "inner").select(
         "viewer", F.lit("listed").alias("section"), "symbol", "nft_id", F.col("viewer").alias("account"),
-        "owned_by", "delegated_to", "properties", F.col("price").cast("decimal(38,18)").alias("price"), "price_symbol")
+        "owned_by", "delegated_to", *extras, "properties", F.col("price").cast("decimal(38,18)").alias("price"), "price_symbol", *fees)
     out = mine.unionByName(listed)
     if viewers is not None:
         out = out.join(viewers.select(F.col("account").alias("viewer")).distinct(), "viewer", "left_semi")
@@ -94,7 +95,8 @@ def nft_detail(holdings: DataFrame, collections: DataFrame, orders: DataFrame,
     """Instance rows with collection name, the open order (if any) as a
     struct and, given the rules, the display object; all instances, or the requested (symbol, nft_id) keys."""
     h = holdings if keys is None else holdings.join(keys.select("symbol", "nft_id"), ["symbol", "nft_id"], "left_semi")
-    o = orders.select("symbol", "nft_id", F.struct("price", "price_symbol", "account", "ts").alias("open_order"))
+    fees = [c for c in ORDER_EXTRAS if c in orders.columns]
+    o = orders.select("symbol", "nft_id", F.struct("price", "price_symbol", *fees, "account", "ts").alias("open_order"))
     out = h.join(_coll_names(collections), "symbol", "left").join(o, ["symbol", "nft_id"], "left")
     if mappings is None:
         return out
@@ -125,7 +127,7 @@ def collection_detail(collections: DataFrame, mappings: DataFrame, symbols: Data
 def orders_pages(orders: DataFrame, limit: int = 100, cursors: DataFrame | None = None,
                  seller: str | None = None) -> DataFrame:
     """F3 in bulk: a page of every symbol's book (nft_id ascending): the first one, or with
-    ``cursors`` (symbol, cursor) the one after each symbol's cursor, for the symbols that have one.
+    ``cursors`` (symbol, cursor) the one after each symbol's cursor (of several the greatest), for the symbols that have one.
     ``row_number <= n`` lets Spark insert a partial per-partition group limit
     before the shuffle, so a symbol with a huge book ships at most n rows per
     map task."""
@@ -133,7 +135,7 @@ def orders_pages(orders: DataFrame, limit: int = 100, cursors: DataFrame | None
     if seller:
         orders = orders.where(F.col("account") == seller)
     if cursors is not None:
-        after = cursors.where(F.col("cursor").isNotNull()).select("symbol", F.col("cursor").alias("_after"))
+        after = cursors.where(F.col("cursor").isNotNull()).groupBy("symbol").agg(F.max("cursor").alias("_after"))
         orders = orders.join(after, "symbol").where(F.col("nft_id") > F.col("_after")).drop("_after")
     w = Window.partitionBy("symbol").orderBy("nft_id")
     ranked = orders.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
@@ -170,7 +172,8 @@ def account_activity(events: DataFrame, account: str, cursor: str | tuple[int, i
 def activity_feeds(events: DataFrame, limit: int = 100, cursors: DataFrame | None = None, symbol: str | None = None,
                    op: str | None = None) -> DataFrame:
     """F4 in bulk: a page of every account's feed: the newest one, or with ``cursors`` (viewer, cursor) the one
-    below each viewer's cursor, for the viewers that have one. The OR
+    below each viewer's cursor (of several the oldest), for the viewers that have one. An event without an
+    actor is in its counterparty's feed. The OR
     predicate becomes a union of two equi paths (actor rows, counterparty
     rows) de-duplicated on (viewer, he_block, tx_seq); the per-account top-n
     is a ``row_number <= n`` filter, which Spark evaluates as a partial group
@@ -178,13 +181,14 @@ def activity_feeds(events: DataFrame, limit: int = 100, cursors: DataFrame | Non
     costs n rows per map task, not its whole history."""
     _, n = page_params(0, limit)
     e = _feed_filter(events.select(*ACTIVITY_COLS), symbol, op)
-    actor = e.withColumn("viewer", F.col("account"))
-    cpty = e.where(F.col("counterparty").isNotNull() & (F.col("counterparty") != F.col("account"))) \
+    actor = e.where(F.col("account").isNotNull()).withColumn("viewer", F.col("account"))
+    cpty = e.where(F.col("counterparty").isNotNull() & ~F.col("counterparty").eqNullSafe(F.col("account"))) \
             .withColumn("viewer", F.col("counterparty"))
     rows = actor.unionByName(cpty)
     if cursors is not None:
         part = lambda k: F.split_part("cursor", F.lit(":"), F.lit(k)).cast("bigint")
-        below = cursors.where(F.col("cursor").isNotNull()).select("viewer", part(1).alias("_b"), part(2).alias("_s"))
+        below = cursors.where(F.col("cursor").isNotNull()).groupBy("viewer").agg(
+            F.min(F.struct(part(1).alias("_b"), part(2).alias("_s"))).alias("_c")).select("viewer", "_c.*")
         rows = rows.join(below, "viewer").where(_below(F.col("_b"), F.col("_s"))).drop("_b", "_s")
     w = Window.partitionBy("viewer").orderBy(F.col("he_block").desc(), F.col("tx_seq").desc())
     ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -21,6 +21,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # of a key that a JSON object repeats, the last value counts, at every depth
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
@@ -97,8 +100,7 @@ def suggest_shuffle_partitions(input_bytes: int, target_bytes: int = TARGET_PART
 def scale_conf(input_bytes: int) -> dict[str, str]:
     """Settings for a large run (e.g. 100 TB on a big cluster): partitions
     sized from the input, AQE advisory size, scan split size, skew-join
-    thresholds, and a broadcast threshold kept modest (dimension joins use
-    an explicit row-count check anyway)."""
+    thresholds, and a broadcast threshold kept modest."""
     return {
         "spark.sql.shuffle.partitions": str(suggest_shuffle_partitions(input_bytes)),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES),
