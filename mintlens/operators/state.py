@@ -38,9 +38,15 @@ def confirmed(outcomes: DataFrame) -> Column:
     return F.coalesce(F.col("ok"), F.lit(False)) & complete
 
 
-def confirmed_scopes(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Scopes with a confirmed fetch, and the time of the latest one; a later failure takes nothing back."""
-    return outcomes.where(confirmed(outcomes)).groupBy(*keys).agg(F.max("fetched_at").alias("fetched_at"))
+def confirmed_scopes(outcomes: DataFrame, keys: list[str], applied: DataFrame | None = None) -> DataFrame:
+    """Scopes with a confirmed fetch, and the time of the latest one; a later failure takes nothing back. With
+    ``applied`` (keys, fetched_at: what has been applied before) scopes whose fetch is older than that are left
+    out: a fetch that arrives late changes nothing."""
+    found = outcomes.where(confirmed(outcomes)).groupBy(*keys).agg(F.max("fetched_at").alias("fetched_at"))
+    if applied is None:
+        return found
+    last = applied.groupBy(*keys).agg(F.max("fetched_at").alias("_last"))
+    return found.join(last, keys, "left").where(F.col("_last").isNull() | (F.col("fetched_at") >= F.col("_last"))).drop("_last")
 
 
 def _of_confirmed_fetch(records: DataFrame, conf: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,17 +57,23 @@ def _of_confirmed_fetch(records: DataFrame, conf: DataFrame, keys: list[str]) ->
 
 
 def replace_scopes(cur: DataFrame, new: DataFrame, confirmed: DataFrame, scope_keys: list[str],
-                   row_keys: list[str], order: Column) -> DataFrame:
+                   row_keys: list[str], order: Column, row_time: str | None = None) -> DataFrame:
     """Shared core of C1, C2/C3 and C4.
 
     Rows of ``cur`` (one a row key) in a confirmed scope are removed; rows of ``new`` in a
     confirmed scope are added; of the rows with one row key the one with the highest ``order`` wins
-    (``order`` is evaluated on both sides). ``new`` is reduced to one row a key first, then one full join
-    by row key decides: each side is read once.
+    (``order`` is evaluated on both sides). With ``row_time`` (a column of ``cur``), rows that are newer than
+    the scope's fetch (``fetched_at`` of ``confirmed``, one row a scope) stay: an old fetch knows nothing of them.
+    ``new`` is reduced to one row a key first, then one full join by row key decides: each side is read once.
     """
     scopes = confirmed.select(*scope_keys).distinct()
     rest = F.struct(*[F.col(c) for c in cur.columns if c not in row_keys])
-    kept = cur.join(scopes, scope_keys, "left_anti").select(*row_keys, order.alias("_old_order"), rest.alias("_old"))
+    if row_time is None:
+        stays = cur.join(scopes, scope_keys, "left_anti")
+    else:
+        stays = cur.join(confirmed.select(*scope_keys, F.col("fetched_at").alias("_fetched"), F.lit(True).alias("_hit")), scope_keys, "left")
+        stays = stays.where(F.col("_hit").isNull() | F.coalesce(F.col(row_time) > F.col("_fetched"), F.lit(False)))
+    kept = stays.select(*row_keys, order.alias("_old_order"), rest.alias("_old"))
     fresh = (new.join(scopes, scope_keys, "left_semi").select(*row_keys, order.alias("_order"), rest.alias("_row"))
              .groupBy(*row_keys).agg(F.max("_order").alias("_new_order"), F.max_by("_row", "_order").alias("_new")))
     newer = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new_order") >= F.col("_old_order")))
@@ -89,12 +101,13 @@ def upsert_catalog(cur: DataFrame, snap: DataFrame) -> DataFrame:
 
 # -- C2 / C3 ---------------------------------------------------------------------
 
-def apply_holdings(cur: DataFrame, fetched: DataFrame, outcomes: DataFrame) -> DataFrame:
+def apply_holdings(cur: DataFrame, fetched: DataFrame, outcomes: DataFrame, applied: DataFrame | None = None) -> DataFrame:
     """C2 + C3: for each confirmed (account, symbol) replace that account's
     rows in that symbol with the fetched ones; failed scopes are untouched.
     An instance fetched for a new owner replaces a stale row of its old
-    owner when the fetch is newer (ties: the fetched row wins), L16."""
-    conf = confirmed_scopes(outcomes, ["account", "symbol"])
+    owner when the fetch is newer (ties: the fetched row wins), L16. A fetch that arrives late removes no row
+    refreshed after it, and with ``applied`` (account, symbol, fetched_at) brings nothing back either."""
+    conf = confirmed_scopes(outcomes, ["account", "symbol"], applied)
     new = (_of_confirmed_fetch(fetched, conf, ["account", "symbol"])
            .withColumn("refreshed_at", F.coalesce(F.col("refreshed_at"), F.col("_f")) if "refreshed_at" in fetched.columns else F.col("_f"))
            .drop("_f"))
@@ -103,16 +116,17 @@ def apply_holdings(cur: DataFrame, fetched: DataFrame, outcomes: DataFrame) -> D
     # newest fetch wins; then fetched over cached; then the account name, so
     # two same-time claims on one instance resolve the same way on every run
     order = F.struct(F.col("refreshed_at"), F.col("_src"), F.col("account"))
-    return replace_scopes(c, n, conf, ["account", "symbol"], ["symbol", "nft_id"], order).drop("_src")
+    return replace_scopes(c, n, conf, ["account", "symbol"], ["symbol", "nft_id"], order, "refreshed_at").drop("_src")
 
 
 # -- C4 ------------------------------------------------------------------------
 
-def apply_book(cur: DataFrame, orders: DataFrame, outcomes: DataFrame) -> DataFrame:
+def apply_book(cur: DataFrame, orders: DataFrame, outcomes: DataFrame, applied: DataFrame | None = None) -> DataFrame:
     """C4: replace a symbol's whole book when its snapshot is confirmed
     (complete); on a duplicate nft_id the first record (lowest ``pos``)
-    wins. A failed or cut-short snapshot keeps the old book (L1)."""
-    conf = confirmed_scopes(outcomes, ["symbol"])
+    wins. A failed or cut-short snapshot keeps the old book (L1), and with ``applied`` (symbol, fetched_at: the
+    snapshot that each book holds) so does one that is older than the book's."""
+    conf = confirmed_scopes(outcomes, ["symbol"], applied)
     new = _of_confirmed_fetch(orders if "pos" in orders.columns else orders.withColumn("pos", F.lit(0)), conf, ["symbol"])
     c = cur.withColumn("_pos", F.lit(None).cast("bigint"))
     n = new.withColumn("_pos", F.col("pos").cast("bigint")).select(*c.columns)
@@ -208,7 +222,7 @@ def pending_scopes(touches: DataFrame, outcomes: DataFrame, tracked: DataFrame,
     least(base * 2^(attempts-1), cap) seconds, else the queue time.
     """
     t = as_ts(as_of)
-    tr = tracked.select("account").distinct()
+    tr = _tracked(tracked)
     touch = (touches.where(F.col("touched_at") <= t).join(tr, "account", "left_semi")
              .groupBy("account", "symbol").agg(F.max("touched_at").alias("last_touch")))
     o = outcomes.where(F.col("fetched_at") <= t)
@@ -218,6 +232,15 @@ def pending_scopes(touches: DataFrame, outcomes: DataFrame, tracked: DataFrame,
              .groupBy("account", "symbol")
              .agg(F.count(F.lit(1)).alias("attempts"), F.max("fetched_at").alias("last_fail")))
     s = (touch.join(fails, ["account", "symbol"], "full").join(last_ok, ["account", "symbol"], "left"))
+    return _open_work(s, base_s, cap_s)
+
+
+def _tracked(accounts: DataFrame) -> DataFrame:
+    return accounts.select("account").distinct()
+
+
+def _open_work(s: DataFrame, base_s: int, cap_s: int) -> DataFrame:
+    """The pending ones of (account, symbol, last_touch, last_ok, attempts, last_fail), with queue and retry times."""
     touched_since = F.col("last_touch").isNotNull() & (F.col("last_ok").isNull() | (F.col("last_touch") > F.col("last_ok")))
     attempts = F.coalesce(F.col("attempts"), F.lit(0)).cast("bigint")
     backoff = F.least(F.lit(float(base_s)) * F.pow(F.lit(2.0), (attempts - 1).cast("double")), F.lit(float(cap_s)))
@@ -228,6 +251,43 @@ def pending_scopes(touches: DataFrame, outcomes: DataFrame, tracked: DataFrame,
                      .otherwise(queued).alias("not_before")))
 
 
+# -- C7, kept up to date --------------------------------------------------------
+# Instead of both logs, one row a scope that either names and the failures since the scope's last confirmed fetch.
+SCOPE_KEYS = ["account", "symbol"]
+SCOPE_DDL = "account string, symbol string, last_touch timestamp, last_ok timestamp"
+FAILURE_DDL = "account string, symbol string, fetched_at timestamp, batch bigint"
+
+
+def fold_scopes(scopes: DataFrame, failures: DataFrame, touches: DataFrame, outcomes: DataFrame,
+                batch: int) -> tuple[DataFrame, DataFrame]:
+    """C7 step: the state (``SCOPE_DDL``, ``FAILURE_DDL``) with new rows of both logs folded in.
+
+    Exact in whatever order the rows arrive: times are maxima, and failures are kept one by one until a confirmed
+    fetch is newer than they are, so an outcome that comes late still counts or cancels the right ones. Folding the same
+    batch again changes nothing (its failures are replaced)."""
+    none = F.lit(None).cast("timestamp")
+    ok = confirmed(outcomes)
+    rows = scopes.select(*SCOPE_KEYS, "last_touch", "last_ok").unionByName(
+        touches.select(*SCOPE_KEYS, F.col("touched_at").alias("last_touch"), none.alias("last_ok"))).unionByName(
+        outcomes.select(*SCOPE_KEYS, none.alias("last_touch"), F.when(ok, F.col("fetched_at")).alias("last_ok")))
+    folded = rows.groupBy(*SCOPE_KEYS).agg(F.max("last_touch").alias("last_touch"), F.max("last_ok").alias("last_ok"))
+    open_ = failures.where(F.col("batch") != int(batch)).unionByName(
+        outcomes.where(~ok).select(*SCOPE_KEYS, "fetched_at", F.lit(int(batch)).cast("bigint").alias("batch")))
+    still = open_.join(folded.select(*SCOPE_KEYS, "last_ok"), SCOPE_KEYS, "left")
+    still = still.where(F.col("last_ok").isNull() | (F.col("fetched_at") > F.col("last_ok"))).drop("last_ok")
+    return folded, still
+
+
+def pending_from_state(scopes: DataFrame, failures: DataFrame, tracked: DataFrame,
+                       base_s: int = RETRY_BASE_SECONDS, cap_s: int = RETRY_CAP_SECONDS) -> DataFrame:
+    """C7 from the state: equal to :func:`pending_scopes` over all rows folded so far, without reading them. An account
+    that is tracked later finds its earlier touches here (D6 is applied on reading)."""
+    known = _tracked(tracked).withColumn("_tracked", F.lit(True))
+    fails = failures.groupBy(*SCOPE_KEYS).agg(F.count(F.lit(1)).alias("attempts"), F.max("fetched_at").alias("last_fail"))
+    s = scopes.join(known, "account", "left").withColumn("last_touch", F.when(F.col("_tracked"), F.col("last_touch")))
+    return _open_work(s.drop("_tracked").join(fails, SCOPE_KEYS, "left"), base_s, cap_s)
+
+
 # -- C8 ------------------------------------------------------------------------
 
 def dirty_symbols(events: DataFrame, book_outcomes: DataFrame) -> DataFrame:

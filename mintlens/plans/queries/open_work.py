@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ...operators import parse, state
 from ...sources import fixtures as fx
-from .common import SALES_AS_OF, register, with_ctes
+from .common import SALES_AS_OF, fresh_dir, register, with_ctes
 from .parsing import ev_sql, fx_blocks
 
 
@@ -71,6 +71,25 @@ def q_pending_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_frame(spark, sf_dir)
 
 
+INCREMENTS = 10
+
+
+@register("pending_scopes_kept", with_ctes(PENDING_SQL, "fx_events", "fx_accounts", "fx_scope_outcomes",
+                                           body="SELECT * FROM pending"))
+def q_pending_scopes_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 from a stored state that ten updates have built. The rows reach it out of order (an update holds rows of all
+    times), and the last update runs twice, as after a crash."""
+    from ..jobs import scope_state, update_scope_state
+    path = fresh_dir(spark, "scope-state")
+    t = F.lit(PENDING_AS_OF).cast("timestamp")
+    part = lambda ts: F.pmod(F.xxhash64("account", "symbol", ts), F.lit(INCREMENTS))
+    touches = _event_touches(spark, sf_dir).where(F.col("touched_at") <= t)
+    outcomes = fx.fx_scope_outcomes(spark, sf_dir).where(F.col("fetched_at") <= t)
+    for k in [*range(INCREMENTS), INCREMENTS - 1]:
+        update_scope_state(spark, path, touches.where(part("touched_at") == k), outcomes.where(part("fetched_at") == k), batch=k, buckets=4)
+    return state.pending_from_state(*scope_state(spark, path), _tracked(spark, sf_dir))
+
+
 @register("retry_stats", with_ctes(PENDING_SQL, "fx_events", "fx_accounts", "fx_scope_outcomes", body="""
 SELECT COUNT(*) AS pending, MAX(attempts) AS max_attempts, MIN(not_before) AS next_retry_at
 FROM pending WHERE attempts > 0"""))

@@ -120,7 +120,8 @@ okscopes AS (SELECT DISTINCT account, symbol FROM (SELECT account, symbol, ck, n
              UNION ALL SELECT account, symbol, ck, nk FROM moved) s WHERE (ck + nk) % 3 <> 0),
 allrows AS (
   SELECT x.*, 0 AS src FROM fx_holdings x
-  WHERE NOT EXISTS (SELECT 1 FROM okscopes s WHERE s.account = x.account AND s.symbol = x.symbol)
+  WHERE NOT EXISTS (SELECT 1 FROM okscopes s WHERE s.account = x.account AND s.symbol = x.symbol
+                    AND x.refreshed_at <= TIMESTAMP '{HOLD_FETCH_TS}')
   UNION ALL
   SELECT f.*, 1 FROM fetched f WHERE EXISTS (SELECT 1 FROM okscopes s WHERE s.account = f.account AND s.symbol = f.symbol))"""
 
@@ -237,15 +238,41 @@ def q_account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("apply_holdings_table", ORACLE["apply_holdings"])
 def q_apply_holdings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2/C3 as a table job: holdings stored partitioned by symbol; only the
-    partitions of the refreshed symbols are read and rewritten."""
-    from ..jobs import apply_holdings_table
+    """C2/C3 as a table job: holdings stored by symbol and bucket; only the
+    buckets that the refresh changes are rewritten."""
+    path, _ = _refreshed_table(spark, sf_dir)
+    return spark.read.parquet(path).select(*HOLDING_COLS)
+
+
+HOLDING_COLS = ["symbol", "nft_id", "account", "owned_by", "delegated_to", "properties", "refreshed_at"]
+
+
+def _refreshed_table(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    from ..jobs import apply_holdings_table, write_holdings
     path = fresh_dir(spark, "holdings-table")
-    fx.fx_holdings(spark, sf_dir).write.partitionBy("symbol").parquet(path)
+    write_holdings(fx.fx_holdings(spark, sf_dir), path, buckets=4)
     fetched, outcomes = _holding_fixture(spark, sf_dir)
-    apply_holdings_table(spark, path, fetched, outcomes)
-    cols = ["symbol", "nft_id", "account", "owned_by", "delegated_to", "properties", "refreshed_at"]
-    return spark.read.parquet(path).select(*cols)
+    apply_holdings_table(spark, path, fetched, outcomes, buckets=4)
+    return path, outcomes
+
+
+LATE_TS = "1998-01-01 00:00:00"
+
+
+@register("late_fetches", with_ctes(_HOLD_SQL, "fx_holdings", body=f"""
+SELECT symbol, nft_id, account, owned_by, delegated_to, properties, refreshed_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, nft_id ORDER BY refreshed_at DESC, src DESC) AS rn FROM allrows) t
+WHERE rn = 1 AND NOT (refreshed_at <= TIMESTAMP '{LATE_TS}' AND (account, symbol) IN (
+  SELECT (account, symbol) FROM (SELECT account, symbol, ck, nk FROM own UNION SELECT account, symbol, ck, nk FROM moved) s
+  WHERE (ck + nk) % 3 = 0))"""))
+def q_late_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 by time: after the refresh, empty complete fetches of years before arrive for the same scopes. Scopes refreshed since
+    keep their rows; of the scopes whose refresh failed, only rows as old as the late fetch go."""
+    from ..jobs import apply_holdings_table
+    path, outcomes = _refreshed_table(spark, sf_dir)
+    late = outcomes.select("account", "symbol", F.lit(True).alias("ok"), F.lit(LATE_TS).cast("timestamp").alias("fetched_at"))
+    apply_holdings_table(spark, path, fx.fx_holdings(spark, sf_dir).limit(0), late, buckets=4)
+    return spark.read.parquet(path).select(*HOLDING_COLS)
 
 
 @register("apply_book_table", ORACLE["apply_book"])
@@ -259,3 +286,19 @@ def q_apply_book_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, outcomes = book_fixture(spark, sf_dir)
     apply_book_table(spark, path, orders, outcomes)
     return comparable(spark.read.parquet(path).select(*cur.columns))
+
+
+@register("late_books", ORACLE["apply_book"].replace(
+    "NOT IN (0, 6, 18, 24)", "% 3 <> 0", 1))
+def q_late_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 by time: after the new books, empty complete snapshots of years before arrive for all symbols of the fixture: books
+    that are newer stay, those whose new snapshot failed or was cut short are emptied."""
+    from ..jobs import apply_book_table
+    path = fresh_dir(spark, "late-books")
+    cur = fx.fx_orders(spark, sf_dir)
+    cur.write.partitionBy("symbol").parquet(path)
+    orders, outcomes = book_fixture(spark, sf_dir)
+    apply_book_table(spark, path, orders, outcomes)
+    late = outcomes.select("symbol", F.lit(True).alias("ok"), F.lit(LATE_TS).cast("timestamp").alias("fetched_at"))
+    apply_book_table(spark, path, orders.limit(0), late)
+    return comparable(spark.read.parquet(path).select(*cur.columns))

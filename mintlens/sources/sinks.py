@@ -144,9 +144,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(hpath, True)
 
 
-def drop_partitions(spark: SparkSession, path: str, part_col: str, values: list[str]) -> list[str]:
+def drop_partitions(spark: SparkSession, path: str, part_col: str, values: list[str],
+                    below: tuple[str, list[str]] | None = None) -> list[str]:
     """Delete the ``part_col=<value>`` folders for the given values (Spark
-    escapes special characters in folder names; they are unescaped here)."""
+    escapes special characters in folder names; they are unescaped here). With ``below`` = (column, values) only
+    those second-level partitions inside them are deleted."""
     from urllib.parse import unquote
     hpath, fs = _hadoop_fs(spark, path)
     wanted, removed = set(values), []
@@ -155,6 +157,9 @@ def drop_partitions(spark: SparkSession, path: str, part_col: str, values: list[
     for st in fs.listStatus(hpath):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith(part_col + "=") and unquote(name.split("=", 1)[1]) in wanted:
+            if below is not None:
+                removed += [f"{name}/{n}" for n in drop_partitions(spark, st.getPath().toString(), *below)]
+                continue
             fs.delete(st.getPath(), True)
             removed.append(name)
     return removed

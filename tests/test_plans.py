@@ -70,16 +70,15 @@ def test_sink_idempotency_check_reads_only_its_buckets(spark, tmp_path):
 
 def test_table_job_reads_only_refreshed_symbol_partitions(spark, tmp_path):
     import datetime as dt
-    from mintlens.plans.jobs import apply_holdings_table
+    from mintlens.plans.jobs import apply_holdings_table, write_holdings
     hold = "symbol string, nft_id bigint, account string, owned_by string, delegated_to string, properties string, refreshed_at timestamp"
     t0 = dt.datetime(2026, 7, 1)
     path = str(tmp_path / "h")
-    spark.createDataFrame([("A", 1, "a", "u", None, "{}", t0), ("B", 2, "b", "u", None, "{}", t0)], hold) \
-        .write.partitionBy("symbol").parquet(path)
+    write_holdings(spark.createDataFrame([("A", 1, "a", "u", None, "{}", t0), ("B", 2, "b", "u", None, "{}", t0)], hold), path)
     fetched = spark.createDataFrame([("A", 3, "a", "u", None, "{}", t0 + dt.timedelta(days=1))], hold)
     outcomes = spark.createDataFrame([("a", "A", True, t0 + dt.timedelta(days=1))],
                                      "account string, symbol string, ok boolean, fetched_at timestamp")
-    assert apply_holdings_table(spark, path, fetched, outcomes) == ["A"]
+    assert {s for s, _ in apply_holdings_table(spark, path, fetched, outcomes)} == {"A"}
     got = sorted((r.symbol, r.nft_id) for r in spark.read.parquet(path).collect())
     assert got == [("A", 3), ("B", 2)]
     plan = plan_of(spark.read.parquet(path).where(F.col("symbol").isin(["A"])))
@@ -88,12 +87,11 @@ def test_table_job_reads_only_refreshed_symbol_partitions(spark, tmp_path):
 
 def test_table_job_removes_a_symbol_emptied_by_the_refresh(spark, tmp_path):
     import datetime as dt
-    from mintlens.plans.jobs import apply_book_table, apply_holdings_table
+    from mintlens.plans.jobs import apply_book_table, apply_holdings_table, write_holdings
     hold = "symbol string, nft_id bigint, account string, owned_by string, delegated_to string, properties string, refreshed_at timestamp"
     t0 = dt.datetime(2026, 7, 1)
     path = str(tmp_path / "h")
-    spark.createDataFrame([("A", 1, "a", "u", None, "{}", t0), ("B", 2, "b", "u", None, "{}", t0)], hold) \
-        .write.partitionBy("symbol").parquet(path)
+    write_holdings(spark.createDataFrame([("A", 1, "a", "u", None, "{}", t0), ("B", 2, "b", "u", None, "{}", t0)], hold), path)
     outcomes = spark.createDataFrame([("a", "A", True, t0 + dt.timedelta(days=1))],
                                      "account string, symbol string, ok boolean, fetched_at timestamp")
     apply_holdings_table(spark, path, spark.createDataFrame([], hold), outcomes)

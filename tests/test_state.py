@@ -1,111 +1,91 @@
-"""State application on small frames: snapshots, ownership, books, retries, floors, last sales."""
+"""Snapshots, books, floors, sales and retries on small frames made up here: each test states its rule as a table of cases."""
 
+import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from mintlens.operators import market, state
+from mintlens.schemas import HOLDING_RAW_DDL, ORDER_RAW_DDL
 from mintlens.sources.snapshots import normalize_holdings, normalize_orders
 
 HOLD = "symbol string, nft_id bigint, account string, owned_by string, delegated_to string, properties string, refreshed_at timestamp"
 OUT = "account string, symbol string, ok boolean, fetched_at timestamp"
 
 
-def _ts(s):
-    import datetime as dt
-    return dt.datetime.fromisoformat(s)
-
-
-def hold(spark, rows):
-    return spark.createDataFrame([(s, n, a, "u", None, "{}", _ts(t)) for s, n, a, t in rows], HOLD)
-
-
-def test_confirmed_empty_removes_and_failed_keeps(spark):
-    cur = hold(spark, [("CARD", 1, "alice", "2026-07-01"), ("STAR", 2, "alice", "2026-07-01")])
-    fetched = spark.createDataFrame([], HOLD)
-    outcomes = spark.createDataFrame([("alice", "CARD", True, _ts("2026-07-10")),
-                                      ("alice", "STAR", False, _ts("2026-07-10"))], OUT)
-    got = {(r.symbol, r.nft_id) for r in state.apply_holdings(cur, fetched, outcomes).collect()}
-    assert got == {("STAR", 2)}
-
-
-def test_transfer_overwrites_stale_owner(spark):
-    cur = hold(spark, [("CARD", 1, "oldowner", "2026-07-01")])
-    fetched = hold(spark, [("CARD", 1, "newowner", "2026-07-10")])
-    outcomes = spark.createDataFrame([("newowner", "CARD", True, _ts("2026-07-10"))], OUT)
-    got = [(r.nft_id, r.account) for r in state.apply_holdings(cur, fetched, outcomes).collect()]
-    assert got == [(1, "newowner")]
-
-
-def test_older_fetch_does_not_win(spark):
-    cur = hold(spark, [("CARD", 1, "newowner", "2026-07-10")])
-    fetched = hold(spark, [("CARD", 1, "oldowner", "2026-07-01")])
-    outcomes = spark.createDataFrame([("oldowner", "CARD", True, _ts("2026-07-01"))], OUT)
-    got = [(r.nft_id, r.account) for r in state.apply_holdings(cur, fetched, outcomes).collect()]
-    assert got == [(1, "newowner")]
-
-
-def test_normalize_holdings_delegation_shapes(spark):
-    recs = [{"symbol": "S", "_id": 1, "account": "a", "delegatedTo": {"account": "b", "ownedBy": "u"}, "soulBound": True},
-            {"symbol": "S", "_id": "2", "account": "a", "delegatedTo": "c", "properties": "not json"}]
-    from mintlens.schemas import HOLDING_RAW_DDL
-    raw = spark.createDataFrame([(json.dumps(r),) for r in recs], "v string").select(
-        F.from_json("v", HOLDING_RAW_DDL).alias("r")).select("r.*")
-    got = sorted((r.nft_id, r.owned_by, r.delegated_to, r.delegated_to_type, r.soul_bound, r.properties)
-                 for r in normalize_holdings(raw).collect())
-    assert got == [(1, "u", "b", "u", True, "{}"), (2, "u", "c", None, False, "{}")]
-
-
-def _book(spark, recs):
-    from mintlens.schemas import ORDER_RAW_DDL
-    raw = spark.createDataFrame([(json.dumps(r),) for r in recs], "v string").select(
-        F.from_json("v", ORDER_RAW_DDL).alias("r")).select("r.*")
-    return normalize_orders(raw)
-
-
-def test_floor_per_group(spark):
-    b = _book(spark, [
-        {"symbol": "CARD", "nftId": "1", "account": "bob", "price": "10.5", "priceSymbol": "SWAP.TKN", "timestamp": 123,
-         "grouping": {"rarity": "common"}},
-        {"symbol": "CARD", "nftId": "2", "account": "bob", "price": "8", "priceSymbol": "SWAP.TKN", "timestamp": 124,
-         "grouping": {"rarity": "common"}},
-        {"symbol": "CARD", "nftId": "3", "account": "bob", "price": "50", "priceSymbol": "SWAP.TKN", "timestamp": 125,
-         "grouping": {"rarity": "legendary"}}])
-    got = sorted((float(r.floor_price), r.open_orders, r.grouping_key) for r in market.market_floor(b).collect())
-    assert got == [(8.0, 2, '{"rarity":"common"}'), (50.0, 1, '{"rarity":"legendary"}')]
-    assert str(b.where("nft_id = 1").first().ts) == "1970-01-01 00:00:00.123000"
-
-
-def test_ungrouped_collapses_to_one_row(spark):
-    b = _book(spark, [{"symbol": "P", "nftId": "1", "account": "b", "price": "3", "priceSymbol": "X", "timestamp": 1},
-                      {"symbol": "P", "nftId": "2", "account": "b", "price": "9", "priceSymbol": "X", "timestamp": 2}])
-    got = [(float(r.floor_price), r.grouping_key) for r in market.market_floor(b).collect()]
-    assert got == [(3.0, "{}")]
-
-
-def test_failed_book_keeps_old_rows_and_first_duplicate_wins(spark):
-    cols = "symbol string, nft_id bigint, price double, pos bigint"
-    cur = spark.createDataFrame([("A", 1, 1.0, None), ("B", 2, 2.0, None)], cols).drop("pos")
-    new = spark.createDataFrame([("A", 5, 7.0, 0), ("A", 5, 9.0, 1), ("B", 6, 1.0, 0)], cols)
-    outc = spark.createDataFrame([("A", True, True, _ts("2026-07-10")), ("B", False, True, _ts("2026-07-10"))],
-                                 "symbol string, ok boolean, complete boolean, fetched_at timestamp")
-    got = sorted((r.symbol, r.nft_id, float(r.price)) for r in state.apply_book(cur, new, outc).collect())
-    assert got == [("A", 5, 7.0), ("B", 2, 2.0)]
-
-
-def test_pending_attempts_count_failures_since_success(spark):
-    touches = spark.createDataFrame([("a", "S", _ts("2026-07-01 00:00:00"))], "account string, symbol string, touched_at timestamp")
-    outc = spark.createDataFrame([("a", "S", True, _ts("2026-07-01 01:00:00")), ("a", "S", False, _ts("2026-07-01 02:00:00")),
-                                  ("a", "S", False, _ts("2026-07-01 03:00:00"))], OUT)
-    tracked = spark.createDataFrame([("a",)], "account string")
-    r = state.pending_scopes(touches, outc, tracked, "2026-07-02").first()
-    assert r.attempts == 2 and str(r.not_before) == "2026-07-01 03:02:00"
-
-
-def test_last_sale_tie_break_and_window(spark):
-    s = spark.createDataFrame([
-        ("S", 1, 5.0, "T", 10, _ts("2026-07-01")), ("S", 2, 7.0, "T", 11, _ts("2026-07-01")),
-        ("S", 3, 1.0, "T", 1, _ts("2026-05-01"))],
-        "symbol string, nft_id bigint, price double, price_symbol string, he_block bigint, ts timestamp")
-    r = market.market_last_sales(s, "2026-07-10").first()
-    assert (float(r.last_price), r.sales_30d, float(r.volume_30d)) == (7.0, 2, 12.0)
+def at(hour):
+    return dt.datetime(2025, 11, 3) + dt.timedelta(hours=hour)
+
+
+def held(spark, *rows):
+    """``rows``: (item, owner, hour of the fetch), all of one collection."""
+    return spark.createDataFrame([("LYNX", item, owner, "u", None, "{}", at(hour)) for item, owner, hour in rows], HOLD)
+
+
+def landed(spark, ddl, *records):
+    return spark.createDataFrame([(json.dumps(r),) for r in records], "doc string").select(F.from_json("doc", ddl).alias("r")).select("r.*")
+
+
+# what a fetch of piet's items at hour 8 does to (item, owner, hour), by what it found and whether it succeeded
+@pytest.mark.parametrize("before,found,ok,after", [
+    ([(40, "piet", 2), (41, "piet", 3)], [], True, []),                                     # nothing is left
+    ([(40, "piet", 2), (41, "piet", 3)], [], False, [(40, "piet"), (41, "piet")]),          # unknown, so all stays
+    ([(40, "piet", 2), (41, "piet", 3)], [(41, "piet", 8), (42, "piet", 8)], True, [(41, "piet"), (42, "piet")]),
+    ([(40, "rosa", 2)], [(40, "piet", 8)], True, [(40, "piet")]),                           # it has changed hands
+    ([(40, "rosa", 9)], [(40, "piet", 8)], True, [(40, "rosa")]),                           # rosa's fetch is newer
+    ([(40, "rosa", 8)], [(40, "piet", 8)], True, [(40, "piet")]),                           # equal times: what was fetched
+    ([(40, "rosa", 2), (41, "rosa", 2)], [(41, "piet", 8)], False, [(40, "rosa"), (41, "rosa")]),
+    ([(40, "piet", 11)], [], True, [(40, "piet")])])                                        # seen after the fetch
+def test_fetch_of_one_account(spark, before, found, ok, after):
+    out = state.apply_holdings(held(spark, *before), held(spark, *found), spark.createDataFrame([("piet", "LYNX", ok, at(8))], OUT))
+    assert sorted((r.nft_id, r.account) for r in out.collect()) == after
+
+
+@pytest.mark.parametrize("record,want", [
+    ({"delegatedTo": {"account": "rosa", "ownedBy": "c"}}, ("u", "rosa", "c", False)),
+    ({"delegatedTo": "rosa", "ownedBy": "c"}, ("c", "rosa", None, False)),
+    ({"soulBound": 1}, ("u", None, None, True)), ({}, ("u", None, None, False))])
+def test_holding_records(spark, record, want):
+    rows = normalize_holdings(landed(spark, HOLDING_RAW_DDL, {"symbol": "LYNX", "_id": "0077", "account": "piet", **record}))
+    assert [(r.owned_by, r.delegated_to, r.delegated_to_type, r.soul_bound) for r in rows.collect()] == [want]
+    assert rows.first().nft_id == 77
+
+
+def test_floors_of_groups_and_tokens(spark):
+    kinds = [None, {}, {"wing": "left"}, {"wing": "right", "age": 3}]
+    records = [{"symbol": "LYNX", "nftId": k, "account": "rosa", "price": str(100 - k), "priceSymbol": "ORE" if k % 2 else "TIN",
+                "timestamp": 1000 * k, "grouping": kinds[k % 4]} for k in range(24)]
+    floors = {(r.price_symbol, r.grouping_key): (float(r.floor_price), r.open_orders)
+              for r in market.market_floor(normalize_orders(landed(spark, ORDER_RAW_DDL, *records))).collect()}
+    # k % 4: 0 and 1 are ungrouped, in different tokens; the dearest index is the cheapest order
+    assert floors == {("TIN", "{}"): (80.0, 6), ("ORE", "{}"): (79.0, 6), ("TIN", '{"wing":"left"}'): (78.0, 6),
+                      ("ORE", '{"age":3,"wing":"right"}'): (77.0, 6)}
+
+
+def test_book_snapshots(spark):
+    book = "symbol string, nft_id bigint, price double, pos bigint"
+    cur = spark.createDataFrame([(s, k, 9.0) for s in ("LYNX", "MOTH", "NEWT") for k in (1, 2)], "symbol string, nft_id bigint, price double")
+    new = spark.createDataFrame([("LYNX", 3, 4.0, 1), ("LYNX", 3, 3.0, 2), ("LYNX", 2, 5.0, 0), ("MOTH", 8, 1.0, 0), ("NEWT", 8, 1.0, 0)], book)
+    outcomes = spark.createDataFrame([("LYNX", True, True, at(1)), ("MOTH", False, True, at(1)), ("NEWT", True, False, at(1))],
+                                     "symbol string, ok boolean, complete boolean, fetched_at timestamp")
+    after = state.apply_book(cur, new, outcomes)
+    assert sorted((r.symbol, r.nft_id, r.price) for r in after.collect()) == [
+        ("LYNX", 2, 5.0), ("LYNX", 3, 4.0), ("MOTH", 1, 9.0), ("MOTH", 2, 9.0), ("NEWT", 1, 9.0), ("NEWT", 2, 9.0)]
+
+
+@pytest.mark.parametrize("fails,wait_s", [(1, 60), (2, 120), (5, 960), (9, 15360), (10, 21600), (30, 21600)])
+def test_back_off_doubles_to_its_cap(spark, fails, wait_s):
+    outs = [("piet", "LYNX", True, at(0))] + [("piet", "LYNX", False, at(1 + k)) for k in range(fails)]
+    touches = spark.createDataFrame([], "account string, symbol string, touched_at timestamp")
+    row, = state.pending_scopes(touches, spark.createDataFrame(outs, OUT), spark.createDataFrame([("piet",)], "account string"), at(99)).collect()
+    assert (row.attempts, row.not_before - at(fails)) == (fails, dt.timedelta(seconds=wait_s))
+
+
+def test_last_sale_and_volume(spark):
+    # (item, price, block, hour): the last by time, then block, then item, then price; 30 days are 720 hours
+    sales = [(1, 2.0, 5, 700), (2, 8.0, 6, 700), (3, 4.0, 6, 700), (3, 4.5, 6, 700), (9, 99.0, 1, 10), (9, 50.0, 9, 900), (5, 1.0, 2, 30)]
+    rows = [("LYNX", n, p, "ORE", b, at(h)) for n, p, b, h in sales]
+    df = spark.createDataFrame(rows, "symbol string, nft_id bigint, price double, price_symbol string, he_block bigint, ts timestamp")
+    r, = market.market_last_sales(df, at(750)).collect()       # hour 30 is exactly 720 hours before: outside
+    assert (r.last_price, r.last_ts, r.sales_30d, r.volume_30d) == (4.5, at(700), 4, 18.5)

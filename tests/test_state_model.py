@@ -16,7 +16,7 @@ def model(cur, fetched, outcomes):
     for a, s, ok, complete, t in outcomes:
         if ok and complete is not False:
             confirmed[a, s] = max(confirmed.get((a, s), t), t)
-    rows = [(r, 0) for r in cur if (r[2], r[0]) not in confirmed]
+    rows = [(r, 0) for r in cur if (r[2], r[0]) not in confirmed or r[6] > confirmed[r[2], r[0]]]
     rows += [((s, n, a, o, d, p, t or confirmed[a, s]), 1) for s, n, a, o, d, p, t in fetched if (a, s) in confirmed]
     best = {}
     for r, src in rows:
