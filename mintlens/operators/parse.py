@@ -97,12 +97,12 @@ def _is_nft(c: Column) -> Column:
     return F.coalesce(c.isin(*NFT_CONTRACTS), F.lit(False))
 
 
-def typed_blocks(blocks: DataFrame) -> DataFrame:
+def typed_blocks(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """B5 + B6 inside the row: block number, block time, and the transactions
     with their logs parsed once (dual encoding; malformed logs -> no events)
     and their position kept. Each event's data is parsed to a map once here
     (and a hitSellOrder's sellers list once), so later steps only look up
-    fields. One row per block."""
+    fields. One row per block; ``keep`` names further columns to carry along."""
     ingest = F.col("ingest_ts") if "ingest_ts" in blocks.columns else F.lit(None).cast("timestamp")
     if "ingestTs" in blocks.columns:
         ingest = F.coalesce(F.col("ingestTs").try_cast("timestamp"), ingest)
@@ -122,8 +122,8 @@ def typed_blocks(blocks: DataFrame) -> DataFrame:
         t["sender"].alias("sender"), t["transactionId"].alias("tx_id"), t["payload"].alias("payload"),
         F.transform(F.coalesce(F.from_json(t["logs"], LOGS_DDL)["events"], _empty(EVENT_DDL)), event).alias("events")))
     typed = blocks.select(F.col("blockNumber").alias("he_block"),
-                          block_ts(F.col("timestamp"), ingest).alias("ts"), txs.alias("txs"))
-    return typed.select("he_block", "ts", F.transform("txs", lambda t: t.withField(
+                          block_ts(F.col("timestamp"), ingest).alias("ts"), *keep, txs.alias("txs"))
+    return typed.select("he_block", "ts", *keep, F.transform("txs", lambda t: t.withField(
         "events", F.transform(t["events"], with_sellers))).alias("txs"))
 
 
@@ -245,19 +245,19 @@ def _tx_scopes(tx: Column, rows: Column) -> Column:
 
 # -- B14: one pass, three outputs ---------------------------------------------
 
-def parse_blocks(blocks: DataFrame) -> DataFrame:
+def parse_blocks(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per block with three arrays -- activity rows in encounter
     order (their index is tx_seq, B11), completed-sale rows, and distinct
     touched scopes -- plus the unknown nft event names. Feeds
     :func:`nft_events`, :func:`market_sales`, :func:`touch_scopes` and
     :func:`unknown_events`; cache it when several outputs are taken."""
     # a block without a number cannot be keyed: it yields no rows (arrays empty)
-    t = typed_blocks(blocks).select("he_block", "ts", F.filter(
+    t = typed_blocks(blocks, keep).select("he_block", "ts", *keep, F.filter(
         F.when(F.col("he_block").isNotNull(), F.col("txs")), _has_nft_activity).alias("txs"))
     with_rows = F.transform("txs", lambda tx: F.struct(tx.alias("tx"), _tx_rows(tx).alias("rows")))
-    return (t.select("he_block", "ts", with_rows.alias("w"))
+    return (t.select("he_block", "ts", *keep, with_rows.alias("w"))
             .select(
-                "he_block", "ts",
+                "he_block", "ts", *keep,
                 F.flatten(F.transform("w", lambda x: x["rows"])).alias("events"),
                 F.flatten(F.transform("w", lambda x: _tx_sales(x["tx"]))).alias("sales"),
                 F.array_distinct(F.flatten(F.transform("w", lambda x: _tx_scopes(x["tx"], x["rows"])))).alias("scopes"),

@@ -16,7 +16,7 @@ account or symbol costs one partial row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -381,6 +381,44 @@ def block_gaps(spark, blocks: DataFrame, lo: int, hi: int, col: str = "he_block"
     return want.join(have, col, "left_anti")
 
 
+# -- C12, kept as intervals ------------------------------------------------------
+
+
+def block_runs(blocks: DataFrame, bucket_blocks: int = BLOCKS_PER_DAY, col: str = "he_block") -> DataFrame:
+    """Captured numbers as maximal runs within a bucket of ``bucket_blocks`` numbers: (bucket, lo, hi). Islands are
+    found bucket by bucket, so no window holds more than one bucket's rows, and a captured day is one row."""
+    bucket = F.floor(F.col("lo") / int(bucket_blocks)).cast("bigint").alias("bucket")
+    new = blocks.where(F.col(col).isNotNull()).select(F.col(col).alias("lo"), F.col(col).alias("hi")).distinct().select(bucket, "lo", "hi")
+    return merge_runs(new)
+
+
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """Overlapping or adjacent (lo, hi) of a bucket merged."""
+    order = Window.partitionBy("bucket").orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = runs.withColumn("_new", F.when(before.isNull() | (F.col("lo") > before + 1), 1).otherwise(0))
+    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return (starts.withColumn("_island", island).groupBy("bucket", "_island")
+            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island"))
+
+
+def gap_runs(runs: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The missing numbers of [lo, hi] as intervals (lo, hi). One window over the runs: buckets plus gaps, not
+    blocks."""
+    lo, hi = int(lo), int(hi)
+    inside = runs.where((F.col("hi") >= lo) & (F.col("lo") <= hi)).select("lo", "hi")
+    ends = runs.sparkSession.createDataFrame([(lo - 1, lo - 1), (hi + 1, hi + 1)], "lo bigint, hi bigint")
+    order = Window.orderBy("lo", "hi")
+    seen = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    step = inside.unionByName(ends).withColumn("_seen", seen)
+    return step.where(F.col("lo") > F.col("_seen") + 1).select((F.col("_seen") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"))
+
+
+def gap_blocks(gaps: DataFrame, col: str = "he_block") -> DataFrame:
+    """The numbers of gap intervals, one a row."""
+    return gaps.select(F.explode(F.sequence("lo", "hi")).alias(col))
+
+
 def complete_through(gaps: DataFrame, hi: int, col: str = "he_block") -> DataFrame:
     """Downstream 'complete up to' = last block before the first gap."""
     return gaps.agg(F.coalesce(F.min(col) - 1, F.lit(int(hi))).alias("complete_through"))

@@ -102,6 +102,24 @@ def apply_book_table(spark: SparkSession, path: str, orders: DataFrame, outcomes
     return confirmed
 
 
+# -- C12 -----------------------------------------------------------------------
+
+def update_block_runs(spark: SparkSession, path: str, blocks: DataFrame, bucket_blocks: int = state.BLOCKS_PER_DAY) -> list[int]:
+    """C12/I4 kept up to date: the block numbers of a batch merged into the captured runs stored at ``path`` (a
+    partition a bucket). Only the batch's buckets are read and replaced; the same batch again changes nothing."""
+    checkpoint_dir(spark)
+    new = state.block_runs(blocks, bucket_blocks).checkpoint(eager=True)
+    hit = sorted(r.bucket for r in new.select("bucket").distinct().collect())       # days of one batch
+    if not hit:
+        return []
+    old = read_if_exists(spark, path)
+    if old is not None:
+        old = old.where(F.col("bucket").isin(hit))
+        new = state.merge_runs(new.unionByName(old.select(*new.columns))).checkpoint(eager=True)
+    write_view(new.repartition("bucket"), path, ["bucket"])
+    return hit
+
+
 # -- C7 ------------------------------------------------------------------------
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:

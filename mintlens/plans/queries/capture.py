@@ -144,6 +144,15 @@ def q_retain_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- documents that are no block, and blocks that come again --------------------------
 
+def _with_bad_documents(docs: DataFrame) -> DataFrame:
+    """The block documents, with some between them that are cut short, without a number or of another shape."""
+    n, text = F.col("he_block"), F.col("he_block").cast("string")
+    bad = (F.when(n % 20 == 7, F.concat(F.lit('{"blockNumber":'), text, F.lit(",")))
+           .when(n % 20 == 3, F.concat(F.lit('{"tag":'), text, F.lit(',"transactions":[]}')))
+           .when(n % 20 == 11, F.concat(F.lit("["), text, F.lit("]"))))
+    return docs.select(F.explode(F.array_compact(F.array("value", bad))).alias("value"))
+
+
 @register("block_quarantine", ev_sql("""
 SELECT raw, reason FROM (
   SELECT DISTINCT '{"blockNumber":' || CAST(he_block AS VARCHAR) || ',' AS raw, 'not a JSON object' AS reason
@@ -157,12 +166,7 @@ def q_block_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ...streaming import capture
     root = fresh_dir(spark, "quarantine")
     docs = fx.fx_block_docs(spark, sf_dir)
-    n, text = F.col("he_block"), F.col("he_block").cast("string")
-    bad = (F.when(n % 20 == 7, F.concat(F.lit('{"blockNumber":'), text, F.lit(",")))
-           .when(n % 20 == 3, F.concat(F.lit('{"tag":'), text, F.lit(',"transactions":[]}')))
-           .when(n % 20 == 11, F.concat(F.lit("["), text, F.lit("]"))))
-    lines = docs.select(F.explode(F.array_compact(F.array("value", bad))).alias("value"))
-    lines.write.text(f"{root}/landing")
+    _with_bad_documents(docs).write.text(f"{root}/landing")
     body = capture.BlockCapture(f"{root}/sinks")
     landed = capture.landed_lines(spark, f"{root}/landing")
     for epoch in (0, 1):
@@ -223,3 +227,50 @@ def q_captured_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.capture_freshness(progress).select("last_live_block"),
         cover.select("backfill_cursor_block", "backfill_target_block", F.col("backfill_complete").cast("int").alias("backfill_complete")),
         events.agg(F.count(F.lit(1)).alias("captured_events"))])
+
+
+@register("backfill_quarantine", ORACLE["block_quarantine"])
+def q_backfill_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backfill keeps the documents that cannot be a block, each once, whatever part of the range it walks."""
+    from ...streaming import capture
+    root = fresh_dir(spark, "backfill-quarantine")
+    docs = fx.fx_block_docs(spark, sf_dir)
+    _with_bad_documents(docs).write.text(f"{root}/landing")
+    hi = docs.agg(F.max("he_block")).first()[0]
+    capture.run_backfill(spark, f"{root}/landing", f"{root}/sink", target=hi // 2, chunk_blocks=hi, start_below=hi + 1)
+    capture.run_backfill(spark, f"{root}/landing", f"{root}/sink", target=0, chunk_blocks=hi)
+    return spark.read.parquet(f"{root}/sink/block_quarantine").select("raw", "reason")
+
+
+@register("restarted_capture", ORACLE["stream_capture"])
+def q_restarted_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches whose numbers start again, as with a new checkpoint on a message source. Each holds back its
+    newest block, which only the next one can settle."""
+    from ...streaming import capture
+    root = fresh_dir(spark, "restart")
+    docs = fx.fx_block_docs(spark, sf_dir)
+    hi = docs.agg(F.max("he_block")).first()[0]
+    third = F.least(F.floor(F.col("he_block") * 3 / (hi + 1)), F.lit(2))
+    for k, epoch in enumerate((0, 41, 0)):
+        batch = docs.where(third == k).select("value", F.lit(fx.BLOCK_INGEST_TS).cast("timestamp").alias("ingest_ts"))
+        capture.BlockCapture(f"{root}/sinks")(batch, epoch)
+    return comparable(spark.read.parquet(f"{root}/sinks/nft_events").drop("bucket"))
+
+
+@register("start_at_tip", ev_sql("""
+SELECT he_block, tx_seq, symbol, nft_id, op, account, counterparty, CAST(price AS DOUBLE) AS price,
+       price_symbol, tx_id, bts AS ts FROM ev
+WHERE he_block < (SELECT MAX(he_block) FROM ev) AND he_block >= (
+  SELECT MAX(he_block) - 1 FROM ev WHERE he_block <= (SELECT MAX(he_block) // 2 FROM ev))"""))
+def q_start_at_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture begins at the settled head of what had landed at its first start (half of the blocks), also after a
+    restart with a new checkpoint when all have landed."""
+    from ...streaming import capture
+    root = fresh_dir(spark, "tip")
+    docs = fx.fx_block_docs(spark, sf_dir)
+    half = docs.agg(F.max("he_block")).first()[0] // 2
+    for name, part in (("a", F.col("he_block") <= half), ("b", F.col("he_block") > half)):
+        docs.where(part).select("value").coalesce(2).write.text(f"{root}/landing/{name}")
+        q = capture.start_capture(spark, f"{root}/landing/*", f"{root}/sinks", checkpoint=f"{root}/cp-{name}", starting_block=capture.TIP)
+        q.awaitTermination()
+    return comparable(spark.read.parquet(f"{root}/sinks/nft_events").drop("bucket"))

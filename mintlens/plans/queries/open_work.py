@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ...operators import parse, state
 from ...sources import fixtures as fx
-from .common import SALES_AS_OF, fresh_dir, register, with_ctes
+from .common import ORACLE, SALES_AS_OF, fresh_dir, register, with_ctes
 from .parsing import ev_sql, fx_blocks
 
 
@@ -207,6 +207,17 @@ def q_complete_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.complete_through(state.block_gaps(spark, have, lo, hi), hi)
 
 
+@register("block_gaps_kept", ORACLE["block_gaps"])
+def q_block_gaps_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12/I4 from captured runs that three updates have kept (blocks in any order, some twice)."""
+    from ..jobs import update_block_runs
+    path, have = fresh_dir(spark, "block-runs"), _captured_blocks(spark, sf_dir)
+    for k in range(3):
+        update_block_runs(spark, path, have.where(F.col("he_block") % 5 <= 2 * k), bucket_blocks=100)
+    lo, hi = _block_range(have)
+    return state.gap_blocks(state.gap_runs(spark.read.parquet(path), lo, hi))
+
+
 @register("backfill_window", ev_sql("""
 SELECT MAX(he_block) AS head, greatest(1, MAX(he_block) - 30 * 28800) AS target FROM ev"""))
 def q_backfill_window(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ...operators import parse
 from ...sources import fixtures as fx
 from .common import ORACLE, QUERIES, comparable, fresh_dir, nullable_counts_as_double, register, with_ctes
 from .parsing import ev_sql, fx_blocks, fx_parsed
-from .snapshots import CATALOG_SNAP_SQL, upserted_catalog
+from .snapshots import _HOLD_SQL, _holding_fixture, CATALOG_SNAP_SQL, upserted_catalog
 from .display_rules import rendered_sql
 from .read_views import SECTIONS_SQL
 
@@ -122,21 +122,49 @@ def q_read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.typed_blocks(b).select("he_block", "ts", F.size("txs").alias("n_tx"))
 
 
-@register("json_or_default", ev_sql("""
-SELECT he_block, 'adm' || CAST(he_block AS VARCHAR) AS tx_id, CASE WHEN he_block % 7 = 0 THEN 1 ELSE 0 END AS n_events
-FROM (SELECT DISTINCT he_block FROM ev) a
-UNION ALL
-SELECT he_block, tx_id, CASE WHEN op = 'issue' AND he_block % 2 = 0 THEN 2 ELSE 1 END FROM ev
-UNION ALL
-SELECT DISTINCT he_block, 'tok' || CAST(he_block AS VARCHAR), 1 FROM ev WHERE he_block % 2 = 1"""))
+# event_id % 5: an object, the same object inside a JSON string, cut text, no text, an array
+@register("json_or_default", fx.with_fixtures("""
+SELECT he_block, tx_seq, CASE WHEN (he_block * 10 + tx_seq) % 5 < 2 THEN CAST(nft_id AS DOUBLE) END AS n,
+       CASE WHEN (he_block * 10 + tx_seq) % 5 < 2 THEN symbol ELSE 'none' END AS s FROM fx_events""", "fx_events"))
 def q_json_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: transaction logs arrive as an object (even blocks) or as a JSON
-    string (odd blocks); both parse to the same events, an empty log to none."""
-    t = parse.explode_tx(fx_blocks(spark, sf_dir))
-    return t.select("he_block", "tx_id", F.size("events").alias("n_events"))
-
-
-
-# A3 reader: the holdings snapshot round trip is both the reader and B3
-QUERIES["read_holding_snapshots"] = QUERIES["normalize_holdings"]
-ORACLE["read_holding_snapshots"] = ORACLE["normalize_holdings"]
+    """B1: a landed field that arrives as an object or as a JSON string, and a default where it is bad or missing."""
+    from ...functions import json_or_default
+    e = fx.fx_events(spark, sf_dir)
+    kind = (F.col("he_block") * 10 + F.col("tx_seq")) % 5
+    obj = F.to_json(F.struct(F.col("nft_id").alias("n"), F.col("symbol").alias("s")))
+    quoted = F.to_json(F.struct(obj.alias("x")))       # {"x":"{\\"n\\":...}"}
+    field = (F.when(kind == 0, F.concat(F.lit('{"x":'), obj, F.lit("}"))).when(kind == 1, quoted)
+             .when(kind == 2, F.lit('{"x":"{\\"n\\":"}')).when(kind == 3, F.lit("{}")).otherwise(F.lit('{"x":[1]}')))
+    landed = e.select("he_block", "tx_seq", F.from_json(field, "x string")["x"].alias("x"))
+    none = F.struct(F.lit(None).cast("bigint").alias("n"), F.lit("none").alias("s"))
+    read = json_or_default("x", "n bigint, s string")
+    whole = F.when(read["s"].isNotNull(), read)     # cut text and arrays give a struct of nulls, not NULL
+    return nullable_counts_as_double(landed.select("he_block", "tx_seq", F.coalesce(whole, none).alias("r")).select(
+        "he_block", "tx_seq", "r.n", "r.s"), "n")
+
+
+# -- A3: records and outcomes of holding fetches, as landed files -----------------
+
+@register("read_holding_snapshots", with_ctes(_HOLD_SQL.replace(
+    ") s WHERE (ck + nk) % 3 <> 0)", ") s WHERE (ck + nk) % 3 <> 0 AND (ck + nk) % 7 <> 3)"), "fx_holdings", body="""
+SELECT symbol, nft_id, account, owned_by, delegated_to, properties, refreshed_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, nft_id ORDER BY refreshed_at DESC, src DESC) AS rn FROM allrows) t
+WHERE rn = 1"""))
+def q_read_holding_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: records and outcomes land as files; fetches that failed or were cut short say nothing about their scopes. Read,
+    normalized and applied to the whole table."""
+    from ...operators import state
+    from ...sources.snapshots import normalize_holdings, read_holding_snapshots
+    root = fresh_dir(spark, "holding-fetches")
+    fetched, outcomes = _holding_fixture(spark, sf_dir)
+    record = F.to_json(F.struct("symbol", F.col("nft_id").alias("_id"), "account", F.col("owned_by").alias("ownedBy"),
+                                F.col("delegated_to").alias("delegatedTo"), "properties",
+                                F.date_format("refreshed_at", "yyyy-MM-dd HH:mm:ss").alias("fetchedAt")))
+    fetched.select(record.alias("value")).write.text(f"{root}/records")
+    number = lambda c, at: F.substring(c, at, 32).cast("bigint")
+    cut = (number(F.col("account"), 5) + number(F.col("symbol"), 4)) % 7 == 3
+    outcomes.withColumn("complete", ~cut).write.json(f"{root}/outcomes")
+    raw, outcomes = read_holding_snapshots(spark, f"{root}/records", f"{root}/outcomes")
+    records = normalize_holdings(raw, keep=("fetched_at",)).select(
+        "symbol", "nft_id", "account", "owned_by", "delegated_to", "properties", F.col("fetched_at").alias("refreshed_at"))
+    return state.apply_holdings(fx.fx_holdings(spark, sf_dir), records, outcomes)

@@ -10,6 +10,9 @@ parquet scan as pushed filters), so the join does not grow with the sink.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +32,19 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def read_buckets(spark: SparkSession, path: str, part_col: str, lo: int, hi: int, schema: T.StructType) -> DataFrame | None:
-    """The partitions ``part_col`` = lo .. hi of a sink, by their folders and with a known schema: neither the
-    other partitions nor any file footer is looked at. None if there are none."""
+def partition_values(spark: SparkSession, path: str, part_col: str) -> list[str]:
+    """The values of a partition column that have a folder, as folder text."""
     hpath, fs = _hadoop_fs(spark, path)
     if not fs.exists(hpath):
-        return None
+        return []
     found = [s.getPath().getName() for s in fs.listStatus(hpath) if s.isDirectory()]
-    folders = [f"{path}/{n}" for n in found if n.startswith(part_col + "=") and lo <= int(n.split("=", 1)[1]) <= hi]
+    return [n.split("=", 1)[1] for n in found if n.startswith(part_col + "=")]
+
+
+def read_buckets(spark: SparkSession, path: str, part_col: str, buckets: Collection[int], schema: T.StructType) -> DataFrame | None:
+    """The partitions of a sink whose ``part_col`` is among ``buckets``, by their folders and with a known schema:
+    neither the other partitions nor any file footer is looked at. None if there are none."""
+    folders = [f"{path}/{part_col}={v}" for v in partition_values(spark, path, part_col) if int(v) in buckets]
     return spark.read.schema(schema).option("basePath", path).parquet(*folders) if folders else None
 
 
@@ -55,19 +63,19 @@ def dedupe_keys(df: DataFrame, key: list[str], order: list[str] | None = None) -
 def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[str],
                       order: list[str] | None = None, range_col: str | None = None,
                       partition_by: list[str] | None = None, bounds: tuple | None = None,
-                      unique: bool = False, buckets: list[int] | None = None, drop: tuple[str, ...] = ()) -> None:
+                      unique: bool = False, buckets: Collection[int] | None = None, drop: tuple[str, ...] = ()) -> None:
     """Insert rows whose key is not yet in the sink (ON CONFLICT DO
     NOTHING), de-duplicated within the batch. ``bounds`` = the (lo, hi) of
     ``range_col`` in the batch when the caller already knows it; ``unique``
     = the key is unique within the batch by construction (no dedupe shuffle);
-    ``buckets`` = the first and last value of the integer partition column that
+    ``buckets`` = the values of the integer partition column that
     the batch can collide with: only those partitions are read; ``drop`` =
     columns that order the duplicates and are not stored."""
     rows = (new if unique else dedupe_keys(new, key, order)).drop(*drop)
     if buckets is None:
         existing = read_if_exists(spark, path)
     else:
-        existing = read_buckets(spark, path, partition_by[0], *buckets, rows.schema)
+        existing = read_buckets(spark, path, partition_by[0], buckets, rows.schema)
     if existing is not None:
         have = existing.select(*key)
         if range_col is not None:
@@ -127,6 +135,21 @@ def to_json_view(df: DataFrame, col_name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(col_name))
 
 
+def compact(spark: SparkSession, path: str, part_col: str, files_at_most: int = 8, target_files: int = 1) -> list[str]:
+    """Rewrite the partitions of a sink that many small appends have left in more than ``files_at_most`` files, as
+    ``target_files`` each; rows and other partitions stay as they are. Returns the values rewritten. Run it while nothing
+    appends, like retention."""
+    many = []
+    for value in partition_values(spark, path, part_col):
+        hpath, fs = _hadoop_fs(spark, f"{path}/{part_col}={value}")
+        if sum(s.getPath().getName().startswith("part-") for s in fs.listStatus(hpath)) > files_at_most:
+            many.append(value)
+    for value in many:      # one partition a job: what is rewritten is bounded, and a crash loses none
+        rows = spark.read.parquet(path).where(F.col(part_col).cast("string") == unquote(value)).checkpoint(eager=True)
+        write_view(rows.repartition(target_files), path, [part_col])
+    return many
+
+
 def _hadoop_fs(spark: SparkSession, path: str):
     """The Hadoop FileSystem of ``path`` (works for local, HDFS and object-store
     paths); needs a classic session with a JVM."""
@@ -149,7 +172,6 @@ def drop_partitions(spark: SparkSession, path: str, part_col: str, values: list[
     """Delete the ``part_col=<value>`` folders for the given values (Spark
     escapes special characters in folder names; they are unescaped here). With ``below`` = (column, values) only
     those second-level partitions inside them are deleted."""
-    from urllib.parse import unquote
     hpath, fs = _hadoop_fs(spark, path)
     wanted, removed = set(values), []
     if not fs.exists(hpath):

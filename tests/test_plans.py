@@ -61,11 +61,11 @@ def test_sink_idempotency_check_reads_only_its_buckets(spark, tmp_path):
     path = str(tmp_path / "s")
     df = spark.createDataFrame([(b * 100, 1, b) for b in range(6)], "he_block bigint, tx_seq int, bucket bigint")
     df.write.partitionBy("bucket").parquet(path)
-    some = sinks.read_buckets(spark, path, "bucket", 2, 3, df.schema)
+    some = sinks.read_buckets(spark, path, "bucket", [2, 3], df.schema)
     assert {f.rsplit("/", 2)[-2] for f in some.inputFiles()} == {"bucket=2", "bucket=3"}
     assert sorted(r.he_block for r in some.collect()) == [200, 300]
-    assert sinks.read_buckets(spark, path, "bucket", 8, 9, df.schema) is None
-    assert sinks.read_buckets(spark, path + "-none", "bucket", 0, 9, df.schema) is None
+    assert sinks.read_buckets(spark, path, "bucket", range(8, 10), df.schema) is None
+    assert sinks.read_buckets(spark, path + "-none", "bucket", range(10), df.schema) is None
 
 
 def test_table_job_reads_only_refreshed_symbol_partitions(spark, tmp_path):
