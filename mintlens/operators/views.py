@@ -97,7 +97,9 @@ def nft_detail(holdings: DataFrame, collections: DataFrame, orders: DataFrame,
     h = holdings if keys is None else holdings.join(keys.select("symbol", "nft_id"), ["symbol", "nft_id"], "left_semi")
     fees = [c for c in ORDER_EXTRAS if c in orders.columns]
     o = orders.select("symbol", "nft_id", F.struct("price", "price_symbol", *fees, "account", "ts").alias("open_order"))
-    out = h.join(_coll_names(collections), "symbol", "left").join(o, ["symbol", "nft_id"], "left")
+    # the two fact tables first: stored in equal buckets of the key, they join where they lie
+    both = h.join(o, ["symbol", "nft_id"], "left").join(_coll_names(collections), "symbol", "left")
+    out = both.select(*h.columns, "collection_name", "open_order")
     if mappings is None:
         return out
     from .display import compile_rules, display_object
@@ -153,7 +155,7 @@ def _feed_filter(e: DataFrame, symbol: str | None, op: str | None) -> DataFrame:
     return e.where(F.col("op") == op) if op else e
 
 
-def _below(block: Column, seq: Column) -> Column:
+def below(block: Column, seq: Column) -> Column:
     """Strictly older than the cursor pair."""
     return (F.col("he_block") < block) | ((F.col("he_block") == block) & (F.col("tx_seq") < seq))
 
@@ -165,7 +167,7 @@ def account_activity(events: DataFrame, account: str, cursor: str | tuple[int, i
     _, n = page_params(0, limit)
     e = _feed_filter(events.where((F.col("account") == account) | (F.col("counterparty") == account)), symbol, op)
     if cursor:
-        e = e.where(_below(*(F.lit(x) for x in parse_activity_cursor(cursor))))
+        e = e.where(below(*(F.lit(x) for x in parse_activity_cursor(cursor))))
     return e.orderBy(F.col("he_block").desc(), F.col("tx_seq").desc()).limit(n)
 
 
@@ -180,22 +182,27 @@ def activity_feeds(events: DataFrame, limit: int = 100, cursors: DataFrame | Non
     limit before the shuffle and a final one after it -- a hot account
     costs n rows per map task, not its whole history."""
     _, n = page_params(0, limit)
-    e = _feed_filter(events.select(*ACTIVITY_COLS), symbol, op)
-    actor = e.where(F.col("account").isNotNull()).withColumn("viewer", F.col("account"))
-    cpty = e.where(F.col("counterparty").isNotNull() & ~F.col("counterparty").eqNullSafe(F.col("account"))) \
-            .withColumn("viewer", F.col("counterparty"))
-    rows = actor.unionByName(cpty)
+    rows = feed_rows(_feed_filter(events, symbol, op))
     if cursors is not None:
         part = lambda k: F.split_part("cursor", F.lit(":"), F.lit(k)).cast("bigint")
-        below = cursors.where(F.col("cursor").isNotNull()).groupBy("viewer").agg(
+        older = cursors.where(F.col("cursor").isNotNull()).groupBy("viewer").agg(
             F.min(F.struct(part(1).alias("_b"), part(2).alias("_s"))).alias("_c")).select("viewer", "_c.*")
-        rows = rows.join(below, "viewer").where(_below(F.col("_b"), F.col("_s"))).drop("_b", "_s")
+        rows = rows.join(older, "viewer").where(below(F.col("_b"), F.col("_s"))).drop("_b", "_s")
     w = Window.partitionBy("viewer").orderBy(F.col("he_block").desc(), F.col("tx_seq").desc())
     ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     # the cursor of a full page's last row is that viewer's next cursor
     return ranked.withColumn("next_cursor", F.when(F.col("rank") == n, activity_cursor("he_block", "tx_seq")))
 
 
+def feed_rows(events: DataFrame) -> DataFrame:
+    """Every event once for each of its viewers: its actor, and its counterparty if that is somebody else."""
+    e = events.select(*ACTIVITY_COLS)
+    actor = e.where(F.col("account").isNotNull()).withColumn("viewer", F.col("account"))
+    cpty = e.where(F.col("counterparty").isNotNull() & ~F.col("counterparty").eqNullSafe(F.col("account"))) \
+            .withColumn("viewer", F.col("counterparty"))
+    return actor.unionByName(cpty)
+
+
 def activity_coverage(events: DataFrame, backfill_cursor: int | None = None, backfill_target: int | None = None,
                       window_days: int = 30) -> DataFrame:
     """Oldest captured event, the advisory window, the backfill cursor (from the progress rows, see

@@ -10,6 +10,6 @@ the same alias on both sides.
 from .common import ORACLE, QUERIES, comparable, register
 
 # registration order matters: later modules reuse oracles registered earlier
-from . import market, parsing, snapshots, open_work, display_rules, read_views, capture, landed, survey_named, keys  # noqa: E402,F401,I001
+from . import market, parsing, snapshots, open_work, display_rules, read_views, capture, landed, survey_named, keys, kept  # noqa: E402,F401,I001
 
 __all__ = ["ORACLE", "QUERIES", "comparable", "register"]

@@ -10,7 +10,7 @@ parquet scan as pushed filters), so the join does not grow with the sink.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -63,14 +63,16 @@ def dedupe_keys(df: DataFrame, key: list[str], order: list[str] | None = None) -
 def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[str],
                       order: list[str] | None = None, range_col: str | None = None,
                       partition_by: list[str] | None = None, bounds: tuple | None = None,
-                      unique: bool = False, buckets: Collection[int] | None = None, drop: tuple[str, ...] = ()) -> None:
+                      unique: bool = False, buckets: Collection[int] | None = None, drop: tuple[str, ...] = (),
+                      arrange: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Insert rows whose key is not yet in the sink (ON CONFLICT DO
     NOTHING), de-duplicated within the batch. ``bounds`` = the (lo, hi) of
     ``range_col`` in the batch when the caller already knows it; ``unique``
     = the key is unique within the batch by construction (no dedupe shuffle);
     ``buckets`` = the values of the integer partition column that
     the batch can collide with: only those partitions are read; ``drop`` =
-    columns that order the duplicates and are not stored."""
+    columns that order the duplicates and are not stored; ``arrange`` = how the
+    rows that are left are partitioned and sorted for writing."""
     rows = (new if unique else dedupe_keys(new, key, order)).drop(*drop)
     if buckets is None:
         existing = read_if_exists(spark, path)
@@ -84,7 +86,7 @@ def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[
                 return
             have = have.where(F.col(range_col).between(lo, hi))
         rows = rows.join(have, key, "left_anti")
-    w = rows.write.mode("append")
+    w = (rows if arrange is None else arrange(rows)).write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
