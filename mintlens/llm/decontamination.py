@@ -140,6 +140,10 @@ class Items:
                       np.array([self.weight[h] for h in have], np.float32))
         self.counts = [Counter(s.tolist()) for s in self.shingles]
         self.total = [sum(self.weight[h] * n for h, n in c.items()) for c in self.counts]
+        self.postings: dict[int, list[int]] = {}
+        for k, c in enumerate(self.counts):
+            for h in c:
+                self.postings.setdefault(h, []).append(k)
         # the sizes of classes are 4 .. 8 times a power of two
         self.classes: dict[int, list[int]] = {}
         for k, s in enumerate(self.shingles):
@@ -194,6 +198,30 @@ class Items:
                 best = max(best, (self.similarity(k, doc[a:a + n].tolist()), -a))
         return best[0], -best[1]
 
+    def short_matches(self, hashes: np.ndarray, base: np.ndarray, count: np.ndarray, known: np.ndarray, similarity: float):
+        """(text, item) where the text has fewer shingles than a window of the item's class and may be similar. Such a text lacks
+        whole shingles of the item, light ones perhaps, so fingerprints, which know no weights, do not bound it: the
+        weight that it has in common with each item is added up instead. Texts whose known shingles together weigh too little for
+        any larger item are passed over."""
+        size_of = np.zeros(len(self.ids), np.int64)
+        for size, members in self.classes.items():
+            size_of[members] = size
+        need = similarity * np.array(self.total) * 0.9999
+        order = np.argsort(size_of)
+        sizes, least = size_of[order], np.minimum.accumulate(need[order][::-1])[::-1]     # of the items from here on
+        at = np.searchsorted(sizes, count, side="right")        # the first item of a larger class
+        whole = known[base + count] - known[base]
+        larger = at < len(order)
+        some = np.nonzero(larger & (count > 0) & (whole >= least[np.minimum(at, len(order) - 1)]))[0] if len(order) else []
+        for d in some:
+            common: dict[int, float] = {}
+            for h, n in Counter(hashes[base[d]:base[d] + count[d]].tolist()).items():
+                for k in self.postings.get(h, ()):
+                    common[k] = common.get(k, 0.0) + self.weight[h] * min(n, self.counts[k][h])
+            for k, w in common.items():
+                if size_of[k] > count[d] and w >= need[k]:
+                    yield int(d), k
+
     def matches(self, texts: list[bytes], similarity: float) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window of each text and item."""
         hashes, count = shingles(texts)
@@ -205,8 +233,8 @@ class Items:
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for size in self.tables:
             step = max(1, size // 8)
-            # windows of a text: step apart, and one that ends with the text; a shorter text is one window
-            windows = np.where(count >= size, -(-(count - size) // step) + 1, (count >= 0.7 * size) & (count > 0))
+            # windows of a text: step apart, and one that ends with the text
+            windows = np.where(count >= size, -(-(count - size) // step) + 1, 0)
             text = np.repeat(np.arange(len(texts)), windows)
             nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
             start = np.minimum(nth * step, np.maximum(count[text] - size, 0))
@@ -221,6 +249,8 @@ class Items:
                 near = around >= 0.9999 * similarity * self.total[k]
                 for d, a, b in zip(t[near].tolist(), lo[near].tolist(), hi[near].tolist()):
                     spans.setdefault((d, k), []).append((a, b))
+        for d, k in self.short_matches(hashes, base, count, known, similarity):
+            spans.setdefault((d, k), []).append((0, 0))
         out = []
         for (d, k), some in sorted(spans.items()):
             doc = hashes[base[d]:base[d] + count[d]]

@@ -3,7 +3,7 @@
 The network reads a text's UTF-8 bytes in segments, forwards and backwards, and gives every byte
 position a distribution over the learned languages; a document's probabilities are the mean over
 all its positions. It is trained here, in numpy, by backpropagation through time with Adam, on a
-bounded sample of labelled documents (``DOCS_A_LANG`` for each of at most ``MAX_LANGS`` languages,
+bounded sample of labelled documents (``DOCS_A_LANG`` rows for each labelled language, however many there are,
 ``SEGMENTS_A_DOC`` segments of each, spread over the whole text). The weights (about 60 KB) travel with
 the task. Prediction covers every byte of every text.
 
@@ -25,7 +25,6 @@ HIDDEN = 8
 SEGMENT = 96            # bytes read with one state
 DOCS_A_LANG = 240       # training sample
 SEGMENTS_A_DOC = 6
-MAX_LANGS = 64
 EPOCHS = 10
 BATCH = 256
 POSITIONS = 1 << 19     # bytes predicted at once
@@ -178,26 +177,25 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
           lang_col: str = "lang") -> Network | None:
     """A network trained on a bounded sample of the labelled documents for which ``may_learn`` holds."""
     named = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = named.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.octet_length(text_col).alias("n"))
-    langs = sorted(r["y"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LANGS).collect())
-    if not langs:
-        return None
-    first = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", "n")
-    picked = rows.where(F.col("y").isin(langs)).withColumn("k", F.row_number().over(first)).where(
-        F.col("k") <= DOCS_A_LANG).select(F.col("i").alias("__i"), F.col("y").alias("__y")).distinct()
-    raw = F.encode(F.col("text"), "utf-8")
-    gap = F.greatest(F.lit(1), F.floor((F.octet_length("text") - SEGMENT) / (SEGMENTS_A_DOC - 1)))
+    raw = F.encode(F.col(text_col), "utf-8")
+    gap = F.greatest(F.lit(1), F.floor((F.octet_length(text_col) - SEGMENT) / (SEGMENTS_A_DOC - 1)))
     cuts = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS_A_DOC - 1)),
                        lambda k: F.substring(raw, (k * gap + 1).cast("int"), F.lit(SEGMENT)))
-    texts = named.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(picked), (F.col("i").eqNullSafe(F.col("__i"))) & (F.col("y") == F.col("__y"))).select(
-        "i", "y", F.explode(F.array_distinct(cuts)).alias("s"))     # picked: DOCS_A_LANG x MAX_LANGS rows at most
-    segments = sorted((r["y"], bytes(r["s"])) for r in sample.limit(2 * DOCS_A_LANG * MAX_LANGS * SEGMENTS_A_DOC).collect())
+    # only the segments travel; a task hands over DOCS_A_LANG rows a language at most (a group limit before the shuffle)
+    rows = named.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.octet_length(text_col).alias("n"),
+                        F.array_distinct(cuts).alias("cuts"))
+    first = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", "n", F.xxhash64("cuts"))
+    picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= DOCS_A_LANG)
+    segments = sorted((r["y"], bytes(r["s"])) for r in picked.select("y", F.explode("cuts").alias("s")).collect())
+    langs = sorted({y for y, _ in segments})
+    if not langs:
+        return None
     x = np.full((len(segments), SEGMENT), PAD, np.intp)
     for k, (_, s) in enumerate(segments):
         x[k, :len(s)] = np.frombuffer(s, np.uint8)
     net = Network(langs)
-    net.train(x, np.array([langs.index(y) for y, _ in segments]))
+    number = {y: k for k, y in enumerate(langs)}
+    net.train(x, np.array([number[y] for y, _ in segments]))
     return net
 
 

@@ -55,6 +55,13 @@ class Ragged:
         return self.flat[np.arange(int(count.sum())) + np.repeat(self.start[which] - into, count)], count
 
 
+def _strings(chunks: pa.Array) -> list[str]:
+    try:
+        return chunks.cast(pa.string()).to_pylist()
+    except pa.ArrowInvalid:      # not UTF-8
+        return [c.decode("utf-8", "replace") for c in chunks.to_pylist()]
+
+
 class PieceMemo:
     """``encode_pieces`` maps a list of distinct pattern matches to (flat ids, ids of each).
 
@@ -94,23 +101,27 @@ class PieceMemo:
         flat, count = self.piece_ids.take(place.astype(np.int64)[matches.indices.to_numpy()])
         return flat, np.diff(np.concatenate([[0], np.cumsum(count)])[ends], prepend=0)
 
-    def _add(self, chunks: pa.Array, lead: str) -> np.ndarray:
-        """Ids of the chunks, after ``lead``, go into ``self.chunks``; returns their indexes there (-1: no cut after this one)."""
-        texts = [c.decode("utf-8", "replace") for c in chunks.to_pylist()]
+    def _add(self, tails: pa.Array, heads: pa.Array) -> np.ndarray:
+        """Ids of the chunks (tails follow a space, heads begin a text) go into ``self.chunks``; returns their indexes there
+        (-1: no cut after this one), tails first."""
+        texts = [" " + c for c in _strings(tails)]
+        first_head = len(texts)
+        texts += _strings(heads)
         into = np.full(len(texts), -1, np.int64)
         white = WHITE
-        many = [k for k, c in enumerate(texts) if c and c[-1] not in white and c[0] not in white and SEPARATOR not in c]
+        many = [k for k, c in enumerate(texts) if len(c) > (k < first_head) and c[-1] not in white
+                and c[k < first_head] not in white and SEPARATOR not in c]
         if many:
             some = texts if len(many) == len(texts) else [texts[k] for k in many]
-            found = self.findall(lead + (SEPARATOR + lead).join(some))
+            found = self.findall(SEPARATOR.join(some))
             # a chunk ends with the match that ends with its last character
-            chars = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + len(lead) + 1) - 1
+            chars = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
             ends = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), chars) + 1
             at = self.chunks.extend(*self._ids(found, ends))
             into[many] = np.arange(at, at + len(many))
         if len(many) < len(texts):
-            rest = [k for k, c in enumerate(texts) if into[k] < 0 and c and c[-1] not in white]
-            into[rest] = self._add_apart([lead + texts[k] for k in rest])
+            rest = [k for k, c in enumerate(texts) if into[k] < 0 and len(c) > (k < first_head) and c[-1] not in white]
+            into[rest] = self._add_apart([texts[k] for k in rest])
         return into
 
     def _add_apart(self, texts: list[str]) -> np.ndarray:
@@ -128,7 +139,8 @@ class PieceMemo:
         """(ids of all texts in a row, number of ids of each); null is an empty text."""
         if len(self.pieces) > self.piece_limit:
             self._forget_pieces()
-        if len(self.known) > self.chunk_limit:
+        # chunks that begin a text lie among the ids as well, though they are not looked up again
+        if len(self.known) > self.chunk_limit or self.chunks.used > 8 * self.chunk_limit:
             self._forget_chunks()
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
@@ -140,15 +152,17 @@ class PieceMemo:
         tails = cut.values.filter(pa.array(~head)).dictionary_encode()
         place = pc.index_in(tails.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)
         new = np.isnan(place)
-        if new.any():
-            chunks = tails.dictionary.filter(pa.array(new))
-            self.place = np.concatenate([self.place, self._add(chunks, " ")])
+        chunks = tails.dictionary.filter(pa.array(new))
+        kept = self.chunks.n, self.chunks.used      # until the chunks of this call are known
+        into = self._add(chunks, cut.values.filter(pa.array(head)))
+        if len(chunks):
+            self.place = np.concatenate([self.place, into[:len(chunks)]])
             place[new] = np.arange(len(self.known), len(self.known) + len(chunks))
             self.known = pa.concat_arrays([self.known, chunks])
+            kept = self.chunks.n, self.chunks.used
         which = np.empty(len(head), np.int64)
         which[~head] = self.place[place.astype(np.int64)][tails.indices.to_numpy()]
-        kept = self.chunks.n, self.chunks.used      # what follows is of this call only
-        which[head] = self._add(cut.values.filter(pa.array(head)), "")
+        which[head] = into[len(chunks):]
         uncut = np.unique(np.searchsorted(starts, np.nonzero(which < 0)[0], side="right") - 1).tolist()
         for k, at in zip(uncut, self._add_apart([raw[k].as_py().decode("utf-8", "replace") for k in uncut])):
             which[starts[k]:starts[k + 1]] = 0

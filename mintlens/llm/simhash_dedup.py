@@ -34,7 +34,7 @@ from .common import map_arrow, materialize
 from .components import connected_components
 
 MEET_ABOVE = 256      # candidates of one fingerprint from which matching half way is cheaper
-TWO_GROUPS_FROM = 1 << 22   # distinct fingerprints from which two wide groups beat three
+GROUPINGS = (2, 3)    # numbers of bit groups that are tried
 _BLOCK = 1 << 17      # shingles handled at once
 
 
@@ -142,19 +142,13 @@ def _flips(bits: list[int], radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in some)) for k in range(radius + 1) for some in itertools.combinations(bits, k)]
 
 
-def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b) links between distinct fingerprints ``nodes.fp``: all those within ``max_bits``
-    where one side is probed, and for the others enough to join everything within ``max_bits``."""
-    if max_bits != 2:
-        raise ValueError("matching half way is written for max_bits = 2")
-    m = 3 if nodes.count() < TWO_GROUPS_FROM else 2
-    groups = group_bits(bit_correlations(nodes), m)
+def _plan(nodes: DataFrame, groups: list[list[int]], max_bits: int):
+    """(groups, masks, index, counts, thresholds, cost a fingerprint) of one grouping, from the counts of its values."""
     masks = [_signed(sum(1 << b for b in g)) for g in groups]
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(k)).alias("key"))
                      for i, k in enumerate(masks)])
     index = nodes.select("fp", F.inline(keys))
     counts = materialize(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")), "simhash-counts")
-
     # what a probe of part i meets on average, over values that are probed at all
     small = F.col("n") <= MEET_ABOVE
     stat = {r["part"]: r for r in counts.groupBy("part").agg(
@@ -165,6 +159,19 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
         met = float(stat[i]["pairs"]) / max(1, stat[i]["all"]) if i in stat else 0.0
         costs.append([0.0] + [len(_flips(bits, t)) * (1.0 + met) for t in range(max_bits + 1)])
     chosen = allocate(costs, max_bits)
+    return groups, masks, index, counts, chosen, sum(c[t + 1] for c, t in zip(costs, chosen))
+
+
+def links(nodes: DataFrame, max_bits: int = 2, groupings: tuple[int, ...] = GROUPINGS) -> DataFrame:
+    """(a, b) links between distinct fingerprints ``nodes.fp``: all those within ``max_bits``
+    where one side is probed, and for the others enough to join everything within ``max_bits``. Of the ``groupings``
+    (numbers of bit groups) the one whose counted probes and candidates cost least is used."""
+    if max_bits != 2:
+        raise ValueError("matching half way is written for max_bits = 2")
+    corr = bit_correlations(nodes)
+    plans = [_plan(nodes, group_bits(corr, m), max_bits) for m in groupings]
+    groups, masks, index, counts, chosen, _ = min(plans, key=lambda p: p[-1])
+    small = F.col("n") <= MEET_ABOVE
 
     probes = F.array(*[
         F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(masks[i])).bitwiseXOR(F.lit(flip)).alias("key"))

@@ -143,3 +143,19 @@ def test_similarity_does_not_depend_on_the_passes(spark, monkeypatch):
         monkeypatch.setattr(D, "ITEMS_A_PASS", most)
         got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in D.find_leaks(*frames).collect()}
         assert got == plain(docs, items) and len(got) >= 24
+
+
+def test_texts_shorter_than_an_item(spark):
+    """Items that share boilerplate; texts that hold their own words only, or most of them: similar by weight, however much shorter."""
+    rng = random.Random(4)
+    shared = words(rng, 40)
+    items = [(k, words(rng, rng.choice([25, 40, 60])) + " " + shared) for k in range(60)] + [(99, words(rng, 7))]
+    docs = []
+    for k, t in items[:60]:
+        own = t.split()[:-40]
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[rng.randint(0, 3):]))]
+    docs += [(900, shared), (901, " ".join(items[60][1].split()[:6])), (902, None), (903, "one"), (904, " ".join(items[60][1].split()[:5]))]
+    found = D.find_leaks(frame(spark, [(i, t, None) for i, t in docs]), spark.createDataFrame(items, "item_id long, text string"), 0.8)
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found.collect()}
+    want = plain(docs, items)
+    assert got == want and len(want) > 30 and min(want.values()) < 0.85

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mintlens.llm import language_id as L
 
@@ -81,3 +82,43 @@ def test_no_labels_and_empty_table(spark):
     net = L.train(docs, ~L.held_out())
     assert net is None and {r.lang_pred for r in L.predict(docs, net).collect()} == {"und"}
     assert L.predict(spark.createDataFrame([], DOCS), None).collect() == []
+
+
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    """However many there are; one id may stand for many rows without widening the sample."""
+    monkeypatch.setattr(L, "EPOCHS", 1)
+    monkeypatch.setattr(L, "DOCS_A_LANG", 2)
+    seen = []
+    monkeypatch.setattr(L.Network, "train", lambda self, x, y, **_: seen.append((len(x), len(set(y.tolist())))))
+    data_ = [(k % 2, f"text number {k} of language", f"l{k % 70}") for k in range(700)]
+    net = L.train(frame(spark, data_, clash=True), F.lit(True))
+    assert len(net.langs) == 70 and seen == [(140, 70)]
+
+
+def plain_probabilities(net, text):
+    """One position after the other, straight from the gates' definitions."""
+    def states(d, order):
+        h, w, u = d.h, d.params["w"].astype(float), d.params["u"].astype(float)
+        s, out = np.zeros(h), {}
+        for t in order:
+            a = w[:, text[t]]
+            z = 1 / (1 + np.exp(-(a[:h] + u[:h] @ s)))
+            r = 1 / (1 + np.exp(-(a[h:2 * h] + u[h:2 * h] @ s)))
+            n = np.tanh(a[2 * h:] + r * (u[2 * h:] @ s))
+            s = out[t] = z * s + (1 - z) * n
+        return out
+    total = 0
+    for lo in range(0, len(text), L.SEGMENT):
+        places = range(lo, min(lo + L.SEGMENT, len(text)))
+        ahead, behind = states(net.forward, places), states(net.backward, reversed(places))
+        for t in places:
+            e = np.exp(net.out["v"].astype(float) @ np.concatenate([ahead[t], behind[t]]) + net.out["b"][:, 0])
+            total = total + e / e.sum()
+    return total / len(text)
+
+
+def test_pooled_probabilities_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    net = L.Network(["a", "b", "c"], seed=5)
+    texts = [bytes(rng.integers(1, 256, n).tolist()) for n in (1, 7, L.SEGMENT, L.SEGMENT + 1, 250)]
+    assert np.allclose(net.pool(texts), [plain_probabilities(net, t) for t in texts], atol=1e-4)

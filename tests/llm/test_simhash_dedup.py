@@ -52,9 +52,9 @@ def test_empty_table(spark):
     assert S.keep_one(spark.createDataFrame([], DOCS)).collect() == []
 
 
-@pytest.mark.parametrize("meet_above", [1, 8, 256])
-def test_dense_heap_loses_no_link(spark, monkeypatch, meet_above):
-    """A heap of near copies (all in one ball) and scattered ones, whichever way each is matched."""
+@pytest.mark.parametrize("meet_above,groupings", [(1, (2, 3)), (8, (3,)), (8, (2,)), (256, (3,)), (256, (2,))])
+def test_dense_heap_loses_no_link(spark, monkeypatch, meet_above, groupings):
+    """A heap of near copies (all in one ball) and scattered ones, whichever way each is matched, with either number of groups."""
     monkeypatch.setattr(S, "MEET_ABOVE", meet_above)
     rng = np.random.default_rng(4)
     centre = int(rng.integers(0, 2**63))
@@ -66,7 +66,7 @@ def test_dense_heap_loses_no_link(spark, monkeypatch, meet_above):
         heap.add(x)
     heap |= {int(x) for x in rng.integers(0, 2**63, 100)}
     signed = [x - 2**64 if x >= 2**63 else x for x in sorted(heap)]
-    links = S.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"))
+    links = S.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), groupings=groupings)
     got = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
     of = plain_classes([x % 2**64 for x in signed])
     same = {}
