@@ -250,7 +250,7 @@ class Items:
                 for d, a, b in zip(t[near].tolist(), lo[near].tolist(), hi[near].tolist()):
                     spans.setdefault((d, k), []).append((a, b))
         for d, k in self.short_matches(hashes, base, count, known, similarity):
-            spans.setdefault((d, k), []).append((0, 0))
+            spans.setdefault((d, k), []).append((0, int(count[d])))
         out = []
         for (d, k), some in sorted(spans.items()):
             doc = hashes[base[d]:base[d] + count[d]]

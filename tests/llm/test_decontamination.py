@@ -155,7 +155,9 @@ def test_texts_shorter_than_an_item(spark):
         own = t.split()[:-40]
         docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[rng.randint(0, 3):]))]
     docs += [(900, shared), (901, " ".join(items[60][1].split()[:6])), (902, None), (903, "one"), (904, " ".join(items[60][1].split()[:5]))]
+    items.append((98, words(rng, 42)))       # of the class of 40 shingles, with 38: a text may be longer and yet below the class
+    docs += [(910, "zq " + items[61][1]), (911, "zq " + items[61][1].rsplit(" ", 1)[0])]
     found = D.find_leaks(frame(spark, [(i, t, None) for i, t in docs]), spark.createDataFrame(items, "item_id long, text string"), 0.8)
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found.collect()}
     want = plain(docs, items)
-    assert got == want and len(want) > 30 and min(want.values()) < 0.85
+    assert got == want and want[910, 98] == 1.0 and len(want) > 30 and min(want.values()) < 0.85
