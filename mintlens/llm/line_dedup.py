@@ -11,7 +11,8 @@ texts is one partial row a task in the grouping, and one row on the narrow side
 Defined cases: null text stays null; texts with fewer than three lines with a word have no window
 and stay as they are; lines without a word are never windowed and never removed; a text that loses
 all its lines becomes empty (its blank lines stay); rows with equal id are taken for the same
-place, so repeated rows keep equal lines; a null id sorts before all others.
+place, so repeated rows keep equal lines; a null id sorts before all others; other columns may have any names,
+those of the helper columns included.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize, quoted
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -40,8 +41,8 @@ def _text_key(text: Column) -> Column:
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, t, p, h1, h2): every window of every text; ``p`` counts the lines with a word."""
-    filled = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("t"),
-                         F.filter(_lines(F.col(text_col)), lambda x: x.rlike(WORD)).alias("l"))
+    filled = docs.select(quoted(id_col).alias("doc_id"), _text_key(quoted(text_col)).alias("t"),
+                         F.filter(_lines(quoted(text_col)), lambda x: x.rlike(WORD)).alias("l"))
     three = F.transform(F.sequence(F.lit(0), F.size("l") - 3), lambda i: F.struct(
         F.xxhash64(F.col("l")[i], F.col("l")[i + 1], F.col("l")[i + 2]).alias("h1"),
         F.xxhash64(F.lit(1), F.col("l")[i], F.col("l")[i + 1], F.col("l")[i + 2]).alias("h2")))
@@ -60,33 +61,37 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``; ``text_col`` loses the covered lines. Adds ``__n_lines`` (lines
-    with a word) and ``__n_removed``."""
-    covered = later_windows(docs, id_col, text_col).groupBy("doc_id", "t").agg(F.collect_set("p").alias("__p"))
-    covered = covered.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "__p")
-    text = F.col(text_col)
-    rows = docs.withColumn("__k", _text_key(text))
-    joined = rows.join(covered, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__t")), "left")
-    lines, at = F.col("__l"), F.col("__at")
-    gone = F.flatten(F.transform("__p", lambda p: F.array(at[p], at[p + 1], at[p + 2])))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    kept = F.when(F.col("__p").isNull(), F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(stay)
-    out = (joined.withColumn("__l", _lines(text)).withColumn("__at", _places(lines)).withColumn("__stay", kept)
-           .withColumn("__n_lines", F.coalesce(F.size(at), F.lit(0)).cast("long"))
-           .withColumn("__n_removed", F.coalesce(F.size(lines) - F.size("__stay"), F.lit(0)).cast("long"))
-           .withColumn(text_col, F.when(F.col("__p").isNull(), text).otherwise(
-               F.array_join(F.transform("__stay", lambda i: lines[i]), "\n"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
+    with a word) and ``__n_removed`` as the last two columns; if ``docs`` has such a column, the new one gets a
+    further ``_`` in front."""
+    n_lines, n_removed, own, t, p, key, ls, at, stay = free_names(
+        docs, "__n_lines", "__n_removed", "__id", "__t", "__p", "__k", "__l", "__at", "__stay")
+    covered = later_windows(docs, id_col, text_col).groupBy("doc_id", "t").agg(F.collect_set("p").alias(p))
+    covered = covered.select(F.col("doc_id").alias(own), F.col("t").alias(t), p)
+    text, lines, places = quoted(text_col), F.col(ls), F.col(at)
+    rows = docs.withColumn(key, _text_key(text))
+    joined = rows.join(covered, quoted(id_col).eqNullSafe(F.col(own)) & (F.col(key) == F.col(t)), "left")
+    gone = F.flatten(F.transform(p, lambda w: F.array(places[w], places[w + 1], places[w + 2])))
+    whole = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.when(F.col(p).isNull(), whole).otherwise(F.array_except(whole, gone))
+    out = (joined.withColumn(ls, _lines(text)).withColumn(at, _places(lines)).withColumn(stay, kept)
+           .withColumn(n_lines, F.coalesce(F.size(places), F.lit(0)).cast("long"))
+           .withColumn(n_removed, F.coalesce(F.size(lines) - F.size(stay), F.lit(0)).cast("long"))
+           .withColumn(text_col, F.when(F.col(p).isNull(), text).otherwise(
+               F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))))
+    return out.select(*[quoted(c) for c in docs.columns], n_lines, n_removed)
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the covered lines removed and ``chars_col`` counted anew where it changed; a document
     all of whose lines with a word are gone goes as a whole."""
-    out = remove_lines(docs, id_col, text_col).where("__n_removed = 0 or __n_removed < __n_lines")
+    out = remove_lines(docs, id_col, text_col)
+    n_lines, n_removed = (F.col(c) for c in out.columns[-2:])
+    out = out.where((n_removed == 0) | (n_removed < n_lines))
     if chars_col and chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("__n_removed") > 0, F.length(text_col).cast(
-            docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.drop("__n_lines", "__n_removed")
+        out = out.withColumn(chars_col, F.when(n_removed > 0, F.length(quoted(text_col)).cast(
+            docs.schema[chars_col].dataType)).otherwise(quoted(chars_col)))
+    return out.select(*[quoted(c) for c in docs.columns])
 
 
 ORACLE = r"""

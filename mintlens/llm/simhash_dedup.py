@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import free_names, map_arrow, materialize, quoted
 from .components import connected_components
 
 MEET_ABOVE = 256      # candidates of one fingerprint from which matching half way is cheaper
@@ -212,14 +212,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row of each class of ``docs``: that with the least id (of rows that repeat it, the one with the
     least text). Rows with a null id can't be told apart and all stay."""
+    own, nth = free_names(docs, "__id", "__n")
+    this = quoted(id_col)
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits).where(F.col("doc_id").isNotNull())
     named = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    named = materialize(named.where("n > 1 or not first").withColumnRenamed("doc_id", "__id"), "simhash-extra")
-    left = docs.join(named.where("not first"), docs[id_col] == F.col("__id"), "left_anti")
-    again = named.where("first").select("__id")
+    named = materialize(named.where("n > 1 or not first"), "simhash-extra").select(F.col("doc_id").alias(own), "n", "first")
+    gone, again = named.where("not first").select(own), named.where("first").select(own)
+    left = docs.join(gone, this == F.col(own), "left_anti")
     if again.isEmpty():
         return left
-    rest = left.join(again, left[id_col] == F.col("__id"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    one = left.join(again, left[id_col] == F.col("__id"), "left_semi").withColumn("__n", nth).where("__n = 1").drop("__n")
+    rest = left.join(again, this == F.col(own), "left_anti")
+    one = left.join(again, this == F.col(own), "left_semi").withColumn(
+        nth, F.row_number().over(Window.partitionBy(this).orderBy(quoted(text_col)))).where(F.col(nth) == 1).drop(nth)
     return rest.unionByName(one)

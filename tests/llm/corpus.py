@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -43,3 +44,22 @@ def frame(spark, data=None, clash: bool = False):
         for name in ("fp", "t", "p", "h1", "shard", "size", "n", "slot", "score", "ids", "k", "part", "rule", "item_id", "component"):
             df = df.selectExpr("*", f"'x' as `{name}`")
     return df
+
+
+#: Names that operators give their own helper columns, which documents may have as well.
+HELPERS = ["__n_lines", "__n_removed", "__id", "__t", "__p", "__k", "__l", "__at", "__stay", "__n", "__shard", "__key", "__row", "key",
+           "row", "doc_id_", "a.b", "with `ticks`", "First", "h2", "g", "cell", "piece", "own", "item", "ones", "word", "payload", "sha1"]
+
+
+def clashing(df):
+    """``df`` with a column of each of HELPERS that tells its row."""
+    return df.select("*", *[F.concat_ws("/", F.lit(str(k)), F.col("doc_id"), F.col("text")).alias(x) for k, x in enumerate(HELPERS)])
+
+
+def own_columns(rows, text=True):
+    """Each row's values of HELPERS; all must tell the same (id, text) as when they were made."""
+    for r in rows:
+        told = {r[x].split("/", 1)[1] for x in HELPERS}
+        assert len(told) == 1
+        if text:
+            assert told == {"/".join(str(x) for x in (r["doc_id"], r["text"]) if x is not None)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mintlens.llm import line_dedup as L
 
-from .corpus import DOCS, frame, lines, rows
+from .corpus import DOCS, HELPERS, clashing, frame, lines, own_columns, rows
 
 
 def plain(data):
@@ -72,3 +72,18 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert L.remove_lines(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_columns_named_like_the_helpers(spark):
+    data = awkward()
+    docs = clashing(frame(spark, [(i, t, "en") for i, t in data]))
+    out = L.remove_lines(docs)
+    assert out.columns == [*docs.columns, "___n_lines", "___n_removed"]
+    got = out.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(plain(data), key=str)
+    own_columns(got, text=False)
+    kept = L.dedup_documents(docs.withColumn("n_chars", F.length("text")))
+    assert kept.columns == [*docs.columns, "n_chars"] and set(HELPERS) <= set(kept.columns)
+    own_columns(kept.collect(), text=False)
+    plainly = L.dedup_documents(docs.select("doc_id", "text", "lang"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((r.doc_id, r.text) for r in plainly.collect()), key=str)

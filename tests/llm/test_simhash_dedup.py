@@ -5,7 +5,7 @@ import xxhash
 from mintlens.llm import simhash_dedup as S
 from mintlens.llm.components import connected_components
 
-from .corpus import DOCS, frame, rows
+from .corpus import DOCS, clashing, frame, own_columns, rows
 
 
 def plain_fingerprint(text):
@@ -101,6 +101,16 @@ def test_keep_one_of_each_class(spark):
     assert named - {None} == set(ids)
 
 
+def test_keep_one_leaves_columns_named_like_the_helpers(spark):
+    docs = clashing(frame(spark))
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    own_columns(rows)
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(
+        ((r.doc_id, r.text) for r in S.keep_one(frame(spark)).collect()), key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 1000), (500, 400), (400, 500), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
