@@ -25,11 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_code
+from .common import free_names, materialize, quoted, ship_code
 
 GROUPS_A_CELL = 8192
 ROW_BYTES = 16
 PIECES_A_SHARE = 8
+SALTS = 64                      # keys over which the rows of one text are spread in joins
 WEIGHTS = (10.0, 1.0, 0.02)     # of bytes, tokens and rows in the dot product: bytes lead
 
 
@@ -51,9 +52,9 @@ def place(vectors: np.ndarray, shards: int, first: int = 0, weights: tuple[float
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, tokens, g): what the packing needs of each row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(quoted(text_col), F.lit(""))
     return docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
+        quoted(id_col).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
         F.xxhash64(text).alias("g"))
 
@@ -71,7 +72,10 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     large = groups.where(share > 0.5).select(*group, F.least(F.ceil(share * PIECES_A_SHARE), F.col("n")).alias("pieces"))
     piece = F.pmod(F.xxhash64("doc_id", "g"), F.coalesce("pieces", F.lit(1)))
     unit = [*group, "piece"]
-    dealt = rows.join(large, group, "left").withColumn("piece", piece).drop("pieces").withColumn(
+    # the rows of a large group meet their number of pieces under as many keys as there are salts
+    salt = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    dealt = rows.withColumn("salt", salt).join(large, [*group, "salt"], "left").withColumn("piece", piece).drop("pieces", "salt").withColumn(
         "cell", F.pmod(F.xxhash64(*unit), F.lit(cells)))
     dealt = materialize(dealt, "shard-dealt")
     units = dealt.groupBy("cell", *unit).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
@@ -92,7 +96,16 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         "doc_id", "size", "tokens", "text_crc32", "shard", (F.col("before") + F.col("inside")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, out: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` below ``out``, one folder a shard (ids must be unique to tell the rows apart)."""
-    where = assign(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("shard").alias("__shard"))
-    docs.join(where, id_col).write.partitionBy("__shard").parquet(out)
+def write_shards(docs: DataFrame, out: str, shards: int = 40, text_col: str = "text", shard_col: str = "shard") -> str:
+    """Writes every row of ``docs`` with all its columns below ``out``, one folder a shard; returns the name of the
+    partition column, which is ``shard_col`` with as many ``_`` in front as make it differ from the others. Rows are
+    told apart by numbers of their own, so ids may be null or repeated; which shard a row gets depends on
+    how ``docs`` is partitioned."""
+    name, = free_names(docs, shard_col)
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key"))
+    packed = materialize(packed, "shard-write")
+    texts = packed.select("key", F.col("row").getField(text_col).alias("text"))
+    where = assign(texts, shards, "key", "text").select(F.col("doc_id").alias("key"), F.col("shard").alias("shard"))
+    rows = packed.join(where, "key").select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("shard").alias(name))
+    rows.write.partitionBy(name).parquet(out)
+    return name
