@@ -13,7 +13,8 @@ names the page with the smallest id, whose record is the ``response``.
 
 Defined cases: a null payload is empty; a null url writes no target; rows with a null id are
 responses of their own unless a page with an id has the same payload; repeated rows of the smallest id are all
-responses; control characters in urls are percent-encoded; an empty table writes no archive.
+responses; control characters in urls, and all but letters, digits and _.-~ in ids, are percent-encoded; an empty
+table writes no archive.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -32,9 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, quoted
 
-FILE_BYTES = 16 << 20       # payload bytes after which a task begins another archive
+FILE_BYTES = 256 << 20      # payload bytes after which a task begins another archive
+HELD_BYTES = 8 << 20        # payload bytes that a reading task gathers before it hands them on
+SLICE = 64                  # rows of a batch that are Python objects at a time
+INDEX_ROWS = 10_000         # index rows that a normalising task gathers before it hands them on
 CHUNK = 1 << 20
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,7 +54,8 @@ def open_fs(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def record_uri(page_id, digest: str) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest}>"
+    """The id percent-encoded, so that any string can stand in a header; a null id is left out with its colon."""
+    return f"<urn:x-page:{digest}>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}:{digest}>"
 
 
 def make_record(kind: str, page_id, url: str | None, digest: str, payload: bytes, first, date: str) -> bytes:
@@ -84,8 +90,8 @@ def parse_record(raw: bytes) -> Record:
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
     def page(uri: str | None) -> str | None:
-        found = re.fullmatch(r"<urn:x-page:(.*):[A-Z2-7]*>", uri or "", re.S)
-        return (found[1] or None) if found else None
+        found = re.fullmatch(r"<urn:x-page:(?:([^:]*):)?[A-Z2-7]*>", uri or "")
+        return unquote(found[1]) if found and found[1] is not None else None
 
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     return Record(fields.get("warc-type", ""), page(fields.get("warc-record-id")), page(fields.get("warc-refers-to")), digest,
@@ -125,16 +131,29 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends inside a record")
 
 
-def write(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url",
-          html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Writes ``pages`` as monolithic ``*.warc.gz`` archives below ``out``; returns (archive, records)."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(html, "utf-8").alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    same = rows.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(
+def revisits(digests: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(id, digest, first): each distinct id and payload of ``digests`` (page_id, sha1, size) whose record revisits
+    that of the page ``first``."""
+    same = digests.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    rows = rows.join(same, ["sha1", "size"], "left").select("page_id", "url", "payload", "sha1", F.when(
-        F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    found = digests.join(same, ["sha1", "size"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    return found.select(F.col("page_id").alias("id"), F.col("sha1").alias("digest"), "first").distinct()
+
+
+def write(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url",
+          html_col: str = "html", date: str = "1970-01-01T00:00:00Z", file_bytes: int | None = None) -> DataFrame:
+    """Writes ``pages`` as monolithic ``*.warc.gz`` archives below ``out``, each of about ``file_bytes`` of payload
+    (FILE_BYTES if None); returns (archive, records).
+
+    Roles are found among ids and digests alone; payloads are joined by id and digest, so those of
+    a payload that many pages share do not meet in one task."""
+    most = FILE_BYTES if file_bytes is None else file_bytes
+    html = F.coalesce(quoted(html_col), F.lit(""))
+    rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), F.encode(html, "utf-8").alias("payload"))
+    rows = rows.withColumn("sha1", F.sha1("payload"))
+    digests = materialize(rows.select("page_id", "sha1", F.octet_length("payload").alias("size")), "warc-digests")
+    rows = rows.join(revisits(digests, min_bytes), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("digest")),
+                     "left").select("page_id", "url", "payload", "sha1", F.col("first").alias("refers_to"))
 
     def run(batches):
         fs, root = open_fs(out)
@@ -151,7 +170,7 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str = "page_id
             done.append((name(k), records))
             sink, k, records, size = None, k + 1, 0, 0
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             for page_id, url, payload, sha1, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if sink is None:
                     sink = fs.open_output_stream(f"{name(k)}.{task.taskAttemptId()}", compression=None)
@@ -160,7 +179,7 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str = "page_id
                 sink.write(stream.compress(make_record(
                     "response" if first is None else "revisit", page_id, url, digest, payload, first, date)))
                 records, size = records + 1, size + len(payload)
-                if size >= FILE_BYTES:
+                if size >= most:
                     close()
         if sink is not None:
             close()
@@ -170,6 +189,13 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str = "page_id
     return materialize(map_arrow(rows, run, "archive string, records bigint"), "warc-archives")
 
 
+def index_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [*zip(*rows)] or [()] * 7
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                      ["archive", "offset", "length", "page_id", "record_type", "refers_to", "payload_digest"])
+
+
 def normalise(archives: DataFrame, out: str, id_type: str = "bigint") -> DataFrame:
     """Rewrites each file of ``archives.archive`` below ``out`` with one gzip member a record, and a
     ``.idx`` sidecar of JSON lines; returns the index rows."""
@@ -184,24 +210,23 @@ def normalise(archives: DataFrame, out: str, id_type: str = "bigint") -> DataFra
                 name = hashlib.sha1(path.encode()).hexdigest()[:8] + "-" + path.rpartition("/")[2]
                 rows, offset = [], 0
                 with source_fs.open_input_stream(source, compression=None) as raw, \
-                        fs.open_output_stream(f"{root}/{name}.{attempt}", compression=None) as sink:
+                        fs.open_output_stream(f"{root}/{name}.{attempt}", compression=None) as sink, \
+                        fs.open_output_stream(f"{root}/{name}.idx.{attempt}", compression=None) as side:
                     for record in split_records(inflated(raw)):
                         press = zlib.compressobj(LEVEL, wbits=31)
                         member = press.compress(record) + press.flush()
                         sink.write(member)
                         r = parse_record(record)
                         rows.append((f"{root}/{name}", offset, len(member), r.page_id, r.kind, r.refers_to, r.digest))
+                        side.write((json.dumps(dict(zip(("offset", "length", "page_id", "type", "refers_to", "digest"),
+                                                        rows[-1][1:]))) + "\n").encode())
                         offset += len(member)
-                with fs.open_output_stream(f"{root}/{name}.idx.{attempt}", compression=None) as sink:
-                    for r in rows:
-                        sink.write((json.dumps({"offset": r[1], "length": r[2], "page_id": r[3], "type": r[4],
-                                                "refers_to": r[5], "digest": r[6]}) + "\n").encode())
+                        if len(rows) == INDEX_ROWS:
+                            yield index_batch(rows)
+                            rows = []
                 fs.move(f"{root}/{name}.{attempt}", f"{root}/{name}")
                 fs.move(f"{root}/{name}.idx.{attempt}", f"{root}/{name}.idx")
-                columns = [*zip(*rows)] or [()] * 7
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                                 ["archive", "offset", "length", "page_id", "record_type", "refers_to", "payload_digest"])
+                yield index_batch(rows)
 
     files = archives.select("archive").repartition(max(1, archives.count()), "archive")
     rows = map_arrow(files, run, INDEX_SCHEMA.format("string"))
@@ -213,12 +238,18 @@ def read(index: DataFrame) -> DataFrame:
     the digest of a response is that of the payload read, of a revisit that of its header."""
     id_type = index.schema["page_id"].dataType.simpleString()
 
+    def handed_on(out, kind):
+        columns = [*zip(*out)] or [()] * 5
+        kinds = [kind, pa.string(), kind, pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                          ["page_id", "record_type", "refers_to", "payload", "payload_digest"])
+
     def run(batches):
         fs = opened = at = None
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for row in rows:
+            kind = batch.schema.field("page_id").type
+            out, held = [], 0
+            for row in batch.to_pylist():
                 if row["archive"] != at:
                     if opened is not None:
                         opened.close()
@@ -226,15 +257,17 @@ def read(index: DataFrame) -> DataFrame:
                     opened, at = fs.open_input_file(path), row["archive"]
                 opened.seek(row["offset"])
                 r = parse_record(zlib.decompress(opened.read(row["length"]), wbits=31))
-                own = base64.b32encode(hashlib.sha1(r.payload).digest()).decode()
-                out.append((row["page_id"], r.kind, row["refers_to"], r.payload if r.kind == "response" else None,
-                            own if r.kind == "response" else r.digest))
-            columns = [*zip(*out)] or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], batch.schema.field("page_id").type), pa.array(columns[1], pa.string()),
-                 pa.array(columns[2], batch.schema.field("page_id").type), pa.array(columns[3], pa.binary()),
-                 pa.array(columns[4], pa.string())],
-                ["page_id", "record_type", "refers_to", "payload", "payload_digest"])
+                if r.kind == "response":
+                    payload = r.payload
+                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    held += len(payload)
+                else:
+                    payload, digest = None, r.digest
+                out.append((row["page_id"], r.kind, row["refers_to"], payload, digest))
+                if held >= HELD_BYTES:
+                    yield handed_on(out, kind)
+                    out, held = [], 0
+            yield handed_on(out, kind)
         if opened is not None:
             opened.close()
 

@@ -73,3 +73,36 @@ def test_inflates_members_in_a_row(tmp_path):
 
 def test_empty_table(spark):
     assert W.round_trip(spark, spark.createDataFrame([], PAGES), scratch_path(spark, "test-warc")).collect() == []
+
+
+def test_ids_of_any_characters(spark):
+    ids = ["", "a\r\nb", "a:b", "<%41>", "é 漢", " ", None, "x" * 300, "same", "the same"]
+    data = [(i, "u", f"page {k}" if k < 8 else "shared") for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(data, "page_id string, url string, html string")
+    got = {r.page_id: r for r in W.round_trip(spark, pages, scratch_path(spark, "test-warc")).collect()}
+    assert set(got) == set(ids)
+    assert got["the same"].refers_to == "same" and got["the same"].record_type == "revisit"
+    empty = spark.createDataFrame([("", "u", "p"), ("b", "u", "p")], "page_id string, url string, html string")
+    back = {r.page_id: r.refers_to for r in W.round_trip(spark, empty, scratch_path(spark, "test-warc")).collect()}
+    assert back == {"": None, "b": ""}
+
+
+def test_repeated_ids_with_several_payloads(spark):
+    data = [(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (2, "u", "a"), (2, "u", "b"), (0, "u", "b"), (None, "u", "a"), (None, "u", "a")]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(3)
+    got = W.round_trip(spark, pages, scratch_path(spark, "test-warc"))
+    assert sorted(map(tuple, got.collect()), key=str) == plain([(i, u, h, "x") for i, u, h in data])
+
+
+def test_small_batches_read_the_same(spark, monkeypatch):
+    monkeypatch.setattr(W, "INDEX_ROWS", 2)
+    monkeypatch.setattr(W, "HELD_BYTES", 5)
+    pages = spark.createDataFrame(DATA, PAGES)
+    folder = scratch_path(spark, "test-warc")
+    written = W.write(pages, folder + "/mono", file_bytes=100)
+    assert len(written.collect()) > 1
+    index = W.normalise(written, folder + "/members")
+    sides = sum(len(open(f"{r.archive}.idx").readlines()) for r in index.select("archive").distinct().collect())
+    assert index.count() == sides == len(DATA)
+    got = sorted(((r.page_id, r.payload) for r in W.read(index).collect() if r.record_type == "response"), key=str)
+    assert got == sorted(((i, (h or "").encode()) for i, _, h, _ in DATA if (i, h) not in {(5, "<p>same</p>"), (9, "<p>same</p>"), (6, ""), (None, "dup")}), key=str)
