@@ -55,17 +55,20 @@ def q_display_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("has_mapping", fx.with_fixtures("""
-SELECT symbol, EXISTS (SELECT 1 FROM fx_mappings m WHERE m.symbol = c.symbol) AS has_display_mapping
-FROM fx_collections c""", "fx_collections", "fx_mappings"))
+SELECT symbol, true AS has_display_mapping
+FROM (SELECT symbol FROM fx_collections INTERSECT ALL SELECT DISTINCT symbol FROM fx_mappings)
+UNION ALL
+SELECT symbol, false FROM (SELECT symbol FROM fx_collections EXCEPT ALL SELECT DISTINCT symbol FROM fx_mappings)""",
+                                          "fx_collections", "fx_mappings"))
 def q_has_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.fx_collections(spark, sf_dir).select("symbol")
     return display.has_mapping(c, fx.fx_mappings(spark, sf_dir))
 
 
 @register("mapping_coverage", fx.with_fixtures("""
-SELECT COUNT(*) FILTER (WHERE m.symbol IS NOT NULL) AS mapped, COUNT(*) AS total
-FROM (SELECT DISTINCT symbol FROM fx_holdings) s LEFT JOIN (SELECT DISTINCT symbol FROM fx_mappings) m
-ON s.symbol = m.symbol""", "fx_holdings", "fx_mappings"))
+, held AS (SELECT symbol FROM fx_holdings UNION SELECT symbol FROM fx_holdings),
+ruled AS (SELECT symbol FROM held INTERSECT SELECT symbol FROM fx_mappings)
+SELECT (SELECT count(*) FROM ruled) AS mapped, (SELECT count(*) FROM held) AS total""", "fx_holdings", "fx_mappings"))
 def q_mapping_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.mapping_coverage(fx.fx_holdings(spark, sf_dir), fx.fx_mappings(spark, sf_dir))
 
