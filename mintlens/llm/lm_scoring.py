@@ -3,19 +3,21 @@
 All n-grams of the training texts are counted: tasks sum their own n-grams, and blocks of
 (hash, count) pairs are merged by hash range. A count c is quantised to level 1 + floor(log_1.5 c) and the
 n-gram enters the filter once for every level up to its own. A look-up probes level after level until one is
-missing, which gives the quantised count back. The filter holds every n-gram and grows with the training texts.
-It is made of one segment for each order and hash range, built where that range was counted, and goes to the workers
-in blocks of hash ranges of at most ``MAX_FILTER_BYTES`` (one range at least, whose inserts are at most its n-grams'
-occurrences). With one block, levels are looked up where they are used; with more, there is one pass a block, which
-writes the places it has a level for, and a document's levels are put together before smoothing. An n-gram
-is in one block, so the results are the same for any size of the blocks.
+missing, which gives the quantised count back. The filter holds every n-gram and grows
+with the training texts. It is made of one segment for each order and hash range, built where that range was counted.
+
+A filter of at most ``MAX_FILTER_BYTES`` with a vocabulary of at most ``MAX_VOCABULARY`` tokens is broadcast, and n-grams
+are probed where they are used. A larger one never passes through the driver: texts are tokenised once into bundles,
+each bundle asks for its distinct n-grams by hash range, every range answers from its own segment, and the answers meet
+the bundle's texts again. That is a fixed number of passes and shuffles however large the filter is. Both ways probe the
+same bits and give the same scores.
 
 P(w | v) = a P_ml(w | v) + (1 - a) P(w), down to (c + 1) / (N + V + 1) for single tokens; a is
 chosen for every order and context level by deleted interpolation (a training token's own occurrence taken
 off) over all training documents.
 
-The base score uses exact counts: the vocabulary goes to the workers in blocks of at most
-``VOCABULARY_BLOCK`` tokens, one pass for each, and the passes' sums add up.
+The base score uses exact counts, from the vocabulary that is broadcast beside the filter or from the range that counted
+the token.
 
 Tokens are hashed to 64 bits. Defined cases: null text is empty (its end token alone is scored); documents with a
 null id are held out; with nothing to learn from, N = V = 0; equal rows are scored alike.
@@ -24,12 +26,14 @@ null id are held out; with nothing to learn from, N = V = 0; equal rows are scor
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +43,11 @@ from .piece_memo import slices
 ORDER = 2
 LEVEL_BASE = 1.5
 BITS_A_KEY, PROBES = 10, 5
-MAX_FILTER_BYTES = 128 << 20            # of one block of the filter
-VOCABULARY_BLOCK = 8 << 20
+MAX_FILTER_BYTES = 128 << 20            # of a filter that is broadcast
+MAX_VOCABULARY = 8 << 20                # tokens whose exact counts are broadcast
 SLICE = 1 << 20                         # bytes of text handled at once
+BUNDLE = 4 << 20                        # bytes of text that ask together
+ASKED_BYTES = 64 << 20                  # of n-grams that one task answers, about
 BUFFER = 1 << 21                        # n-grams a counting task holds before it sums them up
 RANGE_TOKENS = 1 << 20                  # n-gram occurrences of a hash range, about
 WEIGHTS = np.linspace(0.0, 0.95, 20)    # candidates for the interpolation weight
@@ -97,6 +103,13 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
+def _cuts(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash ranges that sorted ``hashes`` have entries in, where each range begins and ends)"""
+    where = (hashes >> np.uint64(64 - int(math.log2(ranges)))).astype(np.int64) if ranges > 1 else np.zeros(len(hashes), np.int64)
+    cuts = np.searchsorted(where, np.arange(ranges + 1))
+    return np.nonzero(np.diff(cuts))[0], cuts
+
+
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(hashes):
         return hashes, counts
@@ -109,13 +122,9 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def count_ngrams(docs: DataFrame, order: int, ranges: int, text_col: str) -> DataFrame:
     """(k, part, hashes, counts, tokens, bits): the sum of the counts of the n-grams of order k in hash range ``part``
     and their filter segment; for single tokens also the sorted hashes and counts, as unsigned 64-bit numbers."""
-    shift = np.uint64(64 - int(math.log2(ranges)))
-
     def rows(k: int, parts: list[np.ndarray]):
         hashes, n = np.unique(np.concatenate(parts), return_counts=True)
-        where = (hashes >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(where, np.arange(ranges + 1))
-        some = np.nonzero(np.diff(cuts))[0]
+        some, cuts = _cuts(hashes, ranges)
         blob = [(hashes[cuts[p]:cuts[p + 1]].tobytes(), n[cuts[p]:cuts[p + 1]].astype("<u4").tobytes()) for p in some]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)),
@@ -156,10 +165,10 @@ def count_ngrams(docs: DataFrame, order: int, ranges: int, text_col: str) -> Dat
 class LogFrequencyFilter:
     """Quantised n-gram counts; segments are (order - 1) * ranges + hash range."""
 
-    def __init__(self, ranges: int, bits: np.ndarray, segments: list[bytes], least: list[int]):
+    def __init__(self, ranges: int, bits: np.ndarray, segments: list[bytes] | np.ndarray, least: list[int]):
         self.ranges, self.bits = ranges, bits.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(bits)[:-1]]).astype(np.uint64)
-        self.filter = np.frombuffer(b"".join(segments), np.uint8)
+        self.filter = segments if isinstance(segments, np.ndarray) else np.frombuffer(b"".join(segments), np.uint8)
         self.value = [level_counts(m) for m in least]
 
     @staticmethod
@@ -190,22 +199,27 @@ class LogFrequencyFilter:
             hashes, levels = hashes[levels >= at], levels[levels >= at]
         return np.packbits(held, bitorder="little").tobytes()
 
-    def levels(self, k: int, hashes: np.ndarray) -> np.ndarray:
-        """Level of each n-gram of order ``k`` (0: not held): levels are probed until one is missing."""
-        segment = (hashes >> np.uint64(64 - int(math.log2(self.ranges)))).astype(np.int64) + (k - 1) * self.ranges
-        bits, start = self.bits[segment], self.start[segment]
+    @classmethod
+    def probe(cls, held: np.ndarray, hashes: np.ndarray, bits: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Level of each n-gram (0: not held) whose segment has ``bits`` bits from ``start`` on: levels are probed until
+        one is missing."""
         out = np.zeros(len(hashes), np.int64)
         todo, at = np.nonzero(bits > 0)[0], 1
         while len(todo):
-            one, two = self.seeds(hashes[todo], at)
+            one, two = cls.seeds(hashes[todo], at)
             for i in range(PROBES):
-                bit = self.bit(one + np.uint64(i) * two, bits[todo]) + start[todo]
-                held = (self.filter[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                todo, one, two = todo[held], one[held], two[held]
+                bit = cls.bit(one + np.uint64(i) * two, bits[todo]) + start[todo]
+                found = (held[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                todo, one, two = todo[found], one[found], two[found]
             out[todo] = at
             at += 1
         return out
 
+    def levels(self, k: int, hashes: np.ndarray) -> np.ndarray:
+        """Level of each n-gram of order ``k`` (0: not held)."""
+        segment = (hashes >> np.uint64(64 - int(math.log2(self.ranges)))).astype(np.int64) + (k - 1) * self.ranges
+        return self.probe(self.filter, hashes, self.bits[segment], self.start[segment])
+
     def look_up(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(counts, levels) of n-grams of order ``k``; each distinct one is probed once."""
         some, at = distinct(hashes)
@@ -241,75 +255,135 @@ class Vocabulary:
 
 class Model(NamedTuple):
     order: int
-    n: int                          # training tokens
-    v: int                          # distinct ones
-    filter: LogFrequencyFilter      # its first block
-    weights: np.ndarray             # (order, context level) -> interpolation weight
-    blocks: list[tuple[int, int]]   # first and last hash range of each block of the filter
-    segments: DataFrame | None = None       # (k, part, bits); stays on the driver
+    n: int                              # training tokens
+    v: int                              # distinct ones
+    ranges: int                         # hash ranges of each order
+    filter: LogFrequencyFilter | None   # None if it is not broadcast
+    weights: np.ndarray                 # (order, context level) -> interpolation weight
+    counted: DataFrame | None = None    # see count_ngrams; stays on the driver
 
 
 VALUE = level_counts()
 
+#: What is known of some texts: their ids, their tokens, by order the level at each place, the exact counts of the tokens.
+Found = tuple[pa.Array, Tokens, list[np.ndarray], np.ndarray | None]
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _each(rows: DataFrame, model: Model, exact: bool, fn: Callable, schema: str) -> tuple[DataFrame, list]:
+    """(what ``fn(model, iterator of Found)`` yields over all ``rows`` (doc_id, text), broadcasts that it needs); with
+    ``exact`` there are exact counts too."""
+    if model.filter is None:
+        return _asked(rows, model, fn, schema), []
+    sc = rows.sparkSession.sparkContext
+    held = sc.broadcast(model._replace(counted=None))
+    words = sc.broadcast(_vocabulary(model)) if exact else None
+
+    def found(batches):
+        m, vocabulary = held.value, words.value if words is not None else None
+        for batch in batches:
+            for some in slices(batch, 1, SLICE):
+                t = tokens(_texts(some.column(1)), m.order)
+                each = [distinct(g) for g in t.grams]
+                yield (some.column(0), t, [m.filter.levels(k + 1, x)[at] for k, (x, at) in enumerate(each)],
+                       vocabulary.look_up(each[0][0])[each[0][1]] if vocabulary is not None else None)
+
+    return map_arrow(rows, lambda batches: fn(held.value, found(batches)), schema), [x for x in (held, words) if x is not None]
+
 
-def _look_up(model: Model, t: Tokens, found: list | None) -> list[np.ndarray]:
-    """By order, the level of the n-gram at each place: from the filter, or from what its blocks found in each text."""
-    if found is None:
-        each = (distinct(t.grams[k]) for k in range(model.order))
-        return [model.filter.levels(k + 1, some)[at] for k, (some, at) in enumerate(each)]
-    out = np.zeros((model.order, len(t.place)), np.int64)
-    starts = np.cumsum(t.counts + 1) - t.counts - 1
-    for start, size, blobs in zip(starts.tolist(), (t.counts + 1).tolist(), found):
-        for blob in blobs:
-            n = len(blob) // 5
-            at = np.frombuffer(blob, "<u4", n).astype(np.int64)
-            out[at // size, start + at % size] = np.frombuffer(blob, np.uint8, n, 4 * n)
-    return list(out)
-
-
-def _found(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` (doc_id, text, t) with ``levels``: null if the filter is one block, otherwise what each block found in the
-    text, as the places (unsigned 32-bit, order by order) and then their levels (a byte each)."""
-    if len(model.blocks) == 1:
-        return rows.withColumn("levels", F.lit(None).cast("array<binary>"))
+def _bundles(rows: DataFrame, order: int, ranges: int) -> DataFrame:
+    """(bundle, k, part, size, doc_id, text, hashes): each text in a bundle (k = 0), and the distinct n-grams of order k in
+    hash range ``part`` of each bundle (k > 0; size: their bytes)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["bundle", "k", "part", "size", "doc_id", "text", "hashes"]
 
-    def one_pass(block) -> DataFrame:
-        def run(batches):
-            m = model_of.value._replace(filter=block.value)
-            for batch in batches:
-                for some in slices(batch, 1, SLICE):
-                    t = tokens([x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()], m.order)
-                    lv = np.stack(_look_up(m, t, None))
-                    ends = np.cumsum(t.counts + 1)
-                    blobs = []
-                    for a, b in zip((ends - t.counts - 1).tolist(), ends.tolist()):
-                        mine = lv[:, a:b].ravel()
-                        at = np.nonzero(mine)[0]
-                        blobs.append(at.astype("<u4").tobytes() + mine[at].astype(np.uint8).tobytes())
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(blobs, pa.binary())],
-                                                     ["i", "u", "found"])
-
-        return map_arrow(rows, run, f"i {kind}, u bigint, found binary")
-
-    out = None
-    model_of = rows.sparkSession.sparkContext.broadcast(model._replace(filter=None, segments=None))
-    for lo, hi in model.blocks:
-        block = rows.sparkSession.sparkContext.broadcast(_block(model.segments, model.order, model.filter.ranges, lo, hi))
-        found = materialize(one_pass(block), "lm-levels")
-        block.unpersist()
-        out = found if out is None else out.unionByName(found)
-    # equal rows find the same
-    out = out.groupBy("i", "u").agg(F.collect_set("found").alias("levels"))
-    return rows.join(out, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("doc_id", "text", "t", "levels")
-
-
-def _block(segments: DataFrame, order: int, ranges: int, lo: int, hi: int) -> LogFrequencyFilter:
-    """The filter of the hash ranges ``lo`` to ``hi``."""
-    some = segments.where(F.col("part").between(lo, hi)).toLocalIterator()
-    held = {(r["k"] - 1) * ranges + r["part"]: bytes(r["bits"]) for r in some}
-    blobs = [held.get(s, b"") for s in range(order * ranges)]
-    return LogFrequencyFilter(ranges, np.array([8 * len(b) for b in blobs], np.int64), blobs, [1] * order)
+    def run(batches):
+        bundle = TaskContext.get().partitionId() << 33      # the table is written: numbers of failed attempts are not in it
+        for batch in batches:
+            for some in slices(batch, 1, BUNDLE):
+                n = some.num_rows
+                zeros = pa.array(np.zeros(n, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bundle)), zeros, zeros, zeros.cast(pa.int64()), some.column(0),
+                                                  some.column(1), pa.nulls(n, pa.binary())], names)
+                t = tokens(_texts(some.column(1)), order)
+                for k in range(order):
+                    hashes = np.unique(t.grams[k][t.place >= k])
+                    parts, cuts = _cuts(hashes, ranges)
+                    blobs = [hashes[cuts[p]:cuts[p + 1]].tobytes() for p in parts]
+                    n = len(parts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, bundle)), pa.array(np.full(n, k + 1, np.int32)), pa.array(parts.astype(np.int32)),
+                         pa.array([len(x) for x in blobs], pa.int64()), pa.nulls(n, some.column(0).type),
+                         pa.nulls(n, some.column(1).type), pa.array(blobs, pa.binary())], names)
+                bundle += 1
+
+    return materialize(map_arrow(rows.select("doc_id", "text"), run, f"bundle bigint, k int, part int, size bigint, doc_id {kind}, "
+                                 "text string, hashes binary"), "lm-bundles")
+
+
+def _answers(asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """(bundle, k, part, levels, counts) of the n-grams that bundles ask for: their levels (a byte each), from the segment of
+    their hash range, and for single tokens their exact counts (unsigned 64-bit). Many askers of one range are divided,
+    each division with a copy of the segment."""
+    most = asked.groupBy("k", "part").agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] or 0
+    salts = -(-most // ASKED_BYTES) or 1
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        blobs = asked.column("hashes").to_pylist()
+        hashes, at = distinct(np.frombuffer(b"".join(blobs), "<u8"))
+        levels, counts = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.uint64)
+        if held.num_rows:
+            bits = np.frombuffer(held.column("bits")[0].as_py(), np.uint8)
+            levels = LogFrequencyFilter.probe(bits, hashes, np.full(len(hashes), 8 * len(bits), np.uint64),
+                                              np.zeros(len(hashes), np.uint64))
+            if held.column("hashes")[0].is_valid and len(bits):
+                known = np.frombuffer(held.column("hashes")[0].as_py(), "<u8")
+                here = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                counts = np.where(known[here] == hashes, np.frombuffer(held.column("counts")[0].as_py(), "<u8")[here], 0)
+        levels, counts = levels.astype(np.uint8)[at], counts.astype("<u8")[at]
+        ends = np.cumsum([len(b) // 8 for b in blobs]).tolist()
+        cuts = list(zip([0, *ends[:-1]], ends))
+        exact = held.num_rows and held.column("hashes")[0].is_valid
+        return pa.table({
+            "bundle": asked.column("bundle"), "k": asked.column("k"), "part": asked.column("part"),
+            "levels": pa.array([levels[a:b].tobytes() for a, b in cuts], pa.binary()),
+            "counts": pa.array([counts[a:b].tobytes() if exact else None for a, b in cuts], pa.binary())})
+
+    keys = ["k", "part", "salt"]
+    asked = asked.select("k", "part", F.pmod(F.xxhash64("bundle"), F.lit(salts)).cast("int").alias("salt"), "bundle", "hashes")
+    held = counted.select("k", "part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "hashes", "counts", "bits")
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(
+        answer, "bundle bigint, k int, part int, levels binary, counts binary")
+
+
+def _asked(rows: DataFrame, model: Model, fn: Callable, schema: str) -> DataFrame:
+    """What ``fn`` yields over all ``rows``, with levels and counts that the hash ranges answer."""
+    m = model._replace(counted=None)
+    bundles = _bundles(rows, m.order, m.ranges)
+
+    def one(texts: pa.Table, told: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        t = tokens(_texts(texts.column("text")), m.order)
+        told = told.sort_by([("k", "ascending"), ("part", "ascending")])
+        order, blobs, exact = (told.column(x).to_pylist() for x in ("k", "levels", "counts"))
+        levels, counts = [], np.zeros(len(t.place), np.int64)
+        for k in range(m.order):
+            use = t.place >= k
+            at = np.unique(t.grams[k][use], return_inverse=True)[1]
+            out = np.zeros(len(t.place), np.int64)
+            out[use] = np.frombuffer(b"".join(x for o, x in zip(order, blobs) if o == k + 1), np.uint8)[at]
+            levels.append(out)
+            if k == 0:      # a range that counted nothing tells no counts
+                c = b"".join(bytes(8 * len(x)) if y is None else y for o, x, y in zip(order, blobs, exact) if o == 1)
+                counts = np.frombuffer(c, "<u8").astype(np.int64)[at]
+        return pa.Table.from_batches(list(fn(m, iter([(texts.column("doc_id"), t, levels, counts)]))))
+
+    answers = _answers(bundles.where("k > 0").select("bundle", "k", "part", "size", "hashes"), model.counted)
+    texts = bundles.where("k = 0").select("bundle", "doc_id", "text")
+    return texts.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(one, schema)
 
 
 def _ml(t: Tokens, k: int, above: np.ndarray, below: np.ndarray, lv: np.ndarray,
@@ -322,9 +396,8 @@ def _ml(t: Tokens, k: int, above: np.ndarray, below: np.ndarray, lv: np.ndarray,
     return p, np.where(use, np.minimum(np.concatenate([lv[:1], lv[:-1]]), 63), 0)
 
 
-def probabilities(model: Model, t: Tokens, found: list | None = None) -> np.ndarray:
+def probabilities(model: Model, t: Tokens, levels: list[np.ndarray]) -> np.ndarray:
     """Smoothed probability at every place of the texts."""
-    levels = _look_up(model, t, found)
     counts, lv = VALUE[levels[0]], levels[0]
     p = (counts + 1) / (model.n + model.v + 1)
     for k in range(2, model.order + 1):
@@ -336,41 +409,39 @@ def probabilities(model: Model, t: Tokens, found: list | None = None) -> np.ndar
     return p
 
 
+def _gains(m: Model, found):
+    """(k, lv, j, gain): the sum of the log-likelihoods of some texts with each candidate for each weight."""
+    sums = np.zeros((m.order - 1, 64, len(WEIGHTS)))
+    for _, t, levels, _ in found:
+        counts, lv = VALUE[levels[0]], levels[0]
+        p, state = np.maximum(counts, 1) / (m.n + m.v + 1), levels[0]
+        for k in range(2, m.order + 1):
+            above = VALUE[levels[k - 1]]
+            ml, context = _ml(t, k, above, counts, lv, 1.0)
+            # places with the same levels have the same probabilities
+            some_states, state = distinct((state * 64 + np.minimum(levels[k - 1], 63)) * 64 + context)
+            use = (t.place >= 1) & (context > 0)
+            many, one = np.bincount(state[use], minlength=len(some_states)), np.zeros(len(some_states), np.int64)
+            one[state[use]] = np.nonzero(use)[0]
+            some_used = np.nonzero(many)[0]
+            one, many = one[some_used], many[some_used]
+            gain = np.log(p[one, None] + WEIGHTS * (ml[one] - p[one])[:, None]) * many[:, None]
+            np.add.at(sums[k - 2], context[one], gain)
+            p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
+            counts, lv = above, levels[k - 1]
+    k, lv, j = np.nonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(lv), pa.array(j), pa.array(sums[k, lv, j])],
+                                     ["k", "lv", "j", "gain"])
+
+
 def _tune(rows: DataFrame, model: Model) -> np.ndarray:
     """Interpolation weights by deleted interpolation: the sums of log-likelihood for each candidate
     are added up over the documents; a context level that was not met keeps the weight of the level below."""
     weights = np.zeros((model.order, 64))
-    held = rows.sparkSession.sparkContext.broadcast(model._replace(segments=None))
-
-    def run(batches):
-        m = held.value
-        sums = np.zeros((m.order - 1, 64, len(WEIGHTS)))
-        for batch in batches:
-            for some in slices(batch, 0, SLICE):
-                t = tokens([x or b"" for x in some.column(0).cast(pa.binary()).to_pylist()], m.order)
-                levels = _look_up(m, t, _of(some.column(1)))
-                counts, lv = VALUE[levels[0]], levels[0]
-                p, state = np.maximum(counts, 1) / (m.n + m.v + 1), levels[0]
-                for k in range(2, m.order + 1):
-                    above = VALUE[levels[k - 1]]
-                    ml, context = _ml(t, k, above, counts, lv, 1.0)
-                    # places with the same levels have the same probabilities
-                    some_states, state = distinct((state * 64 + np.minimum(levels[k - 1], 63)) * 64 + context)
-                    use = (t.place >= 1) & (context > 0)
-                    many, one = np.bincount(state[use], minlength=len(some_states)), np.zeros(len(some_states), np.int64)
-                    one[state[use]] = np.nonzero(use)[0]
-                    some_used = np.nonzero(many)[0]
-                    one, many = one[some_used], many[some_used]
-                    gain = np.log(p[one, None] + WEIGHTS * (ml[one] - p[one])[:, None]) * many[:, None]
-                    np.add.at(sums[k - 2], context[one], gain)
-                    p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
-                    counts, lv = above, levels[k - 1]
-        k, lv, j = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(lv), pa.array(j), pa.array(sums[k, lv, j])],
-                                         ["k", "lv", "j", "gain"])
-
-    rows = map_arrow(rows.select("text", "levels"), run, "k bigint, lv bigint, j bigint, gain double").groupBy(
-        "k", "lv", "j").agg(F.sum("gain").alias("gain")).collect()      # at most orders x 64 x 20 numbers
+    gains, held = _each(rows, model, False, _gains, "k bigint, lv bigint, j bigint, gain double")
+    rows = gains.groupBy("k", "lv", "j").agg(F.sum("gain").alias("gain")).collect()      # at most orders x 64 x 20 numbers
+    for x in held:
+        x.destroy()
     sums = np.full((model.order - 1, 64, len(WEIGHTS)), 0.0)
     for r in rows:
         sums[r["k"], r["lv"], r["j"]] = r["gain"]
@@ -384,8 +455,8 @@ def _tune(rows: DataFrame, model: Model) -> np.ndarray:
 
 
 def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
-          text_col: str = "text") -> tuple[Model, DataFrame]:
-    """(model, vocabulary blocks (hash, count)) of the documents."""
+          text_col: str = "text") -> Model:
+    """The model of the documents."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = 1 << max(6, math.ceil(math.log2(max(1.0, size / 6 / RANGE_TOKENS))))
     counted = materialize(count_ngrams(docs, order, ranges, text_col), "lm-counts")
@@ -393,91 +464,61 @@ def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     first = counted.where("k = 1").agg(F.sum("tokens"), F.sum(F.octet_length("hashes"))).first()
     n, v = first[0] or 0, (first[1] or 0) // 8
 
-    size = np.zeros(ranges, np.int64)
-    for r in counted.select("part", F.octet_length("bits").alias("size")).collect():      # orders x ranges numbers
-        size[r["part"]] += r["size"]
-    blocks, lo = [], 0
-    for part in range(1, ranges + 1):
-        if part == ranges or size[lo:part + 1].sum() > MAX_FILTER_BYTES:
-            blocks.append((lo, part - 1))
-            lo = part
-    segments = counted.select("k", "part", "bits")
-    model = Model(order, n, v, _block(segments, order, ranges, *blocks[0]), np.zeros((order, 64)), blocks, segments)
-    model = model._replace(weights=_tune(_found(_rows(docs, id_col, text_col), model), model))
-    return model, counted.where("k = 1").select("part", "hashes", "counts")
+    size = counted.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    small = size <= MAX_FILTER_BYTES and v <= MAX_VOCABULARY
+    model = Model(order, n, v, ranges, _filter(counted, ranges, order) if small else None, np.zeros((order, 64)), counted)
+    return model._replace(weights=_tune(_rows(docs, id_col, text_col), model))
+
+
+def _filter(counted: DataFrame, ranges: int, order: int) -> LogFrequencyFilter:
+    """The whole filter, of at most MAX_FILTER_BYTES, its segments put in place one by one."""
+    sizes = np.zeros(order * ranges, np.int64)
+    for r in counted.select("k", "part", F.octet_length("bits").alias("size")).collect():     # orders x ranges numbers
+        sizes[(r["k"] - 1) * ranges + r["part"]] = r["size"]
+    starts = np.cumsum(sizes) - sizes
+    held = np.zeros(int(sizes.sum()), np.uint8)
+    for r in counted.select("k", "part", "bits").toLocalIterator():
+        at = starts[(r["k"] - 1) * ranges + r["part"]]
+        held[at:at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return LogFrequencyFilter(ranges, 8 * sizes, held, [1] * order)
+
+
+def _vocabulary(model: Model) -> Vocabulary:
+    """The exact counts of all tokens, at most MAX_VOCABULARY."""
+    hashes, counts, at = np.empty(model.v, np.uint64), np.empty(model.v, np.uint32 if model.n < 1 << 32 else np.int64), 0
+    for r in model.counted.where("k = 1").select("part", "hashes", "counts").orderBy("part").toLocalIterator():
+        some = np.frombuffer(r["hashes"], "<u8")
+        hashes[at:at + len(some)] = some
+        counts[at:at + len(some)] = np.frombuffer(r["counts"], "<u8")
+        at += len(some)
+    return Vocabulary(hashes, counts)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
-
-
-def _of(column: pa.Array) -> list | None:
-    """What the blocks of the filter found in each text; None if the filter is one block."""
-    return None if column.null_count == len(column) else column.to_pylist()
-
-
-def _blocks(vocabulary: DataFrame, n: int, v: int):
-    """The vocabulary in blocks of about ``VOCABULARY_BLOCK`` tokens (hash ranges in a row)."""
-    ranges = vocabulary.agg(F.max("part")).first()[0]
-    if ranges is None:
-        yield Vocabulary(np.empty(0, np.uint64), np.empty(0, np.uint32))
-        return
-    step = max(1, (ranges + 1) // max(1, math.ceil(v / VOCABULARY_BLOCK)))
-    for lo in range(0, ranges + 1, step):
-        some = vocabulary.where(F.col("part").between(lo, lo + step - 1))
-        size = (some.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
-        hashes, counts, at = np.empty(size, np.uint64), np.empty(size, np.uint32 if n < 1 << 32 else np.int64), 0
-        for r in some.orderBy("part").toLocalIterator():
-            some_hashes = np.frombuffer(r["hashes"], "<u8")
-            hashes[at:at + len(some_hashes)] = some_hashes
-            counts[at:at + len(some_hashes)] = np.frombuffer(r["counts"], "<u8")
-            at += len(some_hashes)
-        if size:
-            yield Vocabulary(hashes, counts)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _pass(docs: DataFrame, kind: str, order: int, model, block) -> DataFrame:
-    """One pass over all texts: n_tokens, known tokens and their log counts in one vocabulary block;
-    the model's score as well if ``model`` is given. Both are broadcast variables."""
+def _scores(m: Model, found):
+    """n_tokens, known tokens, the sum of their log counts and the model's score of each text."""
+    for ids, t, levels, counts in found:
+        scored, rows = t.place >= 1, len(t.counts)
+        owner, c = t.owner[scored], counts[scored]
+        yield pa.RecordBatch.from_arrays(
+            [ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.array(t.counts),
+             pa.array(np.bincount(owner, weights=c > 0, minlength=rows).astype(np.int64)),
+             pa.array(np.bincount(owner, weights=np.log10(c + 1.0), minlength=rows)),
+             pa.array(np.bincount(owner, weights=np.log10(probabilities(m, t, levels)[scored]), minlength=rows))],
+            ["doc_id", "n_tokens", "n_known", "logs", "score"])
 
-    def run(batches):
-        vocabulary, m = block.value, model.value if model is not None else None
-        for batch in batches:
-            for some in slices(batch, 1, SLICE):
-                t = tokens([x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()], order)
-                scored = t.place >= 1
-                owner, rows = t.owner[scored], some.num_rows
-                some_tokens, at = distinct(t.grams[0][scored])
-                c = vocabulary.look_up(some_tokens)[at]
-                known = np.bincount(owner, weights=c > 0, minlength=rows).astype(np.int64)
-                logs = np.bincount(owner, weights=np.log10(c + 1.0), minlength=rows)
-                score = np.zeros(rows)
-                if m is not None:
-                    score = np.bincount(owner, weights=np.log10(probabilities(m, t, _of(some.column(3)))[scored]), minlength=rows)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(2), pa.array(t.counts), pa.array(known), pa.array(logs), pa.array(score)],
-                    ["doc_id", "t", "n_tokens", "n_known", "logs", "score"])
-
-    return map_arrow(docs, run, f"doc_id {kind}, t bigint, n_tokens bigint, n_known bigint, logs double, score double")
-
-
-def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _rows(docs, id_col, text_col)
-    held, out = sc.broadcast(model._replace(segments=None)), None
-    for block in _blocks(vocabulary, model.n, model.v):
-        block = sc.broadcast(block)
-        if out is None:
-            out = _pass(_found(rows, model), kind, model.order, held, block)
-            continue
-        more = _pass(rows, kind, model.order, None, block).groupBy("doc_id", "t").agg(
-            F.max("n_known").alias("more_known"), F.max("logs").alias("more_logs")).select(
-            F.col("doc_id").alias("i"), F.col("t").alias("u"), "more_known", "more_logs")
-        out = materialize(out.join(more, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select(
-            "doc_id", "t", "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"),
-            (F.col("logs") + F.col("more_logs")).alias("logs"), "score"), "lm-scores")
+    scored, held = _each(_rows(docs, id_col, text_col), model, True, _scores,
+                         f"doc_id {kind}, n_tokens bigint, n_known bigint, logs double, score double")
+    out = materialize(scored, "lm-scores")
+    for x in held:
+        x.destroy()
     unit = math.log10(model.n + model.v + 1)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
                       (F.col("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score")
