@@ -14,7 +14,8 @@ same bits and give the same scores.
 
 P(w | v) = a P_ml(w | v) + (1 - a) P(w), down to (c + 1) / (N + V + 1) for single tokens; a is
 chosen for every order and context level by deleted interpolation (a training token's own occurrence taken
-off) over all training documents.
+off) over all training documents. A probability depends on the levels at its place alone, so texts are looked up once:
+the levels at each place are written (``STATE_BITS`` a level), and both tuning and scoring read those.
 
 The base score uses exact counts, from the vocabulary that is broadcast beside the filter or from the range that counted
 the token.
@@ -26,7 +27,6 @@ null id are held out; with nothing to learn from, N = V = 0; equal rows are scor
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +43,7 @@ from .piece_memo import slices
 ORDER = 2
 LEVEL_BASE = 1.5
 BITS_A_KEY, PROBES = 10, 5
+STATE_BITS = 7                          # of a level
 MAX_FILTER_BYTES = 128 << 20            # of a filter that is broadcast
 MAX_VOCABULARY = 8 << 20                # tokens whose exact counts are broadcast
 SLICE = 1 << 20                         # bytes of text handled at once
@@ -265,50 +266,102 @@ class Model(NamedTuple):
 
 VALUE = level_counts()
 
-#: What is known of some texts: their ids, their tokens, by order the level at each place, the exact counts of the tokens.
-Found = tuple[pa.Array, Tokens, list[np.ndarray], np.ndarray | None]
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _each(rows: DataFrame, model: Model, exact: bool, fn: Callable, schema: str) -> tuple[DataFrame, list]:
-    """(what ``fn(model, iterator of Found)`` yields over all ``rows`` (doc_id, text), broadcasts that it needs); with
-    ``exact`` there are exact counts too."""
+def _state(t: Tokens, levels: list[np.ndarray]) -> np.ndarray:
+    """Levels that decide the probability at each place after the mark, in one number: that of the token, and for each
+    higher order those of the n-gram and of its context (0 where the text begins)."""
+    out = levels[0]
+    for k in range(1, len(levels)):
+        before = np.where(t.place >= k, np.concatenate([levels[k - 1][:1], levels[k - 1][:-1]]), 0)
+        out = ((out << STATE_BITS | levels[k]) << STATE_BITS) | before
+    return out[t.place >= 1]
+
+
+def _unpack(state: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(levels of the n-grams, levels of their contexts) by order; single tokens have no context."""
+    levels, contexts, mask = [], [], (1 << STATE_BITS) - 1
+    for _ in range(1, order):
+        contexts.insert(0, state & mask)
+        levels.insert(0, state >> STATE_BITS & mask)
+        state = state >> 2 * STATE_BITS
+    return [state, *levels], [np.zeros_like(state), *contexts]
+
+
+def _width(order: int) -> int:
+    """Bytes of a written state."""
+    return -(-STATE_BITS * (2 * order - 1) // 8)
+
+
+def _looked_up(ids: pa.Array, training: pa.Array, t: Tokens, levels: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    """What is kept of some texts: n_tokens, known tokens, the sum of the logarithms of their counts, and the states."""
+    scored, rows = t.place >= 1, len(t.counts)
+    owner, c = t.owner[scored], counts[scored]
+    width = _width(len(levels))
+    packed = _state(t, levels).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    ends = (np.cumsum(t.counts) * width).tolist()
+    return pa.RecordBatch.from_arrays(
+        [ids, training, pa.array(t.counts), pa.array(np.bincount(owner, weights=c > 0, minlength=rows).astype(np.int64)),
+         pa.array(np.bincount(owner, weights=np.log10(c + 1.0), minlength=rows)),
+         pa.array([packed[a:b] for a, b in zip([0, *ends[:-1]], ends)], pa.binary())],
+        ["doc_id", "training", "n_tokens", "n_known", "logs", "states"])
+
+
+def _states(batches, order: int, at: int):
+    """(slice of a batch, its states in a row, states of each text); they are in column ``at``."""
+    width = _width(order)
+    for batch in batches:
+        for some in slices(batch, at, SLICE):
+            blobs = some.column(at).to_pylist()
+            out = np.zeros((sum(map(len, blobs)) // width, 8), np.uint8)
+            out[:, :width] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
+            yield some, out.view("<i8").ravel(), np.array([len(b) // width for b in blobs])
+
+
+def look_up(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, training, n_tokens, n_known, logs, states) of all ``rows`` (doc_id, training, text), written."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, training boolean, n_tokens bigint, n_known bigint, logs double, states binary"
     if model.filter is None:
-        return _asked(rows, model, fn, schema), []
+        return materialize(_asked(rows, model, schema), "lm-states")
     sc = rows.sparkSession.sparkContext
     held = sc.broadcast(model._replace(counted=None))
-    words = sc.broadcast(_vocabulary(model)) if exact else None
+    words = sc.broadcast(_vocabulary(model))
 
-    def found(batches):
-        m, vocabulary = held.value, words.value if words is not None else None
+    def run(batches):
+        m, vocabulary = held.value, words.value
         for batch in batches:
-            for some in slices(batch, 1, SLICE):
-                t = tokens(_texts(some.column(1)), m.order)
+            for some in slices(batch, 2, SLICE):
+                t = tokens(_texts(some.column(2)), m.order)
                 each = [distinct(g) for g in t.grams]
-                yield (some.column(0), t, [m.filter.levels(k + 1, x)[at] for k, (x, at) in enumerate(each)],
-                       vocabulary.look_up(each[0][0])[each[0][1]] if vocabulary is not None else None)
+                yield _looked_up(some.column(0), some.column(1), t, [m.filter.levels(k + 1, x)[at] for k, (x, at) in enumerate(each)],
+                                 vocabulary.look_up(each[0][0])[each[0][1]])
 
-    return map_arrow(rows, lambda batches: fn(held.value, found(batches)), schema), [x for x in (held, words) if x is not None]
+    out = materialize(map_arrow(rows, run, schema), "lm-states")
+    held.destroy()
+    words.destroy()
+    return out
 
 
 def _bundles(rows: DataFrame, order: int, ranges: int) -> DataFrame:
-    """(bundle, k, part, size, doc_id, text, hashes): each text in a bundle (k = 0), and the distinct n-grams of order k in
+    """(bundle, k, part, size, doc_id, training, text, hashes): each text in a bundle (k = 0), and the distinct n-grams of order k in
     hash range ``part`` of each bundle (k > 0; size: their bytes)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["bundle", "k", "part", "size", "doc_id", "text", "hashes"]
+    names = ["bundle", "k", "part", "size", "doc_id", "training", "text", "hashes"]
 
     def run(batches):
         bundle = TaskContext.get().partitionId() << 33      # the table is written: numbers of failed attempts are not in it
         for batch in batches:
-            for some in slices(batch, 1, BUNDLE):
+            for some in slices(batch, 2, BUNDLE):
                 n = some.num_rows
                 zeros = pa.array(np.zeros(n, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bundle)), zeros, zeros, zeros.cast(pa.int64()), some.column(0),
-                                                  some.column(1), pa.nulls(n, pa.binary())], names)
-                t = tokens(_texts(some.column(1)), order)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bundle)), zeros, zeros, zeros.cast(pa.int64()),
+                                                  *some.columns, pa.nulls(n, pa.binary())], names)
+                t = tokens(_texts(some.column(2)), order)
                 for k in range(order):
                     hashes = np.unique(t.grams[k][t.place >= k])
                     parts, cuts = _cuts(hashes, ranges)
@@ -316,12 +369,12 @@ def _bundles(rows: DataFrame, order: int, ranges: int) -> DataFrame:
                     n = len(parts)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, bundle)), pa.array(np.full(n, k + 1, np.int32)), pa.array(parts.astype(np.int32)),
-                         pa.array([len(x) for x in blobs], pa.int64()), pa.nulls(n, some.column(0).type),
-                         pa.nulls(n, some.column(1).type), pa.array(blobs, pa.binary())], names)
+                         pa.array([len(x) for x in blobs], pa.int64()), *[pa.nulls(n, c.type) for c in some.columns],
+                         pa.array(blobs, pa.binary())], names)
                 bundle += 1
 
-    return materialize(map_arrow(rows.select("doc_id", "text"), run, f"bundle bigint, k int, part int, size bigint, doc_id {kind}, "
-                                 "text string, hashes binary"), "lm-bundles")
+    return materialize(map_arrow(rows, run, f"bundle bigint, k int, part int, size bigint, doc_id {kind}, "
+                                 "training boolean, text string, hashes binary"), "lm-bundles")
 
 
 def _answers(asked: DataFrame, counted: DataFrame) -> DataFrame:
@@ -359,18 +412,18 @@ def _answers(asked: DataFrame, counted: DataFrame) -> DataFrame:
         answer, "bundle bigint, k int, part int, levels binary, counts binary")
 
 
-def _asked(rows: DataFrame, model: Model, fn: Callable, schema: str) -> DataFrame:
-    """What ``fn`` yields over all ``rows``, with levels and counts that the hash ranges answer."""
-    m = model._replace(counted=None)
-    bundles = _bundles(rows, m.order, m.ranges)
+def _asked(rows: DataFrame, model: Model, schema: str) -> DataFrame:
+    """What is kept of all ``rows``, with levels and counts that the hash ranges answer."""
+    n_orders = model.order
+    bundles = _bundles(rows, n_orders, model.ranges)
 
     def one(texts: pa.Table, told: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
-        t = tokens(_texts(texts.column("text")), m.order)
+        t = tokens(_texts(texts.column("text")), n_orders)
         told = told.sort_by([("k", "ascending"), ("part", "ascending")])
         order, blobs, exact = (told.column(x).to_pylist() for x in ("k", "levels", "counts"))
         levels, counts = [], np.zeros(len(t.place), np.int64)
-        for k in range(m.order):
+        for k in range(n_orders):
             use = t.place >= k
             at = np.unique(t.grams[k][use], return_inverse=True)[1]
             out = np.zeros(len(t.place), np.int64)
@@ -379,69 +432,58 @@ def _asked(rows: DataFrame, model: Model, fn: Callable, schema: str) -> DataFram
             if k == 0:      # a range that counted nothing tells no counts
                 c = b"".join(bytes(8 * len(x)) if y is None else y for o, x, y in zip(order, blobs, exact) if o == 1)
                 counts = np.frombuffer(c, "<u8").astype(np.int64)[at]
-        return pa.Table.from_batches(list(fn(m, iter([(texts.column("doc_id"), t, levels, counts)]))))
+        ids, training = (texts.column(x).combine_chunks() for x in ("doc_id", "training"))
+        return pa.Table.from_batches([_looked_up(ids, training, t, levels, counts)])
 
     answers = _answers(bundles.where("k > 0").select("bundle", "k", "part", "size", "hashes"), model.counted)
-    texts = bundles.where("k = 0").select("bundle", "doc_id", "text")
+    texts = bundles.where("k = 0").select("bundle", "doc_id", "training", "text")
     return texts.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(one, schema)
 
 
-def _ml(t: Tokens, k: int, above: np.ndarray, below: np.ndarray, lv: np.ndarray,
-        less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(P_ml, level of the context) of the order-k n-grams at all places, from the counts ``above`` of the n-grams and
-    ``below`` (levels ``lv``) of the (k-1)-grams that end at each place; ``less`` is taken off both counts."""
-    before = np.maximum(np.concatenate([below[:1], below[:-1]]) - less, 0)
-    use = (before > 0) & (t.place >= k - 1)
-    p = np.where(use, np.minimum(np.maximum(above - less, 0) / np.maximum(before, 1e-9), 1.0), 0.0)
-    return p, np.where(use, np.minimum(np.concatenate([lv[:1], lv[:-1]]), 63), 0)
-
-
-def probabilities(model: Model, t: Tokens, levels: list[np.ndarray]) -> np.ndarray:
-    """Smoothed probability at every place of the texts."""
-    counts, lv = VALUE[levels[0]], levels[0]
-    p = (counts + 1) / (model.n + model.v + 1)
-    for k in range(2, model.order + 1):
-        above = VALUE[levels[k - 1]]
-        ml, context = _ml(t, k, above, counts, lv)
-        a = model.weights[k - 1][context]         # 0 at level 0
-        p = a * ml + (1 - a) * p
-        counts, lv = above, levels[k - 1]
-    return p
+def _ml(above: np.ndarray, before: np.ndarray, less: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(P_ml, level of the context) of n-grams of level ``above`` in contexts of level ``before``; ``less`` is taken off
+    both counts."""
+    counts = np.maximum(VALUE[before] - less, 0)
+    p = np.where(counts > 0, np.minimum(np.maximum(VALUE[above] - less, 0) / np.maximum(counts, 1e-9), 1.0), 0.0)
+    return p, np.where(counts > 0, np.minimum(before, 63), 0)
 
 
-def _gains(m: Model, found):
-    """(k, lv, j, gain): the sum of the log-likelihoods of some texts with each candidate for each weight."""
-    sums = np.zeros((m.order - 1, 64, len(WEIGHTS)))
-    for _, t, levels, _ in found:
-        counts, lv = VALUE[levels[0]], levels[0]
-        p, state = np.maximum(counts, 1) / (m.n + m.v + 1), levels[0]
-        for k in range(2, m.order + 1):
-            above = VALUE[levels[k - 1]]
-            ml, context = _ml(t, k, above, counts, lv, 1.0)
-            # places with the same levels have the same probabilities
-            some_states, state = distinct((state * 64 + np.minimum(levels[k - 1], 63)) * 64 + context)
-            use = (t.place >= 1) & (context > 0)
-            many, one = np.bincount(state[use], minlength=len(some_states)), np.zeros(len(some_states), np.int64)
-            one[state[use]] = np.nonzero(use)[0]
-            some_used = np.nonzero(many)[0]
-            one, many = one[some_used], many[some_used]
-            gain = np.log(p[one, None] + WEIGHTS * (ml[one] - p[one])[:, None]) * many[:, None]
-            np.add.at(sums[k - 2], context[one], gain)
-            p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
-            counts, lv = above, levels[k - 1]
-    k, lv, j = np.nonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(lv), pa.array(j), pa.array(sums[k, lv, j])],
-                                     ["k", "lv", "j", "gain"])
+def probabilities(model: Model, state: np.ndarray) -> np.ndarray:
+    """Smoothed probability in each state."""
+    levels, contexts = _unpack(state, model.order)
+    p = (VALUE[levels[0]] + 1) / (model.n + model.v + 1)
+    for k in range(1, model.order):
+        ml, context = _ml(levels[k], contexts[k])
+        a = model.weights[k][context]         # 0 at level 0
+        p = a * ml + (1 - a) * p
+    return p
 
 
 def _tune(rows: DataFrame, model: Model) -> np.ndarray:
-    """Interpolation weights by deleted interpolation: the sums of log-likelihood for each candidate
+    """Interpolation weights by deleted interpolation from ``rows`` (states): the sums of log-likelihood for each candidate
     are added up over the documents; a context level that was not met keeps the weight of the level below."""
     weights = np.zeros((model.order, 64))
-    gains, held = _each(rows, model, False, _gains, "k bigint, lv bigint, j bigint, gain double")
-    rows = gains.groupBy("k", "lv", "j").agg(F.sum("gain").alias("gain")).collect()      # at most orders x 64 x 20 numbers
-    for x in held:
-        x.destroy()
+    m = model._replace(counted=None, filter=None)
+
+    def run(batches):
+        sums = np.zeros((m.order - 1, 64, len(WEIGHTS)))
+        for _, state, _ in _states(batches, m.order, 0):
+            state, at = distinct(state)
+            many = np.bincount(at, minlength=len(state))
+            levels, contexts = _unpack(state, m.order)
+            p = np.maximum(VALUE[levels[0]], 1) / (m.n + m.v + 1)
+            for k in range(1, m.order):
+                ml, context = _ml(levels[k], contexts[k], 1.0)
+                use = np.nonzero(context)[0]
+                gain = np.log(p[use, None] + WEIGHTS * (ml[use] - p[use])[:, None]) * many[use, None]
+                np.add.at(sums[k - 1], context[use], gain)
+                p = np.where(context > 0, 0.5 * ml + 0.5 * p, p)     # lower orders as seen by the next one
+        k, lv, j = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(lv), pa.array(j), pa.array(sums[k, lv, j])],
+                                         ["k", "lv", "j", "gain"])
+
+    rows = map_arrow(rows.select("states"), run, "k bigint, lv bigint, j bigint, gain double").groupBy(
+        "k", "lv", "j").agg(F.sum("gain").alias("gain")).collect()      # at most orders x 64 x 20 numbers
     sums = np.full((model.order - 1, 64, len(WEIGHTS)), 0.0)
     for r in rows:
         sums[r["k"], r["lv"], r["j"]] = r["gain"]
@@ -454,9 +496,8 @@ def _tune(rows: DataFrame, model: Model) -> np.ndarray:
     return weights
 
 
-def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
-          text_col: str = "text") -> Model:
-    """The model of the documents."""
+def _count(docs: DataFrame, order: int, text_col: str) -> Model:
+    """The model of the documents but for its weights."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = 1 << max(6, math.ceil(math.log2(max(1.0, size / 6 / RANGE_TOKENS))))
     counted = materialize(count_ngrams(docs, order, ranges, text_col), "lm-counts")
@@ -466,8 +507,28 @@ def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
 
     size = counted.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     small = size <= MAX_FILTER_BYTES and v <= MAX_VOCABULARY
-    model = Model(order, n, v, ranges, _filter(counted, ranges, order) if small else None, np.zeros((order, 64)), counted)
-    return model._replace(weights=_tune(_rows(docs, id_col, text_col), model))
+    return Model(order, n, v, ranges, _filter(counted, ranges, order) if small else None, np.zeros((order, 64)), counted)
+
+
+def learn(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the documents."""
+    model = _count(docs, order, text_col)
+    return model._replace(weights=_tune(look_up(_rows(docs, F.lit(True), id_col, text_col), model), model))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    return _scored(look_up(_rows(docs, F.lit(False), id_col, text_col), model), model)
+
+
+def learn_and_score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "doc_id",
+                    text_col: str = "text") -> tuple[Model, DataFrame]:
+    """(model of the rows for which ``training`` holds, scores of all rows): as by :func:`learn` and :func:`score`, but
+    each text is looked up once."""
+    model = _count(docs.where(training), order, text_col)
+    rows = look_up(_rows(docs, F.coalesce(training, F.lit(False)), id_col, text_col), model)
+    model = model._replace(weights=_tune(rows.where("training"), model))
+    return model, _scored(rows, model)
 
 
 def _filter(counted: DataFrame, ranges: int, order: int) -> LogFrequencyFilter:
@@ -494,31 +555,24 @@ def _vocabulary(model: Model) -> Vocabulary:
     return Vocabulary(hashes, counts)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
+def _rows(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), training.alias("training"), F.col(text_col).alias("text"))
 
-def _scores(m: Model, found):
-    """n_tokens, known tokens, the sum of their log counts and the model's score of each text."""
-    for ids, t, levels, counts in found:
-        scored, rows = t.place >= 1, len(t.counts)
-        owner, c = t.owner[scored], counts[scored]
-        yield pa.RecordBatch.from_arrays(
-            [ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.array(t.counts),
-             pa.array(np.bincount(owner, weights=c > 0, minlength=rows).astype(np.int64)),
-             pa.array(np.bincount(owner, weights=np.log10(c + 1.0), minlength=rows)),
-             pa.array(np.bincount(owner, weights=np.log10(probabilities(m, t, levels)[scored]), minlength=rows))],
-            ["doc_id", "n_tokens", "n_known", "logs", "score"])
 
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """Scores from what was looked up."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    m = model._replace(counted=None, filter=None)
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored, held = _each(_rows(docs, id_col, text_col), model, True, _scores,
-                         f"doc_id {kind}, n_tokens bigint, n_known bigint, logs double, score double")
-    out = materialize(scored, "lm-scores")
-    for x in held:
-        x.destroy()
+    def run(batches):
+        for some, state, counts in _states(batches, m.order, 4):
+            state, at = distinct(state)
+            logs = np.log10(probabilities(m, state))[at]
+            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=logs, minlength=len(counts))
+            yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(total)], ["doc_id", "n_tokens", "n_known", "logs", "score"])
+
+    out = map_arrow(rows.select("doc_id", "n_tokens", "n_known", "logs", "states"), run,
+                    f"doc_id {kind}, n_tokens bigint, n_known bigint, logs double, score double")
     unit = math.log10(model.n + model.v + 1)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
                       (F.col("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score")

@@ -89,7 +89,7 @@ ORACLE["op8_line_dedup"] = line_dedup.ORACLE
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a bigram model of six sevenths of them."""
     docs = table(spark, sf_dir, "documents")
-    scored = lm_scoring.score(docs, lm_scoring.learn(docs.where(~lm_scoring.held_out())))
+    _, scored = lm_scoring.learn_and_score(docs, ~lm_scoring.held_out())
     return scored.select("doc_id", lm_scoring.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")
 
