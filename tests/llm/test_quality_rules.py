@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -83,3 +84,59 @@ def test_no_python_in_the_plan(spark):
 def test_empty_table(spark):
     measured = Q.measure(spark.createDataFrame([], DOCS))
     assert Q.apply(measured, Q.DecisionList([])).collect() == []
+
+
+def plain_list(rows, names):
+    """Covering by trying every threshold on every row; ``rows`` are (bad, fold, values)."""
+    def gain(some, picked):
+        p, n = sum(b for b, _, _ in picked), sum(not b for b, _, _ in picked)
+        all_p = sum(b for b, _, _ in some)
+        return p * (math.log2(p / (p + n)) - math.log2(all_p / len(some))) if p else 0.0
+
+    def fits(rule, v):
+        return all((v[j] >= x) if at_least else (v[j] < x) for j, at_least, x in rule)
+
+    def worth(rule, some):
+        hit = [b for b, _, v in some if fits(rule, v)]
+        return (2 * sum(hit) - len(hit)) / len(hit) if hit else -1.0
+
+    out, cuts = [], [sorted({v[j] for _, _, v in rows}) for j in range(len(names))]
+    while len(out) < Q.MAX_RULES:
+        grow, prune, rule = [r for r in rows if r[1]], [r for r in rows if not r[1]], []
+        while len(rule) < Q.MAX_CONDITIONS:
+            here, best = [r for r in grow if fits(rule, r[2])], (1e-9, 0, None)
+            for j in range(len(names)):
+                for c, x in enumerate(cuts[j]):
+                    for at_least in (True, False):
+                        picked = [r for r in here if (r[2][j] >= x) == at_least]
+                        if len(picked) < len(here):
+                            best = max(best, (gain(here, picked), sum(b for b, _, _ in picked), (j, at_least, c)), key=lambda y: (y[0], y[1], y[2] or ()))
+            if best[2] is None:
+                break
+            j, at_least, c = best[2]
+            rule.append((j, at_least, cuts[j][c]))
+            if all(r[0] for r in here):
+                break
+        if not rule:
+            break
+        k = max(range(1, len(rule) + 1), key=lambda k: (worth(rule[:k], prune), worth(rule[:k], grow), -k))
+        hit = [b for b, _, v in rows if fits(rule[:k], v)]
+        if sum(hit) < Q.LEAST_SUPPORT or sum(hit) < Q.LEAST_PRECISION * len(hit) or worth(rule[:k], prune) < 2 * Q.LEAST_PRECISION - 1:
+            break
+        out.append(rule[:k])
+        rows = [r for r in rows if not fits(rule[:k], r[2])]
+    return [[(names[j], at_least, x) for j, at_least, x in rule] for rule in out]
+
+
+def test_learned_list_equals_plain_covering(spark):
+    rng, names = random.Random(12), list(Q.STATISTICS)
+    data = []
+    for i in range(70):      # few enough that every value is a candidate threshold
+        v = [round(rng.uniform(0, 1), 3) for _ in names]
+        data.append((i, 0 if v[2] > 0.7 or (v[3] > 0.5 and v[4] < 0.4) else 1, *v))
+    assert all(20 < sum(r[1] == c for r in data) <= 40 for c in (0, 1))
+    df = spark.createDataFrame(data, "doc_id long, quality int, " + ", ".join(f"{k} double" for k in names))
+    folds = {r.doc_id: r.fold for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 3) as fold").collect()}
+    got = Q.learn(df.drop("quality"), df.select("doc_id", "quality"))
+    want = plain_list([(r[1] == 0, folds[r[0]], r[2:]) for r in data], names)
+    assert len(want) >= 1 and [[tuple(c) for c in rule] for rule in got.rules] == want
