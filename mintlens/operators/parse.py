@@ -217,7 +217,8 @@ def _scan_accounts(j: Column) -> Column:
     deep they lie, without a recursion over levels (a job each) or a shuffle. Invalid JSON -> nothing."""
     canonical = F.to_json(F.try_parse_json(j))
     raw = F.regexp_extract_all(canonical, F.lit(ACCOUNT_FIELD_PATTERN), 1)
-    vals = F.transform(raw, lambda r: F.from_json(F.concat(F.lit('["'), r, F.lit('"]')), "array<string>")[0])
+    vals = F.transform(raw, lambda r: F.when(~r.contains("\\"), r).otherwise(      # nothing to unescape in most
+        F.from_json(F.concat(F.lit('["'), r, F.lit('"]')), "array<string>")[0]))
     return F.coalesce(vals, F.array().cast("array<string>"))
 
 

@@ -60,6 +60,12 @@ def dedupe_keys(df: DataFrame, key: list[str], order: list[str] | None = None) -
             .select(*key, "_r.*").select(*df.columns))
 
 
+def gathered(df: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Rows of one sink partition brought together before they are written, so that a write leaves about a file a
+    partition, not one for each partition in each task. The rows of a large partition are split over tasks again."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_by])
+
+
 def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[str],
                       order: list[str] | None = None, range_col: str | None = None,
                       partition_by: list[str] | None = None, bounds: tuple | None = None,
@@ -72,7 +78,7 @@ def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[
     ``buckets`` = the values of the integer partition column that
     the batch can collide with: only those partitions are read; ``drop`` =
     columns that order the duplicates and are not stored; ``arrange`` = how the
-    rows that are left are partitioned and sorted for writing."""
+    rows that are left are partitioned and sorted for writing (if None, ``gathered`` by ``partition_by``)."""
     rows = (new if unique else dedupe_keys(new, key, order)).drop(*drop)
     if buckets is None:
         existing = read_if_exists(spark, path)
@@ -86,6 +92,8 @@ def append_idempotent(spark: SparkSession, new: DataFrame, path: str, key: list[
                 return
             have = have.where(F.col(range_col).between(lo, hi))
         rows = rows.join(have, key, "left_anti")
+    if arrange is None and partition_by:
+        arrange = lambda df: gathered(df, partition_by)
     w = (rows if arrange is None else arrange(rows)).write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -174,7 +174,9 @@ class BlockCapture:
         # documents are parsed where they were read; copies of a block are told apart afterwards, by numbers
         order = F.struct(content_hash(blocks).alias("content"), *[c for c in ("ingest_ts",) if c in blocks.columns])
         numbered = blocks.withColumn("_copy", order).withColumn("_row", F.monotonically_increasing_id())
-        every = parse.parse_blocks(numbered, keep=COPY_COLS).persist()
+        # what no sink takes is not computed: unknown names, and in a backfill (C13) the scopes
+        unused = ("unknown",) if self.mode == "live" else ("unknown", "scopes")
+        every = parse.parse_blocks(numbered, keep=COPY_COLS).drop(*unused).persist()
         try:
             # one pass over the parse gives the head (for the settle cut) and
             # the block range (for pruning the idempotency checks)

@@ -126,3 +126,23 @@ def test_compaction_keeps_rows_and_other_partitions(spark, tmp_path):
     rows = spark.read.parquet(path)
     assert sorted((r.bucket, r.x) for r in rows.collect()) == [(1, k) for k in range(5)] + [(2, 0), (2, 1)]
     assert len(files(1)) == 1 and files(2) == before
+
+
+def test_a_sink_gets_a_file_a_bucket_whatever_the_number_of_tasks(spark, tmp_path):
+    text = ['{"blockNumber":%d,"timestamp":"2024-01-01T00:00:00","transactions":[{"contract":"nft","action":"issue","sender":"a",'
+            '"transactionId":"t%d","payload":"{}","logs":"{\\"events\\":[{\\"contract\\":\\"nft\\",\\"event\\":\\"issue\\",'
+            '\\"data\\":{\\"account\\":\\"a\\",\\"symbol\\":\\"S\\",\\"id\\":\\"%d\\"}}]}"}]}' % (n, n, n) for n in range(80)]
+    docs = spark.createDataFrame([(t,) for t in text], "value string").repartition(16)
+    capture.BlockCapture(f"{tmp_path}", mode="backfill", bucket_blocks=20)(docs, 0)
+    names = [n for _, _, some in os.walk(f"{tmp_path}/nft_events") for n in some if n.endswith(".parquet")]
+    assert len(names) == 4
+    assert sorted(r.he_block for r in spark.read.parquet(f"{tmp_path}/nft_events").collect()) == list(range(80))
+
+
+def test_bad_documents_of_many_tasks_leave_a_file_a_part(spark, tmp_path):
+    docs = spark.createDataFrame([("[%d]" % n,) for n in range(400)], "value string").repartition(16)
+    capture.BlockCapture(f"{tmp_path}")(docs, 0)
+    names = [n for _, _, some in os.walk(f"{tmp_path}/block_quarantine") for n in some if n.endswith(".parquet")]
+    sink = spark.read.parquet(f"{tmp_path}/block_quarantine")
+    assert len(names) == sink.select("part").distinct().count() <= capture.QUARANTINE_BUCKETS
+    assert sink.select("raw").distinct().count() == sink.count() == 400
