@@ -105,18 +105,21 @@ def apply_book_table(spark: SparkSession, path: str, orders: DataFrame, outcomes
 # -- C12 -----------------------------------------------------------------------
 
 def update_block_runs(spark: SparkSession, path: str, blocks: DataFrame, bucket_blocks: int = state.BLOCKS_PER_DAY) -> list[int]:
-    """C12/I4 kept up to date: the block numbers of a batch merged into the captured runs stored at ``path`` (a
-    partition a bucket). Only the batch's buckets are read and replaced; the same batch again changes nothing."""
+    """C12/I4 kept up to date: the block numbers of a batch merged into the captured runs stored at ``path``, whose
+    partitions hold a day at least: one bucket, or as many small ones. Only the batch's partitions are read and replaced;
+    the same batch again changes nothing. Returns the replaced partitions."""
     checkpoint_dir(spark)
-    new = state.block_runs(blocks, bucket_blocks).checkpoint(eager=True)
-    hit = sorted(r.bucket for r in new.select("bucket").distinct().collect())       # days of one batch
+    size, of_day = int(bucket_blocks), max(1, state.BLOCKS_PER_DAY // int(bucket_blocks))
+    day = F.floor(F.col("bucket") / of_day).cast("bigint")
+    new = state.block_runs(blocks, size).checkpoint(eager=True)
+    hit = sorted(r.day for r in new.select(day.alias("day")).distinct().collect())       # days of one batch
     if not hit:
         return []
     old = read_if_exists(spark, path)
     if old is not None:
-        old = old.where(F.col("bucket").isin(hit))
+        old = old.where(F.col("bucket").isin(hit)).select(F.floor(F.col("lo") / size).cast("bigint").alias("bucket"), "lo", "hi")
         new = state.merge_runs(new.unionByName(old.select(*new.columns))).checkpoint(eager=True)
-    write_view(new.repartition("bucket"), path, ["bucket"])
+    write_view(new.withColumn("bucket", day).repartition("bucket"), path, ["bucket"])
     return hit
 
 

@@ -211,7 +211,7 @@ def q_complete_through(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_block_gaps_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C12/I4 from captured runs that three updates have kept (blocks in any order, some twice)."""
     from ..jobs import update_block_runs
-    path, have = fresh_dir(spark, "block-runs"), _captured_blocks(spark, sf_dir)
+    path, have = fresh_dir(spark, "block-runs"), _captured_blocks(spark, sf_dir).checkpoint(eager=True)
     for k in range(3):
         update_block_runs(spark, path, have.where(F.col("he_block") % 5 <= 2 * k), bucket_blocks=100)
     lo, hi = _block_range(have)

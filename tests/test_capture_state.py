@@ -146,3 +146,17 @@ def test_bad_documents_of_many_tasks_leave_a_file_a_part(spark, tmp_path):
     sink = spark.read.parquet(f"{tmp_path}/block_quarantine")
     assert len(names) == sink.select("part").distinct().count() <= capture.QUARANTINE_BUCKETS
     assert sink.select("raw").distinct().count() == sink.count() == 400
+
+
+def test_small_buckets_of_a_day_share_a_folder(spark, tmp_path):
+    from mintlens.plans.jobs import update_block_runs
+    path, size = f"{tmp_path}/runs", state.BLOCKS_PER_DAY
+    have = [n for n in range(size - 400, size + 300) if n % 97 != 5]
+    for k in range(2):
+        some = spark.createDataFrame([(n,) for n in have if k or n % 2], "he_block bigint")
+        assert update_block_runs(spark, path, some, bucket_blocks=100) == [0, 1]
+    assert sorted(n for n in os.listdir(path) if n.startswith("bucket=")) == ["bucket=0", "bucket=1"]
+    runs = spark.read.parquet(path)
+    assert all(r.lo // 100 == r.hi // 100 and r.bucket == r.lo // size for r in runs.collect())
+    gaps = state.gap_blocks(state.gap_runs(runs, have[0], have[-1]))
+    assert sorted(r.he_block for r in gaps.collect()) == [n for n in range(have[0], have[-1]) if n % 97 == 5]
