@@ -30,6 +30,7 @@ from .common import map_arrow
 from .piece_memo import SEPARATOR, PieceMemo, Ragged, slices
 
 JOINED = 256         # pieces encoded as one text
+AT_ONCE = 32         # such texts that the library holds at a time: its encodings are many times their ids
 SLICE = 8 << 20      # bytes of text handled at once
 STRIPE_BYTES = 64 << 20
 SCHEMA = "doc_id {}, part int, part_start bigint, n_tokens bigint, ids array<int>"
@@ -45,8 +46,6 @@ def tokenizer(path: str, pattern: str) -> PieceMemo:
     # the pattern has been applied: what stands between separators is one piece
     lib.pre_tokenizer = pre_tokenizers.Sequence([
         pre_tokenizers.Split(SEPARATOR, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    alone = Tokenizer.from_file(path)
-    alone.encode_special_tokens = True
     # every byte is one character of the vocabulary's strings, so a token's length is its bytes'
     size = np.zeros(lib.get_vocab_size(), np.int64)
     for token, k in lib.get_vocab(with_added_tokens=False).items():
@@ -59,29 +58,39 @@ def tokenizer(path: str, pattern: str) -> PieceMemo:
         many = len(order)
         some = [pieces[k] for k in order]
         texts = [SEPARATOR.join(some[lo:lo + JOINED]) for lo in range(0, many, JOINED)]
-        ids = [k for e in lib.encode_batch_fast(texts, add_special_tokens=False) for k in e.ids]
-        ids = np.array(ids, np.int32)
+        parts = [np.array([k for e in lib.encode_batch_fast(texts[at:at + AT_ONCE], add_special_tokens=False) for k in e.ids], np.int32)
+                 for at in range(0, len(texts), AT_ONCE)]
+        ids = np.concatenate([np.empty(0, np.int32), *parts])
         ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, many))
         count = np.diff(np.searchsorted(np.cumsum(size[ids]), ends) + 1, prepend=0)
         if many < len(pieces):
             order += [k for k, p in enumerate(pieces) if SEPARATOR in p]
-            rest = [e.ids for e in alone.encode_batch_fast([pieces[k] for k in order[many:]], add_special_tokens=False)]
+            rest = [e.ids for e in ordinary(path).encode_batch_fast([pieces[k] for k in order[many:]], add_special_tokens=False)]
             ids = np.concatenate([ids, np.array([k for some in rest for k in some], np.int32)])
             count = np.concatenate([count, [len(x) for x in rest]])
         back = Ragged()
         back.extend(ids, count.astype(np.int64))
         return (ids, count) if many == len(pieces) else back.take(np.argsort(np.array(order)))
 
-    return PieceMemo(pattern, encode_pieces)
+    memo = PieceMemo(pattern, encode_pieces)
+    memo.added_tokens = [t.content for t in lib.get_added_tokens_decoder().values()]
+    return memo
+
+
+@lru_cache(maxsize=2)
+def ordinary(path: str):
+    """The library's tokenizer, to which strings of added tokens are ordinary text; loaded for the few pieces that need it."""
+    lib = library.__wrapped__(path)
+    lib.encode_special_tokens = True
+    return lib
 
 
 @lru_cache(maxsize=2)
 def library(path: str):
-    """(the library's tokenizer as its file says, strings of its added tokens)"""
+    """The library's tokenizer as its file says; loaded with the first text that holds an added token."""
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(path)
-    return lib, [t.content for t in lib.get_added_tokens_decoder().values()]
+    return Tokenizer.from_file(path)
 
 
 def encode(memo: PieceMemo, path: str, texts: pa.Array, added_tokens: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +98,7 @@ def encode(memo: PieceMemo, path: str, texts: pa.Array, added_tokens: bool) -> t
     that hold one go to the library whole."""
     if not added_tokens or not len(texts):
         return memo.encode(texts)
-    lib, strings = library(path)
+    strings = memo.added_tokens
     texts = texts.cast(pa.binary())
     _, offsets, data = texts.buffers()
     lo, hi = np.frombuffer(offsets, np.int32)[[texts.offset, texts.offset + len(texts)]].tolist()
@@ -102,7 +111,7 @@ def encode(memo: PieceMemo, path: str, texts: pa.Array, added_tokens: bool) -> t
         held |= pc.match_substring(raw, some).to_numpy(zero_copy_only=False)
     flat, count = memo.encode(pc.if_else(pa.array(held), pa.scalar(b"", pa.binary()), raw))
     some = [x.decode("utf-8", "replace") for x in raw.filter(pa.array(held)).to_pylist()]
-    ids = [e.ids for e in lib.encode_batch_fast(some, add_special_tokens=False)]
+    ids = [e.ids for e in library(path).encode_batch_fast(some, add_special_tokens=False)]
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
     at = np.repeat(np.cumsum(count)[held], sizes)
     count = count.copy()

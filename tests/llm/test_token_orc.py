@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.orc
 from tokenizers import Tokenizer
 
@@ -61,3 +62,16 @@ def test_added_tokens_like_the_unmodified_library(spark, monkeypatch):
         start += len(ids)
     monkeypatch.setattr(Q, "table", lambda *_: frame(spark, data))
     assert sorted(map(tuple, Q.op4_token_orc(spark, "").collect()), key=lambda r: r[1]) == want
+
+
+def test_a_worker_holds_one_tokenizer_and_few_encodings(monkeypatch):
+    for cached in (O.tokenizer, O.library, O.ordinary):
+        cached.cache_clear()
+    monkeypatch.setattr(O, "AT_ONCE", 1)
+    monkeypatch.setattr(O, "JOINED", 3)
+    memo = O.tokenizer(PATH, P.PATTERN)
+    texts = [" ".join(f"word{k}x{j}" for j in range(20)) for k in range(30)] + [None, ""]
+    flat, count = O.encode(memo, PATH, pa.array(texts), added_tokens=True)
+    assert O.library.cache_info().currsize == O.ordinary.cache_info().currsize == 0
+    want = [O.library(PATH).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert flat.tolist() == [k for ids in want for k in ids] and count.tolist() == [len(ids) for ids in want]
