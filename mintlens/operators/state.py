@@ -264,13 +264,14 @@ def fold_scopes(scopes: DataFrame, failures: DataFrame, touches: DataFrame, outc
 
     Exact in whatever order the rows arrive: times are maxima, and failures are kept one by one until a confirmed
     fetch is newer than they are, so an outcome that comes late still counts or cancels the right ones. Folding the same
-    batch again changes nothing (its failures are replaced)."""
+    batch again changes nothing (its failures are replaced). Needs a checkpoint folder (``session.configure``)."""
     none = F.lit(None).cast("timestamp")
     ok = confirmed(outcomes)
     rows = scopes.select(*SCOPE_KEYS, "last_touch", "last_ok").unionByName(
         touches.select(*SCOPE_KEYS, F.col("touched_at").alias("last_touch"), none.alias("last_ok"))).unionByName(
         outcomes.select(*SCOPE_KEYS, none.alias("last_touch"), F.when(ok, F.col("fetched_at")).alias("last_ok")))
     folded = rows.groupBy(*SCOPE_KEYS).agg(F.max("last_touch").alias("last_touch"), F.max("last_ok").alias("last_ok"))
+    folded = folded.checkpoint(eager=True)      # both results come from one pass over the scopes
     open_ = failures.where(F.col("batch") != int(batch)).unionByName(
         outcomes.where(~ok).select(*SCOPE_KEYS, "fetched_at", F.lit(int(batch)).cast("bigint").alias("batch")))
     still = open_.join(folded.select(*SCOPE_KEYS, "last_ok"), SCOPE_KEYS, "left")

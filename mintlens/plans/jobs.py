@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import state
 from ..session import checkpoint_dir
-from ..sources.sinks import drop_partitions, read_if_exists, write_view
+from ..sources.sinks import drop_partitions, gathered, read_if_exists, write_view
 
 BUCKETS = 64            # of a symbol's holdings
 STATE_BUCKETS = 64      # of the scope state
@@ -150,10 +150,11 @@ def update_scope_state(spark: SparkSession, path: str, touches: DataFrame, outco
         return []
     scopes, failures = (df.where(F.col("bucket").isin(hit)).drop("bucket") for df in scope_state(spark, path))
     folded, still = state.fold_scopes(scopes, failures, touches, outcomes, batch)
-    folded, still = (_bucketed(df, buckets).repartition("bucket").checkpoint(eager=True) for df in (folded, still))
-    write_view(folded, f"{path}/scopes", ["bucket"])
+    # buckets larger than a task's share are written by several
+    folded, still = _bucketed(folded, buckets), _bucketed(still, buckets).checkpoint(eager=True)
+    write_view(gathered(folded, ["bucket"]), f"{path}/scopes", ["bucket"])
     left = {r.bucket for r in still.select("bucket").distinct().collect()}
     if left:
-        write_view(still, f"{path}/failures", ["bucket"])
+        write_view(gathered(still, ["bucket"]), f"{path}/failures", ["bucket"])
     drop_partitions(spark, f"{path}/failures", "bucket", [str(b) for b in hit if b not in left])
     return hit

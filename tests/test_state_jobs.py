@@ -118,3 +118,20 @@ def test_an_update_reads_the_state_of_its_buckets_only(spark, tmp_path):
     plan = state.pending_from_state(*jobs.scope_state(spark, path), spark.createDataFrame([("a7",)], TRACK))
     assert all(path in f for f in plan.inputFiles())
     assert jobs.update_scope_state(spark, path, spark.createDataFrame([], TOUCH), none, 2) == []
+
+
+def test_the_rows_of_a_large_bucket_are_written_by_several_tasks(spark, tmp_path):
+    path, conf = str(tmp_path / "s"), {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+                                       "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    names = spark.range(20_000).selectExpr("'a' || sha2(CAST(id AS string), 256) AS account", "'OAK' AS symbol")
+    touches = names.selectExpr("*", "TIMESTAMP '2026-01-01' AS touched_at").repartition(8)
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert jobs.update_scope_state(spark, path, touches, spark.createDataFrame([], OUT), 0, buckets=1) == [0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len([f for f in files(path) if "scopes" in f and f.endswith(".parquet")]) > 1
+    assert jobs.scope_state(spark, path)[0].distinct().count() == 20_000
