@@ -248,11 +248,13 @@ def q_wallet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ...sources.sinks import to_json_view
     pages_ = views.wallet_pages(_wallet(spark, sf_dir))
     j = to_json_view(pages_)
-    g = lambda path: F.get_json_object("json", path)
-    return j.select(g("$.viewer").alias("viewer"), g("$.section").alias("section"), g("$.symbol").alias("symbol"),
-                    g("$.id_range").cast("bigint").alias("id_range"),
-                    F.json_array_length(g("$.items")).cast("bigint").alias("n_items"),
-                    g("$.items[0].price").alias("first_price_text"), g("$.items[0].nft_id").alias("first_nft_id"))
+    # one parse of a document gives all fields
+    doc = j.select(F.from_json("json", "viewer string, section string, symbol string, id_range string, "
+                                       "items array<struct<price:string,nft_id:string>>").alias("d"))
+    first = F.element_at("d.items", 1)
+    return doc.select("d.viewer", "d.section", "d.symbol", F.col("d.id_range").cast("bigint").alias("id_range"),
+                      F.size("d.items").cast("bigint").alias("n_items"),
+                      first["price"].alias("first_price_text"), first["nft_id"].alias("first_nft_id"))
 
 
 @register("wallet_requested", with_ctes(SECTIONS_SQL, "fx_mappings", "fx_holdings", "fx_orders", "fx_collections",
