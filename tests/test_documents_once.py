@@ -17,3 +17,10 @@ def plan_of(df):
 def test_a_wallet_document_is_parsed_once(spark):
     plan = plan_of(QUERIES["wallet_json"](spark, SF_SMALL))
     assert plan.count("from_json") >= 1 and "get_json_object" not in plan and "json_array_length" not in plan
+
+
+def test_redelivered_documents_are_built_once(spark, monkeypatch):
+    plans, body = [], capture.BlockCapture.__call__
+    monkeypatch.setattr(capture.BlockCapture, "__call__", lambda self, batch, epoch: (plans.append(plan_of(batch)), body(self, batch, epoch))[1])
+    QUERIES["replayed_sales"](spark, SF_SMALL)
+    assert len(plans) == 2 and not any("Aggregate" in p for p in plans)
