@@ -272,7 +272,7 @@ def q_start_at_tip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.fx_block_docs(spark, sf_dir)
     half = docs.agg(F.max("he_block")).first()[0] // 2
     for name, part in (("a", F.col("he_block") <= half), ("b", F.col("he_block") > half)):
-        docs.where(part).select("value").coalesce(2).write.text(f"{root}/landing/{name}")
+        docs.where(part).select("value").write.text(f"{root}/landing/{name}")
         q = capture.start_capture(spark, f"{root}/landing/*", f"{root}/sinks", checkpoint=f"{root}/cp-{name}", starting_block=capture.TIP)
         q.awaitTermination()
     return comparable(spark.read.parquet(f"{root}/sinks/nft_events").drop("bucket"))

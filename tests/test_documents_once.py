@@ -24,3 +24,10 @@ def test_redelivered_documents_are_built_once(spark, monkeypatch):
     monkeypatch.setattr(capture.BlockCapture, "__call__", lambda self, batch, epoch: (plans.append(plan_of(batch)), body(self, batch, epoch))[1])
     QUERIES["replayed_sales"](spark, SF_SMALL)
     assert len(plans) == 2 and not any("Aggregate" in p for p in plans)
+
+
+def test_landed_blocks_are_written_by_all_tasks(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("the landing is written by a fixed number of tasks")
+    monkeypatch.setattr(ClassicFrame, "coalesce", refuse)
+    assert QUERIES["start_at_tip"](spark, SF_SMALL).count() > 0
