@@ -48,10 +48,10 @@ def present(m: Column, key: str) -> Column:
 
 def first_present(m: Column, *keys: str) -> Column:
     """``d.get(k1, d.get(k2, ...))``: the first key that is *present* wins,
-    even when its value is null."""
+    even when its value is null. Presence is looked up only where it decides: the key has no value, a later one has."""
     out = m[keys[-1]]
     for k in reversed(keys[:-1]):
-        out = F.when(present(m, k), m[k]).otherwise(out)
+        out = F.when(m[k].isNotNull() | out.isNull() | present(m, k), m[k]).otherwise(out)
     return out
 
 

@@ -74,7 +74,8 @@ def judged_documents(docs: DataFrame, text_col: str = "value", file_col: str | N
     ingest = ingest_ts if ingest_ts is not None else F.lit(None).cast("timestamp")
     docs = docs.where(F.trim(F.coalesce(text, F.lit(""))) != "")
     read = docs.select(file.alias("file"), text.alias("raw"), F.from_json(text, BLOCK_DDL).alias("b"), ingest.alias("ingest_ts"))
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"), F.lit(False))
+    # JSON that begins with a brace is an object: its schema need not be built
+    is_object = F.try_parse_json("raw").isNotNull() & F.ltrim("raw", F.lit(" \t\r\n")).startswith("{")
     reason = F.when(~is_object, "not a JSON object").when(F.col("b.blockNumber").isNull(), "no block number")
     return read.select("file", "raw", reason.alias("reason"), "b.*", "ingest_ts")
 
@@ -108,23 +109,17 @@ def typed_blocks(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         ingest = F.coalesce(F.col("ingestTs").try_cast("timestamp"), ingest)
 
     def event(e):
-        d = json_map(e["data"])
-        return F.struct(e["contract"].alias("contract"), e["event"].alias("event"), e["data"].alias("data"),
-                        d.alias("d"))
-
-    def with_sellers(e):
-        sellers = F.when(e["event"] == MARKET_BUY_EVENT, F.from_json(e["d"]["sellers"], SELLERS_DDL))
-        return F.struct(e["contract"].alias("contract"), e["event"].alias("event"), e["data"].alias("data"),
-                        e["d"].alias("d"), sellers.alias("sellers"))
+        # the map is bound once for both uses, so the transactions are not walked again for the sellers
+        return F.transform(F.array(json_map(e["data"])), lambda d: F.struct(
+            e["contract"].alias("contract"), e["event"].alias("event"), e["data"].alias("data"), d.alias("d"),
+            F.when(e["event"] == MARKET_BUY_EVENT, F.from_json(d["sellers"], SELLERS_DDL)).alias("sellers")))[0]
 
     txs = F.transform(F.coalesce(F.col("transactions"), _empty(TX_DDL)), lambda t, i: F.struct(
         i.alias("tx_pos"), t["contract"].alias("contract"), t["action"].alias("action"),
         t["sender"].alias("sender"), t["transactionId"].alias("tx_id"), t["payload"].alias("payload"),
         F.transform(F.coalesce(F.from_json(t["logs"], LOGS_DDL)["events"], _empty(EVENT_DDL)), event).alias("events")))
-    typed = blocks.select(F.col("blockNumber").alias("he_block"),
-                          block_ts(F.col("timestamp"), ingest).alias("ts"), *keep, txs.alias("txs"))
-    return typed.select("he_block", "ts", *keep, F.transform("txs", lambda t: t.withField(
-        "events", F.transform(t["events"], with_sellers))).alias("txs"))
+    return blocks.select(F.col("blockNumber").alias("he_block"),
+                         block_ts(F.col("timestamp"), ingest).alias("ts"), *keep, txs.alias("txs"))
 
 
 def explode_tx(blocks: DataFrame) -> DataFrame:
@@ -191,12 +186,11 @@ def _event_rows(tx: Column, e: Column) -> Column:
     when symbol / integer id are missing)."""
     d = e["d"]
     name = e["event"]
-    raw_id = first_present(d, "id", "nftId")
-    simple = _row(d["symbol"], strict_id(raw_id), _ops_map()[name],
+    simple = _row(d["symbol"], strict_id(first_present(d, "id", "nftId")), _ops_map()[name],
                   first_truthy(d["from"], d["account"]), d["to"],
                   first_present(d, "price", "newPrice"), d["priceSymbol"], tx["tx_id"])
     simple_arr = F.filter(F.array(simple), lambda r: r["op"].isNotNull() & r["symbol"].isNotNull()
-                          & raw_id.isNotNull() & r["nft_id"].isNotNull())
+                          & r["nft_id"].isNotNull())
     buys = F.filter(F.coalesce(_buy_rows(tx, e, "activity"), _empty(ROW_T)),
                     lambda r: r["symbol"].isNotNull() & r["nft_id"].isNotNull())
     return F.when(name == MARKET_BUY_EVENT, buys).otherwise(simple_arr)
@@ -214,8 +208,12 @@ def _scan_accounts(j: Column) -> Column:
 
     The parsed value is written out again, once, in canonical form: keys unescaped, the last of repeated keys
     only, no blanks. Its account members are then exactly the matches of ``ACCOUNT_FIELD_PATTERN``, however
-    deep they lie, without a recursion over levels (a job each) or a shuffle. Invalid JSON -> nothing."""
-    canonical = F.to_json(F.try_parse_json(j))
+    deep they lie, without a recursion over levels (a job each) or a shuffle. Invalid JSON -> nothing.
+    A text without a backslash spells its keys as they are: if it has no account key, it is not parsed."""
+    may_name = j.contains("\\")
+    for key in ACCOUNT_KEYS:
+        may_name = may_name | j.contains(f'"{key}"')
+    canonical = F.when(may_name, F.to_json(F.try_parse_json(j)))
     raw = F.regexp_extract_all(canonical, F.lit(ACCOUNT_FIELD_PATTERN), 1)
     vals = F.transform(raw, lambda r: F.when(~r.contains("\\"), r).otherwise(      # nothing to unescape in most
         F.from_json(F.concat(F.lit('["'), r, F.lit('"]')), "array<string>")[0]))
@@ -224,9 +222,9 @@ def _scan_accounts(j: Column) -> Column:
 
 def _tx_touched(tx: Column) -> Column:
     """Sender + account fields of every event's data (any contract) + payload."""
-    parts = F.concat(F.array(tx["sender"]),
-                     F.flatten(F.transform(tx["events"], lambda e: F.coalesce(_scan_accounts(e["data"]), F.array().cast("array<string>")))),
-                     F.coalesce(_scan_accounts(tx["payload"]), F.array().cast("array<string>")))
+    parts = F.flatten(F.array(F.array(tx["sender"]),
+                              F.flatten(F.transform(tx["events"], lambda e: _scan_accounts(e["data"]))),
+                              _scan_accounts(tx["payload"])))
     return F.array_distinct(F.filter(parts, lambda a: a.isNotNull() & (a != "")))
 
 
@@ -234,14 +232,16 @@ def _tx_scopes(tx: Column, rows: Column) -> Column:
     """B13 for one transaction: (account, symbol) for accounts an event names
     together with a symbol; (account, '') for the other touched accounts."""
     pair_t = "struct<account:string,symbol:string>"
-    targeted = F.filter(F.flatten(F.transform(rows, lambda r: F.array(
+    named = F.filter(F.flatten(F.transform(rows, lambda r: F.array(
         F.struct(r["account"].alias("account"), r["symbol"].alias("symbol")),
         F.struct(r["counterparty"].alias("account"), r["symbol"].alias("symbol"))))),
         lambda p: F.coalesce(p["account"] != "", F.lit(False)) & F.coalesce(p["symbol"] != "", F.lit(False)))
-    covered = F.transform(targeted, lambda p: p["account"])
-    rest = F.transform(F.array_except(_tx_touched(tx), covered),
-                       lambda a: F.struct(a.alias("account"), F.lit("").alias("symbol")))
-    return F.concat(targeted.cast(f"array<{pair_t}>"), rest.cast(f"array<{pair_t}>"))
+
+    def scopes(targeted):
+        rest = F.transform(F.array_except(_tx_touched(tx), targeted["account"]),
+                           lambda a: F.struct(a.alias("account"), F.lit("").alias("symbol")))
+        return F.flatten(F.array(targeted, rest.cast(f"array<{pair_t}>")))
+    return F.transform(F.array(named.cast(f"array<{pair_t}>")), scopes)[0]
 
 
 # -- B14: one pass, three outputs ---------------------------------------------

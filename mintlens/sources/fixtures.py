@@ -288,8 +288,8 @@ def _jstr(c) -> F.Column:
 
 def _obj(*pairs) -> F.Column:
     """JSON object text from (key, json_text_column_or_None) pairs; a NULL
-    value drops the key."""
-    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in pairs]
+    value drops the key (its part is NULL: a value is named once, as nested objects would double their work at each level)."""
+    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in pairs]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 

@@ -163,8 +163,9 @@ class BlockCapture:
             self.quarantine(spark, judged)
             blocks = judged.where(F.col("reason").isNull()).drop("file", "raw", "reason")
         else:
-            judged = batch.persist()
-            blocks = judged.where(F.col("blockNumber").isNotNull())
+            # typed blocks that are read once, as in a backfill, are parsed as they come
+            judged = batch.persist() if settle or self.starting_block == TIP else None
+            blocks = batch.where(F.col("blockNumber").isNotNull())
         start = self.first_block(spark, blocks)
         if start is not None:
             blocks = blocks.where(F.col("blockNumber") >= int(start))
@@ -198,7 +199,8 @@ class BlockCapture:
              .write.mode("append").parquet(self.path("pipeline_state")))
         finally:
             every.unpersist()
-            judged.unpersist()
+            if judged is not None:
+                judged.unpersist()
 
     def quarantine(self, spark: SparkSession, judged: DataFrame) -> None:
         """The documents that cannot be a block are kept, once each, with the reason and the file they landed in. The

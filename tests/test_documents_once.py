@@ -31,3 +31,34 @@ def test_landed_blocks_are_written_by_all_tasks(spark, monkeypatch):
         raise AssertionError("the landing is written by a fixed number of tasks")
     monkeypatch.setattr(ClassicFrame, "coalesce", refuse)
     assert QUERIES["start_at_tip"](spark, SF_SMALL).count() > 0
+
+
+def test_a_nested_value_of_a_document_is_named_once(spark):
+    inner = fx._obj(("b", fx._obj(("c", F.col("marker")))))
+    assert str(inner._jc).count("marker") == 1
+    rows = spark.createDataFrame([("1",), (None,)], "marker string").select(inner.alias("j")).collect()
+    assert [r.j for r in rows] == ['{"b":{"c":1}}', '{"b":{}}']
+
+
+def test_judging_builds_no_schema(spark):
+    text = ['{"blockNumber":1}', ' \t{"blockNumber":2}', "[1]", '"{"', "{", '{"a":1}', "3"]
+    docs = spark.createDataFrame([(t,) for t in text], "value string")
+    judged = parse.judged_documents(docs)
+    assert "schema_of_variant" not in plan_of(judged).lower()
+    assert [r.reason for r in judged.collect()] == [None, None, "not a JSON object", "not a JSON object", "not a JSON object",
+                                                    "no block number", "not a JSON object"]
+
+
+def test_typed_blocks_of_a_backfill_are_not_stored_before_the_parse(spark, monkeypatch, tmp_path):
+    kept, persist = [], ClassicFrame.persist
+    monkeypatch.setattr(ClassicFrame, "persist", lambda self, *a: (kept.append(self.columns), persist(self, *a))[1])
+    docs = spark.createDataFrame([('{"blockNumber":5,"transactions":[]}',)], "value string")
+    capture.backfill(spark, parse.blocks_from_json(docs), f"{tmp_path}")
+    assert not any("transactions" in cols for cols in kept)
+
+
+def test_present_null_key_still_wins(spark):
+    from mintlens.functions import first_present
+    m = F.from_json("t", "map<string,string>")
+    df = spark.createDataFrame([('{"a":null,"b":"2"}',), ('{"b":"2"}',), ('{"a":"1","b":"2"}',), ("{}",)], "t string")
+    assert [r[0] for r in df.select(first_present(m, "a", "b")).collect()] == [None, "2", "1", None]
